@@ -125,3 +125,16 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.select(others).columns, pa.array(got, pa.float64())], names=[*others, "score"])
 
     return docs.select(*others, text_col).mapInArrow(run, schema)
+
+
+def accepted(docs: DataFrame, model: Model, threshold: float, text_col: str = "text") -> DataFrame:
+    """The documents that score at least the threshold, with all their columns."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col))
+            yield batch.filter(pa.array([m.score(features(m, texts[k].as_py())) >= threshold for k in range(batch.num_rows)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

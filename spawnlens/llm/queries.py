@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, html_text, langid, licences, neardup, quality, tokenizer, topk
+from . import chat, decontam, html_text, langid, licences, neardup, quality, suffix_dedup, tokenizer, topk
 from .common import fold, materialise, table
+from .oracles import ORACLE_SQL  # noqa: F401
 
 
 def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +62,15 @@ def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licences", ",").alias("licences"), F.col("n_licences").cast("long").alias("n_licences"))
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_quality, op3_bpe, op4_html, op5_language, op6_neardup, op7_chat, op8_licences)}
+def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_topk, op2_quality, op3_bpe, op4_html, op5_language, op6_neardup, op7_chat, op8_licences, op9_suffix, op10_decontaminate)}
 
-ORACLE_SQL: dict[str, str] = {}
