@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bytecode
+from . import bytecode, traces
 
-FAMILIES = (bytecode,)
+FAMILIES = (bytecode, traces)
 QUERIES = {k: f for m in FAMILIES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: s for m in FAMILIES for k, s in m.ORACLE_SQL.items()}
