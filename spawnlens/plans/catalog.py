@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bytecode, traces
+from . import bytecode, evaluation, scans, traces
 
-FAMILIES = (bytecode, traces)
+FAMILIES = (bytecode, scans, traces, evaluation)
 QUERIES = {k: f for m in FAMILIES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: s for m in FAMILIES for k, s in m.ORACLE_SQL.items()}
