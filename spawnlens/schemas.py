@@ -6,10 +6,6 @@ from pyspark.sql.types import StructType
 
 
 
-def _of(ddl: str) -> StructType:
-    return StructType.fromDDL(ddl)
-
-
 # Column names and types of the tables.
 CONTRACTS = "chain string, address string, bytecode string, block_timestamp timestamp, block_number bigint, transaction_hash string"
 TRACES = "chain string, trace_type string, status bigint, from_address string, to_address string, transaction_hash string, block_number bigint, block_timestamp timestamp, trace_address string, value string, input string, output string, gas bigint, gas_used bigint"
@@ -19,7 +15,11 @@ GROUND_TRUTH = "address string, bytecode string, is_factory_ground_truth boolean
 FACTORY_ADDRESSES = "chain string, factory_address string, total_creations string, unique_creations string"
 SOURCE_PACKAGE = "chain string, address string, source_status string, compiler string, evm_version string, verified_at string, origin string, files array<struct<path: string, content: string>>"
 
-SCHEMAS = {name.lower(): _of(ddl) for name, ddl in {"CONTRACTS": CONTRACTS, "TRACES": TRACES, "RESULTS": RESULTS, "PROGRESS": PROGRESS, "GROUND_TRUTH": GROUND_TRUTH, "FACTORY_ADDRESSES": FACTORY_ADDRESSES, "SOURCE_PACKAGE": SOURCE_PACKAGE}.items()}
+DDL = {"contracts": CONTRACTS, "traces": TRACES, "results": RESULTS, "progress": PROGRESS, "ground_truth": GROUND_TRUTH, "factory_addresses": FACTORY_ADDRESSES, "source_package": SOURCE_PACKAGE}
+
+
+def schema(name: str) -> StructType:
+    return StructType.fromDDL(DDL[name])
 
 
 def signature(schema: StructType) -> list[tuple[str, str, str]]:
