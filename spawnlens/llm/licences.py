@@ -26,10 +26,8 @@ SENTENCES = {
     "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software": "mit-notice",
     "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "mit-warranty",
     "this work is licensed under the gnu general public license version 3": "gpl3-ref",
-    "this program is free software": "gpl-free",
-    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation": "gpl-terms",
-    "either version 3 of the license or at your option any later version": "gpl3-later",
-    "either version 2 of the license or at your option any later version": "gpl2-later",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version": "gpl3-later",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "gpl2-later",
     "licensed under cc by nc 4.0": "ccbync4-ref",
     "licensed under cc by 4.0": "ccby4-ref",
     "licensed under cc by sa 4.0": "ccbysa4-ref",
@@ -54,16 +52,16 @@ RULES = [
     ("CC-BY-4.0", ["ccby4-ref"]),
     ("CC-BY-NC-4.0", ["ccbync4-ref"]),
     ("CC-BY-SA-4.0", ["ccbysa4-ref"]),
-    ("GPL-2.0-or-later", ["gpl-free", "gpl-terms", "gpl2-later"]),
+    ("GPL-2.0-or-later", ["gpl2-later"]),
     ("GPL-3.0", ["gpl3-ref"]),
-    ("GPL-3.0-or-later", ["gpl-free", "gpl-terms", "gpl3-later"]),
+    ("GPL-3.0-or-later", ["gpl3-later"]),
     ("MIT", ["mit-ref"]),
     ("MIT", ["mit-grant", "mit-notice", "mit-warranty"]),
     ("MPL-2.0", ["mpl2-ref"]),
     ("Proprietary", ["rights-reserved"]),
 ]
 #: Where sentences end if each line is taken for itself, and if a text is wrapped, so that only blank lines and marks end them.
-LINES, WRAPPED = r"\n+|[.!?;:][ \t\r]+", r"\n[ \t\r]*\n\s*|[.!?;:]\s+"
+LINES, WRAPPED = r"\n+|[.!?;][ \t\r]+", r"\n[ \t\r]*\n\s*|[.!?;]\s+"
 #: Only sentences that hold a word of some known one are normalised and looked up.
 CUE = "licen|permi|copyright|redistribut|warranty|free software|rights reserved|either version"
 

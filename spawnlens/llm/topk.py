@@ -6,7 +6,7 @@ A last pass keeps scores above that value and, of the ties at it, the smallest i
 that cannot hold a kth score, so what is shuffled is at most about k rows for each query and task, however many vectors tie.
 
 Results for odd input: vectors that are null, or hold null or non-finite components, and rows with a null id take no part; vectors of
-different lengths have no score with one another; an empty vector scores 0 with other empty ones. Repeated candidate rows are ranked each. If a
+different lengths have no score with one another; scores that do not fit in 64 bits are an error; an empty vector scores 0 with other empty ones. Repeated candidate rows are ranked each. If a
 query id is repeated, its first row by vector counts. A candidate with the query's own id is left out. Empty tables give an empty
 result. Other columns are ignored.
 """
@@ -42,13 +42,13 @@ def integer_vectors(ids: pa.Array, vectors: pa.Array, scale: float) -> Iterator[
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Integer inner products. In doubles while they are exact, else in Python integers."""
+    """Integer inner products, in doubles while they are exact, else in Python integers."""
     if not a.shape[1]:
         return np.zeros((len(a), len(b)), dtype=np.int64)
     top = np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * a.shape[1]
     if top < 2.0**53:
         return (a @ b.T).astype(np.int64)
-    return np.array(np.vectorize(int, otypes=[object])(a) @ np.vectorize(int, otypes=[object])(b).T, dtype=np.int64)
+    return np.vectorize(int, otypes=[object])(a) @ np.vectorize(int, otypes=[object])(b).T
 
 
 class Slice:
@@ -60,7 +60,7 @@ class Slice:
         for d in sorted({len(v) for v in vectors}):
             at = np.array([k for k, v in enumerate(vectors) if len(v) == d])
             for i in range(0, len(at), QUERIES):
-                self.parts.append((d, at[i : i + QUERIES], np.array([vectors[k] for k in at[i : i + QUERIES]]).reshape(-1, d)))
+                self.parts.append((d, at[i : i + QUERIES], np.array([vectors[k] for k in at[i : i + QUERIES]]).reshape(len(at[i : i + QUERIES]), d)))
 
     def scored(self, batches, scale) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(places of queries, candidates' ids, scores with NONE where a candidate is the query itself)."""
@@ -72,7 +72,7 @@ class Slice:
                         if d == matrix.shape[1]:
                             scores = products(queries, matrix)
                             scores[self.ids[at][:, None] == ids[None, :]] = NONE
-                            yield at, ids, scores
+                            yield at, ids, scores.astype(np.int64)
 
 
 def slices(queries: DataFrame, id_col: str, vec_col: str, scale: float) -> Iterator[Slice]:
