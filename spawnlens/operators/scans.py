@@ -38,9 +38,10 @@ def page(df: DataFrame, order: list[str], offset: int, limit: int) -> DataFrame:
 
 
 def expand_verdicts(contracts: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Each contract with the verdict on its code, matched in lower case."""
-    found = verdicts.withColumn("k", F.lower("code")).drop("code").dropDuplicates(["k"])
-    return contracts.withColumn("k", F.lower("code")).join(found, "k").drop("k")
+    """Each contract with the verdict on its code, matched in lower case. The digest is the key, so that codes themselves need not be shuffled."""
+    digest = F.sha2(F.lower("code"), 256)
+    found = verdicts.withColumn("k", digest).drop("code").dropDuplicates(["k"])
+    return contracts.withColumn("k", digest).join(found, "k").drop("k")
 
 
 def reuse(codes: DataFrame, earlier: DataFrame, flags: list[str]) -> DataFrame:

@@ -22,8 +22,8 @@ def _c(spark, sf_dir):
 
 def _results(spark, sf_dir):
     """Detection results of every contract: verdict on its code, with a run time that follows from the block."""
-    found = kernel.verdicts(distinct_codes(_c(spark, sf_dir))).select("code", "bytecode_hash", "is_factory", "factory_type")
-    rows = _c(spark, sf_dir).join(found, "code").withColumns(S.exclusive_flags(F.col("factory_type")))
+    found = kernel.verdicts(distinct_codes(_c(spark, sf_dir))).select("bytecode_hash", "is_factory", "factory_type")
+    rows = _c(spark, sf_dir).withColumn("bytecode_hash", evm.bytecode_hash(F.col("code"))).join(found, "bytecode_hash").withColumns(S.exclusive_flags(F.col("factory_type")))
     return rows.withColumn("execution_time_ms", (F.col("block_number") % 97).cast("double")).withColumn("deployment_date", F.to_date("block_timestamp"))
 
 
