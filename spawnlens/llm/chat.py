@@ -24,6 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 # The template.
 OPEN, AFTER_ROLE, CLOSE = "<|turn ", "|>\n", "<|end|>\n"
 ESCAPES = {"\\": "\\\\", "<": "\\l", "|": "\\p"}
@@ -87,6 +89,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def turns(conversations: DataFrame) -> DataFrame:
     """Formatted turns with node hashes; path, the tree path, on each conversation's last turn."""
+    bounded_batches(conversations.sparkSession)
     src = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "role", "text", "turn")
     return src.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").drop("turn").mapInArrow(_scan, TURNS)
 

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 #: BM25's constants; blocks of items at most; segments that make up the longest item; share of an item's own score that retrieves it;
 #: words of a shingle.
 K1, B, BLOCKS, SEGMENTS, RETRIEVE, SHINGLE = 1.2, 0.75, 64, 4, 0.5, 5
@@ -202,6 +204,7 @@ def shards(items: DataFrame, id_col: str, text_col: str) -> Iterator[Index]:
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap for each item that leaked into a document."""
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
+    bounded_batches(docs.sparkSession)
     src, out = docs.select(F.col(id_col).cast("long"), text_col), None
     for ix in shards(items, item_id, item_text):
         sent = docs.sparkSession.sparkContext.broadcast(ix)
@@ -218,6 +221,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The documents into which no item leaked, with all their columns."""
+    bounded_batches(docs.sparkSession)
     for ix in shards(items, item_id, item_text):
         sent = docs.sparkSession.sparkContext.broadcast(ix)
 

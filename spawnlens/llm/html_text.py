@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import bounded_batches
+
 # HTML's inline, void and raw-text elements, and which open elements a start tag closes.
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img picture source".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -303,6 +305,7 @@ def main_text(field: Field, page: str | None) -> str:
 
 def extract(pages: DataFrame, field: Field | None = None, html_col: str = "html") -> DataFrame:
     """Replaces the html by text string."""
+    bounded_batches(pages.sparkSession)
     field = field or trained()
     sent = pages.sparkSession.sparkContext.broadcast(field)  # bounded: the features of the labelled pages
     others = [c for c in pages.columns if c not in (html_col, "text")]

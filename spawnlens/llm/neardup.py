@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import bounded_batches, materialise
 
 #: Registers of a band, bands; base, rate and highest level of the sketch.
 ROWS, BANDS = 5, 40
@@ -170,12 +170,11 @@ def _verify(k: int, threshold: float):
             out: list[list[int]] = [[], []]
             for i in range(b.num_rows):
                 x, y = b.column(0)[i].as_py(), b.column(1)[i].as_py()
-                text = b.column(2)[i]
-                if x not in kept or kept[x][0] != hash(t := text.as_py()):
-                    t = text.as_py()
+                text = b.column(2)[i].as_py()
+                if x not in kept or kept[x][0] != hash(text):
                     if len(kept) >= SETS_KEPT:
                         kept.clear()
-                    kept[x] = (hash(t), shingles(t, k, hashes))
+                    kept[x] = (hash(text), shingles(text, k, hashes))
                 sets = (kept[x][1], shingles(b.column(3)[i].as_py(), k, hashes))
                 both = len(np.intersect1d(*sets, assume_unique=True))
                 if both and 100 * both >= percent * (len(sets[0]) + len(sets[1]) - both):
@@ -210,7 +209,7 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str
 
 
 def components(links: DataFrame) -> DataFrame:
-    """id, comp (the smallest id that links reach) for the ids of links (a, b).
+    """id, comp (the smallest id that links reach) for the ids of links (a, b) that reach a smaller one.
 
     Each id is hooked to its smallest linked id, the trees are flattened by pointer jumping, links are redrawn between their roots, until
     none is left between different roots.
@@ -313,6 +312,7 @@ def within_clusters(clusters: DataFrame, comps: DataFrame, classes: DataFrame, d
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8) -> DataFrame:
     """id, n_shingles, component_id for every row of docs; links are pairs with a Jaccard similarity of at least the threshold."""
+    bounded_batches(docs.sparkSession)
     all_rows = materialise(sketches(docs, id_col, text_col, k), "near-sketches")
     named = all_rows.where(F.col("id").isNotNull() & F.col("key").isNotNull())
     leads = named.groupBy("key").agg(F.min("id").alias("lead"))

@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import bounded_batches
+
 #: Labelled rows of each class that training takes at most, characters of each, bytes of a dictionary, of a block, and level.
 SAMPLE, SAMPLE_CHARS, DICT_BYTES, BLOCK, LEVEL = 3000, 4000, 112 << 10, 2048, 3
 #: Compressed share below which text counts as repeating itself.
@@ -113,6 +115,7 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """Replaces the text by score double."""
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     others = [c for c in docs.columns if c not in (text_col, "score")]
     schema = T.StructType([docs.schema[c] for c in others] + [T.StructField("score", T.DoubleType())])
@@ -129,6 +132,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
 def accepted(docs: DataFrame, model: Model, threshold: float, text_col: str = "text") -> DataFrame:
     """The documents that score at least the threshold, with all their columns."""
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

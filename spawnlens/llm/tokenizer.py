@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import bounded_batches
+
 #: Characters of a text from which it is split, and the least white space that is handled apart.
 SPLIT_CHARS, LONG_SPACE = 1 << 16, 256
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -67,6 +69,7 @@ def encode(enc, text: str) -> list[int]:
 
 def encode_decode(df: DataFrame, text_col: str, rank_file: str, pattern: str) -> DataFrame:
     """Adds token_ids array<int> and decoded binary, the bytes that the ids stand for."""
+    bounded_batches(df.sparkSession)
     kept = [c for c in df.columns if c not in ("token_ids", "decoded")]
     src = df.select(*kept)
     schema = T.StructType([f for f in src.schema.fields if f.name != text_col] + [T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())])

@@ -17,9 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
+
+from .common import bounded_batches
 
 #: Bytes of query vectors that one pass over the candidates serves; bins of a histogram; candidates and queries scored at once.
 SLICE_BYTES, BINS, ROWS, QUERIES = 8 << 20, 4096, 2048, 512
@@ -166,6 +167,7 @@ def _select(found: DataFrame, sl: Slice, scale: float, kth, k: int) -> DataFrame
 
 def search(candidates: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", scale: float = 1024.0) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k highest inner products of floor(scale * x), ties to the smaller id."""
+    bounded_batches(candidates.sparkSession)
     found = candidates.select(F.col(id_col).cast("long"), F.col(vec_col).cast("array<double>"))
     parts = []
     for sl in slices(queries, id_col, vec_col, scale):
