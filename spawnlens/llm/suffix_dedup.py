@@ -7,13 +7,14 @@ previous-smaller pointers are set, and each group's order is then emitted by fol
 in a recursion.
 
 To spread the work, each window of `length` bytes is keyed by its minimiser, the least hash of its ANCHOR-byte pieces; equal windows have equal
-minimisers. A run of windows with one minimiser is a string of its own. First the minimisers alone are exchanged, to find those that occur in
-several documents; then the distinct strings under these, each with the smallest document it is in. In a bucket, the strings of one
-minimiser are put behind one another, their suffixes are sorted, and neighbours that agree in `length` bytes form a group, whose smallest
-document is the answer for all its windows. Strings that are alone under their minimiser need no sorting: their windows are in no other. Answers
-go back to the parts that hold the string, not to each document, so a passage in a third of all documents costs a bucket one row a part. A
-minimiser of over HOT documents, such as of a short line that many share in different surroundings, has its windows spread over
-buckets by their content, each window a string of its own.
+minimisers. A run of windows with one minimiser is a string of its own. First the minimisers alone are exchanged, to find those of several
+documents; then, for these, digests of their strings with the smallest document each is in, and digests of what stands to the left and
+to the right of the minimiser: two strings that have a window in common agree on one side at least. Strings that agree with no other are
+in no order to be found: their windows belong to their smallest document. The others, as at the ends of a passage, are exchanged
+themselves, each side for itself, with the piece on which they agree as one symbol: those with one piece are put behind one another, their
+suffixes are sorted, and neighbours that agree in `length` bytes form a group, whose smallest document is the answer for all its windows. Answers go back to the parts that hold the string, not to each document, so a
+passage in a third of all documents costs a bucket one row a part. A minimiser of over HOT documents, such as of a short line that many share
+in different surroundings, has its windows spread over buckets by their content, each window a string of its own.
 
 Results for odd input: a null text counts as empty; texts shorter than `length` are kept; rows with a null id neither lose bytes nor make others
 lose some; rows that repeat an id are one document and don't take from each other; long runs of windows with one minimiser are cut;
@@ -22,8 +23,9 @@ other columns stay, clashing ones (`n_bytes`, `spans`, `kept`) are replaced; an
 
 from __future__ import annotations
 
+import gc
 import pickle
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +34,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import bounded_batches
+
 #: Bytes of a repeated string, of a minimiser's pieces, of text in a part; windows of a string at most; documents that make a key hot.
-LENGTH, ANCHOR, PART_BYTES, RUN, HOT = 50, 16, 8 << 20, 4096, 2000
+LENGTH, ANCHOR, PART_BYTES, RUN, HOT = 50, 16, 4 << 20, 4096, 100_000
+#: Instead of digests to the left and right, where these are not known; and which side of strings agrees with another.
+UNKNOWN, ON_LEFT, ON_RIGHT, IN_DOUBT = 0, 1, 2, 4
+#: Where a string has no piece that is one symbol: it is whole, or a window of a hot minimiser. The symbol, over those of bytes.
+WHOLE, WINDOW, PIECE = -1, -2, 258
+#: Symbols of small groups that are sorted together.
+TOGETHER = 1 << 15
 
 
 def suffix_array(symbols: Sequence[int]) -> list[int]:
@@ -51,8 +61,21 @@ def suffix_array(symbols: Sequence[int]) -> list[int]:
     end = n - 1
     while end >= 0:
         g = group[at[end]]
+        if g == end:  # a group of one suffix: at most one other leaves its group
+            p = at[g]
+            j = p - 1
+            while j >= 0 and group[j] >= g:
+                j = before[j]
+            before[p] = j
+            end = g - 1
+            if j >= 0 and (m := size[h := group[j]]) > 1:
+                to, k = h + m - 1, place[j]
+                other = at[to]
+                at[k], at[to], place[other], place[j] = other, j, k, to
+                size[h], size[to], group[j] = m - 1, 1, to
+            continue
         times: dict[int, int] = {}
-        for p in sorted(at[g : end + 1]) if end > g else (at[end],):
+        for p in sorted(at[g : end + 1]):
             j = p - 1
             while j >= 0 and group[j] >= g:
                 j = before[j]
@@ -93,45 +116,80 @@ def suffix_array(symbols: Sequence[int]) -> list[int]:
     return out[1:]
 
 
-def repeated_windows(strings: list[bytes], owners: list[int], length: int) -> list[np.ndarray]:
-    """For each string, the smallest owner of each of its windows of `length` bytes, over all strings."""
+def repeated_windows(strings: list[np.ndarray], owners: list[int], length: int) -> list[np.ndarray]:
+    """For each string of symbols over 1, the smallest owner of each of its windows of `length` symbols, over all strings."""
     if len(strings) == 1:
         return [np.full(len(strings[0]) - length + 1, owners[0], np.int64)]
-    joined = np.frombuffer(b"\0".join(strings), np.uint8)
     starts = np.cumsum([0] + [len(x) + 1 for x in strings[:-1]])
-    symbols = joined.astype(np.int64) + 2
-    symbols[starts[1:] - 1] = 1  # less than every byte
-    owner, whole = np.zeros(len(joined), np.int64), np.zeros(len(joined), bool)
-    for a, x, d in zip(starts, strings, owners, strict=True):
+    symbols = np.ones(starts[-1] + len(strings[-1]), np.int64)  # 1 stands between strings, less than every symbol
+    owner, whole = np.zeros(len(symbols), np.int64), np.zeros(len(symbols), bool)
+    for a, x, d in zip(starts.tolist(), strings, owners, strict=True):
+        symbols[a : a + len(x)] = x
         owner[a : a + len(x) - length + 1] = d
         whole[a : a + len(x) - length + 1] = True
     order = np.array(suffix_array(symbols.tolist()))
     order = order[whole[order]]  # suffixes that are a window of one string; equal windows are neighbours
-    windows = np.lib.stride_tricks.sliding_window_view(joined, length)[order]
+    windows = np.lib.stride_tricks.sliding_window_view(symbols, length)[order]
     first = np.flatnonzero(np.concatenate([[True], (windows[1:] != windows[:-1]).any(axis=1)]))
     least = np.minimum.reduceat(owner[order], first)
     owner[order] = np.repeat(least, np.diff(np.append(first, len(order))))
-    return [owner[a : a + len(x) - length + 1] for a, x in zip(starts, strings, strict=True)]
+    return [owner[a : a + len(x) - length + 1] for a, x in zip(starts.tolist(), strings, strict=True)]
 
 
-def window_keys(raw: bytes, length: int) -> np.ndarray:
-    """The minimiser of each window of the text."""
+def window_keys(raw: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of each ANCHOR-byte piece of the text, and the least of each window, its minimiser."""
     n = len(raw) - ANCHOR + 1
     eight = np.ndarray((len(raw) - 7,), "<u8", raw, 0, (1,)).copy()
     h = eight[:n] * np.uint64(0x9E3779B97F4A7C15) ^ (eight[8 : 8 + n] * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(7))
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(29)
-    span, have = length - ANCHOR + 1, 1
+    pieces, span, have = h, length - ANCHOR + 1, 1
     while have < span:  # running minimum over span pieces, by doubling
         step = min(have, span - have)
         h = np.minimum(h[:-step], h[step:])
         have += step
-    return h
+    return pieces, h
+
+
+def _changes(x: np.ndarray) -> np.ndarray:
+    """Where a value differs from the one before it."""
+    return np.concatenate([np.ones(min(1, len(x)), bool), x[1:] != x[:-1]])
+
+
+def _places(pieces: np.ndarray, keys: np.ndarray, start: np.ndarray, end: np.ndarray, length: int) -> np.ndarray:
+    """Where the one piece stands that is the minimiser of a run of windows; -1 if there are several."""
+    span = length - ANCHOR + 1
+    at = start[:, None] + np.arange(2 * span)  # one piece is in `span` windows, so longer runs have several
+    hit = (pieces[np.minimum(at, len(pieces) - 1)] == keys[:, None]) & (at < (end + span - 1)[:, None])
+    return np.where((hit.sum(axis=1) == 1) & (end - start <= span), start + hit.argmax(axis=1), -1)
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """In fewer bytes, if the values allow it."""
+    for kind in (np.int8, np.int16, np.int32):
+        if len(x) and x.min() >= np.iinfo(kind).min and x.max() <= np.iinfo(kind).max:
+            return x.astype(kind)
+    return x
+
+
+def _quick(run, *tables: pa.Table) -> pa.Table:
+    """Runs what makes many small objects, and no cycles of them, without the collector of cycles."""
+    gc.disable()
+    try:
+        return run(*tables)
+    finally:
+        gc.enable()
+
+
+def _digests(raw: bytes, start: np.ndarray, end: np.ndarray, length: int) -> np.ndarray:
+    """Digests of the strings of runs of windows."""
+    view, digest = memoryview(raw), xxhash.xxh3_64_intdigest
+    return np.array([digest(view[a:b]) for a, b in zip(start.tolist(), (end + length - 1).tolist(), strict=True)], np.uint64)
 
 
 def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of runs of windows with one key, RUN windows at most."""
-    start = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    start = np.flatnonzero(_changes(keys))
     end = np.append(start[1:], len(keys))
     if (end - start).max(initial=0) > RUN:
         cut = [(a, b) for x, y in zip(start.tolist(), end.tolist(), strict=True) for a in range(x, y, RUN) for b in [min(a + RUN, y)]]
@@ -139,12 +197,34 @@ def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, end
 
 
+def _packed_texts(text_col: str):
+    """Replaces texts by their compressed bytes, null by those of an empty text: each is exchanged once and read four times."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for b in batches:
+            at = b.schema.get_field_index(text_col)
+            texts = b.column(at)
+            columns = [*b.columns[:at], pa.array([pack((texts[k].as_py() or "").encode()) for k in range(b.num_rows)], pa.binary()), *b.columns[at + 1 :]]
+            yield pa.RecordBatch.from_arrays(columns, names=b.schema.names)
+
+    return run
+
+
+def _unpacked(texts: pa.ChunkedArray) -> Iterator[bytes]:
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    for x in texts:
+        yield unpack(x.as_py())
+
+
 def _texts(table: pa.Table, id_col: str, text_col: str, length: int):
     """(row, id, bytes) of texts that have a window."""
-    ids, texts = table.column(id_col).to_pylist(), table.column(text_col)
-    for k, d in enumerate(ids):
-        t = texts[k].as_py()
-        if d is not None and t is not None and len(raw := t.encode()) >= length:
+    for k, (d, raw) in enumerate(zip(table.column(id_col).to_pylist(), _unpacked(table.column(text_col)), strict=True)):
+        if d is not None and len(raw) >= length:
             yield k, d, raw
 
 
@@ -152,8 +232,8 @@ def _by_bucket(keys: np.ndarray, buckets: int):
     """(bucket, places of its keys)."""
     at = (keys % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(at, kind="stable")
-    edges = np.flatnonzero(np.concatenate([[True], at[order][1:] != at[order][:-1]])) if len(at) else []
-    for a, b in zip(edges, [*edges[1:], len(at)], strict=True):
+    edges = np.flatnonzero(_changes(at[order]))
+    for a, b in zip(edges, np.append(edges[1:], len(at)), strict=False):
         yield int(at[order[a]]), order[a:b]
 
 
@@ -176,104 +256,242 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     whole_characters: characters that are removed in part only are kept, so that what is kept is text.
     """
+    bounded_batches(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    parts = max(4, -(-total // part_bytes))
+    parts = max(12, -(-total // part_bytes))
     others = [c for c in docs.columns if c not in (text_col, "n_bytes", "spans", "kept", "_part")]
     kept_types = [docs.schema[c] for c in others]
     parted = docs.select(*others, text_col).withColumn("_part", F.pmod(F.xxhash64(F.col(id_col), F.when(F.col(id_col).isNull(), F.xxhash64(text_col))), F.lit(parts)).cast("int"))
-    grouped = parted.groupBy("_part")
+    stored = T.StructType([T.StructField(f.name, T.BinaryType() if f.name == text_col else f.dataType) for f in parted.schema.fields])
+    grouped = parted.mapInArrow(_packed_texts(text_col), stored).groupBy("_part")
+
+    def packed(name: str, rows: list[tuple[int, object]], **fixed: int) -> pa.Table:
+        own = {k: pa.array([v] * len(rows), pa.int32()) for k, v in fixed.items()}
+        return pa.table({name: pa.array([r[0] for r in rows], pa.int32()), **own, "blob": pa.array([pickle.dumps(r[1], 5) for r in rows], pa.binary())})
+
+    def split(number: np.ndarray, *columns: np.ndarray) -> list[tuple[int, tuple]]:
+        return [(n, tuple(c[at] for c in columns)) for n, at in _by_bucket(number, parts)]
 
     def own_keys(table: pa.Table) -> pa.Table:
-        part, keys, owners = table.column("_part")[0].as_py(), [], []
+        """The part's minimisers and in how many of its documents each is."""
+        if not table.num_rows:
+            return packed("bucket", [], part=0)
+        keys, owners, part = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], table.column("_part")[0].as_py()
         for _, d, raw in _texts(table, id_col, text_col, length):
-            k = np.unique(window_keys(raw, length))
-            keys.append(k)
-            owners.append(np.full(len(k), d, np.int64))
-        rows = []
-        if keys:
-            pairs = np.unique(np.rec.fromarrays([np.concatenate(keys), np.concatenate(owners)]))
-            first = np.flatnonzero(np.concatenate([[True], pairs.f0[1:] != pairs.f0[:-1]]))
-            count = np.diff(np.append(first, len(pairs)))
-            own = np.ascontiguousarray(pairs.f0[first])
-            rows = [(b, part, own[at].tobytes(), count[at].tobytes()) for b, at in _by_bucket(own, parts)]
-        return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "part": pa.array([r[1] for r in rows], pa.int32()), "keys": pa.array([r[2] for r in rows], pa.binary()), "counts": pa.array([r[3] for r in rows], pa.binary())})
+            k = window_keys(raw, length)[1]
+            keys.append(k[_changes(k)])
+            owners.append(np.full(len(keys[-1]), d, np.int64))
+        key, owner = np.concatenate(keys), np.concatenate(owners)
+        order = np.lexsort((owner, key))
+        key, owner = key[order], owner[order]
+        new = _changes(key)
+        first = np.flatnonzero(new)
+        count = np.add.reduceat((new | _changes(owner)).astype(np.int32), first) if len(first) else np.zeros(0, np.int32)
+        return packed("bucket", split(key[first], key[first], _narrow(count)), part=part)
 
     def shared_keys(table: pa.Table) -> pa.Table:
-        own = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
-        keys = np.concatenate(own)
-        part = np.repeat(np.asarray(table.column("part")), [len(x) for x in own])
-        docs_in = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.int64)
-        order = np.argsort(keys, kind="stable")
-        keys, part, docs_in = keys[order], part[order], docs_in[order]
-        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        count = np.repeat(np.add.reduceat(docs_in, first), np.diff(np.append(first, len(keys))))
-        keys, part, count = keys[count > 1], part[count > 1], count[count > 1]
-        rows = [(p, keys[at].tobytes(), keys[at[count[at] > hot]].tobytes()) for p, at in _by_bucket(part.astype(np.uint64), parts)]
-        return pa.table({"_part": pa.array([r[0] for r in rows], pa.int32()), "keys": pa.array([r[1] for r in rows], pa.binary()), "hot": pa.array([r[2] for r in rows], pa.binary())})
-
-    def known(table: pa.Table, col: str = "keys") -> np.ndarray:
-        return np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in table.column(col).to_pylist())]))
+        """By part: its minimisers that are in several documents, and those in over `hot`."""
+        blobs = [pickle.loads(x) for x in table.column("blob").to_pylist()]
+        key, count = (np.concatenate([b[k] for b in blobs]) for k in range(2))
+        part = np.repeat(np.asarray(table.column("part")), [len(b[0]) for b in blobs])
+        order = np.argsort(key, kind="stable")
+        key, count, part = key[order], count[order], part[order]
+        first = np.flatnonzero(_changes(key))
+        docs_in = np.repeat(np.add.reduceat(count.astype(np.int64), first), np.diff(np.append(first, len(key))))
+        own = docs_in > 1
+        return packed("_part", [(p, (keys[~many], keys[many])) for p, (keys, many) in split(part[own].astype(np.uint64), key[own], docs_in[own] > hot)])
 
     def shared_runs(table: pa.Table, shared: np.ndarray):
-        """(row, id, bytes, key, start, end) of runs of windows whose key is shared."""
+        """(row, id, bytes, hashes of pieces, minimisers, starts, ends) of each text's runs of windows whose minimiser is shared."""
         if not len(shared):
             return
         for k, d, raw in _texts(table, id_col, text_col, length):
-            keys = window_keys(raw, length)
+            pieces, keys = window_keys(raw, length)
             start, end = runs(keys)
             own = keys[start]
             at = np.minimum(np.searchsorted(shared, own), len(shared) - 1)
-            for i in np.flatnonzero(shared[at] == own).tolist():
-                yield k, d, raw, int(own[i]), int(start[i]), int(end[i])
+            if (found := np.flatnonzero(shared[at] == own)).size:
+                yield k, d, raw, pieces, own[found], start[found], end[found]
+
+    def merged(found: pa.Table, k: int) -> np.ndarray:
+        return np.unique(np.concatenate([np.zeros(0, np.uint64), *(b[k] for b in map(pickle.loads, found.column("blob").to_pylist()) if b[k] is not None)]))
+
+    def own_records(table: pa.Table, found: pa.Table) -> pa.Table:
+        """Of the part's strings under shared minimisers: minimiser, digest, digests to the left and right, smallest document, number of documents."""
+        if not table.num_rows or not found.num_rows:
+            return packed("bucket", [], part=0)
+        part, records, side, digest_of = table.column("_part")[0].as_py(), [], (length - ANCHOR + 1) // 2, xxhash.xxh3_64_intdigest
+        for _, d, raw, pieces, keys, start, end in shared_runs(table, merged(found, 0)):
+            digests = _digests(raw, start, end, length).tolist()
+            for key, digest, a, b, p in zip(keys.tolist(), digests, start.tolist(), end.tolist(), _places(pieces, keys, start, end, length).tolist(), strict=True):
+                stop = b + length - 1
+                if p < 0:  # where a window's minimiser stands is not known: it may agree with any other
+                    left = right = UNKNOWN
+                else:
+                    left = digest_of(raw[p - side : p + ANCHOR]) if p - side >= a else digest
+                    right = digest_of(raw[p : p + ANCHOR + side]) if p + ANCHOR + side <= stop else digest
+                records.append((key, digest, left, right, d))
+        key, digest = (np.array([r[k] for r in records], np.uint64) for k in range(2))
+        left, right = (np.array([r[k] & 0xFFFFFFFF for r in records], np.uint32) for k in (2, 3))  # they only save work: half of their bits will do
+        owner = np.array([r[4] for r in records], np.int64)
+        order = np.lexsort((owner, digest))
+        key, digest, left, right, owner = (x[order] for x in (key, digest, left, right, owner))
+        new = _changes(digest)
+        first = np.flatnonzero(new)
+        count = np.add.reduceat((new | _changes(owner)).astype(np.int32), first) if len(first) else np.zeros(0, np.int32)
+        return packed("bucket", split(key[first], *(x[first] for x in (key, digest, left, right)), _narrow(owner[first]), _narrow(count)), part=part)
+
+    def verdicts(table: pa.Table) -> pa.Table:
+        """By part: minimisers, digests and owners of strings that agree with no other; minimisers and digests of those that do."""
+        blobs = [pickle.loads(x) for x in table.column("blob").to_pylist()]
+        key, digest, left, right, owner, count = (np.concatenate([b[k] for b in blobs]) for k in range(6))
+        part = np.repeat(np.asarray(table.column("part")), [len(b[0]) for b in blobs])
+
+        def groups(*by: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            order = np.lexsort(by)
+            first = np.flatnonzero(np.any([_changes(x[order]) for x in by], axis=0))
+            return order, first, np.diff(np.append(first, len(key)))
+
+        def spread(values: np.ndarray, order: np.ndarray, size: np.ndarray) -> np.ndarray:
+            out = np.empty(len(key), values.dtype)
+            out[order] = np.repeat(values, size)
+            return out
+
+        side = np.zeros(len(key), np.uint8)
+        for x, mark in ((left, ON_LEFT), (right, ON_RIGHT)):
+            order, first, size = groups(x, key)
+            low, high = np.minimum.reduceat(digest[order], first), np.maximum.reduceat(digest[order], first)
+            side[spread(low != high, order, size)] |= mark
+        order, first, size = groups(key)
+        doubt = np.logical_or.reduceat((left == UNKNOWN)[order], first) & (np.minimum.reduceat(digest[order], first) != np.maximum.reduceat(digest[order], first))
+        side[spread(doubt, order, size)] = IN_DOUBT
+        order, first, size = groups(digest)
+        least = spread(np.minimum.reduceat(owner[order], first), order, size)
+        docs_in = spread(np.add.reduceat(count[order].astype(np.int64), first), order, size)
+        # The smallest document with the whole string takes it from the others, whatever else agrees with parts of it.
+        same = (docs_in > 1) & ((count > 1) | (owner > least))
+        agree = side > 0
+        rows: dict[int, list] = {}
+        for p, own in split(part[same].astype(np.uint64), key[same], digest[same], _narrow(least[same])):
+            rows.setdefault(p, [None] * 6)[:3] = own
+        for p, own in split(part[agree].astype(np.uint64), key[agree], digest[agree], side[agree]):
+            rows.setdefault(p, [None] * 6)[3:6] = own
+        return packed("_part", [(p, (*x, None)) for p, x in rows.items()])
 
     def own_strings(table: pa.Table, found: pa.Table) -> pa.Table:
+        """The part's strings that agree with others, and windows of hot minimisers: minimiser, group, bytes, smallest and largest document."""
         if not table.num_rows or not found.num_rows:
-            return pa.table({"bucket": pa.array([], pa.int32()), "part": pa.array([], pa.int32()), "strings": pa.array([], pa.binary())})
-        part, strings, spread = table.column("_part")[0].as_py(), {}, set(known(found, "hot").tolist())
-        for _, d, raw, key, a, b in shared_runs(table, known(found)):
-            for s in [raw[k : k + length] for k in range(a, b)] if key in spread else [raw[a : b + length - 1]]:
-                lo, hi = strings.get((key, s), (d, d))
-                strings[key, s] = (min(lo, d), max(hi, d))
+            return packed("bucket", [], part=0)
+        part, strings = table.column("_part")[0].as_py(), {}
+        blobs = [pickle.loads(x) for x in found.column("blob").to_pylist()]
+        spread = {k for b in blobs if len(b) == 2 for k in b[1].tolist()}
+        wanted = {k: side for b in blobs if len(b) == 7 and b[4] is not None for k, side in zip(b[4].tolist(), b[5].tolist(), strict=True)}
+        keys_of = [x for b in blobs for x in ((b[1],) if len(b) == 2 else (b[3],)) if x is not None]
+        half = (length - ANCHOR + 1) // 2
+
+        def keep(key: int, group: int, s: bytes, hole: int, digest: int, at: int, d: int) -> None:
+            held = strings.setdefault((key, group, s, hole), {})
+            _, lo, hi = held.get(digest, (at, d, d))
+            held[digest] = (at, min(lo, d), max(hi, d))
+
+        for _, d, raw, pieces, keys, start, end in shared_runs(table, np.unique(np.concatenate([np.zeros(0, np.uint64), *keys_of]))):
+            for key, digest, a, b in zip(keys.tolist(), _digests(raw, start, end, length).tolist(), start.tolist(), end.tolist(), strict=True):
+                stop = b + length - 1
+                if key in spread:
+                    for w in range(a, b):
+                        s = raw[w : w + length]
+                        h = xxhash.xxh3_64_intdigest(s)
+                        keep(key, h, s, WINDOW, h, 0, d)
+                    continue
+                side = wanted.get(digest, 0)
+                if side == IN_DOUBT:
+                    keep(key, key, raw[a:stop], WHOLE, digest, 0, d)
+                elif side:
+                    # A window has the minimiser's piece with `half` bytes to its left, or else with as many to its right.
+                    p = a + int((pieces[a : stop - ANCHOR + 1] == key).argmax())
+                    if side & ON_LEFT and (y := min(b, p - half + 1)) > a:
+                        x = p - half
+                        keep(key, xxhash.xxh3_64_intdigest(raw[x : p + ANCHOR], ON_LEFT), raw[a:x] + raw[p + ANCHOR : y + length - 1], x - a, digest, 0, d)
+                    if side & ON_RIGHT and (x := max(a, p - half + 1)) < b:
+                        y = p + ANCHOR + half
+                        keep(key, xxhash.xxh3_64_intdigest(raw[p:y], ON_RIGHT), raw[x:p] + raw[y:stop], p - x, digest, x - a, d)
         by: dict[int, list] = {}
-        for (key, s), (lo, hi) in strings.items():
-            group = xxhash.xxh3_64_intdigest(s) if key in spread else key
-            by.setdefault(group % parts, []).append((key, group, s, lo, hi))
-        return pa.table({"bucket": pa.array(list(by), pa.int32()), "part": pa.array([part] * len(by), pa.int32()), "strings": pa.array([pickle.dumps(tuple(zip(*x, strict=True))) for x in by.values()], pa.binary())})
+        for (key, group, s, hole), held in strings.items():
+            by.setdefault(group % parts, []).append((key, group, s, hole, [(k, *v) for k, v in held.items()]))
+        return packed("bucket", list(by.items()), part=part)
 
     def answers(table: pa.Table) -> pa.Table:
-        groups: dict[tuple[int, int], dict[bytes, list]] = {}
-        for part, blob in zip(table.column("part").to_pylist(), table.column("strings").to_pylist(), strict=True):
-            for key, group, s, lo, hi in zip(*pickle.loads(blob), strict=True):
-                groups.setdefault((key, group), {}).setdefault(s, []).append((part, lo, hi))
+        """By part: minimiser, whether it is hot, digest of the string, and spans of its windows with their smallest documents."""
+        groups: dict[tuple[int, int, bool], dict[tuple[bytes, int], list]] = {}
+        for part, blob in zip(table.column("part").to_pylist(), table.column("blob").to_pylist(), strict=True):
+            for key, group, s, hole, held in pickle.loads(blob):
+                groups.setdefault((key, group, hole >= 0), {}).setdefault((s, hole), []).extend((part, *x) for x in held)
+        # With a piece as one symbol, windows have so many symbols.
+        short = length - ANCHOR - (length - ANCHOR + 1) // 2 + 1
         out: dict[int, list] = {}
-        for (key, group), strings in groups.items():
-            texts = list(strings)
-            owners = [min(lo for _, lo, _ in x) for x in strings.values()]
-            for s, least in zip(texts, repeated_windows(texts, owners, length), strict=True):
-                edge = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-                spans = list(zip(edge.tolist(), [*edge[1:].tolist(), len(least)], least[edge].tolist(), strict=True))
-                digest = xxhash.xxh3_128_digest(s)
-                for part, _, hi in strings[s]:
-                    if own := [x for x in spans if x[2] < hi]:
-                        out.setdefault(part, []).append((key, group != key, digest, own))
-        return pa.table({"_part": pa.array(list(out), pa.int32()), "keys": pa.array([np.array([x[0] for x in v], np.uint64).tobytes() for v in out.values()], pa.binary()), "found": pa.array([pickle.dumps([x[1:] for x in v]) for v in out.values()], pa.binary())})
+
+        def give(key: int, hole: int, held: list, least: np.ndarray) -> None:
+            values = least.tolist()
+            spans, begun = [], 0
+            for k in range(1, len(values) + 1):
+                if k == len(values) or values[k] != values[begun]:
+                    spans.append((begun, k, values[begun]))
+                    begun = k
+            for part, digest, at, _, hi in held:
+                if own := [(at + x, at + y, n) for x, y, n in spans if n < hi]:
+                    out.setdefault(part, []).append((key, hole == WINDOW, digest, own))
+
+        def sort_out(held_of: list, symbols: list, width: int) -> None:
+            owners = [min(x[3] for x in held) for _, _, held in held_of]
+            for (key, hole, held), least in zip(held_of, repeated_windows(symbols, owners, width), strict=True):
+                give(key, hole, held, least)
+
+        batch: tuple[list, list] = ([], [])
+        size = 0
+        for number, ((key, _, holed), strings) in enumerate(groups.items()):
+            own: tuple[list, list] = ([], [])
+            for (s, hole), held in strings.items():
+                x = np.frombuffer(s, np.uint8).astype(np.int64) + 2
+                own[0].append((key, hole, held))
+                # Each group's piece is a symbol of its own, so that groups can be sorted together.
+                own[1].append(np.concatenate([x[:hole], [PIECE + number], x[hole:]]) if holed else x)
+            if not holed or len(own[0]) == 1:
+                sort_out(*own, short if holed else length)
+                continue
+            batch[0].extend(own[0])
+            batch[1].extend(own[1])
+            size += sum(map(len, own[1]))
+            if size >= TOGETHER:
+                sort_out(*batch, short)
+                batch, size = ([], []), 0
+        if batch[0]:
+            sort_out(*batch, short)
+        return packed("_part", [(p, (*[None] * 6, own)) for p, own in out.items()])
 
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
     def removed(table: pa.Table, found: pa.Table) -> pa.Table:
         covers: dict[int, list[tuple[int, int]]] = {}
-        if found.num_rows and table.num_rows:
-            least = {digest: spans for blob in found.column("found").to_pylist() for _, digest, spans in pickle.loads(blob)}
-            spread = {key for keys, blob in zip(found.column("keys").to_pylist(), found.column("found").to_pylist(), strict=True) for key, x in zip(np.frombuffer(keys, np.uint64).tolist(), pickle.loads(blob), strict=True) if x[0]}
-            for k, d, raw, key, a, b in shared_runs(table, known(found)):
-                for s, e in [(w, w + 1) for w in range(a, b)] if key in spread else [(a, b)]:
-                    for x, y, owner in least.get(xxhash.xxh3_128_digest(raw[s : e + length - 1]), ()):
-                        if owner < d:
-                            covers.setdefault(k, []).append((s + x, s + y + length - 1))
+        blobs = [pickle.loads(x) for x in found.column("blob").to_pylist()] if table.num_rows else []
+        whole_strings = {digest: least for b in blobs if b[0] is not None for digest, least in zip(b[1].tolist(), b[2].tolist(), strict=True)}
+        answered = [x for b in blobs if b[6] is not None for x in b[6]]
+        sorted_out: dict[int, list] = {}
+        for _, _, digest, own in answered:
+            sorted_out.setdefault(digest, []).extend(own)
+        spread = {key for key, is_hot, _, _ in answered if is_hot}
+        shared = np.unique(np.concatenate([np.zeros(0, np.uint64), *(b[0] for b in blobs if b[0] is not None), np.array([x[0] for x in answered], np.uint64)]))
+        for k, d, raw, _, keys, start, end in shared_runs(table, shared):
+            for key, digest, a, b in zip(keys.tolist(), _digests(raw, start, end, length).tolist(), start.tolist(), end.tolist(), strict=True):
+                if (least := whole_strings.get(digest)) is not None:
+                    if least < d:
+                        covers.setdefault(k, []).append((a, b + length - 1))
+                        continue
+                if key in spread:
+                    covers.setdefault(k, []).extend((w, w + length) for w in range(a, b) if any(x[2] < d for x in sorted_out.get(xxhash.xxh3_64_intdigest(raw[w : w + length]), ())))
+                else:
+                    covers.setdefault(k, []).extend((a + x, a + y + length - 1) for x, y, least in sorted_out.get(digest, ()) if least < d)
         sizes, spans, rest = [], [], []
-        texts = table.column(text_col)
-        for k in range(table.num_rows):
-            raw = (texts[k].as_py() or "").encode()
+        for k, raw in enumerate(_unpacked(table.column(text_col))):
             merged: list[list[int]] = []
             for a, b in sorted(covers.get(k, ())):
                 if merged and a <= merged[-1][1]:
@@ -292,9 +510,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             rest.append(b"".join(pieces))
         return pa.table([*(table.column(c) for c in others), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(span)), pa.array(rest, pa.binary())], names=[*others, "n_bytes", "spans", "kept"])
 
-    keys = grouped.applyInArrow(own_keys, "bucket int, part int, keys binary, counts binary")
-    shared = keys.groupBy("bucket").applyInArrow(shared_keys, "_part int, keys binary, hot binary")
-    strings = grouped.cogroup(shared.groupBy("_part")).applyInArrow(own_strings, "bucket int, part int, strings binary")
-    found = strings.groupBy("bucket").applyInArrow(answers, "_part int, keys binary, found binary")
+    by_bucket, by_part = "bucket int, part int, blob binary", "_part int, blob binary"
+    shared = grouped.applyInArrow(own_keys, by_bucket).groupBy("bucket").applyInArrow(shared_keys, by_part)
+    told = grouped.cogroup(shared.groupBy("_part")).applyInArrow(lambda t, f: _quick(own_records, t, f), by_bucket).groupBy("bucket").applyInArrow(verdicts, by_part)
+    strings = grouped.cogroup(shared.unionByName(told).groupBy("_part")).applyInArrow(lambda t, f: _quick(own_strings, t, f), by_bucket)
+    found = told.unionByName(strings.groupBy("bucket").applyInArrow(lambda t: _quick(answers, t), by_part))
     schema = T.StructType([*kept_types, T.StructField("n_bytes", T.LongType()), T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("kept", T.BinaryType())])
-    return grouped.cogroup(found.groupBy("_part")).applyInArrow(removed, schema)
+    return grouped.cogroup(found.groupBy("_part")).applyInArrow(lambda t, f: _quick(removed, t, f), schema)
