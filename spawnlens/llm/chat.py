@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, tidy
 
 # The template.
 OPEN, AFTER_ROLE, CLOSE = "<|turn ", "|>\n", "<|end|>\n"
@@ -91,7 +91,7 @@ def turns(conversations: DataFrame) -> DataFrame:
     """Formatted turns with node hashes; path, the tree path, on each conversation's last turn."""
     bounded_batches(conversations.sparkSession)
     src = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "role", "text", "turn")
-    return src.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").drop("turn").mapInArrow(_scan, TURNS)
+    return src.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").drop("turn").mapInArrow(tidy(_scan), TURNS)
 
 
 NODES = "node binary, parent binary, depth long, pos long, first long, formatted string, loss_start long, loss_end long, part int, local long"
@@ -142,7 +142,7 @@ def pack(turn_rows: DataFrame, materialise) -> DataFrame:
     nodes = own.join(firsts, "node").where(F.col("rank") == F.col("first"))
     schema = NODES
     in_order = nodes.select("node", "parent", F.col("idx").alias("depth"), "pos", "first", "formatted", "loss_start", "loss_end").orderBy("first", "depth")
-    sums = materialise(in_order.mapInArrow(_running, schema), "chat-nodes")
+    sums = materialise(in_order.mapInArrow(tidy(_running), schema), "chat-nodes")
     ends = sorted((r["part"], r["n"]) for r in sums.groupBy("part").agg(F.max(F.col("local") + F.length("formatted")).alias("n")).collect())  # a row for each partition
     offsets, at = [], 0
     for p, n in ends:
@@ -152,7 +152,7 @@ def pack(turn_rows: DataFrame, materialise) -> DataFrame:
     placed = sums.join(base, "part").withColumn("start", F.col("base") + F.col("local")).drop("part", "local", "base").withColumn("end", F.col("start") + F.length("formatted"))
     steps = own.select("conv_id", "idx", "node", "rank").join(placed.select("node", "start", "end", "first"), "node")
     steps = steps.select("conv_id", "idx", "node", "start", (F.col("end") - F.col("start")).alias("size"), (F.col("rank") == F.col("first")).alias("owned"))
-    attends = steps.repartition("conv_id").sortWithinPartitions("conv_id", "idx").mapInArrow(_attend, "node binary, attends array<struct<start: bigint, end: bigint>>")
+    attends = steps.repartition("conv_id").sortWithinPartitions("conv_id", "idx").mapInArrow(tidy(_attend), "node binary, attends array<struct<start: bigint, end: bigint>>")
     return placed.drop("first").join(attends, "node").select("node", "parent", "depth", "start", "end", "pos", "formatted", "loss_start", "loss_end", "attends")
 
 
@@ -185,4 +185,4 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_back(turn_rows: DataFrame, packed: DataFrame) -> DataFrame:
     """Digests of every conversation, read from the packed output along its path."""
     walk = turn_rows.select("conv_id", "idx", "node").join(packed.select("node", "formatted", "loss_start", "loss_end"), "node").select("conv_id", "idx", "formatted", "loss_start", "loss_end")
-    return walk.repartition("conv_id").sortWithinPartitions("conv_id", "idx").mapInArrow(_read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return walk.repartition("conv_id").sortWithinPartitions("conv_id", "idx").mapInArrow(tidy(_read), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

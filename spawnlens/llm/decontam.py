@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, tidy
 
 #: BM25's constants; blocks of items at most; segments that make up the longest item; share of an item's own score that retrieves it;
 #: words of a shingle.
@@ -181,7 +181,7 @@ def shards(items: DataFrame, id_col: str, text_col: str) -> Iterator[Index]:
             pairs = [(w, 0) for x in ws for w in set(x)] + [("", len(x)) for x in ws if x]
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.int64())], names=["w", "n"])
 
-    counts = rows.mapInArrow(count, "w string, n long").groupBy("w").agg(F.count("*").alias("df"), F.sum("n").alias("n"))
+    counts = rows.mapInArrow(tidy(count), "w string, n long").groupBy("w").agg(F.count("*").alias("df"), F.sum("n").alias("n"))
     whole = counts.where("w = ''").first()
     total, mean = (whole["df"], whole["n"] / whole["df"]) if whole else (0, 1.0)
 
@@ -214,7 +214,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
                 rows = [(d.as_py(), *x) for d, t in zip(b.column(0), b.column(1), strict=True) for x in sent.value.leaked(t.as_py())]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64() if k < 2 else pa.float64()) for k in range(5)], names=[x.split()[0] for x in schema.split(", ")])
 
-        got = src.mapInArrow(run, schema)
+        got = src.mapInArrow(tidy(run), schema)
         out = got if out is None else out.unionByName(got)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
@@ -229,5 +229,5 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: st
             for b in batches:
                 yield b.filter(pa.array([not sent.value.leaked(t.as_py()) for t in b.column(b.schema.get_field_index(text_col))], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidy(run), docs.schema)
     return docs

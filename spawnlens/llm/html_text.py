@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import bounded_batches
+from .common import bounded_batches, tidy
 
 # HTML's inline, void and raw-text elements, and which open elements a start tag closes.
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img picture source".split())
@@ -319,4 +319,4 @@ def extract(pages: DataFrame, field: Field | None = None, html_col: str = "html"
                 part = batch.slice(k, 512)
                 yield pa.RecordBatch.from_arrays([*part.select(others).columns, pa.array([main_text(f, raw[i].as_py()) for i in range(k, k + part.num_rows)], pa.string())], names=[*others, "text"])
 
-    return pages.select(*others, html_col).mapInArrow(run, schema)
+    return pages.select(*others, html_col).mapInArrow(tidy(run), schema)

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise
+from .common import bounded_batches, materialise, tidy
 
 #: Registers of a band, bands; base, rate and highest level of the sketch.
 ROWS, BANDS = 5, 40
@@ -133,7 +133,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
             arrays = [b.column(0), pa.array(ns, pa.int64()), pa.array(keys, pa.binary()), pa.array(regs, pa.binary()), *(pa.array([x[i] for x in bits], pa.int64()) for i in range(len(BITS)))]
             yield pa.RecordBatch.from_arrays(arrays, names=["id", "n", "key", "regs", *BITS])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(run, "id long, n long, key binary, regs binary, " + ", ".join(f"{b} long" for b in BITS))
+    return docs.select(F.col(id_col).cast("long").alias("id"), text_col).mapInArrow(tidy(run), "id long, n long, key binary, regs binary, " + ", ".join(f"{b} long" for b in BITS))
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,11 +201,11 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str
     """The links among pairs (a, b): first by the joint estimate, then on the full sets."""
     one, two = (classes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("regs").alias(f"r{x}")) for x in "ab")
     likely = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ra", "rb")
-    likely = materialise(likely.mapInArrow(_likely(threshold), "a long, b long"), "near-likely")
+    likely = materialise(likely.mapInArrow(tidy(_likely(threshold)), "a long, b long"), "near-likely")
     wanted = small(materialise(likely.select(F.col("a").alias("id")).union(likely.select(F.col("b").alias("id"))).distinct(), "near-wanted"))
     texts = materialise(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(wanted, "id", "left_semi"), "near-texts")
     full = likely.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    return materialise(full.select("a", "b", "ta", "tb").mapInArrow(_verify(k, threshold), "a long, b long").distinct(), "near-links")
+    return materialise(full.select("a", "b", "ta", "tb").mapInArrow(tidy(_verify(k, threshold)), "a long, b long").distinct(), "near-links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -302,7 +302,7 @@ def within_clusters(clusters: DataFrame, comps: DataFrame, classes: DataFrame, d
     mixed = materialise(mixed, "near-mixed")
     rows = small(mixed).join(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "id")
     schema = "id long, cluster long, comp long, other boolean, nm int, no int, elements binary"
-    sets = materialise(rows.select("id", "cluster", "comp", "other", "nm", "no", "text").mapInArrow(_sets(k), schema), "near-sets")
+    sets = materialise(rows.select("id", "cluster", "comp", "other", "nm", "no", "text").mapInArrow(tidy(_sets(k)), schema), "near-sets")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     members = sets.select("cluster", place("nm").alias("x"), every("no").alias("y"), "id", "comp", F.lit(False).alias("other"), "elements")
@@ -318,7 +318,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     leads = named.groupBy("key").agg(F.min("id").alias("lead"))
     classes = materialise(named.alias("s").join(leads.withColumnRenamed("lead", "id"), ["key", "id"]).select("id", "n", "regs", *BITS).distinct(), "near-classes")
     member = materialise(named.select("id", "key").distinct().join(leads, "key").select("id", "lead"), "near-members")
-    bands = classes.select("id", "regs").mapInArrow(_bands, "bucket long, id long")
+    bands = classes.select("id", "regs").mapInArrow(tidy(_bands), "bucket long, id long")
     buckets = materialise(bands.groupBy("bucket").agg(F.count("*").alias("size"), F.min("id").alias("first")).where("size > 1"), "near-buckets")
     near = materialise(bands.join(buckets, "bucket"), "near-shared")
     one, two = (classes.select(F.col("id").alias(x), *[F.col(c).alias(f"{c}{x}") for c in ("n", *BITS)]) for x in "ab")

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches
+from .common import bounded_batches, tidy
 
 #: Labelled rows of each class that training takes at most, characters of each, bytes of a dictionary, of a block, and level.
 SAMPLE, SAMPLE_CHARS, DICT_BYTES, BLOCK, LEVEL = 3000, 4000, 112 << 10, 2048, 3
@@ -127,7 +127,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             got = [m.score(features(m, texts[k].as_py())) for k in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([*batch.select(others).columns, pa.array(got, pa.float64())], names=[*others, "score"])
 
-    return docs.select(*others, text_col).mapInArrow(run, schema)
+    return docs.select(*others, text_col).mapInArrow(tidy(run), schema)
 
 
 def accepted(docs: DataFrame, model: Model, threshold: float, text_col: str = "text") -> DataFrame:
@@ -141,4 +141,4 @@ def accepted(docs: DataFrame, model: Model, threshold: float, text_col: str = "t
             texts = batch.column(batch.schema.get_field_index(text_col))
             yield batch.filter(pa.array([m.score(features(m, texts[k].as_py())) >= threshold for k in range(batch.num_rows)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

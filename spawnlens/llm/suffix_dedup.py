@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches
+from .common import bounded_batches, release_memory, tidy
 
 #: Bytes of a repeated string, of a minimiser's pieces, of text in a part; windows of a string at most; documents that make a key hot.
 LENGTH, ANCHOR, PART_BYTES, RUN, HOT = 50, 16, 4 << 20, 4096, 100_000
@@ -179,6 +179,7 @@ def _quick(run, *tables: pa.Table) -> pa.Table:
         return run(*tables)
     finally:
         gc.enable()
+        release_memory()
 
 
 def _digests(raw: bytes, start: np.ndarray, end: np.ndarray, length: int) -> np.ndarray:
@@ -263,7 +264,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kept_types = [docs.schema[c] for c in others]
     parted = docs.select(*others, text_col).withColumn("_part", F.pmod(F.xxhash64(F.col(id_col), F.when(F.col(id_col).isNull(), F.xxhash64(text_col))), F.lit(parts)).cast("int"))
     stored = T.StructType([T.StructField(f.name, T.BinaryType() if f.name == text_col else f.dataType) for f in parted.schema.fields])
-    grouped = parted.mapInArrow(_packed_texts(text_col), stored).groupBy("_part")
+    grouped = parted.mapInArrow(tidy(_packed_texts(text_col)), stored).groupBy("_part")
 
     def packed(name: str, rows: list[tuple[int, object]], **fixed: int) -> pa.Table:
         own = {k: pa.array([v] * len(rows), pa.int32()) for k, v in fixed.items()}

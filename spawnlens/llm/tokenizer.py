@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import bounded_batches
+from .common import bounded_batches, tidy
 
 #: Characters of a text from which it is split, and the least white space that is handled apart.
 SPLIT_CHARS, LONG_SPACE = 1 << 16, 256
@@ -90,4 +90,4 @@ def encode_decode(df: DataFrame, text_col: str, rank_file: str, pattern: str) ->
                     yield pa.RecordBatch.from_arrays(arrays, names=[*others, "token_ids", "decoded"])
                     start, size, ids, raw = k + 1, 0, [], []
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(tidy(run), schema)

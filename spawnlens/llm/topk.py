@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, tidy
 
 #: Bytes of query vectors that one pass over the candidates serves; bins of a histogram; candidates and queries scored at once.
 SLICE_BYTES, BINS, ROWS, QUERIES = 8 << 20, 4096, 2048, 512
@@ -114,7 +114,7 @@ def _range(found: DataFrame, sl: Slice, scale: float) -> tuple[np.ndarray, np.nd
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at]), pa.array(lo[at]), pa.array(hi[at])], names=["q", "n", "lo", "hi"])
 
-    rows = found.mapInArrow(run, "q long, n long, lo long, hi long").groupBy("q").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).toArrow()
+    rows = found.mapInArrow(tidy(run), "q long, n long, lo long, hi long").groupBy("q").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).toArrow()
     n, lo, hi = np.zeros(len(sl.ids), np.int64), np.zeros(len(sl.ids), np.int64), np.zeros(len(sl.ids), np.int64)
     at = np.asarray(rows["q"])
     n[at], lo[at], hi[at] = np.asarray(rows["n"]), np.asarray(rows["lo"]), np.asarray(rows["hi"])
@@ -143,7 +143,7 @@ def _narrow(found: DataFrame, sl: Slice, scale: float, lo, width, need) -> DataF
             out[2] += c[at].tolist()
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["q", "bin", "n"])
 
-    return found.mapInArrow(run, "q long, bin long, n long").groupBy("q", "bin").agg(F.sum("n").alias("n"))
+    return found.mapInArrow(tidy(run), "q long, bin long, n long").groupBy("q", "bin").agg(F.sum("n").alias("n"))
 
 
 def _select(found: DataFrame, sl: Slice, scale: float, kth, k: int) -> DataFrame:
@@ -162,7 +162,7 @@ def _select(found: DataFrame, sl: Slice, scale: float, kth, k: int) -> DataFrame
         rows = [(int(s.ids[q]), v, -x) for q, got in best.items() for x, v in got]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=["query_id", "vec_id", "score"])
 
-    return found.mapInArrow(run, "query_id long, vec_id long, score long")
+    return found.mapInArrow(tidy(run), "query_id long, vec_id long, score long")
 
 
 def search(candidates: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", scale: float = 1024.0) -> DataFrame:
