@@ -340,6 +340,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         tried = tried.unionByName(pairs)
         comps = merged(comps, confirmed(pairs, classes, docs, id_col, text_col, k, threshold))
     clusters = components(tried)
+    # components() leaves the smallest id of each out.
+    clusters = clusters.unionByName(clusters.select(F.col("comp").alias("id"), "comp").distinct())
     comps = merged(comps, materialise(within_clusters(clusters, comps, classes, docs, id_col, text_col, k, threshold), "near-found"))
     placed = inner.join(comps, "id", "left").join(clusters.select("id", F.col("comp").alias("cluster")), "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp"), F.coalesce("cluster", "id").alias("cluster"))
     mixed = placed.groupBy("bucket").agg(F.min("cluster").alias("x"), F.max("cluster").alias("y")).where("x <> y").select("bucket")

@@ -84,6 +84,16 @@ def test_blocks_of_clusters(spark, monkeypatch):
     check(spark, [(i, vary(base, 3 + i % 10, i)) for i in range(150)])
 
 
+def test_smallest_ids_of_clusters(spark):
+    # x and y link, but every bucket they share is headed by a text too short to link either; z, which links none, puts both in one cluster.
+    rows = []
+    for g in range(8):
+        rng, core, one, two = random.Random(g), [f"c{g}.{i}" for i in range(90)], [f"x{g}.{i}" for i in range(10)], [f"y{g}.{i}" for i in range(10)]
+        texts = [rng.sample(core, 75) for _ in range(40)] + [core + one, core[:75] + one + two + [f"z{g}.{i}" for i in range(5)], core + two]
+        rows += [(1000 * g + i, " ".join(t)) for i, t in enumerate(texts)]
+    check(spark, rows, 1)
+
+
 def test_joint_estimate():
     rng = np.random.default_rng(1)
     for j in (0.3, 0.6, 0.8, 0.95):
