@@ -1,11 +1,14 @@
 """Benchmark decontamination: a BM25 inverted index of test items, queried with every training passage by block-max WAND.
 
-Documents are cut into overlapping passages, so long that every item lies whole in one of them. Weights in the index are BM25 terms divided by
-the item's score against itself, so one threshold holds for all items. Items stand in blocks, and the index knows the largest weight of
-each term in each block. A passage for which the sums of these are under the threshold in every block retrieves nothing and is passed over; this
-is tested for all passages of a document at once. For the others all items of at least the threshold are retrieved, skipping blocks of
-postings whose maxima cannot reach it. A retrieved item counts as leaked if its question's word shingles are in the passage, and its answer's too or
-nearly all of the question's. An item's answer is its last sentence, its question what stands before; items of one sentence are all question.
+Documents are cut into overlapping passages, so long that every item lies whole in one of them. An item counts as leaked if its question's word
+shingles are in the passage, and its answer's too or nearly all of the question's. It stands in the index once for each of these two ways, as a
+whole and as its question alone. Weights in the index are BM25 terms divided by a bound under the least score of a passage that has so many
+of the shingles, so one threshold, 1, holds for all entries and keeps every leak. Entries stand in blocks, and the index knows the largest
+weight of each term in each block. A passage for which the sums of these are under the threshold in every block retrieves nothing and is
+passed over, as is one without any shingle of a question; this is tested for all passages of a document at once. For the others all entries of at least the threshold are retrieved,
+skipping blocks of postings whose maxima cannot reach it, and the shingles of their items counted. An item's answer is its last sentence, its
+question what stands before; items of one sentence, or with words in the last one only, are all question. An item's score in a passage is a
+share of its score against itself.
 
 Items are indexed in shards of bounded size, each sent to all tasks; the document frequencies of words are those of all items.
 
@@ -30,9 +33,9 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, tidy
 
-#: BM25's constants; blocks of items at most; segments that make up the longest item; share of an item's own score that retrieves it;
-#: words of a shingle.
-K1, B, BLOCKS, SEGMENTS, RETRIEVE, SHINGLE = 1.2, 0.75, 64, 4, 0.5, 5
+#: BM25's constants; blocks of entries at most; segments that make up the longest item; sum of weights that retrieves an entry; words of a
+#: shingle.
+K1, B, BLOCKS, SEGMENTS, RETRIEVE, SHINGLE = 1.2, 0.75, 64, 4, 1.0, 5
 #: Shares of the question's and the answer's shingles that must be in the passage, and of the question's alone.
 QUESTION, ANSWER, ALONE = 0.5, 0.5, 0.9
 #: Characters of items in a shard.
@@ -56,6 +59,30 @@ def shingle_set(ws: list[str]) -> set[tuple[str, ...]]:
     return {tuple(ws[i : i + k]) for i in range(len(ws) - k + 1)} if ws else set()
 
 
+def window_keys(terms: np.ndarray, k: int) -> np.ndarray:
+    """A hash of each k terms in a row."""
+    h = np.zeros(max(0, len(terms) - k + 1), np.uint64)
+    for i in range(k):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + terms[i : len(h) + i].astype(np.uint64) + np.uint64(1)
+    return h
+
+
+def least_score(shingles: set[tuple[str, ...]], own: dict[str, float], share: float) -> float:
+    """A bound under the weights of the words of any `share` of the shingles; own has the words that count.
+
+    A word is absent only if all shingles that hold it are, so the words absent hold at most as many places as the absent shingles have.
+    """
+    absent = len(shingles) - next(n for n in range(len(shingles) + 1) if n >= share * len(shingles))
+    held = Counter(w for s in shingles for w in set(s))
+    places = sum(sorted((len(set(s)) for s in shingles), reverse=True)[:absent])
+    left = 0.0
+    for w in sorted(own, key=lambda w: held[w] / own[w]):
+        taken = min(places, held[w])
+        places -= taken
+        left += own[w] * (1 - taken / held[w])
+    return left
+
+
 class Index:
     def __init__(self, items: list[tuple[int, str]], frequency: dict[str, int], total: int, mean_length: float):
         parsed = [(i, words(t), t) for i, t in items]
@@ -63,34 +90,51 @@ class Index:
         self.ids = [i for i, _, _ in parsed]
         self.sets = []
         for _, _, t in parsed:
-            q, a = question_answer(t)
-            self.sets.append((shingle_set(words(q)), shingle_set(words(a))))
+            q, a = map(words, question_answer(t))
+            self.sets.append((shingle_set(q or a), shingle_set(a if q else [])))
         self.longest = max((len(w) for _, w, _ in parsed), default=1)
         idf = lambda t: math.log(1 + (total - frequency[t] + 0.5) / (frequency[t] + 0.5))
         lists: dict[str, list[tuple[int, float]]] = {}
+        self.own: list[dict[str, float]] = []
+        #: The item of each entry.
+        self.of: list[int] = []
         for n, (_, ws, _) in enumerate(parsed):
             own = {t: idf(t) * f * (K1 + 1) / (f + K1 * (1 - B + B * len(ws) / mean_length)) for t, f in Counter(ws).items()}
             whole = sum(own.values())
-            for t, w in own.items():
-                lists.setdefault(t, []).append((n, w / whole))
+            self.own.append({t: w / whole for t, w in own.items()})
+            question, answer = self.sets[n]
+            asked = {t: w for t, w in own.items() if any(t in s for s in question)}
+            told = {t: w for t, w in own.items() if t not in asked}
+            entries = [(own, least_score(question, asked, QUESTION) + least_score(answer, told, ANSWER))]
+            if answer:
+                entries.append((asked, least_score(question, asked, ALONE)))
+            for of, least in entries:
+                for t, w in of.items():
+                    lists.setdefault(t, []).append((len(self.of), w / least))
+                self.of.append(n)
         self.terms = {t: k for k, t in enumerate(lists)}
         self.items = [[n for n, _ in p] for p in lists.values()]
         self.weights = [[w for _, w in p] for p in lists.values()]
-        size = max(1, -(-len(parsed) // BLOCKS))
+        size = max(1, -(-len(self.of) // BLOCKS))
         self.block_last: list[list[int]] = []
         self.block_max: list[list[float]] = []
         #: By term and block the largest weight; the last row is that of words which no item has.
-        self.most = np.zeros((len(lists) + 1, max(1, -(-len(parsed) // size))))
+        self.most = np.zeros((len(lists) + 1, max(1, -(-len(self.of) // size))))
         for t, (items_of, weights) in enumerate(zip(self.items, self.weights, strict=True)):
             for n, w in zip(items_of, weights, strict=True):
                 self.most[t, n // size] = max(self.most[t, n // size], w)
             blocks = np.flatnonzero(self.most[t])
-            self.block_last.append([min((k + 1) * size, len(parsed)) - 1 for k in blocks.tolist()])
+            self.block_last.append([min((k + 1) * size, len(self.of)) - 1 for k in blocks.tolist()])
             self.block_max.append(self.most[t, blocks].tolist())
         self.bound = self.most.max(axis=1, initial=0.0)
+        asked: dict[int, set[int]] = {}
+        for s in {s for question, _ in self.sets for s in question}:
+            asked.setdefault(len(s), set()).update(window_keys(np.array([self.terms.get(w, len(lists)) for w in s]), len(s)).tolist())
+        #: By size the sorted hashes of the questions' shingles.
+        self.asked = {k: np.array(sorted(x), np.uint64) for k, x in asked.items()}
 
     def retrieve(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
-        """All items whose summed weights over the (different) terms reach the threshold, by block-max WAND."""
+        """All entries whose summed weights over the (different) terms reach the threshold, by block-max WAND."""
         least = threshold - 1e-12
         at = [[self.items[t][0], 0, t] for t in terms]  # item, place in the list, term
         most, out = self.bound, []
@@ -140,13 +184,22 @@ class Index:
         absent = len(self.terms)
         terms = np.fromiter(map(self.terms.get, ws, repeat(absent)), np.int64, len(ws))
         size = -(-self.longest // SEGMENTS)
+        near = np.zeros(max(1, -(-len(ws) // size) - SEGMENTS) + 1, np.int64)
+        for k, asked in self.asked.items():
+            h = window_keys(terms, k)
+            p = np.flatnonzero(asked[np.minimum(np.searchsorted(asked, h), len(asked) - 1)] == h)
+            np.add.at(near, np.maximum(0, -(-(p + k) // size) - SEGMENTS - 1), 1)
+            np.add.at(near, np.minimum(len(near) - 2, p // size) + 1, -1)
+        near = np.cumsum(near)[:-1] > 0
+        if not near.any():
+            return []
         keys = np.unique(np.arange(len(ws)) // size * (absent + 1) + terms)
         first = np.searchsorted(keys, np.arange(-(-len(ws) // size)) * (absent + 1))
         sums = np.concatenate([np.zeros((1, self.most.shape[1])), np.cumsum(np.add.reduceat(self.most[keys % (absent + 1)], first, axis=0), axis=0)])
         at = np.arange(max(1, len(first) - SEGMENTS))
         reach = (sums[np.minimum(at + SEGMENTS + 1, len(first))] - sums[at]).max(axis=1)
         found: dict[int, tuple[float, float, float]] = {}
-        for k in np.flatnonzero(reach >= RETRIEVE - 1e-9).tolist():
+        for k in np.flatnonzero(near & (reach >= RETRIEVE - 1e-9)).tolist():
             a, b = k * size, (k + SEGMENTS + 1) * size
             own = np.unique(terms[a:b])
             if self.most[own].sum(axis=0).max() < RETRIEVE - 1e-9:
@@ -156,7 +209,8 @@ class Index:
                 continue
             passage = ws[a:b]
             by_size: dict[int, set] = {}
-            for item, score in got:
+            there = set(passage)
+            for item in {self.of[n] for n, _ in got}:
                 share = []
                 for wanted in self.sets[item]:
                     if not wanted:
@@ -167,6 +221,7 @@ class Index:
                         by_size[k] = {tuple(passage[i : i + k]) for i in range(len(passage) - k + 1)}
                     share.append(len(wanted & by_size[k]) / len(wanted))
                 if share[0] >= QUESTION and (share[1] >= ANSWER or share[0] >= ALONE):
+                    score = sum(w for t, w in self.own[item].items() if t in there)
                     found[item] = max(found.get(item, (0.0, 0.0, 0.0)), (score, *share))
         return [(self.ids[n], *x) for n, x in sorted(found.items())]
 

@@ -59,6 +59,29 @@ def test_edited_and_partial_leaks(spark, prose):
     assert pairs(spark, docs, items) == [(1, 1), (2, 1)]
 
 
+def test_questions_shorter_than_their_answers(spark, prose):
+    items = [(i, prose(4 + i, 5000 + i) + ". " + prose(40 - i, 6000 + i) + ".") for i in range(20)] + [(90, "?! " + prose(9, 7000))]
+    docs = [(i, prose(150, i) + " " + t.split(". ")[0] + " " + prose(80, 100 + i)) for i, t in items[:20]] + [(90, prose(60, 90))]
+    assert pairs(spark, docs, items) == sorted(((i, i) for i in range(20)), key=str)
+
+
+def test_every_text_that_passes_the_rule_is_retrieved(prose):
+    rng = random.Random(2)
+    items = [(i, prose(rng.randint(1, 20), i) + ". " + prose(rng.randint(1, 30), 500 + i) + ".") for i in range(60)]
+    ix, n = index(items), 0
+    for i, t in items:
+        question, answer = map(D.words, D.question_answer(t))
+        for _ in range(15):
+            # Stretches of question and answer, far from each other's words.
+            cut = [w[(a := rng.randint(0, len(w) - (k := rng.randint(1, len(w))))) : a + k] for w in (question, answer)]
+            text = cut[0] + ["zz"] * 4 + cut[1] * rng.randint(0, 1)
+            share = [len(D.shingle_set(w) & {tuple(text[x : x + k]) for x in range(len(text)) for k in range(1, 6)}) / len(D.shingle_set(w)) for w in (question, answer)]
+            leaked = share[0] >= D.ALONE or (share[0] >= D.QUESTION and share[1] >= D.ANSWER)
+            assert (i in [x[0] for x in ix.leaked(" ".join(text))]) == leaked
+            n += leaked
+    assert n > 100
+
+
 def test_odd_rows(spark, prose):
     items = [(1, None), (2, ""), (3, "!?"), (4, prose(9, 1)), (4, prose(9, 2)), (None, prose(9, 3)), (5, "Zyx")]
     docs = [(1, None), (2, ""), (3, prose(50_000, 7) + " " + prose(9, 1)), (None, prose(9, 2)), (6, prose(9, 3)), (7, "a zyx"), (7, "a zyx")]
