@@ -60,8 +60,18 @@ RULES = [
     ("MPL-2.0", ["mpl2-ref"]),
     ("Proprietary", ["rights-reserved"]),
 ]
+# The sentences into which LINES and WRAPPED cut notices of these licences, and their rules. The SQL does not have them.
+CUT_SENTENCES = {
+    "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation": "gpl-grant",
+    "either version 2 of the license or at your option any later version": "gpl2-or-later",
+    "either version 3 of the license or at your option any later version": "gpl3-or-later",
+    "this source code form is subject to the terms of the mozilla public license v.2.0": "mpl2-ref",
+}
+CUT_RULES = [("GPL-2.0-or-later", ["gpl-grant", "gpl2-or-later"]), ("GPL-3.0-or-later", ["gpl-grant", "gpl3-or-later"])]
 #: Where sentences end if each line is taken for itself, and if a text is wrapped, so that only blank lines and marks end them.
 LINES, WRAPPED = r"\n+|[.!?;][ \t\r]+", r"\n[ \t\r]*\n\s*|[.!?;]\s+"
+#: A version's number belongs to its sentence.
+VERSION = r"\bv\.[^a-z0-9.]+([0-9])"
 #: Only sentences that hold a word of some known one are normalised and looked up.
 CUE = "licen|permi|copyright|redistribut|warranty|free software|rights reserved|either version"
 
@@ -71,7 +81,7 @@ def scan(df: DataFrame, text_col: str = "text", sentences: dict[str, str] | None
 
     Sentences are read line by line and, for wrapped texts, across lines; sentence_ids has the reading that knows more of them.
     """
-    sentences, rules = sentences or SENTENCES, rules or RULES
+    sentences, rules = sentences or SENTENCES | CUT_SENTENCES, rules or RULES + CUT_RULES
     known = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair])
     wanted = F.array(*[F.struct(F.lit(name).alias("licence"), F.lit("% " + " % ".join(seq) + " %").alias("like")) for name, seq in rules])
     none = F.array().cast("array<string>")
@@ -79,7 +89,7 @@ def scan(df: DataFrame, text_col: str = "text", sentences: dict[str, str] | None
     clean = lambda s: F.regexp_replace(F.regexp_replace(s, r"[^a-z0-9.]+", " "), r"^[ .]+|[ .]+$", "")
 
     def ids(cut: str):
-        cued = F.filter(F.split(lower, cut), lambda s: F.rlike(s, F.lit(CUE)))
+        cued = F.filter(F.split(F.regexp_replace(lower, VERSION, "v.$1"), cut), lambda s: F.rlike(s, F.lit(CUE)))
         return F.when(F.rlike(lower, F.lit(CUE)), F.filter(F.transform(cued, lambda s: F.try_element_at(known, clean(s))), lambda x: x.isNotNull())).otherwise(none)
 
     def licences(col: str):

@@ -39,3 +39,34 @@ def test_rules_are_ordered(spark):
     df = spark.createDataFrame([("a b. c d.",), ("c d. a b.",), ("a b.\nlicense x.\nc d.",)], "text string")
     got = licences.scan(df.selectExpr("replace(replace(text, 'a b', 'license a'), 'c d', 'license c') AS text"), sentences={"license a": "A", "license c": "C"}, rules=[("AC", ["A", "C"])])
     assert [r["licences"] for r in got.collect()] == [["AC"], [], ["AC"]]
+
+
+GPL = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+NOTICES = [
+    (GPL, ["GPL-2.0-or-later"]), (GPL.replace("version 2", "version 3"), ["GPL-3.0-or-later"]), (GPL.replace("\n", " "), ["GPL-2.0-or-later"]), ("/* " + GPL.replace("\n", "\n * ") + " */", ["GPL-2.0-or-later"]), (GPL.replace("General", "Library General"), []),
+    (TEXTS[7][1], ["GPL-3.0-or-later"]), (TEXTS[7][1].replace("version 3", "version 2"), ["GPL-2.0-or-later"]),
+    (MPL, ["MPL-2.0"]), (MPL.replace("\n", " "), ["MPL-2.0"]), ("# " + MPL.replace("v. ", "v.\n").replace("\n", "\n# "), ["MPL-2.0"]), (MPL.replace("v. 2.0", "v. 1.9"), []),
+    (BSD, ["BSD-2-Clause"]), (BSD + "\n\n3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.", ["BSD-2-Clause", "BSD-3-Clause"]),
+    ("Licensed under CC BY 4.0.", ["CC-BY-4.0"]), ("Licensed under CC BY-SA 4.0.", ["CC-BY-SA-4.0"]), ("Licensed under CC BY-NC 4.0.", ["CC-BY-NC-4.0"]), (TEXTS[8][1], ["GPL-3.0"]), (MIT, ["MIT"]), (TEXTS[-1][1], ["Apache-2.0"]), ("All rights reserved.", ["Proprietary"]),
+]
+
+
+def test_every_rule_with_its_notice(spark):
+    rows = licences.scan(spark.createDataFrame([(t,) for t, _ in NOTICES], "text string")).collect()
+    assert [r["licences"] for r in rows] == [w for _, w in NOTICES]
+    assert {w for _, ws in NOTICES for w in ws} == {name for name, _ in licences.RULES}
