@@ -26,12 +26,14 @@ from pyspark.sql import types as T
 from .common import bounded_batches, tidy
 
 # HTML's inline, void and raw-text elements, and which open elements a start tag closes.
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img picture source".split())
+INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img picture source svg object param".split())
+INLINE |= set("math semantics annotation annotation-xml maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = "script style noscript template svg math iframe object textarea select title canvas audio video".split()
+HIDDEN = "script style noscript template svg iframe textarea select title canvas audio video".split()
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({'|'.join(HIDDEN)})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
+#: An svg that closes itself hides nothing.
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?!svg\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<=/)>)({'|'.join(HIDDEN)})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WORD = re.compile(r"[a-z]+")
 

@@ -26,6 +26,20 @@ def test_blocks(page, want):
     assert [b.text for b in H.blocks(page)] == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<p>one <svg class='a>b' width=\"1\"/> two</p><p>three</p>", ["one two", "three"]),
+        ("<p>one <svg><text>hidden</text><path/></svg> two</p>", ["one two"]),
+        ("<p>one <math/> two</p><p>three</p>", ["one two", "three"]),
+        ("<p>where <math><mrow><mi>x</mi> <mo>=</mo> <mn>2</mn></mrow></math> holds</p>", ["where x = 2 holds"]),
+        ("<p>see <object data=a><param name=b value=c>the fallback</object> here</p>", ["see the fallback here"]),
+    ],
+)
+def test_foreign_and_embedded_elements(page, want):
+    assert [b.text for b in H.blocks(page)] == want
+
+
 def test_viterbi_finds_the_best_labels():
     import itertools
 
