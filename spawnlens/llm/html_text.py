@@ -29,12 +29,17 @@ from .common import bounded_batches, tidy
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img picture source svg object param".split())
 INLINE |= set("math semantics annotation annotation-xml maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = "script style noscript template svg iframe textarea select title canvas audio video".split()
+RAW = set("script style title textarea iframe noscript noembed noframes xmp".split())
+UNSEEN = set("svg template select canvas audio video".split())
+IN_HEAD = set("base basefont bgsound link meta title noscript noframes style script template".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
-#: An svg that closes itself hides nothing.
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?!svg\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?<=/)>)({'|'.join(HIDDEN)})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
-NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: White space and an attribute as HTML's tokenizer reads them: names and bare values may hold quotes, a quote that never closes is part of a name.
+_W = r"\t\n\f\r "
+_ATTRIBUTE = rf"[^{_W}/>][^{_W}/>=]*+(?:[{_W}]*+=[{_W}]*+(?:\"[^\"]*\"|'[^']*'|[^{_W}\"'>][^{_W}>]*+)?)?"
+#: A comment, a tag, a tag whose quotes do not end before the page does, another declaration, a tag that the page's end cuts.
+TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^{_W}/>]*+)((?>[{_W}/]++|{_ATTRIBUTE})*+)>|<(/?)([a-zA-Z][^{_W}/>]*+)([^>]*+)>|<(?:[!?]|/(?![a-zA-Z]))[^>]*(?:>|\Z)|</?[a-zA-Z][^>]*\Z", re.S)
+ATTRIBUTE = re.compile(rf"([^{_W}/>][^{_W}/>=]*+)(?:[{_W}]*+=[{_W}]*+(?:\"([^\"]*)\"|'([^']*)'|([^{_W}\"'>][^{_W}>]*+))?)?")
 WORD = re.compile(r"[a-z]+")
 
 
@@ -48,32 +53,64 @@ class Block:
 @lru_cache(maxsize=20_000)
 def marks(tag: str, attributes: str) -> tuple[str, ...]:
     """A tag's features: its name, and the words of its class, id and role."""
-    words = {w for m in NAMES.finditer(attributes) for w in WORD.findall((m[1] or m[2] or m[3] or "").lower())} if attributes else ()
+    words = {w for m in ATTRIBUTE.finditer(attributes) if m[1].lower() in ("class", "id", "role") for w in WORD.findall((m[2] or m[3] or m[4] or "").lower())} if attributes else ()
     return (tag, *sorted("." + w for w in words))
 
 
+def closes_itself(attributes: str) -> bool:
+    """Whether the tag ends in a slash that is no part of a bare value."""
+    if not attributes.endswith("/"):
+        return False
+    last = None
+    for last in ATTRIBUTE.finditer(attributes):
+        pass
+    return last is None or last[4] is None or last.end() < len(attributes)
+
+
 def blocks(page: str | None) -> list[Block]:
+    """The page's leaf blocks.
+
+    Tags are read as HTML's tokenizer does. Where a browser would lose text to a slip, it is kept: an element of RAW (but script and style)
+    or UNSEEN whose end tag never comes, and any element that closes itself, is empty; a quote that never ends ends with its tag.
+    """
     out: list[Block] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
+    unseen: list[str] = []  # open elements from one of UNSEEN on
     pieces: list[str] = []
     linked, in_link, in_head = 0, 0, False
+    page = page or ""
+    lowered = page.lower()
+    if len(lowered) != len(page):  # a few capitals become two code points
+        lowered = "".join(c.lower() if len(c.lower()) == 1 else c for c in page)
 
     def flush() -> None:
         nonlocal linked
         if pieces:
-            raw = "".join(pieces)
+            text = " ".join("".join(pieces).split())
             pieces.clear()
-            text = " ".join((entities.unescape(raw) if "&" in raw else raw).split())
-            if text and not in_head:
+            if text:
                 out.append(Block(tuple(x for _, ms in stack for x in ms), text, linked))
         linked = 0
 
+    def leave_head() -> None:
+        nonlocal in_head
+        in_head = False
+        k = next((k for k, (t, _) in enumerate(stack) if t == "head"), None)
+        if k is not None:
+            pop(k)
+
     def take(s: str) -> None:
         nonlocal linked
-        if s:
-            pieces.append(s)
-            if in_link:
-                linked += len(s.strip())
+        if not s or unseen:
+            return
+        if in_head:
+            if not s.strip(" \t\n\f\r"):
+                return
+            leave_head()
+        s = entities.unescape(s) if "&" in s else s
+        pieces.append(s)
+        if in_link:
+            linked += len(s.strip())
 
     def pop(k: int) -> None:
         nonlocal in_link
@@ -81,33 +118,70 @@ def blocks(page: str | None) -> list[Block]:
             in_link = sum(t == "a" for t, _ in stack[:k])
         del stack[k:]
 
-    page = page or ""
+    def ends(tag: str, start: int) -> int:
+        """Where the element's end tag stands, or -1."""
+        while (k := lowered.find(f"</{tag}", start)) >= 0:
+            if (after := lowered[k + 2 + len(tag) : k + 3 + len(tag)]) and after in " \t\n\f\r/>":
+                return k
+            start = k + 2
+        return -1
+
     at = 0
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            take(page[at : m.start()])
+    while m := TOKEN.search(page, at):
+        take(page[at : m.start()])
         at = m.end()
-        name = m[3]
+        name, attributes = m[2] or m[5], m[3] if m[2] else m[6]
         if name is None:
+            if m[0].startswith("<![CDATA[") and any(t == "math" for t, _ in stack):
+                stop = page.find("]]>", m.start())
+                stop = len(page) if stop < 0 else stop
+                pieces.append(page[m.start() + 9 : stop])  # character data: no references
+                at = min(stop + 3, len(page))
             continue
-        tag = name.lower()
+        tag, closing = name.lower(), m[1] or m[4]
+        if unseen:
+            if closing:
+                if tag in unseen:
+                    while unseen.pop() != tag:
+                        pass
+                    continue
+                if all(t != tag for t, _ in stack):
+                    continue
+                unseen.clear()  # the end of an element around it
+            else:
+                if tag in ("script", "style") and (stop := ends(tag, at)) >= 0:
+                    at = stop
+                if tag not in VOID and not attributes.endswith("/"):
+                    unseen.append(tag)
+                continue
         if tag == "br":
-            pieces.append(" ")
-        elif m[2]:
+            take(" ")
+        elif closing:
+            if tag in RAW:
+                continue
             if tag not in INLINE:
                 flush()
-                if tag == "head":
-                    in_head = False
+            if tag == "head" and in_head:
+                leave_head()
             k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
             if k is not None:
                 pop(k)
         else:
+            if in_head and tag not in IN_HEAD:
+                leave_head()
+            if tag in RAW or tag in UNSEEN:
+                stop = ends(tag, at)
+                if closes_itself(attributes) and (tag in UNSEEN or stop < 0 or 0 <= lowered.find(f"<{tag}", at) < stop):
+                    continue
+                if tag in RAW:
+                    at = stop if stop >= 0 else len(page) if tag in ("script", "style") else at
+                elif stop >= 0:
+                    unseen.append(tag)
+                continue
             if tag not in INLINE:
                 flush()
                 if tag == "head":
-                    in_head = True
-                elif tag == "body":
-                    in_head = False
+                    in_head = not out and all(t != "body" for t, _ in stack)
                 for k in range(len(stack) - 1, -1, -1):
                     open_tag = stack[k][0]
                     if open_tag == "p" or open_tag in CLOSES.get(tag, ()):
@@ -116,11 +190,10 @@ def blocks(page: str | None) -> list[Block]:
                     if open_tag not in INLINE:
                         if open_tag in SCOPE.get(tag, ()) or tag not in CLOSES:
                             break
-            if tag not in VOID and not m[4].endswith("/"):
-                stack.append((tag, marks(tag, m[4])))
+            if tag not in VOID and not attributes.endswith("/"):
+                stack.append((tag, marks(tag, attributes)))
                 in_link += tag == "a"
     take(page[at:])
-    in_head = in_head and "<body" in page.lower()
     flush()
     return out
 

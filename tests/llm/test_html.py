@@ -56,3 +56,94 @@ def test_rows(spark):
     rows = got.collect()
     assert [r["text"] for r in rows][:2] == ["", ""] and rows[2]["text"] == rows[3]["text"] and len(rows[4]["text"]) == 16 * 50_000 - 1
     assert H.extract(df.where("false")).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<p>a</p><svg class="i"/><p>b</p><p>c</p>', ["a", "b", "c"]),
+        ("<p>a</p><iframe src=x /><p>b</p>", ["a", "b"]),
+        ("<p>a</p><iframe src=x><p>b</p>", ["a", "b"]),
+        ("<p>a<iframe src=x><p>hidden</p></iframe>b</p>", ["ab"]),
+        ("<html><head><title>x</title><p>a</p><p>b</p>", ["a", "b"]),
+        ("<html><head><title>x</title>loose text", ["loose text"]),
+        ("<p title=O'Neil>one</p>..it's three</p>", ["one", "..it's three"]),
+        ('<p title="x>one</p>', ["one"]),
+        ("<p title='x>one</p><p title='y'>two</p>", ["two"]),
+        ("<p>a</p><script src=a /><p>b</p><script>c</script><p>d</p>", ["a", "b", "d"]),
+        ("<p>a<video src=x>old</video>b</p>", ["ab"]),
+        ("<p>a<video src=x><p>b</p>c", ["a", "b", "c"]),
+        ("<div><template><p>x</div><p>y</p></template>z</div>", ["y", "z"]),
+        ("<select><option>a<option>b</select>c", ["c"]),
+        ("<p>a <b", ["a"]),
+        ("<!-->a<!--->b<!--c--!>d<![CDATA[e]]>f", ["abdf"]),
+        ("<math><![CDATA[a&amp;<b]]></math>", ["a&amp;<b"]),
+        ("<p>&lt;b&gt; &notit; &#x41;&#66</p>", ["<b> ¬it; AB"]),
+        ("<STYLE>p{}</Style ><P CLASS=Ad>İx</P>", ["İx"]),
+    ],
+)
+def test_slips(page, want):
+    assert [b.text for b in H.blocks(page)] == want
+
+
+def test_hostile_pages_take_linear_time():
+    import time
+
+    began = time.time()
+    for x in ("<a", "<a ", '<p a="', "<p a='x\"", "<!--", "<iframe>", "<svg><p>", "<b>x", "</", "<p " + " " * 50):
+        H.blocks(x * 20_000)
+    assert time.time() - began < 60
+
+
+def test_blocks_are_those_of_a_reference_parser(sf_dir):
+    """Texts between block tags, read by the standard library's parser, on all given pages."""
+    import html.parser
+
+    import pyarrow.parquet as pq
+
+    class Reader(html.parser.HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.out, self.piece, self.off = [], [], 0
+
+        def edge(self):
+            if text := " ".join("".join(self.piece).split()):
+                self.out.append(text)
+            self.piece = []
+
+        def handle_starttag(self, tag, attrs):
+            self.off += tag in ("script", "style", "title")
+            if tag == "br":
+                self.piece.append(" ")
+            elif tag not in H.INLINE and tag not in H.RAW:
+                self.edge()
+
+        def handle_endtag(self, tag):
+            self.off -= tag in ("script", "style", "title")
+            if tag not in H.INLINE and tag not in H.RAW:
+                self.edge()
+
+        def handle_data(self, data):
+            if not self.off:
+                self.piece.append(data)
+
+    for page in pq.read_table(f"{sf_dir}/pages.parquet")["html"].to_pylist():
+        reader = Reader()
+        reader.feed(page or "")
+        reader.close()
+        reader.edge()
+        assert [b.text for b in H.blocks(page)] == reader.out
+
+
+def test_main_text_of_the_given_pages(spark, sf_dir):
+    """What stands in the article, by the standard library's parser, is what the field finds: on all given pages."""
+    import re
+
+    from spawnlens.llm.queries import QUERIES
+
+    pages = {r["page_id"]: r["html"] or "" for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    wrong = 0
+    for r in QUERIES["op4_html"](spark, sf_dir).collect():
+        article = "".join(re.findall(r"<article>(.*?)</article>", pages[r["page_id"]], re.S))
+        wrong += r["text"] != "\n\n".join(b.text for b in H.blocks(article))
+    assert wrong <= len(pages) // 100
