@@ -72,8 +72,19 @@ CUT_RULES = [("GPL-2.0-or-later", ["gpl-grant", "gpl2-or-later"]), ("GPL-3.0-or-
 LINES, WRAPPED = r"\n+|[.!?;][ \t\r]+", r"\n[ \t\r]*\n\s*|[.!?;]\s+"
 #: A version's number belongs to its sentence.
 VERSION = r"\bv\.[^a-z0-9.]+([0-9])"
-#: Only sentences that hold a word of some known one are normalised and looked up.
-CUE = "licen|permi|copyright|redistribut|warranty|free software|rights reserved|either version"
+
+
+def cues(sentences: dict[str, str]) -> str:
+    """A pattern of words such that each of the sentences holds one: a text without them has none of the sentences.
+
+    Of each sentence's longer words, the one that most of the sentences without a word share is taken, until all have one.
+    """
+    left, taken = [s for s in sentences if s.split()], []
+    longer = lambda s: [w for w in s.split() if len(w) >= min(6, max(map(len, s.split())))]
+    while left:
+        taken.append(max(sorted({w for s in left for w in longer(s)}), key=lambda w: (sum(w in s for s in left), len(w))))
+        left = [s for s in left if taken[-1] not in s]
+    return "|".join(w.replace(".", "[.]") for w in taken) or "(?!)"
 
 
 def scan(df: DataFrame, text_col: str = "text", sentences: dict[str, str] | None = None, rules: list[tuple[str, list[str]]] | None = None) -> DataFrame:
@@ -85,12 +96,14 @@ def scan(df: DataFrame, text_col: str = "text", sentences: dict[str, str] | None
     known = F.create_map(*[F.lit(x) for pair in sentences.items() for x in pair])
     wanted = F.array(*[F.struct(F.lit(name).alias("licence"), F.lit("% " + " % ".join(seq) + " %").alias("like")) for name, seq in rules])
     none = F.array().cast("array<string>")
-    lower = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    # Only sentences that hold a cue are normalised and looked up; a version's cue may be spelt with a space.
+    cue = F.lit(cues(sentences))
+    lower = F.regexp_replace(F.lower(F.coalesce(F.col(text_col), F.lit(""))), VERSION, "v.$1")
     clean = lambda s: F.regexp_replace(F.regexp_replace(s, r"[^a-z0-9.]+", " "), r"^[ .]+|[ .]+$", "")
 
     def ids(cut: str):
-        cued = F.filter(F.split(F.regexp_replace(lower, VERSION, "v.$1"), cut), lambda s: F.rlike(s, F.lit(CUE)))
-        return F.when(F.rlike(lower, F.lit(CUE)), F.filter(F.transform(cued, lambda s: F.try_element_at(known, clean(s))), lambda x: x.isNotNull())).otherwise(none)
+        cued = F.filter(F.split(lower, cut), lambda s: F.rlike(s, cue))
+        return F.when(F.rlike(lower, cue), F.filter(F.transform(cued, lambda s: F.try_element_at(known, clean(s))), lambda x: x.isNotNull())).otherwise(none)
 
     def licences(col: str):
         spaced = F.concat(F.lit(" "), F.array_join(F.col(col), "  "), F.lit(" "))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .chat import AFTER_ROLE, CLOSE, OPEN
-from .licences import CUE, LINES, RULES, SENTENCES, WRAPPED
+from .licences import LINES, RULES, SENTENCES, WRAPPED
 
 TOP_K = """
 WITH v AS (
@@ -58,7 +58,7 @@ def _quoted(s: str) -> str:
 def _ids(cut: str) -> str:
     known = "MAP {" + ", ".join(f"{_quoted(k)}: {_quoted(v)}" for k, v in SENTENCES.items()) + "}"
     clean = "regexp_replace(regexp_replace(s, '[^a-z0-9.]+', ' ', 'g'), '^[ .]+|[ .]+$', '', 'g')"
-    return f"CASE WHEN regexp_matches(t, '{CUE}') THEN list_filter(list_transform(list_filter(regexp_split_to_array(t, {_quoted(cut)}), lambda s: regexp_matches(s, '{CUE}')), lambda s: ({known})[{clean}]), lambda x: x IS NOT NULL) ELSE []::VARCHAR[] END"
+    return f"list_filter(list_transform(regexp_split_to_array(t, {_quoted(cut)}), lambda s: ({known})[{clean}]), lambda x: x IS NOT NULL)"
 
 
 def _licences(col: str) -> str:

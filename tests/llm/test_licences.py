@@ -70,3 +70,11 @@ def test_every_rule_with_its_notice(spark):
     rows = licences.scan(spark.createDataFrame([(t,) for t, _ in NOTICES], "text string")).collect()
     assert [r["licences"] for r in rows] == [w for _, w in NOTICES]
     assert {w for _, ws in NOTICES for w in ws} == {name for name, _ in licences.RULES}
+
+
+def test_tables_of_the_caller(spark):
+    df = spark.createDataFrame([("alpha beta.\ngamma delta.",), ("Gamma, delta! Alpha beta.",), ("alpha",), (None,)], "text string")
+    rows = licences.scan(df, sentences={"alpha beta": "A", "gamma delta": "B"}, rules=[("AB", ["A", "B"])]).collect()
+    assert [(r["sentence_ids"], r["licences"]) for r in rows] == [(["A", "B"], ["AB"]), (["B", "A"], []), ([], []), ([], [])]
+    every = {s: "x" for s in licences.SENTENCES | licences.CUT_SENTENCES}
+    assert all(any(w.replace("[.]", ".") in s for w in licences.cues(every).split("|")) for s in every)
