@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -24,8 +25,11 @@ def _own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in tests, where it is unset, a new local one."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a new local one if all runs in one process, else an error."""
+    told = spark.conf.get("spark.checkpoint.dir", None)
+    if not told and not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return told or _own_dir()
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
@@ -42,7 +46,7 @@ BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Lowers the session's Arrow batches to these bounds, if they are larger."""
+    """Lowers the session's Arrow batches to these bounds, if they are larger, and leaves them so: a plan reads them when its rows are asked for, after the call."""
     for key, bound in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
         now = int(spark.conf.get(key).rstrip("b"))
         if now <= 0 or now > bound:
@@ -68,6 +72,12 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return tidied
 
 
+def least_hashes(id_col: str, wanted: int, rows: int) -> Column:
+    """Keeps about four times `wanted` of `rows` rows, those of the least xxhash64, so that few are sorted to find the `wanted` least; all of a small table."""
+    share = 4 * wanted / max(1, rows)
+    return F.lit(True) if share >= 1 else F.xxhash64(id_col) < F.lit(int(-(2**63) + share * 2**64))
+
+
 def fold(id_col: str, parts: int) -> Column:
     """crc32 of the id as text, modulo parts."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % F.lit(parts)

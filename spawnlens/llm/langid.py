@@ -4,8 +4,8 @@ A language is a distribution over hashed character trigrams. For each document,
 languages make up its trigrams; the set of languages is chosen by likelihood less a penalty for each language, and the language
 with the largest proportion in the chosen set is the prediction.
 
-Training takes at most `sample` labelled documents of each language, chosen by a hash of their id, and `sample_chars` characters of
-each; prediction takes the whole of every text.
+Training takes the whole texts of at most `sample` labelled documents of each language, chosen by a hash of their id; prediction takes the whole
+of every text.
 
 Results for odd input: a null text, or one without a letter, is `und` with score 0; without any language learnt every text is `und`; null
 languages are not learnt from; source and id are not inputs; repeated rows are predicted each; equal likelihoods go to the language that
@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 
 from .common import bounded_batches, tidy
 
-#: Documents of a language and characters of each that training takes at most; trigram buckets; smoothing; rounds; penalty by language.
-SAMPLE, SAMPLE_CHARS, BUCKETS, SMOOTH, ROUNDS, PENALTY = 1500, 4000, 1 << 16, 0.05, 12, 2.0
+#: Documents of a language that training takes at most; trigram buckets; smoothing; rounds; penalty by language.
+SAMPLE, BUCKETS, SMOOTH, ROUNDS, PENALTY = 1500, 1 << 16, 0.05, 12, 2.0
 UNKNOWN = "und"
 
 
@@ -86,16 +86,20 @@ class Model:
         return self.languages[chosen[0]], float((pi[chosen[0]] * n + 1) / (n + len(pi)))
 
 
-def train(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> Model:
+def train(docs: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
     """may_learn: a condition on the id column; rows without it are not looked at."""
     rows = docs.where(may_learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"))
-    place = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id"))  # limited within tasks before the shuffle
-    chosen = rows.withColumn("_k", place).where(F.col("_k") <= sample).select("_id", "_lang").distinct().collect()
     spark = docs.sparkSession
+    totals = rows.groupBy("_lang").agg(F.count("*").alias("n")).collect()
+    # Few rows of each language are sorted: those under a bound of the hash that leaves some four times as many as are taken.
+    bounds = [(r["_lang"], max(-(2**63), min(2**63 - 1, int(-(2**63) + 4 * sample / r["n"] * 2**64)))) for r in totals]
+    few = rows.join(F.broadcast(spark.createDataFrame(bounds, "_lang string, _most long")), "_lang").where(F.xxhash64("_id") <= F.col("_most"))
+    place = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id"))
+    chosen = few.withColumn("_k", place).where(F.col("_k") <= sample).select("_id", "_lang").distinct().collect()
     if not chosen:
         return Model([], np.zeros((BUCKETS, 0)))
     ids = F.broadcast(spark.createDataFrame(chosen, T.StructType([T.StructField("_id", docs.schema[id_col].dataType), T.StructField("_lang", T.StringType())])))
-    texts = docs.where(may_learn).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.substring(text_col, 1, sample_chars).alias("_t")).join(ids, ["_id", "_lang"])
+    texts = docs.where(may_learn).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_t")).join(ids, ["_id", "_lang"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}

@@ -3,12 +3,13 @@
 Two dictionaries are trained, one on text labelled good and one on text labelled bad. A text is cut into blocks; all of them are
 compressed with either dictionary, and the difference of the summed sizes, normalised by their sum, is turned into a score by a logistic
 curve that is fitted on labelled texts the dictionaries have not seen. Text that repeats itself is small with either dictionary, so the curve
-has a second term: how far the size without a dictionary falls below that of prose. Training takes at most `sample` labelled rows of each class, chosen by
-a hash of their id, and `sample_chars` characters of each; scoring takes the whole of every text.
+has a second term: how far the size without a dictionary falls below that of prose. Training takes whole texts of at most `sample` labelled rows and
+`sample_bytes` bytes of each class, in the order of a hash of their id; a row whose text does not fit in what is left of the bytes is passed over. Scoring takes
+the whole of every text.
 
 Results for odd input: null and empty texts score as a difference of 0 and no repetition; ids, labels, language and source are not inputs of a score; repeated
 rows are scored each; labels that are null or neither 0 nor 1, and documents without a label, are not learnt from. Without labels of both
-classes every score is the share of class 1, or 0.5. Input columns named like the result's are replaced. An empty table gives an
+classes every score is the share of class 1, or 0.5; so it is if no text of one class can be learnt from, as in an empty table or where all are empty. Input columns named like the result's are replaced. An empty table gives an
 empty table.
 """
 
@@ -24,10 +25,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, tidy
+from .common import bounded_batches, least_hashes, tidy
 
-#: Labelled rows of each class that training takes at most, characters of each, bytes of a dictionary, of a block, and level.
-SAMPLE, SAMPLE_CHARS, DICT_BYTES, BLOCK, LEVEL = 3000, 4000, 112 << 10, 2048, 3
+#: Labelled rows and bytes of each class that training takes at most, bytes of a dictionary, of a block, and level.
+SAMPLE, SAMPLE_BYTES, DICT_BYTES, BLOCK, LEVEL = 3000, 16 << 20, 112 << 10, 2048, 3
 #: Compressed share below which text counts as repeating itself.
 PROSE = 0.35
 
@@ -78,21 +79,37 @@ def fit_curve(x: np.ndarray, y: np.ndarray, rounds: int = 100, ridge: float = 1e
     return (float(w[0]), *(float(v) for v in w[1:] / scale))
 
 
-def train(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> Model:
+def flat(share: float) -> Model:
+    """Scores every text by the share of class 1."""
+    share = min(max(share, 1e-17), 1 - 1e-16)
+    return Model(b"", b"", (math.log(share / (1 - share)), 0.0, 0.0))
+
+
+def train(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """may_learn: a condition on the id column; other rows are not looked at. The share of the classes in the sample is undone in the curve."""
     import zstandard as z
 
     spark = docs.sparkSession
-    marked = labels.where(may_learn & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_y"))
+    marked = labels.where(may_learn & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_y"))
     totals = {r["_y"]: r["n"] for r in marked.groupBy("_y").agg(F.count("*").alias("n")).collect()}
+    if len(totals) < 2:
+        return flat(float(next(iter(totals), 0.5)))
+    share = totals[1] / (totals[0] + totals[1])
     rows = []
     for y in sorted(totals):
-        rows += marked.where(F.col("_y") == y).orderBy(F.xxhash64("_id"), "_id").limit(sample).collect()
-    if len(totals) < 2:
-        share = float(next(iter(totals), 0.5))
-        return Model(b"", b"", (40.0 * (2 * share - 1) if totals else 0.0, 0.0, 0.0))
-    chosen = F.broadcast(spark.createDataFrame([(r["_id"], int(r["_y"]), k) for k, r in enumerate(rows)], T.StructType([T.StructField("_id", docs.schema[id_col].dataType), T.StructField("_y", T.IntegerType()), T.StructField("_k", T.IntegerType())])))
-    got = docs.select(F.col(id_col).alias("_id"), F.substring(text_col, 1, sample_chars).alias("_t")).where(F.col("_t").isNotNull() & (F.col("_t") != "")).join(chosen, "_id").groupBy("_k", "_y").agg(F.max("_t").alias("_t")).orderBy("_k").toArrow()
+        rows += marked.where((F.col("_y") == y) & least_hashes("_id", sample, totals[y])).orderBy(F.xxhash64("_id"), "_id").limit(sample).collect()
+    place = T.StructType([T.StructField("_id", docs.schema[id_col].dataType), T.StructField("_y", T.IntegerType()), T.StructField("_k", T.IntegerType())])
+    named = lambda chosen: F.broadcast(spark.createDataFrame(chosen, place))
+    have = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).where(F.col("_t").isNotNull() & (F.col("_t") != ""))
+    sizes = have.join(named([(r["_id"], int(r["_y"]), k) for k, r in enumerate(rows)]), "_id").groupBy("_id", "_y", "_k").agg(F.max(F.octet_length("_t")).alias("n")).orderBy("_k").collect()
+    left, chosen = {0: sample_bytes, 1: sample_bytes}, []
+    for r in sizes:
+        if r["n"] <= left[r["_y"]]:
+            left[r["_y"]] -= r["n"]
+            chosen.append((r["_id"], r["_y"], r["_k"]))
+    if len({y for _, y, _ in chosen}) < 2:
+        return flat(share)
+    got = have.join(named(chosen), "_id").groupBy("_k", "_y").agg(F.max(F.struct(F.octet_length("_t"), "_t"))["_t"].alias("_t")).orderBy("_k").toArrow()
     k, y, texts = np.asarray(got["_k"]), np.asarray(got["_y"]), got["_t"].to_pylist()
     # Every third text of either class is left for the curve.
     kept = k % 3 == 2

@@ -37,3 +37,42 @@ def test_without_labels_of_both_classes(spark, prose):
     for some, want in ((labels.where("quality = 1"), 1.0), (labels.where("quality = 0"), 0.0), (labels.where("false"), 0.5)):
         model = quality.train(docs, some, F.lit(True))
         assert all(abs(r["score"] - want) < 1e-6 for r in quality.score(docs.select("doc_id", "text"), model).collect())
+
+
+def test_texts_without_anything_to_learn(spark, prose):
+    docs, labels = _tables(spark, prose, 20)
+    empty = docs.withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.lit("")))
+    for some in (docs.where("false"), empty, docs.where("doc_id % 4 = 0")):
+        model = quality.train(some, labels, F.lit(True))
+        assert all(abs(r["score"] - 0.75) < 1e-9 for r in quality.score(docs.select("doc_id", "text"), model).collect())
+    assert quality.accepted(docs.where("false"), model, 0.3).count() == 0
+
+
+def test_score_against_plain_recomputation(spark, prose):
+    import math
+
+    import zstandard as z
+
+    docs, labels = _tables(spark, prose)
+    model = quality.train(docs, labels, fold("doc_id", 5) != 0)
+    odd = spark.createDataFrame([(900, None), (901, ""), (902, "é" * 5000), (903, prose(9000, 7)), (903, prose(9000, 7))], "doc_id long, text string")
+    for r in odd.unionByName(docs.select("doc_id", "text").limit(60)).join(quality.score(odd.unionByName(docs.select("doc_id", "text").limit(60)), model), "doc_id").collect():
+        raw, sizes = (r["text"] or "").encode(), []
+        for d in (model.good, model.bad, None):
+            made = z.ZstdCompressor(level=quality.LEVEL, write_checksum=False, write_content_size=False, write_dict_id=False, **({"dict_data": z.ZstdCompressionDict(d)} if d else {}))
+            sizes.append(sum(len(made.compress(raw[k : k + quality.BLOCK])) for k in range(0, len(raw), quality.BLOCK)))
+        x = (sizes[1] - sizes[0]) / (sizes[0] + sizes[1]) if raw else 0.0
+        y = max(0.0, math.log(quality.PROSE * len(raw) / sizes[2])) if raw else 0.0
+        w = model.weights
+        assert abs(r["score"] - 1 / (1 + math.exp(-(w[0] + w[1] * x + w[2] * y)))) < 0.02
+
+
+def test_whole_texts_in_bounded_bytes(spark, prose):
+    docs, labels = _tables(spark, prose, 40)
+    late = docs.withColumn("text", F.concat(F.lit("x" * 5000), "text"))  # what tells the classes apart stands after 5000 characters
+    model = quality.train(late, labels, F.lit(True))
+    got = quality.score(docs.select("doc_id", "text"), model).join(labels, "doc_id").collect()
+    good, bad = ([r["score"] for r in got if r["quality"] == y] for y in (1, 0))
+    assert sum(good) / len(good) > sum(bad) / len(bad)
+    few = quality.train(docs, labels, F.lit(True), sample_bytes=2000)
+    assert len(few.good) <= 2000 and len(few.bad) <= 2000
