@@ -2,7 +2,7 @@
 
 Long texts are split before they are encoded, only where the pattern cannot match across: before a single space that stands between
 two characters other than white space. Long runs of white space, on which the library's pattern engine runs out of stack, are cut out and
-encoded as the piece that the pattern makes of them.
+encoded as the piece that the pattern makes of them. Both hold for the pattern PATTERN; by any other, texts go to the library whole, in its limits.
 
 Results for odd input: null text counts as empty; an empty text has no ids and decodes to no bytes; repeated rows and null ids of documents
 are kept as they are; columns of the input other than the text stay, and a clash with `token_ids` or `decoded` is resolved by replacing
@@ -22,6 +22,8 @@ from pyspark.sql import types as T
 
 from .common import bounded_batches, tidy
 
+# Fixed value: the pattern of public byte-level vocabularies that texts are cut by.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters of a text from which it is split, and the least white space that is handled apart.
 SPLIT_CHARS, LONG_SPACE = 1 << 16, 256
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -40,6 +42,12 @@ def encoding(rank_file: str, pattern: str):
     return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+@lru_cache(maxsize=4)
+def piece_encoding(rank_file: str):
+    """Encodes a text as one piece."""
+    return encoding(rank_file, r"[\s\S]+")
+
+
 def split_safely(text: str, size: int = SPLIT_CHARS) -> Iterator[str]:
     at = 0
     while len(text) - at > size:
@@ -50,9 +58,9 @@ def split_safely(text: str, size: int = SPLIT_CHARS) -> Iterator[str]:
     yield text[at:]
 
 
-def encode(enc, text: str) -> list[int]:
-    """The ids that enc.encode_ordinary(text) gives, for texts of any length."""
-    if len(text) <= LONG_SPACE:
+def encode(enc, text: str, pieces=None) -> list[int]:
+    """The ids that enc.encode_ordinary(text) gives, for texts of any length if enc's pattern is PATTERN and `pieces` encodes a text as one piece."""
+    if len(text) <= LONG_SPACE or pieces is None:
         return enc.encode_ordinary(text)
     out: list[int] = []
     for part in split_safely(text):
@@ -61,7 +69,7 @@ def encode(enc, text: str) -> list[int]:
             # The pattern leaves the last character of a run to what follows it.
             end = m.end() if m.end() == len(part) else m.end() - 1
             out += enc.encode_ordinary(part[at : m.start()])
-            out += enc._encode_single_piece(part[m.start() : end])
+            out += pieces.encode_ordinary(part[m.start() : end])
             at = end
         out += enc.encode_ordinary(part[at:])
     return out
@@ -76,13 +84,13 @@ def encode_decode(df: DataFrame, text_col: str, rank_file: str, pattern: str) ->
     others = [c for c in kept if c != text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(rank_file, pattern)
+        enc, pieces = encoding(rank_file, pattern), piece_encoding(rank_file) if pattern == PATTERN else None
         for batch in batches:
             texts, start, size, ids, raw = batch.column(batch.schema.get_field_index(text_col)), 0, 0, [], []
             rest = batch.select(others)
             for k in range(batch.num_rows):
                 text = texts[k].as_py() or ""
-                ids.append(encode(enc, text))
+                ids.append(encode(enc, text, pieces))
                 raw.append(enc.decode_bytes(ids[-1]))
                 size += len(text)
                 if size >= BATCH_BYTES or k == batch.num_rows - 1:
