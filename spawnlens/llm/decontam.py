@@ -38,8 +38,8 @@ from .common import bounded_batches, tidy
 K1, B, BLOCKS, SEGMENTS, RETRIEVE, SHINGLE = 1.2, 0.75, 64, 4, 1.0, 5
 #: Shares of the question's and the answer's shingles that must be in the passage, and of the question's alone.
 QUESTION, ANSWER, ALONE = 0.5, 0.5, 0.9
-#: Characters of items in a shard.
-SHARD_CHARS = 8 << 20
+#: Characters of items in a shard; passages of a text that are tested at once.
+SHARD_CHARS, PASSAGES = 8 << 20, 256
 WORDS = re.compile(r"\w+")
 SENTENCE_END = re.compile(r"[.!?]\s+")
 
@@ -176,6 +176,20 @@ class Index:
                     if c[0] < item:
                         to(c, item)
 
+    def reaching(self, terms: np.ndarray, size: int, near: np.ndarray) -> Iterator[int]:
+        """The near passages whose segments' largest weights may reach the threshold in some block; PASSAGES at once, however long the text is."""
+        absent = len(self.terms)
+        for a in range(0, len(near), PASSAGES):
+            if not near[a : a + PASSAGES].any():
+                continue
+            part = terms[a * size : (a + PASSAGES + SEGMENTS) * size]
+            keys = np.unique(np.arange(len(part)) // size * (absent + 1) + part)
+            first = np.searchsorted(keys, np.arange(-(-len(part) // size)) * (absent + 1))
+            sums = np.concatenate([np.zeros((1, self.most.shape[1])), np.cumsum(np.add.reduceat(self.most[keys % (absent + 1)], first, axis=0), axis=0)])
+            at = np.arange(len(near[a : a + PASSAGES]))
+            reach = (sums[np.minimum(at + SEGMENTS + 1, len(first))] - sums[at]).max(axis=1)
+            yield from (a + np.flatnonzero(near[a : a + PASSAGES] & (reach >= RETRIEVE - 1e-9))).tolist()
+
     def leaked(self, text: str | None) -> list[tuple[int, float, float, float]]:
         """(item id, best score, question's and answer's overlap) of the items that leaked into the text."""
         ws = words(text)
@@ -193,13 +207,8 @@ class Index:
         near = np.cumsum(near)[:-1] > 0
         if not near.any():
             return []
-        keys = np.unique(np.arange(len(ws)) // size * (absent + 1) + terms)
-        first = np.searchsorted(keys, np.arange(-(-len(ws) // size)) * (absent + 1))
-        sums = np.concatenate([np.zeros((1, self.most.shape[1])), np.cumsum(np.add.reduceat(self.most[keys % (absent + 1)], first, axis=0), axis=0)])
-        at = np.arange(max(1, len(first) - SEGMENTS))
-        reach = (sums[np.minimum(at + SEGMENTS + 1, len(first))] - sums[at]).max(axis=1)
         found: dict[int, tuple[float, float, float]] = {}
-        for k in np.flatnonzero(near & (reach >= RETRIEVE - 1e-9)).tolist():
+        for k in self.reaching(terms, size, near):
             a, b = k * size, (k + SEGMENTS + 1) * size
             own = np.unique(terms[a:b])
             if self.most[own].sum(axis=0).max() < RETRIEVE - 1e-9:

@@ -97,3 +97,15 @@ def test_shards(spark, prose, monkeypatch):
     whole = pairs(spark, docs, items)
     monkeypatch.setattr(D, "SHARD_CHARS", 200)
     assert pairs(spark, docs, items) == whole == brute(docs, items)
+
+
+def test_long_texts_in_blocks_of_passages(prose, monkeypatch):
+    rng = random.Random(3)
+    items = [(i, prose(12, 5000 + i) + ". " + prose(6, 6000 + i) + ".") for i in range(30)]
+    ix = index(items)
+    text = " ".join(prose(rng.randint(1, 60), 100 + i) + " " + rng.choice(items)[1] for i in range(120))
+    whole = ix.leaked(text)
+    assert whole
+    for at_once in (1, 3, 7):
+        monkeypatch.setattr(D, "PASSAGES", at_once)
+        assert ix.leaked(text) == whole
