@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, tidy
 
-#: Bytes of query vectors that one pass over the candidates serves; bins of a histogram; candidates and queries scored at once.
-SLICE_BYTES, BINS, ROWS, QUERIES = 8 << 20, 4096, 2048, 512
+#: Bytes of query vectors that one pass over the candidates serves; bins of a histogram at most; bytes of a task's histograms of all queries, if
+#: these have LEAST bins; candidates and queries scored at once.
+SLICE_BYTES, BINS, HISTOGRAM_BYTES, LEAST, ROWS, QUERIES = 8 << 20, 4096, 64 << 20, 64, 2048, 512
 NONE = np.iinfo(np.int64).min
 
 
@@ -121,29 +122,38 @@ def _range(found: DataFrame, sl: Slice, scale: float) -> tuple[np.ndarray, np.nd
     return n, lo, hi
 
 
-def _narrow(found: DataFrame, sl: Slice, scale: float, lo, width, need) -> DataFrame:
-    """Counts by query and bin of width scores from lo, bin BINS for all above; a task's bins below its own need-th score are left out."""
+def bins_of(queries: int) -> int:
+    """Bins of each query's histogram."""
+    return max(LEAST, min(BINS, HISTOGRAM_BYTES // (8 * max(1, queries))))
+
+
+def _narrow(found: DataFrame, sl: Slice, scale: float, lo, width, need, bins_at_once: int) -> DataFrame:
+    """Each query's bin of width scores from lo in which its need-th highest lies, the last bin being all above; a task leaves its bins below its own need-th out."""
     sent = found.sparkSession.sparkContext.broadcast((sl, lo, width, need))
 
     def run(batches):
         s, lo, width, need = sent.value
         counts: dict[int, np.ndarray] = {}
         for at, _, scores in s.scored(batches, scale):
-            bins = np.where(scores < lo[at][:, None], -1, np.minimum((scores - lo[at][:, None]) // width[at][:, None], BINS))
+            bins = np.where(scores < lo[at][:, None], -1, np.minimum((scores - lo[at][:, None]) // width[at][:, None], bins_at_once))
             for k, q in enumerate(at):
                 if need[q]:
-                    got = np.bincount(bins[k][bins[k] >= 0], minlength=BINS + 1)
+                    got = np.bincount(bins[k][bins[k] >= 0], minlength=bins_at_once + 1)
                     counts[q] = counts[q] + got if q in counts else got
-        out: list[list[int]] = [[], [], []]
+        out: list[list[int]] = [[], [], [], []]
         for q, c in counts.items():
             above = np.cumsum(c[::-1])[::-1] - c
             at = np.flatnonzero((c > 0) & (above < need[q]))
             out[0] += [q] * len(at)
             out[1] += at.tolist()
             out[2] += c[at].tolist()
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["q", "bin", "n"])
+            out[3] += [int(need[q])] * len(at)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["q", "bin", "n", "need"])
 
-    return found.mapInArrow(tidy(run), "q long, bin long, n long").groupBy("q", "bin").agg(F.sum("n").alias("n"))
+    # Dealt by query once, for the sums and for the running sums over them.
+    counted = found.mapInArrow(tidy(run), "q long, bin long, n long, need long").repartition("q").groupBy("q", "bin", "need").agg(F.sum("n").alias("n"))
+    upto = counted.withColumn("upto", F.sum("n").over(Window.partitionBy("q").orderBy(F.col("bin").desc())))
+    return upto.where((F.col("upto") >= F.col("need")) & (F.col("upto") - F.col("n") < F.col("need"))).select("q", "bin")
 
 
 def _select(found: DataFrame, sl: Slice, scale: float, kth, k: int) -> DataFrame:
@@ -173,21 +183,16 @@ def search(candidates: DataFrame, queries: DataFrame, k: int, id_col: str = "vec
     for sl in slices(queries, id_col, vec_col, scale):
         n, lo, hi = _range(found, sl, scale)
         need = np.minimum(n, k)
-        width = np.maximum(1, -(-(hi - lo + 1) // BINS))
+        bins = bins_of(len(sl.ids))
+        width = np.maximum(1, -(-(hi - lo + 1) // bins))
         while True:
-            rows = _narrow(found, sl, scale, lo, width, need).toArrow()
-            q, b, c = (np.asarray(rows[x]) for x in ("q", "bin", "n"))
-            order = np.lexsort((-b, q))
-            q, b, c = q[order], b[order], c[order]
-            run = np.cumsum(c)
-            first = np.searchsorted(q, q)
-            run -= np.where(first > 0, run[first - 1], 0)
-            hit = np.flatnonzero((run >= need[q]) & (run - c < need[q]))
-            lo[q[hit]] += b[hit] * width[q[hit]]
-            hi[q[hit]] = lo[q[hit]] + width[q[hit]] - 1
+            rows = _narrow(found, sl, scale, lo, width, need, bins).toArrow()  # a row for each query of the slice
+            q, b = (np.asarray(rows[x]) for x in ("q", "bin"))
+            lo[q] += b * width[q]
+            hi[q] = lo[q] + width[q] - 1
             if (width == 1).all():
                 break
-            width = np.maximum(1, -(-(hi - lo + 1) // BINS))
+            width = np.maximum(1, -(-(hi - lo + 1) // bins))
         parts.append(_select(found, sl, scale, lo, k))
     if not parts:
         return candidates.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")

@@ -57,3 +57,15 @@ def test_slices(spark, monkeypatch):
     rows = [(i, [f32(rng.uniform(-1, 1)) for _ in range(3)]) for i in range(0, 1200)]
     monkeypatch.setattr(topk, "SLICE_BYTES", 200)
     assert run(spark, rows) == brute(rows, 10)
+
+
+def test_few_bins(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, [f32(rng.gauss(0, 3)) for _ in range(6)], 0, 0.0) for i in range(400)]
+    want = brute(rows, 5)
+    monkeypatch.setattr(topk, "HISTOGRAM_BYTES", 1)
+    monkeypatch.setattr(topk, "LEAST", 2)
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert topk.bins_of(4) == 2
+    got = topk.search(df, df.where("vec_id % 100 = 0"), k=5)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
