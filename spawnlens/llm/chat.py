@@ -3,7 +3,8 @@
 Each turn is formatted by a template that marks turns and escapes control characters in roles and texts reversibly. Conversations that begin
 with the same turns share the nodes of those turns: the packed output holds every node's text once, depth first, with its offset in the
 output, its position in a conversation, the spans of it that a loss covers, and the offsets of all that it may attend to
-before itself (its ancestors), merged where they touch.
+before itself (its ancestors), merged where they touch. `tokens` puts the same tree out in tokens: each node's ids once, a position id for
+each token, a loss mask, and the ancestors' intervals in tokens.
 
 A node is known by a chained hash of all turns up to it. No group is gathered: conversations pass through tasks as sorted streams, the
 depth-first order is a distributed sort by the tree path of the first conversation through a node and by depth, and
@@ -25,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, tidy
+from .tokenizer import encode, encoding, piece_encoding
+from .tokenizer import PATTERN as SPLITTABLE
 
 # The template.
 OPEN, AFTER_ROLE, CLOSE = "<|turn ", "|>\n", "<|end|>\n"
@@ -127,13 +130,60 @@ def _attend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _batch(out, ["node", "attends"], [pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))])
 
 
+def from_parts(sums: DataFrame, size) -> DataFrame:
+    """Replaces part and local, a running sum of sizes within the partition, by start, the sum over all partitions."""
+    ends = sorted((r["part"], r["n"]) for r in sums.groupBy("part").agg(F.max(F.col("local") + size).alias("n")).collect())  # a row for each partition
+    offsets, at = [], 0
+    for p, n in ends:
+        offsets.append((p, at))
+        at += n
+    base = F.broadcast(sums.sparkSession.createDataFrame(offsets, "part int, base long"))
+    return sums.join(base, "part").withColumn("start", F.col("base") + F.col("local")).drop("part", "local", "base")
+
+
+def tokens(packed: DataFrame, rank_file: str, pattern: str, materialise) -> DataFrame:
+    """The packed output in tokens, a row for each node: node, parent, depth, token_ids, loss_mask (of each token), start, end (token offsets in the output),
+    position_ids (of each token in a conversation), attends (token intervals of all ancestors).
+
+    A turn's mark, its text and its end are encoded apart, so that the loss mask covers whole tokens and no token crosses nodes.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        enc, pieces = encoding(rank_file, pattern), piece_encoding(rank_file) if pattern == SPLITTABLE else None
+        part, total = TaskContext.get().partitionId(), 0
+        for b in batches:
+            ids, masks, starts = [], [], []
+            for text, lo, hi in zip(*(b.column(k).to_pylist() for k in (5, 6, 7)), strict=True):
+                cut = [encode(enc, x, pieces) for x in (text[:lo], text[lo:hi], text[hi:])]
+                ids.append([i for x in cut for i in x])
+                masks.append([k == 1 for k, x in enumerate(cut) for _ in x])
+                starts.append(total)
+                total += len(ids[-1])
+            columns = [*b.columns[:5], pa.array(ids, pa.list_(pa.int32())), pa.array(masks, pa.list_(pa.bool_())), pa.array([part] * b.num_rows, pa.int32()), pa.array(starts, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "parent", "depth", "from", "to", "token_ids", "loss_mask", "part", "local"])
+
+    schema = "node binary, parent binary, depth long, from long, to long, token_ids array<int>, loss_mask array<boolean>, part int, local long"
+    in_order = packed.select("node", "parent", "depth", F.col("start").alias("from"), F.col("end").alias("to"), "formatted", "loss_start", "loss_end").orderBy("from")
+    sums = materialise(in_order.mapInArrow(tidy(run), schema), "chat-tokens")
+    placed = from_parts(sums, F.size("token_ids")).withColumn("end", F.col("start") + F.size("token_ids"))
+    # An ancestors' interval begins where a node does and ends where one does.
+    spans = packed.select("node", F.explode("attends").alias("a")).select("node", F.col("a.start").alias("from"), F.col("a.end").alias("to"))
+    spans = spans.join(placed.select("from", F.col("start").alias("s")), "from").join(placed.select("to", F.col("end").alias("e")), "to")
+    spans = spans.groupBy("node").agg(F.array_sort(F.collect_list(F.struct(F.col("s").alias("start"), F.col("e").alias("end")))).alias("attends"), F.sum(F.col("e") - F.col("s")).alias("pos"))
+    whole = placed.join(spans, "node", "left")
+    pos, size = F.coalesce("pos", F.lit(0).cast("long")), F.size("token_ids")
+    positions = F.transform(F.sequence(F.lit(0), size - 1), lambda k: pos + k)  # a node has its marks' tokens at least
+    return whole.select("node", "parent", "depth", "token_ids", "loss_mask", "start", "end", positions.alias("position_ids"), F.coalesce("attends", F.array().cast("array<struct<start: bigint, end: bigint>>")).alias("attends"))
+
+
 def pack(turn_rows: DataFrame, materialise) -> DataFrame:
     """The packed output, a row for each node: node, parent, depth, start, end (offsets in the output), pos (position of its first character in a
     conversation), formatted, loss_start, loss_end, attends array<struct<start, end>>. Sorted by start it is the depth-first text.
 
     materialise(df, tag) writes a table to the shared folder and reads it again.
     """
-    spark = turn_rows.sparkSession
     # One conversation of each tree path stands for its copies; the order of paths is the order of the tree.
     owners = turn_rows.where(F.col("path").isNotNull()).groupBy("path").agg(F.min(F.struct(F.col("conv_id").isNotNull().alias("set"), F.col("conv_id").alias("conv_id"))).alias("o"))
     ranked = materialise(owners.orderBy("path").select(F.col("o.conv_id").alias("conv_id"), F.monotonically_increasing_id().alias("rank")), "chat-rank")
@@ -143,13 +193,7 @@ def pack(turn_rows: DataFrame, materialise) -> DataFrame:
     schema = NODES
     in_order = nodes.select("node", "parent", F.col("idx").alias("depth"), "pos", "first", "formatted", "loss_start", "loss_end").orderBy("first", "depth")
     sums = materialise(in_order.mapInArrow(tidy(_running), schema), "chat-nodes")
-    ends = sorted((r["part"], r["n"]) for r in sums.groupBy("part").agg(F.max(F.col("local") + F.length("formatted")).alias("n")).collect())  # a row for each partition
-    offsets, at = [], 0
-    for p, n in ends:
-        offsets.append((p, at))
-        at += n
-    base = F.broadcast(spark.createDataFrame(offsets, "part int, base long"))
-    placed = sums.join(base, "part").withColumn("start", F.col("base") + F.col("local")).drop("part", "local", "base").withColumn("end", F.col("start") + F.length("formatted"))
+    placed = from_parts(sums, F.length("formatted")).withColumn("end", F.col("start") + F.length("formatted"))
     steps = own.select("conv_id", "idx", "node", "rank").join(placed.select("node", "start", "end", "first"), "node")
     steps = steps.select("conv_id", "idx", "node", "start", (F.col("end") - F.col("start")).alias("size"), (F.col("rank") == F.col("first")).alias("owned"))
     attends = steps.repartition("conv_id").sortWithinPartitions("conv_id", "idx").mapInArrow(tidy(_attend), "node binary, attends array<struct<start: bigint, end: bigint>>")

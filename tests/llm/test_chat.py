@@ -72,3 +72,28 @@ def test_one_long_conversation_and_many_copies(spark):
     rows = [(1, t, ("user", "assistant")[t % 2], f"t{t}") for t in range(3000)] + [(c, t, "user", f"same {t}") for c in range(2, 200) for t in range(3)]
     got, _, packed = run(spark, rows)
     assert got == brute(rows) and packed.count() == 3003
+
+
+def test_tokens(spark):
+    P = pytest.importorskip("public_tokenizers")
+    enc = chat.encoding(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    rng = random.Random(5)
+    rows = [(c, t, ("user", "assistant")[t % 2], rng.choice(["hello there", "b", "c\\ <|d"])) for c in range(40) for t in range(1 + c % 5)] + [(90, 0, None, None), (91, 0, "assistant", " " * 5000)]
+    _, _, packed = run(spark, rows)
+    nodes = {bytes(r["node"]): r for r in packed.collect()}
+    got = sorted(chat.tokens(packed, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, materialise).collect(), key=lambda r: r["start"])
+    assert [bytes(r["node"]) for r in got] == sorted(nodes, key=lambda n: nodes[n]["start"])
+    at, by = 0, {bytes(r["node"]): r for r in got}
+    for r in got:
+        node = nodes[bytes(r["node"])]
+        assert enc.decode_bytes(r["token_ids"]) == node["formatted"].encode()
+        assert enc.decode_bytes([i for i, m in zip(r["token_ids"], r["loss_mask"], strict=True) if m]) == node["formatted"][node["loss_start"] : node["loss_end"]].encode()
+        assert r["start"] == at and r["end"] == at + len(r["token_ids"])
+        at, up, before = r["end"], bytes(r["parent"]), []
+        while up:
+            before.append(by[up])
+            up = bytes(by[up]["parent"])
+        n = sum(len(x["token_ids"]) for x in before)
+        assert r["position_ids"] == list(range(n, n + len(r["token_ids"])))
+        assert [x for a in r["attends"] for x in range(a["start"], a["end"])] == sorted(x for b in before for x in range(b["start"], b["end"]))
+    assert chat.tokens(packed.where("false"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN, materialise).count() == 0
