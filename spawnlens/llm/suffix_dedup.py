@@ -7,7 +7,7 @@ previous-smaller pointers are set, and each group's order is then emitted by fol
 in a recursion.
 
 To spread the work, each window of `length` bytes is keyed by its minimiser, the least hash of its ANCHOR-byte pieces; equal windows have equal
-minimisers. A run of windows with one minimiser is a string of its own. First the minimisers alone are exchanged, to find those of several
+minimisers. A run of windows with one minimiser is a string of its own. First the minimisers alone (32 bits of each in its bucket) are exchanged, to find those of several
 documents; then, for these, digests of their strings with the smallest document each is in, and digests of what stands to the left and
 to the right of the minimiser: two strings that have a window in common agree on one side at least. Strings that agree with no other are
 in no order to be found: their windows belong to their smallest document. The others, as at the ends of a passage, are exchanged
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import gc
 import pickle
+from array import array
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -37,21 +38,24 @@ from pyspark.sql import types as T
 from .common import bounded_batches, release_memory, tidy
 
 #: Bytes of a repeated string, of a minimiser's pieces, of text in a part; windows of a string at most; documents that make a key hot.
-LENGTH, ANCHOR, PART_BYTES, RUN, HOT = 50, 16, 4 << 20, 4096, 100_000
+LENGTH, ANCHOR, PART_BYTES, RUN, HOT = 50, 16, 4 << 20, 4096, 20_000
 #: Instead of digests to the left and right, where these are not known; and which side of strings agrees with another.
 UNKNOWN, ON_LEFT, ON_RIGHT, IN_DOUBT = 0, 1, 2, 4
 #: Where a string has no piece that is one symbol: it is whole, or a window of a hot minimiser. The symbol, over those of bytes.
 WHOLE, WINDOW, PIECE = -1, -2, 258
-#: Symbols of small groups that are sorted together.
-TOGETHER = 1 << 15
+#: Symbols of small groups that are sorted together, and of those that are sorted in compact arrays; windows that are compared at once.
+TOGETHER, COMPACT, ROWS = 1 << 15, 1 << 17, 1 << 13
+#: Bytes of texts that are looked at together, and of a section of a long text.
+SECTION = 1 << 18
 
 
-def suffix_array(symbols: Sequence[int]) -> list[int]:
+def suffix_array(symbols: Sequence[int]) -> Sequence[int]:
     """Start positions of the suffixes in ascending order. Symbols are positive integers."""
     s = [*symbols, 0]
     n = len(s)
-    at = sorted(range(n), key=s.__getitem__)  # suffixes by group; a group is a range, known by its start
-    place, group, size, before = [0] * n, [0] * n, [0] * n, [-1] * n
+    many = (lambda x: array("i", x)) if n > COMPACT else list  # lists are faster, but take five times the memory
+    at = many(sorted(range(n), key=s.__getitem__))  # suffixes by group; a group is a range, known by its start
+    place, group, size, before = (many([x]) * n for x in (0, 0, 0, -1))
     start = 0
     for k, p in enumerate(at):
         if k and s[p] != s[at[k - 1]]:
@@ -104,14 +108,16 @@ def suffix_array(symbols: Sequence[int]) -> list[int]:
                 if new != h:
                     for k in range(new, new + m):
                         group[at[k]] = new
-    out, done, free = [n - 1] + [0] * (n - 1), [False] * n, list(range(n))
+    del place, size, at
+    out, done, free = many([0]) * n, bytearray(n), many(range(n))
+    out[0] = n - 1
     for i in range(n):
         p = out[i] - 1
         while p >= 0 and not done[p]:
             g = group[p]
             out[free[g]] = p
             free[g] += 1
-            done[p] = True
+            done[p] = 1
             p = before[p]
     return out[1:]
 
@@ -121,7 +127,7 @@ def repeated_windows(strings: list[np.ndarray], owners: list[int], length: int)
     if len(strings) == 1:
         return [np.full(len(strings[0]) - length + 1, owners[0], np.int64)]
     starts = np.cumsum([0] + [len(x) + 1 for x in strings[:-1]])
-    symbols = np.ones(starts[-1] + len(strings[-1]), np.int64)  # 1 stands between strings, less than every symbol
+    symbols = np.ones(starts[-1] + len(strings[-1]), np.int32)  # 1 stands between strings, less than every symbol
     owner, whole = np.zeros(len(symbols), np.int64), np.zeros(len(symbols), bool)
     for a, x, d in zip(starts.tolist(), strings, owners, strict=True):
         symbols[a : a + len(x)] = x
@@ -129,8 +135,11 @@ def repeated_windows(strings: list[np.ndarray], owners: list[int], length: int)
         whole[a : a + len(x) - length + 1] = True
     order = np.array(suffix_array(symbols.tolist()))
     order = order[whole[order]]  # suffixes that are a window of one string; equal windows are neighbours
-    windows = np.lib.stride_tricks.sliding_window_view(symbols, length)[order]
-    first = np.flatnonzero(np.concatenate([[True], (windows[1:] != windows[:-1]).any(axis=1)]))
+    windows, new = np.lib.stride_tricks.sliding_window_view(symbols, length), np.ones(len(order), bool)
+    for a in range(1, len(order), ROWS):  # in blocks, as a copy of all windows is as long as all symbols `length` times
+        b = min(len(order), a + ROWS)
+        new[a:b] = (windows[order[a:b]] != windows[order[a - 1 : b - 1]]).any(axis=1)
+    first = np.flatnonzero(new)
     least = np.minimum.reduceat(owner[order], first)
     owner[order] = np.repeat(least, np.diff(np.append(first, len(order))))
     return [owner[a : a + len(x) - length + 1] for a, x in zip(starts.tolist(), strings, strict=True)]
@@ -151,6 +160,16 @@ def window_keys(raw: bytes, length: int) -> tuple[np.ndarray, np.ndarray]:
     return pieces, h
 
 
+def short_keys(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """A minimiser's bucket, and 32 bits of the rest: two minimisers of one bucket that share them only make work."""
+    return (keys % np.uint64(buckets)) << np.uint64(32) | (keys // np.uint64(buckets)) & np.uint64(0xFFFFFFFF)
+
+
+def _in_bucket(keys: np.ndarray) -> np.ndarray:
+    """What a bucket is sent of its short keys."""
+    return (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+
 def _changes(x: np.ndarray) -> np.ndarray:
     """Where a value differs from the one before it."""
     return np.concatenate([np.ones(min(1, len(x)), bool), x[1:] != x[:-1]])
@@ -159,9 +178,44 @@ def _changes(x: np.ndarray) -> np.ndarray:
 def _places(pieces: np.ndarray, keys: np.ndarray, start: np.ndarray, end: np.ndarray, length: int) -> np.ndarray:
     """Where the one piece stands that is the minimiser of a run of windows; -1 if there are several."""
     span = length - ANCHOR + 1
-    at = start[:, None] + np.arange(2 * span)  # one piece is in `span` windows, so longer runs have several
-    hit = (pieces[np.minimum(at, len(pieces) - 1)] == keys[:, None]) & (at < (end + span - 1)[:, None])
-    return np.where((hit.sum(axis=1) == 1) & (end - start <= span), start + hit.argmax(axis=1), -1)
+    wide = np.lib.stride_tricks.sliding_window_view(np.concatenate([pieces, np.zeros(2 * span, np.uint64)]), 2 * span)
+    out = np.empty(len(start), np.int64)
+    for a in range(0, len(start), ROWS):
+        k = slice(a, a + ROWS)
+        hit = (wide[start[k]] == keys[k, None]) & (np.arange(2 * span) < (end[k] + span - 1 - start[k])[:, None])
+        # One piece is in `span` windows, so longer runs have several.
+        out[k] = np.where((hit.sum(axis=1) == 1) & (end[k] - start[k] <= span), start[k] + hit.argmax(axis=1), -1)
+    return out
+
+
+def _fold(h: np.ndarray, x: np.ndarray) -> np.ndarray:
+    h = (h ^ x) * np.uint64(0x9FB21C651E98DF25)
+    return h ^ (h >> np.uint64(29))
+
+
+def digests(pieces: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """64-bit digests of the strings from start to stop, from the hashes of pieces that cover them."""
+    h = _fold(np.full(len(start), 0xA0761D6478BD642F, np.uint64), (stop - start).astype(np.uint64))
+    last, own, at = stop - ANCHOR, np.arange(len(start)), start
+    while (more := at < last[own]).any():
+        own, at = own[more], at[more]
+        h[own] = _fold(h[own], pieces[at])
+        at = at + ANCHOR
+    return _fold(h, pieces[last])
+
+
+def found_at(known: np.ndarray, known_keys: np.ndarray, digest: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Where in the known strings, sorted by digest, the one with this digest and minimiser is; -1 if it is unknown."""
+    if not len(known):
+        return np.full(len(digest), -1)
+    at = np.searchsorted(known, digest)
+    while True:
+        here = np.minimum(at, len(known) - 1)
+        same = (at < len(known)) & (known[here] == digest)
+        other = same & (known_keys[here] != key)
+        if not other.any():
+            return np.where(same, here, -1)
+        at = at + other
 
 
 def _narrow(x: np.ndarray) -> np.ndarray:
@@ -182,22 +236,39 @@ def _quick(run, *tables: pa.Table) -> pa.Table:
         release_memory()
 
 
-def _digests(raw: bytes, start: np.ndarray, end: np.ndarray, length: int) -> np.ndarray:
-    """Digests of the strings of runs of windows."""
-    view, digest = memoryview(raw), xxhash.xxh3_64_intdigest
-    return np.array([digest(view[a:b]) for a, b in zip(start.tolist(), (end + length - 1).tolist(), strict=True)], np.uint64)
-
-
-def runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of runs of windows with one key, RUN windows at most."""
-    start = np.flatnonzero(_changes(keys))
-    end = np.append(start[1:], len(keys))
+def runs(keys: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of runs of valid windows with one key, RUN windows at most."""
+    differ = keys[1:] != keys[:-1]
+    new, last = valid.copy(), valid.copy()
+    new[1:] &= differ | ~valid[:-1]
+    last[:-1] &= differ | ~valid[1:]
+    start, end = np.flatnonzero(new), np.flatnonzero(last) + 1
     if (end - start).max(initial=0) > RUN:
-        cut = [(a, b) for x, y in zip(start.tolist(), end.tolist(), strict=True) for a in range(x, y, RUN) for b in [min(a + RUN, y)]]
-        start, end = np.array([c[0] for c in cut]), np.array([c[1] for c in cut])
+        cuts = [(a, b) for x, y in zip(start.tolist(), end.tolist(), strict=True) for a in range(x, y, RUN) for b in [min(a + RUN, y)]]
+        start, end = np.array([c[0] for c in cuts]), np.array([c[1] for c in cuts])
     return start, end
 
 
+class Sections:
+    """Texts that are looked at together, end to end, long ones in overlapping sections of which each window is in one."""
+
+    def __init__(self, parts: list[tuple[int, int, int, bytes]], length: int):
+        """parts: row, id, offset in its text, bytes."""
+        self.raw = b"".join(x[3] for x in parts)
+        self.row, self.owner, self.base = (np.array([x[k] for x in parts], np.int64) for k in range(3))
+        sizes = np.array([len(x[3]) for x in parts])
+        self.start = np.cumsum(sizes) - sizes
+        self.pieces, self.keys = window_keys(self.raw, length)
+        edges = np.zeros(len(self.raw) + 1, np.int64)  # the windows across the end of a section are none
+        edges[self.start + sizes - length + 1] += 1
+        edges[self.start + sizes] -= 1
+        self.valid = np.cumsum(edges)[: len(self.keys)] == 0
+
+    def of(self, start: np.ndarray) -> np.ndarray:
+        """The section of each place."""
+        return np.searchsorted(self.start, start, "right") - 1
+
+
 def _packed_texts(text_col: str):
     """Replaces texts by their compressed bytes, null by those of an empty text: each is exchanged once and read four times."""
 
@@ -222,11 +293,20 @@ def _unpacked(texts: pa.ChunkedArray) -> Iterator[bytes]:
         yield unpack(x.as_py())
 
 
-def _texts(table: pa.Table, id_col: str, text_col: str, length: int):
-    """(row, id, bytes) of texts that have a window."""
+def _sections(table: pa.Table, id_col: str, text_col: str, length: int) -> Iterator[Sections]:
+    """The texts that have a window and an id."""
+    parts, size = [], 0
     for k, (d, raw) in enumerate(zip(table.column(id_col).to_pylist(), _unpacked(table.column(text_col)), strict=True)):
-        if d is not None and len(raw) >= length:
-            yield k, d, raw
+        if d is None:
+            continue
+        for at in range(0, len(raw) - length + 1, SECTION):
+            parts.append((k, d, at, raw[at : at + SECTION + length - 1]))
+            size += len(parts[-1][3])
+            if size >= SECTION:
+                yield Sections(parts, length)
+                parts, size = [], 0
+    if parts:
+        yield Sections(parts, length)
 
 
 def _by_bucket(keys: np.ndarray, buckets: int):
@@ -274,82 +354,93 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return [(n, tuple(c[at] for c in columns)) for n, at in _by_bucket(number, parts)]
 
     def own_keys(table: pa.Table) -> pa.Table:
-        """The part's minimisers and in how many of its documents each is."""
+        """The part's minimisers and in how many of its texts each is."""
         if not table.num_rows:
             return packed("bucket", [], part=0)
-        keys, owners, part = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], table.column("_part")[0].as_py()
-        for _, d, raw in _texts(table, id_col, text_col, length):
-            k = window_keys(raw, length)[1]
-            keys.append(k[_changes(k)])
-            owners.append(np.full(len(keys[-1]), d, np.int64))
-        key, owner = np.concatenate(keys), np.concatenate(owners)
-        order = np.lexsort((owner, key))
-        key, owner = key[order], owner[order]
-        new = _changes(key)
-        first = np.flatnonzero(new)
-        count = np.add.reduceat((new | _changes(owner)).astype(np.int32), first) if len(first) else np.zeros(0, np.int32)
-        return packed("bucket", split(key[first], key[first], _narrow(count)), part=part)
+        keys, part = [np.zeros(0, np.uint64)], table.column("_part")[0].as_py()
+        for x in _sections(table, id_col, text_col, length):
+            new = x.valid.copy()
+            new[1:] &= (x.keys[1:] != x.keys[:-1]) | ~x.valid[:-1]
+            at = np.flatnonzero(new)
+            key, row = short_keys(x.keys[at], parts), x.row[x.of(at)]
+            order = np.lexsort((key, row))  # each text counts a minimiser once
+            keys.append(key[order][_changes(key[order]) | _changes(row[order])])
+        key, count = np.unique(np.concatenate(keys), return_counts=True)
+        return packed("bucket", split(key >> np.uint64(32), _in_bucket(key), _narrow(count)), part=part)
 
     def shared_keys(table: pa.Table) -> pa.Table:
         """By part: its minimisers that are in several documents, and those in over `hot`."""
         blobs = [pickle.loads(x) for x in table.column("blob").to_pylist()]
         key, count = (np.concatenate([b[k] for b in blobs]) for k in range(2))
         part = np.repeat(np.asarray(table.column("part")), [len(b[0]) for b in blobs])
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         key, count, part = key[order], count[order], part[order]
         first = np.flatnonzero(_changes(key))
         docs_in = np.repeat(np.add.reduceat(count.astype(np.int64), first), np.diff(np.append(first, len(key))))
         own = docs_in > 1
-        return packed("_part", [(p, (keys[~many], keys[many])) for p, (keys, many) in split(part[own].astype(np.uint64), key[own], docs_in[own] > hot)])
+        return packed("_part", [(p, (keys[~many], keys[many])) for p, (keys, many) in split(part[own].astype(np.uint64), key[own], docs_in[own] > hot)], bucket=table.column("bucket")[0].as_py())
+
+    def answered(found: pa.Table) -> list[tuple]:
+        """Blobs that buckets sent to a part, minimisers with their bucket."""
+        out = []
+        for bucket, blob in zip(found.column("bucket").to_pylist(), found.column("blob").to_pylist(), strict=True):
+            got = pickle.loads(blob)
+            widened = (0, 1) if len(got) == 2 else (0, 3)
+            out.append(tuple(x.astype(np.uint64) | np.uint64(bucket << 32) if k in widened and x is not None else x for k, x in enumerate(got)))
+        return out
 
     def shared_runs(table: pa.Table, shared: np.ndarray):
-        """(row, id, bytes, hashes of pieces, minimisers, starts, ends) of each text's runs of windows whose minimiser is shared."""
+        """Of texts that are looked at together, the runs of windows whose minimiser is shared: (texts, minimisers, short minimisers, starts, ends, sections)."""
         if not len(shared):
             return
-        for k, d, raw in _texts(table, id_col, text_col, length):
-            pieces, keys = window_keys(raw, length)
-            start, end = runs(keys)
-            own = keys[start]
+        for x in _sections(table, id_col, text_col, length):
+            start, end = runs(x.keys, x.valid)
+            own = short_keys(x.keys[start], parts)
             at = np.minimum(np.searchsorted(shared, own), len(shared) - 1)
             if (found := np.flatnonzero(shared[at] == own)).size:
-                yield k, d, raw, pieces, own[found], start[found], end[found]
+                yield x, x.keys[start[found]], own[found], start[found], end[found], x.of(start[found])
+
+    def union(keys: list[np.ndarray]) -> np.ndarray:
+        return np.unique(np.concatenate([np.zeros(0, np.uint64), *keys]))
 
-    def merged(found: pa.Table, k: int) -> np.ndarray:
-        return np.unique(np.concatenate([np.zeros(0, np.uint64), *(b[k] for b in map(pickle.loads, found.column("blob").to_pylist()) if b[k] is not None)]))
+    def by_string(digest: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """An order in which equal strings are neighbours."""
+        order = np.argsort(digest)
+        if ((digest[order][1:] == digest[order][:-1]) & (key[order][1:] != key[order][:-1])).any():
+            order = np.lexsort((digest, key))
+        return order
 
     def own_records(table: pa.Table, found: pa.Table) -> pa.Table:
-        """Of the part's strings under shared minimisers: minimiser, digest, digests to the left and right, smallest document, number of documents."""
+        """Of the part's strings under shared minimisers: minimiser, digest, digests to the left and right, smallest document, whether there are more."""
         if not table.num_rows or not found.num_rows:
             return packed("bucket", [], part=0)
-        part, records, side, digest_of = table.column("_part")[0].as_py(), [], (length - ANCHOR + 1) // 2, xxhash.xxh3_64_intdigest
-        for _, d, raw, pieces, keys, start, end in shared_runs(table, merged(found, 0)):
-            digests = _digests(raw, start, end, length).tolist()
-            for key, digest, a, b, p in zip(keys.tolist(), digests, start.tolist(), end.tolist(), _places(pieces, keys, start, end, length).tolist(), strict=True):
-                stop = b + length - 1
-                if p < 0:  # where a window's minimiser stands is not known: it may agree with any other
-                    left = right = UNKNOWN
-                else:
-                    left = digest_of(raw[p - side : p + ANCHOR]) if p - side >= a else digest
-                    right = digest_of(raw[p : p + ANCHOR + side]) if p + ANCHOR + side <= stop else digest
-                records.append((key, digest, left, right, d))
-        key, digest = (np.array([r[k] for r in records], np.uint64) for k in range(2))
-        left, right = (np.array([r[k] & 0xFFFFFFFF for r in records], np.uint32) for k in (2, 3))  # they only save work: half of their bits will do
-        owner = np.array([r[4] for r in records], np.int64)
-        order = np.lexsort((owner, digest))
+        part, side, records = table.column("_part")[0].as_py(), (length - ANCHOR + 1) // 2, [[np.zeros(0, t)] for t in (np.uint64, np.uint64, np.uint32, np.uint32, np.int64)]
+        for x, whole_keys, keys, start, end, section in shared_runs(table, union([b[0] for b in answered(found)])):
+            stop = end + length - 1
+            digest = digests(x.pieces, start, stop)
+            p = _places(x.pieces, whole_keys, start, end, length)
+            sides = []
+            # Where a window's minimiser stands is not known, it may agree with any other.
+            for a, b in ((p - side, p + ANCHOR), (p, p + ANCHOR + side)):
+                inside = (p >= 0) & (a >= start) & (b <= stop)
+                near = digests(x.pieces, np.where(inside, a, start), np.where(inside, b, stop))
+                sides.append(np.where(p < 0, UNKNOWN, near & np.uint64(0xFFFFFFFF)).astype(np.uint32))  # they only save work: half of their bits will do
+            for to, got in zip(records, (keys, digest, *sides, x.owner[section]), strict=True):
+                to.append(got)
+        key, digest, left, right, owner = map(np.concatenate, records)
+        order = by_string(digest, key)
         key, digest, left, right, owner = (x[order] for x in (key, digest, left, right, owner))
-        new = _changes(digest)
-        first = np.flatnonzero(new)
-        count = np.add.reduceat((new | _changes(owner)).astype(np.int32), first) if len(first) else np.zeros(0, np.int32)
-        return packed("bucket", split(key[first], *(x[first] for x in (key, digest, left, right)), _narrow(owner[first]), _narrow(count)), part=part)
+        first = np.flatnonzero(_changes(digest) | _changes(key))
+        least, most = (f.reduceat(owner, first) if len(first) else owner for f in (np.minimum, np.maximum))
+        return packed("bucket", split(key[first] >> np.uint64(32), _in_bucket(key[first]), *(x[first] for x in (digest, left, right)), _narrow(least), most > least), part=part)
 
     def verdicts(table: pa.Table) -> pa.Table:
         """By part: minimisers, digests and owners of strings that agree with no other; minimisers and digests of those that do."""
         blobs = [pickle.loads(x) for x in table.column("blob").to_pylist()]
-        key, digest, left, right, owner, count = (np.concatenate([b[k] for b in blobs]) for k in range(6))
+        key, digest, left, right, owner, more = (np.concatenate([b[k] for b in blobs]) for k in range(6))
         part = np.repeat(np.asarray(table.column("part")), [len(b[0]) for b in blobs])
 
-        def groups(*by: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            order = np.lexsort(by)
+        def groups(order: np.ndarray, *by: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             first = np.flatnonzero(np.any([_changes(x[order]) for x in by], axis=0))
             return order, first, np.diff(np.append(first, len(key)))
 
@@ -360,33 +451,37 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
         side = np.zeros(len(key), np.uint8)
         for x, mark in ((left, ON_LEFT), (right, ON_RIGHT)):
-            order, first, size = groups(x, key)
+            order, first, size = groups(np.argsort(key.astype(np.uint64) << np.uint64(32) | x), x, key)
             low, high = np.minimum.reduceat(digest[order], first), np.maximum.reduceat(digest[order], first)
             side[spread(low != high, order, size)] |= mark
-        order, first, size = groups(key)
-        doubt = np.logical_or.reduceat((left == UNKNOWN)[order], first) & (np.minimum.reduceat(digest[order], first) != np.maximum.reduceat(digest[order], first))
-        side[spread(doubt, order, size)] = IN_DOUBT
-        order, first, size = groups(digest)
+        if (left == UNKNOWN).any():
+            order, first, size = groups(np.argsort(key), key)
+            doubt = np.logical_or.reduceat((left == UNKNOWN)[order], first) & (np.minimum.reduceat(digest[order], first) != np.maximum.reduceat(digest[order], first))
+            side[spread(doubt, order, size)] = IN_DOUBT
+        order, first, size = groups(by_string(digest, key), digest, key)
         least = spread(np.minimum.reduceat(owner[order], first), order, size)
-        docs_in = spread(np.add.reduceat(count[order].astype(np.int64), first), order, size)
-        # The smallest document with the whole string takes it from the others, whatever else agrees with parts of it.
-        same = (docs_in > 1) & ((count > 1) | (owner > least))
+        # The smallest document with the whole string takes it from the others, whatever else agrees with parts of it. A document is in one part.
+        same = more | (owner > least)
         agree = side > 0
         rows: dict[int, list] = {}
         for p, own in split(part[same].astype(np.uint64), key[same], digest[same], _narrow(least[same])):
             rows.setdefault(p, [None] * 6)[:3] = own
         for p, own in split(part[agree].astype(np.uint64), key[agree], digest[agree], side[agree]):
             rows.setdefault(p, [None] * 6)[3:6] = own
-        return packed("_part", [(p, (*x, None)) for p, x in rows.items()])
+        return packed("_part", [(p, (*x, None)) for p, x in rows.items()], bucket=table.column("bucket")[0].as_py())
 
     def own_strings(table: pa.Table, found: pa.Table) -> pa.Table:
         """The part's strings that agree with others, and windows of hot minimisers: minimiser, group, bytes, smallest and largest document."""
         if not table.num_rows or not found.num_rows:
             return packed("bucket", [], part=0)
         part, strings = table.column("_part")[0].as_py(), {}
-        blobs = [pickle.loads(x) for x in found.column("blob").to_pylist()]
+        blobs = answered(found)
         spread = {k for b in blobs if len(b) == 2 for k in b[1].tolist()}
-        wanted = {k: side for b in blobs if len(b) == 7 and b[4] is not None for k, side in zip(b[4].tolist(), b[5].tolist(), strict=True)}
+        told = [b for b in blobs if len(b) == 7 and b[4] is not None]
+        wanted_keys, wanted, sides = (np.concatenate([np.zeros(0, t), *(b[k] for b in told)]) for k, t in ((3, np.uint64), (4, np.uint64), (5, np.uint8)))
+        order = np.argsort(wanted)
+        wanted_keys, wanted, sides = wanted_keys[order], wanted[order], sides[order]
+        spread_keys = np.array(sorted(spread), np.uint64)
         keys_of = [x for b in blobs for x in ((b[1],) if len(b) == 2 else (b[3],)) if x is not None]
         half = (length - ANCHOR + 1) // 2
 
@@ -395,8 +490,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             _, lo, hi = held.get(digest, (at, d, d))
             held[digest] = (at, min(lo, d), max(hi, d))
 
-        for _, d, raw, pieces, keys, start, end in shared_runs(table, np.unique(np.concatenate([np.zeros(0, np.uint64), *keys_of]))):
-            for key, digest, a, b in zip(keys.tolist(), _digests(raw, start, end, length).tolist(), start.tolist(), end.tolist(), strict=True):
+        for x, whole_keys, keys, start, end, section in shared_runs(table, union(keys_of)):
+            raw, pieces = x.raw, x.pieces
+            digest = digests(pieces, start, end + length - 1)
+            at = found_at(wanted, wanted_keys, digest, keys)
+            need = np.flatnonzero((at >= 0) | np.isin(keys, spread_keys))
+            mark = np.where(at >= 0, sides[np.maximum(at, 0)], 0) if len(sides) else np.zeros(len(at), np.uint8)
+            for whole_key, key, digest, side, a, b, d in zip(*(y[need].tolist() for y in (whole_keys, keys, digest, mark, start, end, x.owner[section])), strict=True):
                 stop = b + length - 1
                 if key in spread:
                     for w in range(a, b):
@@ -404,18 +504,17 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         h = xxhash.xxh3_64_intdigest(s)
                         keep(key, h, s, WINDOW, h, 0, d)
                     continue
-                side = wanted.get(digest, 0)
                 if side == IN_DOUBT:
                     keep(key, key, raw[a:stop], WHOLE, digest, 0, d)
                 elif side:
                     # A window has the minimiser's piece with `half` bytes to its left, or else with as many to its right.
-                    p = a + int((pieces[a : stop - ANCHOR + 1] == key).argmax())
-                    if side & ON_LEFT and (y := min(b, p - half + 1)) > a:
-                        x = p - half
-                        keep(key, xxhash.xxh3_64_intdigest(raw[x : p + ANCHOR], ON_LEFT), raw[a:x] + raw[p + ANCHOR : y + length - 1], x - a, digest, 0, d)
-                    if side & ON_RIGHT and (x := max(a, p - half + 1)) < b:
-                        y = p + ANCHOR + half
-                        keep(key, xxhash.xxh3_64_intdigest(raw[p:y], ON_RIGHT), raw[x:p] + raw[y:stop], p - x, digest, x - a, d)
+                    p = a + int((pieces[a : stop - ANCHOR + 1] == whole_key).argmax())
+                    if side & ON_LEFT and (to := min(b, p - half + 1)) > a:
+                        at = p - half
+                        keep(key, xxhash.xxh3_64_intdigest(raw[at : p + ANCHOR], ON_LEFT), raw[a:at] + raw[p + ANCHOR : to + length - 1], at - a, digest, 0, d)
+                    if side & ON_RIGHT and (at := max(a, p - half + 1)) < b:
+                        to = p + ANCHOR + half
+                        keep(key, xxhash.xxh3_64_intdigest(raw[p:to], ON_RIGHT), raw[at:p] + raw[to:stop], p - at, digest, at - a, d)
         by: dict[int, list] = {}
         for (key, group, s, hole), held in strings.items():
             by.setdefault(group % parts, []).append((key, group, s, hole, [(k, *v) for k, v in held.items()]))
@@ -467,38 +566,57 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 batch, size = ([], []), 0
         if batch[0]:
             sort_out(*batch, short)
-        return packed("_part", [(p, (*[None] * 6, own)) for p, own in out.items()])
+        return packed("_part", [(p, (*[None] * 6, own)) for p, own in out.items()], bucket=0)
 
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
     def removed(table: pa.Table, found: pa.Table) -> pa.Table:
-        covers: dict[int, list[tuple[int, int]]] = {}
-        blobs = [pickle.loads(x) for x in found.column("blob").to_pylist()] if table.num_rows else []
-        whole_strings = {digest: least for b in blobs if b[0] is not None for digest, least in zip(b[1].tolist(), b[2].tolist(), strict=True)}
-        answered = [x for b in blobs if b[6] is not None for x in b[6]]
-        sorted_out: dict[int, list] = {}
-        for _, _, digest, own in answered:
-            sorted_out.setdefault(digest, []).extend(own)
-        spread = {key for key, is_hot, _, _ in answered if is_hot}
-        shared = np.unique(np.concatenate([np.zeros(0, np.uint64), *(b[0] for b in blobs if b[0] is not None), np.array([x[0] for x in answered], np.uint64)]))
-        for k, d, raw, _, keys, start, end in shared_runs(table, shared):
-            for key, digest, a, b in zip(keys.tolist(), _digests(raw, start, end, length).tolist(), start.tolist(), end.tolist(), strict=True):
-                if (least := whole_strings.get(digest)) is not None:
-                    if least < d:
-                        covers.setdefault(k, []).append((a, b + length - 1))
-                        continue
+        blobs = answered(found) if table.num_rows else []
+        told = [b for b in blobs if b[0] is not None]
+        whole_keys, whole_strings, least_of = (np.concatenate([np.zeros(0, t), *(b[k] for b in told)]) for k, t in ((0, np.uint64), (1, np.uint64), (2, np.int64)))
+        order = np.argsort(whole_strings)
+        whole_keys, whole_strings, least_of = whole_keys[order], whole_strings[order], least_of[order]
+        sorted_out: dict[tuple[int, int], list] = {}
+        spread = set()
+        for b in blobs:
+            for key, is_hot, digest, own in b[6] or ():
+                sorted_out.setdefault((key, digest), []).extend(own)
+                if is_hot:
+                    spread.add(key)
+        strings_of = np.array(sorted(digest for _, digest in sorted_out), np.uint64)
+        spread_keys = np.array(sorted(spread), np.uint64)
+        shared = union([whole_keys, np.array([key for key, _ in sorted_out], np.uint64)])
+        covers: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] for _ in range(3)]  # rows, starts, ends
+        for x, _, keys, start, end, section in shared_runs(table, shared):
+            digest, stop, owner = digests(x.pieces, start, end + length - 1), end + length - 1, x.owner[section]
+            shift = x.base[section] - x.start[section]
+            at = found_at(whole_strings, whole_keys, digest, keys)
+            gone = (at >= 0) & (least_of[np.maximum(at, 0)] < owner) if len(least_of) else np.zeros(len(at), bool)
+            rest = np.flatnonzero(~gone & (np.isin(digest, strings_of) | np.isin(keys, spread_keys)))
+            more: list[list[int]] = [[], [], []]
+            for key, digest, a, b, d, row, moved in zip(*(y[rest].tolist() for y in (keys, digest, start, end, owner, x.row[section], shift)), strict=True):
                 if key in spread:
-                    covers.setdefault(k, []).extend((w, w + length) for w in range(a, b) if any(x[2] < d for x in sorted_out.get(xxhash.xxh3_64_intdigest(raw[w : w + length]), ())))
+                    cut = [(w, w + length) for w in range(a, b) if any(y[2] < d for y in sorted_out.get((key, xxhash.xxh3_64_intdigest(x.raw[w : w + length])), ()))]
                 else:
-                    covers.setdefault(k, []).extend((a + x, a + y + length - 1) for x, y, least in sorted_out.get(digest, ()) if least < d)
+                    cut = [(a + y, a + z + length - 1) for y, z, least in sorted_out.get((key, digest), ()) if least < d]
+                more[0] += [row] * len(cut)
+                more[1] += [y + moved for y, _ in cut]
+                more[2] += [z + moved for _, z in cut]
+            for to, got, extra in zip(covers, (x.row[section][gone], (start + shift)[gone], (stop + shift)[gone]), more, strict=True):
+                to.append(got)
+                to.append(np.array(extra, np.int64))
+        row, start, end = map(np.concatenate, covers)
+        far = end.max(initial=0) + 2  # rows are set so far apart that spans of different ones do not touch
+        order = np.lexsort((start, row))
+        start, end = (start + row * far)[order], np.maximum.accumulate((end + row * far)[order])
+        first = np.flatnonzero(np.concatenate([np.ones(min(1, len(start)), bool), start[1:] > end[:-1]]))
+        last = np.append(first[1:] - 1, len(start) - 1) if len(first) else first
+        merged_of: dict[int, list[list[int]]] = {}
+        for a, b in zip(start[first].tolist(), end[last].tolist(), strict=True):
+            merged_of.setdefault(a // far, []).append([a % far, b % far])
         sizes, spans, rest = [], [], []
         for k, raw in enumerate(_unpacked(table.column(text_col))):
-            merged: list[list[int]] = []
-            for a, b in sorted(covers.get(k, ())):
-                if merged and a <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], b)
-                else:
-                    merged.append([a, b])
+            merged = merged_of.get(k, [])
             if whole_characters:
                 merged = whole(raw, merged)
             at, pieces = 0, []
@@ -511,7 +629,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             rest.append(b"".join(pieces))
         return pa.table([*(table.column(c) for c in others), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(span)), pa.array(rest, pa.binary())], names=[*others, "n_bytes", "spans", "kept"])
 
-    by_bucket, by_part = "bucket int, part int, blob binary", "_part int, blob binary"
+    by_bucket, by_part = "bucket int, part int, blob binary", "_part int, bucket int, blob binary"
     shared = grouped.applyInArrow(own_keys, by_bucket).groupBy("bucket").applyInArrow(shared_keys, by_part)
     told = grouped.cogroup(shared.groupBy("_part")).applyInArrow(lambda t, f: _quick(own_records, t, f), by_bucket).groupBy("bucket").applyInArrow(verdicts, by_part)
     strings = grouped.cogroup(shared.unionByName(told).groupBy("_part")).applyInArrow(lambda t, f: _quick(own_strings, t, f), by_bucket)

@@ -77,3 +77,46 @@ def test_whole_characters(spark):
     got = {r["doc_id"]: r["kept"] for r in S.remove_repeats(spark.createDataFrame([(i, t, "x", "s") for i, t in rows], SCHEMA), whole_characters=True).collect()}
     assert {i: bytes(t).decode() for i, t in got.items()} == {1: "x" + "é" * 30, 2: "y" * 60, 3: "ÿ"}
     assert S.whole("aéb".encode(), [[2, 4]]) == [[3, 4]] and S.whole("aéb".encode(), [[0, 2]]) == [[0, 1]] and S.whole("é".encode(), [[1, 2]]) == []
+
+
+def test_keys_that_share_their_bits(spark, prose, monkeypatch):
+    """Minimisers that look alike only make work."""
+    monkeypatch.setattr(S, "short_keys", lambda keys, buckets: (keys % S.np.uint64(buckets)) << S.np.uint64(32) | keys % S.np.uint64(5))
+    passages = [prose(30, 1000 + i) for i in range(5)]
+    check(spark, [(i, prose(20, i) + passages[i % 5] + prose(10, 50 + i)) for i in range(30)], part_bytes=4000)
+
+
+def test_texts_of_several_sections(spark, prose):
+    rng = random.Random(9)
+    long = prose(130_000, 1)
+    assert len(long) > 2 * S.SECTION
+    edited = "".join(c if rng.random() > 0.0005 else "#" for c in long)
+    at = [S.SECTION + k for k in (-30, 0, 1, 25, 49, 50, 60)]
+    rows = [(1, long[at[0] - 40 : at[-1] + 40]), (2, long), (3, "x" + edited), (4, "a" * 600_000), (5, "a" * 60), (0, "b" * 50 + "a" * 55)]
+    check(spark, rows)
+
+
+def test_sections_hold_each_window_once():
+    texts = [bytes(range(256)) * 3, b"z" * 50, b"q" * 49, bytes(300)]
+    x = S.Sections([(k, 10 * k, 0, t) for k, t in enumerate(texts) if len(t) >= 50], 50)
+    at = S.np.flatnonzero(x.valid)
+    assert [x.raw[k : k + 50] for k in at] == [t[k : k + 50] for t in texts if len(t) >= 50 for k in range(len(t) - 49)]
+    assert x.row[x.of(at)].tolist() == [k for k, t in enumerate(texts) for _ in range(len(t) - 49)]
+
+
+def test_digests():
+    rng = random.Random(3)
+    raw = bytes(rng.choice(b"ab") for _ in range(4000))
+    pieces, _ = S.window_keys(raw, 50)
+    start = S.np.array([rng.randrange(3000) for _ in range(4000)])
+    stop = start + S.np.array([rng.choice((33, 50, 51, 66, 67, 84, 300, 900)) for _ in range(4000)])
+    by = {}
+    for a, b, d in zip(start.tolist(), stop.tolist(), S.digests(pieces, start, stop).tolist(), strict=True):
+        by.setdefault(d, set()).add(raw[a:b])
+    assert all(len(x) == 1 for x in by.values()) and len(by) == len({raw[a:b] for a, b in zip(start.tolist(), stop.tolist(), strict=True)})
+
+
+def test_strings_are_found_by_digest_and_minimiser():
+    known, keys = S.np.array([1, 5, 5, 5, 9], S.np.uint64), S.np.array([0, 1, 2, 3, 0], S.np.uint64)
+    got = S.found_at(known, keys, S.np.array([5, 5, 5, 5, 9, 10, 0], S.np.uint64), S.np.array([3, 1, 2, 4, 0, 0, 0], S.np.uint64))
+    assert got.tolist() == [3, 1, 2, -1, 4, -1, -1]
