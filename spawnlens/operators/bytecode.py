@@ -87,6 +87,21 @@ def reachability(blocks: DataFrame) -> DataFrame:
     return jumped.withColumn("reachable", F.max(seed.cast("int")).over(within) == 1).drop("any_jump")
 
 
+def block_info(blocks: DataFrame) -> DataFrame:
+    """One row a block: start_pc, end_pc, n_instructions, contains_create, contains_create2, reachable, n_successors, n_predecessors.
+
+    Neighbours are counted, not spelt out: every jump leads to every JUMPDEST, so their lists grow with the square of a code.
+    """
+    whole, last = Window.partitionBy(KEY), F.col("last_op")
+    before_falls, before_jumps = F.lag(falls(last)).over(_blocks()), F.lag(jumps(last)).over(_blocks())
+    is_dest = F.col("first_op") == evm.JUMPDEST
+    from_jumps = F.when(is_dest, F.sum(jumps(last).cast("int")).over(whole)).otherwise(0)
+    from_fall = F.coalesce((before_falls & ~(is_dest & before_jumps)).cast("int"), F.lit(0))
+    counted = reachability(blocks).withColumn("n_predecessors", (from_jumps + from_fall).cast("bigint"))
+    info = counted.select(KEY, "start_pc", "end_pc", "n_instructions", "contains_create", "contains_create2", "reachable", "n_predecessors")
+    return info.join(edge_summary(blocks).select(KEY, "start_pc", "n_successors"), [KEY, "start_pc"])
+
+
 def verified(rows: DataFrame, blocks: DataFrame) -> DataFrame:
     """key, pc, op of creations in reachable blocks before what stops them."""
     alive = rows.where(F.col("op").isin(evm.CREATE, evm.CREATE2) & (F.col("stops") == 0))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector
@@ -44,14 +47,14 @@ def principal_scores(rows: DataFrame, k: int, x: str = "x", out: str = "scores")
 
 
 def varimax(loadings: np.ndarray, rounds: int = 20, tolerance: float = 1e-6) -> np.ndarray:
-    """The rotation of a small loading matrix that maximises the variance of squared loadings."""
+    """The rotation of a small loading matrix that maximises the variance of squared loadings; it ends when a round gains less than the tolerance."""
     p, k = loadings.shape
     turn, before = np.eye(k), 0.0
     for _ in range(rounds):
         turned = loadings @ turn
         u, s, v = np.linalg.svd(loadings.T @ (turned**3 - turned * (turned**2).sum(axis=0) / p))
         turn = u @ v
-        if before and s.sum() < before * (1 + tolerance):
+        if before and s.sum() - before < tolerance:
             break
         before = s.sum()
     return loadings @ turn
@@ -97,14 +100,62 @@ def centroid_silhouette(rows: DataFrame, x: str = "x") -> DataFrame:
     return each.select(own.alias("a"), other.alias("b")).agg(F.avg(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))).alias("silhouette"))
 
 
+def silhouette(rows: DataFrame, x: str = "x", at_once: int = 1024) -> DataFrame:
+    """The mean of (b - a) / max(a, b) over all rows, a and b being mean Euclidean distances to the others of the own and of the nearest other cluster; 0 for a
+    row alone in its cluster, null with fewer than two clusters.
+
+    Every row is measured against every row, as the measure asks: blocks of at_once rows or so against blocks, of which sums by row and cluster
+    remain. Use centroid_silhouette where that is too much.
+    """
+    sizes = rows.groupBy("label").agg(F.count("*").alias("size"))
+    n = sizes.agg(F.sum("size")).first()[0] or 0
+    blocks = max(1, -(-n // at_once))
+    placed = rows.select(F.monotonically_increasing_id().alias("_i"), "label", F.col(x).alias("v")).withColumn("_b", F.pmod(F.xxhash64("v", "_i"), F.lit(blocks)).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left, right = placed.withColumn("a", F.col("_b")).withColumn("b", every), placed.withColumn("b", F.col("_b")).withColumn("a", every)
+
+    def sums(one: pa.Table, other: pa.Table) -> pa.Table:
+        out: list[list] = [[], [], [], []]
+        if one.num_rows and other.num_rows:
+            p, q = (np.stack([np.asarray(v, float) for v in t.column("v").to_pylist()]) for t in (one, other))
+            own, labels = one.column("_i").to_pylist(), np.asarray(other.column("label"))
+            # Differences, not inner products: equal rows have no distance. Few rows at once, for the memory of their differences.
+            step = max(1, (1 << 22) // max(1, q.size))
+            d = np.concatenate([np.sqrt(((p[k : k + step, None, :] - q[None]) ** 2).sum(axis=2)) for k in range(0, len(p), step)])
+            for c in np.unique(labels):
+                out[0] += own
+                out[1] += one.column("label").to_pylist()
+                out[2] += [int(c)] * len(own)
+                out[3] += d[:, labels == c].sum(axis=1).tolist()
+        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.float64())], names=["_i", "label", "other", "d"])
+
+    found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(sums, "_i long, label long, other long, d double")
+    by = found.groupBy("_i", "label", "other").agg(F.sum("d").alias("d")).join(F.broadcast(sizes.select(F.col("label").alias("other"), "size")), "other")
+    alone = F.max(F.when(F.col("other") == F.col("label"), F.col("size")))
+    a = F.max(F.when(F.col("other") == F.col("label"), F.try_divide("d", F.col("size") - 1)))
+    b = F.min(F.when(F.col("other") != F.col("label"), F.col("d") / F.col("size")))
+    each = by.groupBy("_i").agg(a.alias("a"), b.alias("b"), alone.alias("own"))
+    width = F.when(F.col("b").isNull(), None).when(F.col("own") == 1, 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
+    return each.agg(F.avg(width).alias("silhouette"))
+
+
+def quality_of(rows: DataFrame, x: str = "x") -> dict[str, float]:
+    """silhouette (-1 where there is none), davies_bouldin (infinite where there is none) and score, silhouette - 0.1 davies_bouldin, of labelled rows."""
+    s, d = silhouette(rows, x).first()[0], davies_bouldin(rows, x).first()[0]
+    s, d = -1.0 if s is None else s, math.inf if d is None else d
+    return {"silhouette": s, "davies_bouldin": d, "score": s - 0.1 * d}
+
+
 def select_k(rows: DataFrame, least: int, most: int, x: str = "x") -> DataFrame:
-    """k, silhouette, davies_bouldin and score (silhouette - 0.1 davies_bouldin) of each k, best first."""
-    out: DataFrame | None = None
+    """k, silhouette, davies_bouldin and score of each k that gives two clusters at least, best first; one cluster if none does."""
+    out = []
     for k in range(max(2, least), max(3, most) + 1):
         found = kmeans(rows, k, x)
-        one = centroid_silhouette(found, x).crossJoin(davies_bouldin(found, x)).withColumn("k", F.lit(k))  # one row each
-        out = one if out is None else out.unionByName(one)
-    return out.withColumn("score", F.col("silhouette") - 0.1 * F.col("davies_bouldin")).orderBy(F.col("score").desc(), "k")
+        if found.select("label").distinct().count() >= 2:
+            q = quality_of(found, x)
+            out.append((k, q["silhouette"], q["davies_bouldin"], q["score"]))
+    out = sorted(out, key=lambda q: (-q[3], q[0])) or [(1, -1.0, math.nan, -math.inf)]
+    return rows.sparkSession.createDataFrame(out, "k int, silhouette double, davies_bouldin double, score double")
 
 
 def feature_means(rows: DataFrame, x: str = "x") -> DataFrame:
@@ -150,6 +201,47 @@ def trim_outliers(rows: DataFrame, share: float, least: int = 10, x: str = "px",
     return far.join(F.broadcast(bound), "label").where((F.col("_n") < least) | (F.col("_d") <= F.col("_b"))).drop("_cx", "_cy", "_n", "_d", "_b")
 
 
+def hull(points: np.ndarray) -> np.ndarray:
+    """Corners of the convex hull of points in the plane, counter-clockwise from the leftmost; points on its edges are none."""
+    points = np.unique(points, axis=0)
+    if len(points) < 3:
+        return points
+
+    def half(order) -> list:
+        out: list = []
+        for p in order:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]):
+                out.pop()
+            out.append(p)
+        return out[:-1]
+
+    corners = half(points.tolist()) + half(points[::-1].tolist())
+    return np.array(corners)
+
+
+def convex_hulls(rows: DataFrame, x: str = "px", y: str = "py") -> DataFrame:
+    """label, corner (from 0), px, py of each cluster's convex hull. Tasks send the corners of their own points only: the hull of hulls is the hull."""
+
+    def corners(by: dict) -> pa.RecordBatch:
+        rows_of = [(label, k, *p) for label, points in by.items() for k, p in enumerate(hull(points).tolist())]
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows_of], pa.int64()), pa.array([r[1] for r in rows_of], pa.int64()), *(pa.array([r[k] for r in rows_of], pa.float64()) for k in (2, 3))], names=["label", "corner", "px", "py"])
+
+    def own(batches):
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            labels, points = np.asarray(b.column(0)), np.stack([np.asarray(b.column(k)) for k in (1, 2)], axis=1)
+            for label in np.unique(labels).tolist():
+                held[label] = hull(np.concatenate([held.get(label, np.zeros((0, 2))), points[labels == label]]))
+        yield corners(held)
+
+    def whole(t: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([corners({t.column("label")[0].as_py(): np.stack([np.asarray(t.column(c)) for c in ("px", "py")], axis=1)})])
+
+    schema = "label long, corner long, px double, py double"
+    points = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col("label").isNotNull()).select(F.col("label").cast("long"), F.col(x).cast("double"), F.col(y).cast("double"))
+    return points.mapInArrow(own, schema).groupBy("label").applyInArrow(whole, schema)
+
+
 def sample_per_cluster(rows: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """At most n random rows of each cluster."""
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy("label").orderBy(F.rand(seed)))).where(F.col("_r") <= n).drop("_r")

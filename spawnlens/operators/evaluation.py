@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import evm, notes
-from . import kernel
+from . import bytecode as B
+from .order import numbered, repeated, running
 
 
 def outcome(truth: Column, detected: Column) -> Column:
@@ -37,8 +38,8 @@ def with_outcome(rows: DataFrame) -> DataFrame:
 def upper_median(rows: DataFrame, col: str) -> DataFrame:
     """The element in the upper middle of the sorted values, from counts by value, so that no list of all values is made."""
     counts = rows.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("v")).agg(F.count("*").alias("c"))
-    placed = counts.withColumn("upto", F.sum("c").over(Window.orderBy("v"))).withColumn("all", F.sum("c").over(Window.partitionBy(F.lit(1))))
-    return placed.where(F.col("upto") > F.floor(F.col("all") / 2)).agg(F.min("v").alias("median"))
+    placed, n = running(counts, ["v"], F.col("c"), "upto"), counts.agg(F.sum("c").alias("n"))
+    return placed.crossJoin(F.broadcast(n)).where(F.col("upto") > F.floor(F.col("n") / 2)).agg(F.min("v").alias("median"))  # one row
 
 
 def size_class(x: Column) -> Column:
@@ -46,10 +47,11 @@ def size_class(x: Column) -> Column:
 
 
 def ecdf(rows: DataFrame, col: str) -> DataFrame:
-    """value, frequency, cumulative share of the values up to it: (i + 1) / n at the last of ties, from counts by value."""
+    """Each row's value and (i + 1) / n, i being its place in the sorted values; ties have places of their own. Sorted and summed are the different values only."""
     counts = rows.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(F.count("*").alias("n"))
-    w = Window.orderBy("value")
-    return counts.withColumn("cdf", F.sum("n").over(w) / F.sum("n").over(Window.partitionBy(F.lit(1))))
+    all_of = counts.agg(F.sum("n").alias("all"))
+    each = repeated(running(counts, ["value"], F.col("n"), "upto"), "n", "j").crossJoin(F.broadcast(all_of))  # one row
+    return each.select("value", ((F.col("upto") - F.col("n") + F.col("j") + 1) / F.col("all")).alias("cdf"))
 
 
 def histogram(rows: DataFrame, col: str, width: float, cap: float) -> DataFrame:
@@ -62,25 +64,20 @@ def histogram(rows: DataFrame, col: str, width: float, cap: float) -> DataFrame:
 
 def explanations(rows: DataFrame) -> DataFrame:
     """Why factories were missed, by id: from the code's bytes and blocks."""
-    codes = rows.select(F.col("bytecode").alias("code")).distinct()
-    found = kernel.verdicts(codes).select("code", F.size("create_positions").alias("a"), F.size("create2_positions").alias("b"))
-    from . import bytecode as B
-
-    blocks = B.reachability(B.block_rows(B.with_blocks(B.instruction_rows(codes.withColumn("bytecode_hash", evm.bytecode_hash(F.col("code")))))))
+    blocks = B.reachability(B.block_rows(B.with_blocks(B.instruction_rows(B.distinct_codes(rows, "bytecode")))))
     held = blocks.where("contains_create or contains_create2").groupBy("bytecode_hash").agg(F.count("*").alias("blocks"), F.count_if("reachable").alias("reached"))
     text = F.lower(evm.strip_0x(F.col("bytecode")))
     bytes_ = evm.naive_count(text, "f0") + evm.naive_count(text, "f5")
-    joined = rows.join(found.withColumnRenamed("code", "bytecode"), "bytecode").withColumn("bytecode_hash", evm.bytecode_hash(F.col("bytecode"))).join(held, "bytecode_hash", "left")
+    joined = rows.where(F.col("bytecode").isNotNull()).withColumn("bytecode_hash", evm.bytecode_hash(F.col("bytecode"))).join(held, "bytecode_hash", "left")
     why = F.when(bytes_ == 0, "no creation bytes: a proxy or another contract creates").when(F.col("blocks").isNull(), "bytes in operands only").when(F.col("reached") == 0, "creating blocks are unreachable").otherwise("should have been found")
     return joined.select("id", why.alias("why"))
 
 
 def error_table(rows: DataFrame, wanted: str) -> DataFrame:
     """The exported table of one kind of error, numbered by address."""
-    kept = with_outcome(rows).where(F.col("outcome") == wanted)
-    place = F.row_number().over(Window.orderBy("address", "id"))  # errors are few: the table is for reading
+    kept = numbered(with_outcome(rows).where(F.col("outcome") == wanted), ["address", "id"])
     text = F.lower(evm.strip_0x(F.col("bytecode")))
     if wanted == "FP":
-        return kept.select(place.cast("bigint").alias("no"), "address", notes.contract_name(F.col("verification_notes")).alias("name"), "factory_type", "create_positions", "execution_time")
+        return kept.select("no", "address", notes.contract_name(F.col("verification_notes")).alias("name"), "factory_type", "create_positions", "execution_time")
     executed = F.coalesce(F.format_number(notes.executed_count(F.col("verification_notes")), 0), F.lit("Unknown"))
-    return kept.select(place.cast("bigint").alias("no"), "address", executed.alias("executed"), evm.naive_count(text, "f0").alias("create_bytes"), evm.naive_count(text, "f5").alias("create2_bytes"), notes.is_vanity(F.col("address")).alias("vanity"), "execution_time")
+    return kept.select("no", "address", executed.alias("executed"), evm.naive_count(text, "f0").alias("create_bytes"), evm.naive_count(text, "f5").alias("create2_bytes"), notes.is_vanity(F.col("address")).alias("vanity"), "execution_time")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import CHAINS, CUTOFF, PERIOD_DAYS
+from ..functions import evm
 
 
 def scan_window(contracts: DataFrame, start: str, end: str, least: int = 0, code_col: str = "code") -> DataFrame:
@@ -21,16 +23,94 @@ def scan_join(transactions: DataFrame, receipts: DataFrame, start: str, end: str
     return sent.join(done, sent["hash"] == done["transaction_hash"]).select(F.lower("contract_address").alias("address"), F.col("input").alias("code"), "block_timestamp", "block_number", "transaction_hash")
 
 
+def kept_codes(contracts: DataFrame, cutoff: str = CUTOFF) -> DataFrame:
+    """Contracts before the cutoff whose code is not empty."""
+    return contracts.where((F.col("block_timestamp") < F.to_timestamp(F.lit(cutoff))) & F.col("code").isNotNull() & (F.length("code") > 2))
+
+
+def scan_chain(kind: str, tables: dict[str, DataFrame], start: str, end: str) -> DataFrame:
+    """Contracts of one chain by the kind of its tables: direct (contracts) or join (transactions and receipts).
+
+    tables: by name; a function that reads one may stand for it, so that only the tables of the kind are read.
+    """
+    read = lambda name: tables[name]() if callable(tables[name]) else tables[name]
+    if kind == "direct":
+        found = scan_window(read("contracts"), start, end)
+    elif kind == "join":
+        found = scan_join(read("transactions"), read("receipts"), start, end)
+    else:
+        raise ValueError(f"unknown kind of scan: {kind}")
+    return found.select("address", "code", "block_timestamp", "block_number", "transaction_hash")
+
+
+def renamed(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The columns of a chain's table under common names: names is {common: own}."""
+    return rows.select(*[F.col(own).alias(common) for common, own in names.items()])
+
+
+def normalised(rows: DataFrame, now: Column | None = None) -> DataFrame:
+    """Fetched rows with addresses in lower case and times as times, and problem: why a row is to be passed over, null if it is good.
+
+    A time may be text by ISO 8601, with Z or an offset; a missing one is now. A row without an address, or whose time is no time, is bad.
+    """
+    told = F.col("block_timestamp")
+    time = F.expr("try_cast(block_timestamp AS timestamp)")
+    problem = F.when(F.col("address").isNull(), "address").when(told.isNotNull() & time.isNull(), "time")
+    fixed = F.when(told.isNull(), F.current_timestamp() if now is None else now).otherwise(time)
+    return rows.withColumns({"problem": problem, "address": F.lower("address"), "block_timestamp": fixed})
+
+
+def good(rows: DataFrame) -> DataFrame:
+    return rows.where("problem IS NULL").drop("problem")
+
+
+def last_block(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("chain").agg(F.max("block_number").alias("last_block"))
+
+
+def fetch_until_settled(wanted: DataFrame, cached, fetch, rounds: int = 100) -> int:
+    """Fetches what is wanted and not in the cache, again and again until nothing is left or a round brings nothing new; the number of addresses left.
+
+    cached(): the cache as it is now. fetch(left): tries to fetch addresses into the cache.
+    """
+    left = fetch_plan(wanted, cached()).count()
+    for _ in range(rounds):
+        if not left:
+            break
+        fetch(fetch_plan(wanted, cached()))
+        now = fetch_plan(wanted, cached()).count()
+        if now >= left:
+            break
+        left = now
+    return left
+
+
+def first_available(*providers) -> DataFrame:
+    """The first provider's rows that can be read and are not none; an error that names all failures if there are none."""
+    failures = []
+    for provider in providers:
+        try:
+            rows = provider()
+            if not rows.isEmpty():
+                return rows
+            failures.append("no rows")
+        except (PySparkException, OSError) as e:
+            failures.append(str(e).splitlines()[0])
+    raise FileNotFoundError("no provider has the rows: " + "; ".join(failures))
+
+
 def unique_codes(contracts: DataFrame, cutoff: str = CUTOFF) -> DataFrame:
-    """The first contract of each code and chain: by block, time, address. A min_by aggregates within tasks; no code's rows are gathered."""
-    kept = contracts.where((F.col("block_timestamp") < F.to_timestamp(F.lit(cutoff))) & F.col("code").isNotNull() & (F.length("code") > 2))
-    first = kept.groupBy("chain", "code").agg(F.min(F.struct("block_number", "block_timestamp", "address")).alias("f"))
-    return first.select("chain", "code", F.col("f.address").alias("address"), F.col("f.block_timestamp").alias("deployment_timestamp"), F.col("f.block_number").alias("block_number"))
+    """The first contract of each code and chain: by block, time, address. Codes stay where they are read: what is sorted and shuffled are their digests."""
+    kept = kept_codes(contracts, cutoff).select("chain", evm.bytecode_hash(F.col("code")).alias("bytecode_hash"), "block_number", "block_timestamp", "address")
+    first = kept.groupBy("chain", "bytecode_hash").agg(F.min(F.struct("block_number", "block_timestamp", "address")).alias("f"))
+    return first.select("chain", "bytecode_hash", F.col("f.address").alias("address"), F.col("f.block_timestamp").alias("deployment_timestamp"), F.col("f.block_number").alias("block_number"))
 
 
 def expand(contracts: DataFrame, codes: DataFrame, cutoff: str = CUTOFF) -> DataFrame:
     """All contracts before the cutoff that have one of the codes."""
-    return contracts.where(F.col("block_timestamp") < F.to_timestamp(F.lit(cutoff))).join(codes.select("code").distinct(), "code", "left_semi")
+    digest = F.sha2("code", 256)
+    wanted = codes.select(digest.alias("_k")).distinct()
+    return contracts.where(F.col("block_timestamp") < F.to_timestamp(F.lit(cutoff))).withColumn("_k", digest).join(wanted, "_k", "left_semi").drop("_k")
 
 
 def page(df: DataFrame, order: list[str], offset: int, limit: int) -> DataFrame:
@@ -69,9 +149,17 @@ def periods(spark: SparkSession, cutoff: str = CUTOFF, days: int = PERIOD_DAYS)
 
 
 def progress_log_latest(log: DataFrame, key: list[str], at: str = "updated_at") -> DataFrame:
-    """The newest row of each key of an append-only progress log."""
-    w = Window.partitionBy(*key).orderBy(F.col(at).desc())
-    return log.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    """The newest row of each key of an append-only progress log; it aggregates within tasks, so a key's rows are not gathered."""
+    rest = [c for c in log.columns if c not in (at, *key)]
+    newest = log.groupBy(*key).agg(F.max(F.struct(at, *rest)).alias("_m"))
+    return newest.select(*[F.col(c) if c in key else F.col("_m")[c].alias(c) for c in log.columns])
+
+
+def last_of_each(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Of rows with the same keys the last in the order, as a map that is filled in this order keeps it."""
+    rest = [c for c in rows.columns if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_m"))
+    return last.select(*[F.col(c) if c in keys else F.col("_m")[c].alias(c) for c in rows.columns])
 
 
 def result_summary(results: DataFrame) -> DataFrame:

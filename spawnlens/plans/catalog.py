@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import bytecode, evaluation, features, files, scans, traces
+from . import bytecode, evaluation, features, files, intake, scans, traces
 
-FAMILIES = (bytecode, scans, traces, evaluation, features, files)
+FAMILIES = (bytecode, scans, intake, traces, evaluation, features, files)
 QUERIES = {k: f for m in FAMILIES for k, f in m.QUERIES.items()}
 ORACLE_SQL = {k: s for m in FAMILIES for k, s in m.ORACLE_SQL.items()}

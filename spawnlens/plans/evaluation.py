@@ -167,7 +167,7 @@ def exec_time_percentiles(spark, sf_dir):
 
 
 def ecdf(spark, sf_dir):
-    return E.ecdf(_gt(spark, sf_dir), "execution_time").select("value", "n", F.round("cdf", 6).alias("cdf"))
+    return E.ecdf(_gt(spark, sf_dir), "execution_time").select("value", F.round("cdf", 6).alias("cdf"))
 
 
 def exec_time_hist(spark, sf_dir):
@@ -240,7 +240,7 @@ ORACLE_SQL = {
     "error_export_fn": _o(f"SELECT row_number() OVER (ORDER BY address, id) AS no, address, coalesce(format('{{:,}}', {_EXEC}), 'Unknown') AS executed, {_naive('f0')} AS create_bytes, {_naive('f5')} AS create2_bytes, {_VAN} AS vanity, execution_time FROM o WHERE outcome = 'FN'"),
     "error_export_fp": _o(f"SELECT row_number() OVER (ORDER BY address, id) AS no, address, {_NAME} AS name, factory_type, create_positions, execution_time FROM o WHERE outcome = 'FP'"),
     "exec_time_percentiles": sql("SELECT " + ", ".join(f"round(quantile_cont(execution_time, {q}), 6)::DOUBLE AS p{round(100 * q)}" for q in PERCENTILES) + ", round(avg(execution_time), 6) AS mean, max(execution_time) AS most FROM v_ground_truth", "ground_truth"),
-    "ecdf": sql("WITH c AS (SELECT execution_time AS value, count(*) AS n FROM v_ground_truth GROUP BY 1) SELECT value, n, round(sum(n) OVER (ORDER BY value) / sum(n) OVER (), 6) AS cdf FROM c", "ground_truth"),
+    "ecdf": sql("SELECT execution_time AS value, round(row_number() OVER (ORDER BY execution_time) / count(*) OVER (), 6) AS cdf FROM v_ground_truth WHERE execution_time IS NOT NULL", "ground_truth"),
     "exec_time_hist": sql("WITH t AS (SELECT least(max(execution_time), 100.0)::DOUBLE AS top FROM v_ground_truth) SELECT CAST(least(floor(execution_time / 2.0::DOUBLE), greatest(ceil(top / 2) - 1, 0)) AS BIGINT) AS bin, count(*) AS n FROM v_ground_truth, t WHERE execution_time >= 0 AND execution_time <= top GROUP BY 1", "ground_truth"),
     "gt_json_roundtrip": sql("SELECT id, address, is_factory_ground_truth, is_factory_detected, execution_time, source_type FROM v_ground_truth", "ground_truth"),
 }

@@ -62,17 +62,23 @@ def embed_pca2(spark, sf_dir):
 
 
 def kmeans_fixed(spark, sf_dir):
-    return C.kmeans(views.vectors(spark, sf_dir), 4).groupBy("label").agg(F.count("*").alias("n"))
+    """Clusters and their sizes, with the quality of the whole."""
+    found = C.kmeans(views.vectors(spark, sf_dir), 4)
+    return found.groupBy("label").agg(F.count("*").alias("n")).withColumns({k: F.lit(v) for k, v in C.quality_of(found).items()})
 
 
 def kmeans_select(spark, sf_dir):
     return C.select_k(views.vectors(spark, sf_dir), 2, 4)
 
 
-def silhouette(spark, sf_dir):
+def centroid_silhouette(spark, sf_dir):
     return C.centroid_silhouette(views.vectors(spark, sf_dir)).select(F.round("silhouette", 6).alias("silhouette"))
 
 
+def silhouette(spark, sf_dir):
+    return C.silhouette(views.vectors(spark, sf_dir)).select(F.round("silhouette", 6).alias("silhouette"))
+
+
 def davies_bouldin(spark, sf_dir):
     return C.davies_bouldin(views.vectors(spark, sf_dir)).select(F.round("davies_bouldin", 6).alias("davies_bouldin"))
 
@@ -108,13 +114,17 @@ def outlier_trim(spark, sf_dir):
     return C.trim_outliers(_points(spark, sf_dir), 0.1).select("id", "label")
 
 
+def cluster_hulls(spark, sf_dir):
+    return C.convex_hulls(_points(spark, sf_dir))
+
+
 def sample_per_cluster(spark, sf_dir):
     return C.sample_per_cluster(views.vectors(spark, sf_dir), 20).select("id", "label")
 
 
 QUERIES = {
     "src_counts": _features(SF.counts), "src_size": _features(SF.sizes), "src_flags": _features(SF.flags), "src_ratios": _features(SF.ratios), "src_libs": _features(SF.libraries), "src_bow": _features(SF.bag_of_words), "src_name_tokens": _features(SF.name_tokens),
-} | {f.__name__: f for f in (src_feature_vector, non_factory_source, standardise, pca_scores, varimax_scores, embed_pca2, kmeans_fixed, kmeans_select, silhouette, davies_bouldin, cluster_feature_means, cluster_top_features, cluster_summary, cluster_centroids, vector_dedup, rotate_points, outlier_trim, sample_per_cluster)}
+} | {f.__name__: f for f in (src_feature_vector, non_factory_source, standardise, pca_scores, varimax_scores, embed_pca2, kmeans_fixed, kmeans_select, silhouette, centroid_silhouette, davies_bouldin, cluster_feature_means, cluster_top_features, cluster_summary, cluster_centroids, vector_dedup, rotate_points, outlier_trim, cluster_hulls, sample_per_cluster)}
 
 
 def _q(p: str) -> str:
@@ -158,7 +168,8 @@ ORACLE_SQL = {k: sql(f"SELECT address, {', '.join(f'{e} AS {n}' for n, e in g.it
     "src_feature_vector": sql(f"SELECT address, {_VECTOR} AS features FROM v_sources WHERE content <> ''", "sources"),
     "non_factory_source": sql("SELECT address, content <> '' AND NOT (" + " OR ".join(f"contains(lower(content), '{w}')" for w in notes.FACTORY_WORDS) + ") AS accepted FROM v_sources", "sources"),
     "standardise": _v(f"WITH {_LONG}, s AS (SELECT k, avg(v) AS m, stddev_pop(v) AS sd FROM l GROUP BY k), z AS (SELECT id, k, CASE WHEN sd > 0 THEN (v - m) / sd ELSE 0 END AS z FROM l JOIN s USING (k)) SELECT id, round(max(z) FILTER (k = 0), 6) AS x1, round(max(z) FILTER (k = 1), 6) AS x2, round(max(z) FILTER (k = 63), 6) AS x64 FROM z GROUP BY id"),
-    "silhouette": _v(f"WITH {_C}, s AS (SELECT id, min(d) FILTER (label = other) AS a, min(d) FILTER (label <> other) AS b FROM d GROUP BY id) SELECT round(avg(coalesce((b - a) / nullif(greatest(a, b), 0), 0)), 6) AS silhouette FROM s"),
+    "silhouette": _v("WITH n AS (SELECT label, count(*) AS n FROM v_vectors GROUP BY 1), d AS (SELECT a.id, a.label, b.label AS other, sum(list_distance(a.x, b.x)) AS d FROM v_vectors a, v_vectors b GROUP BY ALL), s AS (SELECT d.id, d.label, max(n.n) FILTER (d.label = other) AS own, max(d / nullif(n.n - 1, 0)) FILTER (d.label = other) AS a, min(d / n.n) FILTER (d.label <> other) AS b FROM d JOIN n ON n.label = d.other GROUP BY ALL) SELECT round(avg(CASE WHEN b IS NULL THEN NULL WHEN own = 1 THEN 0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0) END), 6) AS silhouette FROM s"),
+    "centroid_silhouette": _v(f"WITH {_C}, s AS (SELECT id, min(d) FILTER (label = other) AS a, min(d) FILTER (label <> other) AS b FROM d GROUP BY id) SELECT round(avg(coalesce((b - a) / nullif(greatest(a, b), 0), 0)), 6) AS silhouette FROM s"),
     "davies_bouldin": _v(f"WITH {_C}, s AS (SELECT label, avg(d) AS s FROM d WHERE label = other GROUP BY label), r AS (SELECT a.label, max((a.s + b.s) / list_distance(ca.c, cb.c)) AS r FROM s a JOIN s b ON a.label <> b.label JOIN c ca ON ca.label = a.label JOIN c cb ON cb.label = b.label GROUP BY a.label) SELECT round(avg(r), 6) AS davies_bouldin FROM r"),
     "cluster_feature_means": _v(f"WITH {_MEANS} SELECT label, k, round(mean, 6) AS mean FROM m"),
     "cluster_top_features": _v(f"WITH {_TOP} SELECT label, k, round(mean, 6) AS mean, place FROM t"),

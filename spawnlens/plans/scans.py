@@ -41,7 +41,7 @@ def scan_contracts_join(spark, sf_dir):
 
 
 def unique_bytecodes(spark, sf_dir):
-    return S.unique_codes(_c(spark, sf_dir)).select("chain", evm.bytecode_hash(F.col("code")).alias("bytecode_hash"), "address", "deployment_timestamp", "block_number")
+    return S.unique_codes(_c(spark, sf_dir)).select("chain", "bytecode_hash", "address", "deployment_timestamp", "block_number")
 
 
 def paged_scan(spark, sf_dir):
@@ -53,7 +53,7 @@ def expand_bytecodes(spark, sf_dir):
 
 
 def verdict_expand(spark, sf_dir):
-    found = kernel.verdicts(S.unique_codes(_c(spark, sf_dir)).select("code").distinct()).select("code", "is_factory", "factory_type")
+    found = kernel.verdicts(S.kept_codes(_c(spark, sf_dir)).select("code").distinct()).select("code", "is_factory", "factory_type")
     return S.expand_verdicts(_c(spark, sf_dir), found).select("chain", "address", "is_factory", "factory_type")
 
 
@@ -137,7 +137,7 @@ def pending_periods(spark, sf_dir):
 
 def _log(spark, sf_dir):
     """An append-only log of periods: begun, and completed for some."""
-    p = views.events(spark, sf_dir).where("event_id < 200").select(F.when(F.col("user_id") % 2 == 0, "ethereum").otherwise("polygon").alias("chain"), (F.col("event_id") % 20).alias("period"), F.when(F.col("event_id") >= 150, "completed").otherwise("in_progress").alias("status"), (F.col("event_id") * 3).alias("contracts_processed"), F.col("event_id").alias("updated_at"))
+    p = views.events(spark, sf_dir).select(F.when(F.col("user_id") % 2 == 0, "ethereum").otherwise("polygon").alias("chain"), (F.col("event_id") % 20).alias("period"), F.when(F.col("event_id") % 4 == 3, "completed").otherwise("in_progress").alias("status"), (F.col("event_id") * 3).alias("contracts_processed"), F.col("event_id").alias("updated_at"))
     return p
 
 
@@ -158,7 +158,7 @@ def progress_default(spark, sf_dir):
 
 
 def progress_stats(spark, sf_dir):
-    rows = views.events(spark, sf_dir).where("event_id < 100").select("event_id", (F.col("event_id") * 10).alias("processed"), F.lit(1000).cast("bigint").alias("total_contracts"), (F.col("event_id") % 50).cast("double").alias("elapsed_s"))
+    rows = views.events(spark, sf_dir).select("event_id", (F.col("event_id") % 1000).alias("processed"), F.lit(1000).cast("bigint").alias("total_contracts"), (F.col("event_id") % 50).cast("double").alias("elapsed_s"))
     out = S.progress_stats(rows)
     return out.select("event_id", *[F.round(c, 6).alias(c) for c in ("progress_pct", "rate_per_hour", "eta_hours")])
 
@@ -203,7 +203,7 @@ def cache_coverage(spark, sf_dir):
 def factories_with_sources(spark, sf_dir):
     src = views.sources(spark, sf_dir).where("id % 4 <> 0").select("chain", "address", F.element_at("files", 1)["path"].alias("path"))
     made = S.factory_only(views.factory_addresses(spark, sf_dir)).select("chain", F.lower("factory_address").alias("address"), S.numeric("unique_creations").alias("unique_creations"))
-    return made.join(src, ["chain", "address"])
+    return made.join(S.last_of_each(src, ["chain", "address"], ["path"]), ["chain", "address"])
 
 
 def weights_lookup(spark, sf_dir):
@@ -236,7 +236,7 @@ def _r(text: str) -> str:
 _UNIQUE = f"uq AS (SELECT * FROM v_contracts WHERE block_timestamp < TIMESTAMP '{CUTOFF}' AND code IS NOT NULL AND length(code) > 2 QUALIFY row_number() OVER (PARTITION BY chain, code ORDER BY block_number, block_timestamp, address) = 1)"
 _CH = "ch AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}', '{d}')" for a, b, c, d in CHAINS) + ") t(chain, query_type, genesis, status))"
 _PER = f"""{_CH}, per AS (SELECT chain, greatest(CAST(e - INTERVAL {PERIOD_DAYS} DAY AS DATE), CAST(genesis AS DATE)) AS start_date, CAST(e AS DATE) AS end_date FROM (SELECT chain, genesis, unnest(generate_series(TIMESTAMP '{CUTOFF}', CAST(genesis AS TIMESTAMP) + INTERVAL 1 DAY, INTERVAL (-{PERIOD_DAYS}) DAY)) AS e FROM ch WHERE status = 'active'))"""
-_LOG = "lg AS (SELECT CASE WHEN user_id % 2 = 0 THEN 'ethereum' ELSE 'polygon' END AS chain, event_id % 20 AS period, CASE WHEN event_id >= 150 THEN 'completed' ELSE 'in_progress' END AS status, event_id * 3 AS contracts_processed, event_id AS updated_at FROM events WHERE event_id < 200)"
+_LOG = "lg AS (SELECT CASE WHEN user_id % 2 = 0 THEN 'ethereum' ELSE 'polygon' END AS chain, event_id % 20 AS period, CASE WHEN event_id % 4 = 3 THEN 'completed' ELSE 'in_progress' END AS status, event_id * 3 AS contracts_processed, event_id AS updated_at FROM events)"
 _NUM = "TRY_CAST({} AS DOUBLE)"
 _U, _T = _NUM.format("unique_creations"), _NUM.format("total_creations")
 _CACHED = "cached AS (SELECT chain, address FROM v_sources WHERE id % 3 = 0)"
@@ -267,7 +267,7 @@ ORACLE_SQL = {
     "progress_upsert": f"WITH {_LOG} SELECT * FROM lg QUALIFY row_number() OVER (PARTITION BY chain, period ORDER BY updated_at DESC) = 1",
     "progress_replace": f"WITH {_LOG} SELECT * FROM lg WHERE chain <> 'polygon' UNION ALL (SELECT * FROM lg WHERE chain = 'polygon' ORDER BY updated_at DESC LIMIT 1)",
     "progress_default": f"WITH {_CH}, {_LOG}, last AS (SELECT * FROM lg QUALIFY row_number() OVER (PARTITION BY chain ORDER BY updated_at DESC) = 1) SELECT ch.chain, coalesce(contracts_processed, 0) AS processed_contracts, coalesce(last.status, 'not_started') AS status FROM ch LEFT JOIN last USING (chain)",
-    "progress_stats": "WITH r AS (SELECT event_id, event_id * 10 AS processed, event_id % 50 AS s FROM events WHERE event_id < 100), q AS (SELECT *, CASE WHEN s > 0 THEN processed / s ELSE 0.0 END::DOUBLE AS rate FROM r) SELECT event_id, round(processed * 100.0::DOUBLE / 1000, 6) AS progress_pct, round(rate * 3600, 6) AS rate_per_hour, round(CASE WHEN rate > 0 THEN (1000 - processed) / rate ELSE 0.0 END::DOUBLE / 3600, 6) AS eta_hours FROM q",
+    "progress_stats": "WITH r AS (SELECT event_id, event_id % 1000 AS processed, event_id % 50 AS s FROM events), q AS (SELECT *, CASE WHEN s > 0 THEN processed / s ELSE 0.0 END::DOUBLE AS rate FROM r) SELECT event_id, round(processed * 100.0::DOUBLE / 1000, 6) AS progress_pct, round(rate * 3600, 6) AS rate_per_hour, round(CASE WHEN rate > 0 THEN (1000 - processed) / rate ELSE 0.0 END::DOUBLE / 3600, 6) AS eta_hours FROM q",
     "resume_plan": sql("SELECT DISTINCT sha256(code) AS bytecode_hash FROM v_contracts WHERE code IS NOT NULL AND code NOT IN (SELECT code FROM v_contracts WHERE block_number % 60 = 0 AND code IS NOT NULL)", "contracts"),
     "results_sink": _r("SELECT DISTINCT chain, address, is_factory FROM res"),
     "factory_only": sql(f"SELECT chain, factory_address FROM v_factory_addresses WHERE coalesce({_U} >= 1, false) OR {_T} >= 1", "factory_addresses"),

@@ -6,6 +6,7 @@ The offline provider reads files root/<match>/<chain>/<address>/: `metadata.json
 
 from __future__ import annotations
 
+import importlib
 import json
 import os
 import time
@@ -58,6 +59,14 @@ def fetch(provider, chain: str, address: str, wait_s: float = WAIT_S) -> dict |
     return None
 
 
+def provider_class(name: str) -> type:
+    """The class module:Class; FolderProvider if no name is given."""
+    if not name:
+        return FolderProvider
+    module, _, cls = name.partition(":")
+    return getattr(importlib.import_module(module), cls)
+
+
 class _Part(InputPartition):
     def __init__(self, chain: str, addresses: list[str]):
         self.chain, self.addresses = chain, addresses
@@ -65,7 +74,7 @@ class _Part(InputPartition):
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
-        self.root, self.chain = options["path"], options["chain"]
+        self.root, self.chain, self.provider = options["path"], options["chain"], options.get("provider", "")
         self.addresses = [a for a in options.get("addresses", "").split(",") if a]
         self.at_once = int(options.get("batch", "50"))
 
@@ -73,14 +82,14 @@ class _Reader(DataSourceReader):
         return [_Part(self.chain, self.addresses[k : k + self.at_once]) for k in range(0, len(self.addresses), self.at_once)]
 
     def read(self, partition: _Part) -> Iterator[tuple]:
-        provider = FolderProvider(self.root)
+        provider = provider_class(self.provider)(self.root)
         for address in partition.addresses:
             if found := fetch(provider, partition.chain, address):
                 yield found["chain"], found["address"], found["source_status"], found["compiler"], found["files"]
 
 
 class PackageSource(DataSource):
-    """spark.read.format("contract_sources").options(chain=..., addresses="0x..,0x..").load(root)."""
+    """spark.read.format("contract_sources").options(chain=..., addresses="0x..,0x..").load(root); provider="module:Class" names another provider, made from root."""
 
     @classmethod
     def name(cls) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -18,10 +19,9 @@ def parse_quoted(lines: DataFrame, col: str = "value") -> DataFrame:
 
 
 def read_verified(spark: SparkSession, path: str) -> DataFrame:
-    """A list of verified contracts: a note line and a header line come first."""
-    lines = spark.read.text(path)
-    head = [r["value"] for r in lines.limit(2).collect()]
-    return parse_quoted(lines.where(~F.col("value").isin(head)))
+    """A list of verified contracts: the first two lines of each file, a note and a header, are left out. A file of the list is read whole."""
+    lines = F.slice(F.split("value", "\r?\n"), 3, 1 << 30)
+    return parse_quoted(spark.read.text(path, wholetext=True).select(F.explode(lines).alias("value")).where("value <> ''"))
 
 
 def read_factory_addresses(spark: SparkSession, path: str, chains: list[str]) -> DataFrame:
@@ -49,6 +49,12 @@ def read_packages(spark: SparkSession, root: str) -> DataFrame:
     return rows.withColumn("address", F.lower(address)).withColumn("chain", F.regexp_extract("_p", r"([^/]+)/[^/]+$", 1)).drop("_p")
 
 
+def bad_packages(spark: SparkSession, root: str) -> DataFrame:
+    """Paths of the documents that read_packages leaves out, as they are no JSON."""
+    texts = spark.read.text(f"{root}/*/*.json", wholetext=True).select(F.input_file_name().alias("path"), F.expr("try_parse_json(value)").alias("v"))
+    return texts.where("v IS NULL").select("path")
+
+
 def write_packages(packages: DataFrame, path: str) -> None:
     """Packages with files, as JSON by chain."""
     packages.where(F.size("files") > 0).write.mode("overwrite").partitionBy("chain").json(path)
@@ -64,9 +70,30 @@ def parse_json_lines(lines: DataFrame, schema: str, col: str = "value") -> DataF
     return lines.select(parsed.alias("j")).where("j._bad IS NULL AND j IS NOT NULL").select("j.*").drop("_bad")
 
 
+def read_results(spark: SparkSession, path: str) -> DataFrame | None:
+    """The results with all columns that any append had, or None if there are none yet."""
+    try:
+        return spark.read.option("mergeSchema", True).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
 def append_results(rows: DataFrame, path: str) -> None:
-    """One row of each chain and address; columns that the table lacks are added."""
-    rows.dropDuplicates(["chain", "address"]).write.mode("append").option("mergeSchema", True).parquet(path)
+    """One row of each chain and address that the table has not yet, so that an append that is run again adds nothing; rows may have columns that it lacks."""
+    new, before = rows.dropDuplicates(["chain", "address"]), read_results(rows.sparkSession, path)
+    if before is not None:
+        new = new.join(before.select("chain", "address"), ["chain", "address"], "left_anti")
+    new.write.mode("append").parquet(path)
+
+
+def create_table(spark: SparkSession, name: str, declared: StructType, by: list[str]) -> bool:
+    """Creates a partitioned table in the catalogue unless it is there; whether its schema is the declared one."""
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in declared.fields)
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet" + (f" PARTITIONED BY ({', '.join(by)})" if by else ""))
+    found = spark.table(name).schema
+    return {(f.name, f.dataType) for f in found.fields} == {(f.name, f.dataType) for f in declared.fields}
 
 
 def replace_chain(rows: DataFrame, path: str) -> None:
@@ -86,3 +113,8 @@ def export_csv(rows: DataFrame, path: str) -> None:
 
 def export_json(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
+
+
+def export_summary(measures: DataFrame, path: str, **about: str) -> None:
+    """One row of measures as one JSON record, with what it is about."""
+    measures.withColumns({k: F.lit(v) for k, v in about.items()}).coalesce(1).write.mode("overwrite").json(path)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 #: Codes by key: what a code of key k begins with, so that both detectors have something to tell apart.
 HEADS = ["", "0x", "6006565bf0005b", "f0fd", "57f0", "600656fe5bf500", "60035760065bf5", "f06000ff"]
-N_CODES = 97
+#: Customers whose contracts share a code, so that a code has some 40 contracts, and different codes of the evaluated contracts.
+CUSTOMERS, N_CODES = 4, 97
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,7 +32,7 @@ def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "orders").select(
         F.when(k % 2 == 0, "ethereum").otherwise("polygon").alias("chain"),
         F.concat(F.lit("0x"), F.upper(F.substring(_sha("a", k), 1, 40))).alias("address"),
-        F.when(k % 53 == 0, F.lit(None)).when(k % 59 == 0, F.lit("0x")).otherwise(_code(F.col("o_custkey") % N_CODES)).alias("code"),
+        F.when(k % 53 == 0, F.lit(None)).when(k % 59 == 0, F.lit("0x")).otherwise(_code(F.floor(F.col("o_custkey") / CUSTOMERS))).alias("code"),
         F.col("o_orderdate").cast("timestamp").alias("block_timestamp"),
         k.alias("block_number"),
         F.concat(F.lit("0x"), _sha("t", k)).alias("transaction_hash"),
@@ -62,7 +63,7 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     return _read(spark, sf_dir, "orders").select(
         F.concat(F.lit("0x"), _sha("t", k)).alias("hash"),
-        F.when(k % 7 == 0, F.lit("0x")).otherwise(_code(F.col("o_custkey") % N_CODES)).alias("input"),
+        F.when(k % 7 == 0, F.lit("0x")).otherwise(_code(F.floor(F.col("o_custkey") / CUSTOMERS))).alias("input"),
         F.when(F.col("o_orderpriority").startswith("1"), F.lit(None)).when(F.col("o_orderpriority").startswith("2"), F.lit(None)).otherwise(F.concat(F.lit("0x"), F.substring(_sha("to", k), 1, 40))).alias("to_address"),
         F.col("o_orderdate").cast("timestamp").alias("block_timestamp"),
         k.alias("block_number"),
@@ -162,13 +163,13 @@ def _pick(xs: list[str], k: str) -> str:
 #: The same views for DuckDB; a query names those it needs.
 SQL = {
     "contracts": f"""SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'ethereum' ELSE 'polygon' END AS chain, '0x' || upper(substr(sha256('a' || o_orderkey), 1, 40)) AS address,
-  CASE WHEN o_orderkey % 53 = 0 THEN NULL WHEN o_orderkey % 59 = 0 THEN '0x' ELSE {_sql_code(f"o_custkey % {N_CODES}")} END AS code, o_orderdate AS block_timestamp, o_orderkey AS block_number, '0x' || sha256('t' || o_orderkey) AS transaction_hash FROM orders""",
+  CASE WHEN o_orderkey % 53 = 0 THEN NULL WHEN o_orderkey % 59 = 0 THEN '0x' ELSE {_sql_code(f"o_custkey // {CUSTOMERS}")} END AS code, o_orderdate AS block_timestamp, o_orderkey AS block_number, '0x' || sha256('t' || o_orderkey) AS transaction_hash FROM orders""",
     "traces": f"""SELECT CASE WHEN l_orderkey % 2 = 0 THEN 'ethereum' ELSE 'polygon' END AS chain, CASE WHEN l_returnflag = 'R' THEN 'call' ELSE 'create' END AS trace_type, CAST(CASE WHEN l_linestatus = 'F' THEN 1 ELSE 0 END AS BIGINT) AS status,
   CASE WHEN l_suppkey % 41 = 0 THEN '0x{"0" * 40}' ELSE '0x' || upper(substr(sha256('f' || l_suppkey), 1, 40)) END AS from_address, CASE WHEN l_linenumber = 7 THEN NULL ELSE '0x' || upper(substr(sha256('c' || l_orderkey || '-' || l_linenumber), 1, 40)) END AS to_address,
   '0x' || sha256('t' || l_orderkey) AS transaction_hash, l_orderkey AS block_number, l_shipdate AS block_timestamp, CASE l_linenumber % 4 WHEN 0 THEN '' WHEN 1 THEN '0' WHEN 2 THEN '0,1' END AS trace_address,
   CASE WHEN l_partkey % 13 = 0 THEN 'x' WHEN l_partkey % 17 = 0 THEN '{"9" * 30}' ELSE CAST(l_partkey * 1000000007 AS VARCHAR) END AS value, '0x' || substr(sha256('i' || (l_partkey % 101)), 1, 16) AS input,
   CASE WHEN l_partkey % 11 = 0 THEN '' ELSE '0x' || substr(sha256('r' || (l_partkey % 97)), 1, 16) END AS output, CAST(floor(l_quantity) AS BIGINT) AS gas, CAST(floor(l_quantity / 2) AS BIGINT) AS gas_used FROM lineitem""",
-    "transactions": f"""SELECT '0x' || sha256('t' || o_orderkey) AS hash, CASE WHEN o_orderkey % 7 = 0 THEN '0x' ELSE {_sql_code(f"o_custkey % {N_CODES}")} END AS input,
+    "transactions": f"""SELECT '0x' || sha256('t' || o_orderkey) AS hash, CASE WHEN o_orderkey % 7 = 0 THEN '0x' ELSE {_sql_code(f"o_custkey // {CUSTOMERS}")} END AS input,
   CASE WHEN o_orderpriority LIKE '1%' OR o_orderpriority LIKE '2%' THEN NULL ELSE '0x' || substr(sha256('to' || o_orderkey), 1, 40) END AS to_address, o_orderdate AS block_timestamp, o_orderkey AS block_number FROM orders""",
     "receipts": "SELECT '0x' || sha256('t' || o_orderkey) AS transaction_hash, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE '0x' || upper(substr(sha256('a' || o_orderkey), 1, 40)) END AS contract_address, CAST(CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END AS BIGINT) AS status FROM orders",
     "ground_truth": f"""SELECT CASE WHEN doc_id % 10 = 0 THEN '0x000000000' || substr(sha256('v' || doc_id), 1, 31) ELSE '0x' || substr(sha256('v' || doc_id), 1, 40) END AS address, {_sql_code(f"doc_id % {N_CODES}")} AS bytecode, quality = 1 AS is_factory_ground_truth,

@@ -32,3 +32,17 @@ def test_plan_and_cluster(spark, tmp_path):
     assert main(["plan", str(tmp_path / "list.csv"), str(tmp_path / "plan"), "--sources", str(tmp_path / "sources")], spark) == [{"chain": "ethereum", "count": 1}]
     got = main(["cluster", str(tmp_path / "sources"), str(tmp_path / "clusters"), "-k", "3"], spark)
     assert sum(r["size"] for r in got) == 30 and len(got) <= 3
+
+
+def test_scan_and_dry_runs(spark, sf_dir, tmp_path, capsys):
+    path = lambda x: str(tmp_path / x)
+    contracts = views.contracts(spark, sf_dir)
+    contracts.where("chain = 'ethereum'").write.parquet(path("in/ethereum/contracts.parquet"))
+    views.transactions(spark, sf_dir).write.parquet(path("in/arbitrum/transactions.parquet"))
+    views.receipts(spark, sf_dir).write.parquet(path("in/arbitrum/receipts.parquet"))
+    args = ["scan", path("in"), path("out"), "--chains", "ethereum,arbitrum", "--start", "1990-01-01"]
+    assert main([*args, "--dry-run"], spark) == [] and "Scan parquet" in capsys.readouterr().out and not (tmp_path / "out").exists()
+    assert {r["chain"] for r in main(args, spark)} == {"ethereum", "arbitrum"}
+    assert main(["detect", path("out"), path("results"), "--dry-run"], spark) == [] and not (tmp_path / "results").exists()
+    first = main(["detect", path("out"), path("results"), "--longest", "600"], spark)
+    assert main(["detect", path("out"), path("results"), "--longest", "600"], spark) == first  # an append that is run again adds nothing

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from spawnlens.functions import notes, numbers
@@ -169,3 +170,156 @@ def test_incremental_detection_is_idempotent(spark, tmp_path):
             spark.createDataFrame([("c", "f000"), ("d", "f500")], schema).write.mode("append").parquet(src)
         jobs.detect_incrementally(spark.readStream.schema(schema).parquet(src), out, state)
         assert spark.read.parquet(out).count() == (2 if k < 2 else 3)
+
+
+def test_scans_by_kind_of_chain(spark):
+    with pytest.raises(ValueError, match="other"):
+        S.scan_chain("other", {}, "2020-01-01", "2021-01-01")
+    t = spark.createDataFrame([("h", "6001", None, "2020-05-05 00:00:00", 7)], "hash string, input string, to_address string, t string, block_number long").withColumn("block_timestamp", F.col("t").cast("timestamp"))
+    r = spark.createDataFrame([("h", "0xAB", 1)], "transaction_hash string, contract_address string, status long")
+    tables = {"contracts": lambda: 1 / 0, "transactions": lambda: t, "receipts": r}  # what a kind does not need is not read
+    assert [x["address"] for x in S.scan_chain("join", tables, "2020-01-01", "2021-01-01").collect()] == ["0xab"]
+
+
+def test_fetched_rows(spark):
+    rows = [("0xAB", "2020-01-02T03:04:05Z"), ("0xAC", None), ("0xAD", "2020-01-02T03:04:05+02:00"), (None, "2020-01-02"), ("0xAE", "soon"), ("0xAF", "")]
+    got = S.normalised(spark.createDataFrame(rows, "address string, block_timestamp string"), F.lit("2021-01-01").cast("timestamp")).collect()
+    assert [r["problem"] for r in got] == [None, None, None, "address", "time", "time"]
+    assert [str(r["block_timestamp"]) for r in got[:3]] == ["2020-01-02 03:04:05", "2021-01-01 00:00:00", "2020-01-02 01:04:05"] and got[0]["address"] == "0xab"
+
+
+def test_fetching_until_settled(spark):
+    wanted = spark.createDataFrame([("e", f"0x{i}") for i in range(9)], "chain string, factory_address string")
+    have: set = set()
+    cached = lambda: spark.createDataFrame([("e", a) for a in sorted(have)], "chain string, address string")
+
+    def fetch(left):
+        have.update(sorted(r["address"] for r in left.collect() if r["address"] != "0x8")[:3])
+
+    assert S.fetch_until_settled(wanted, cached, fetch) == 1 and len(have) == 8
+    assert S.fetch_until_settled(wanted.limit(0), cached, fetch) == 0
+
+
+def test_first_provider_that_has_rows(spark, tmp_path):
+    one = spark.range(1)
+    assert S.first_available(lambda: spark.read.parquet(str(tmp_path / "none")), lambda: one.limit(0), lambda: one).count() == 1
+    with pytest.raises(FileNotFoundError, match="no rows"):
+        S.first_available(lambda: spark.read.parquet(str(tmp_path / "none")), lambda: one.limit(0))
+    with pytest.raises(ZeroDivisionError):
+        S.first_available(lambda: 1 / 0, lambda: one)
+
+
+def test_results_are_appended_once_only(spark, tmp_path):
+    path = str(tmp_path / "r")
+    assert files.read_results(spark, path) is None
+    for rows in ([("e", "a", 1), ("e", "b", 1)], [("e", "b", 2), ("p", "b", 2)], []):
+        files.append_results(spark.createDataFrame(rows, "chain string, address string, n int"), path)
+    assert sorted(map(tuple, files.read_results(spark, path).collect())) == [("e", "a", 1), ("e", "b", 1), ("p", "b", 2)]
+
+
+def test_tables_are_created_once(spark):
+    from spawnlens.schemas import schema
+
+    assert files.create_table(spark, "made_once", schema("progress"), ["chain"]) and files.create_table(spark, "made_once", schema("progress"), ["chain"])
+    assert not files.create_table(spark, "made_once", schema("results"), ["chain"])
+    spark.sql("DROP TABLE made_once")
+
+
+def test_rows_in_order_without_one_task(spark):
+    import random
+
+    from spawnlens.operators import order
+
+    rng = random.Random(1)
+    values = [rng.choice([None, 1, 1, 1, 2, rng.randint(3, 500)]) for _ in range(400)]
+    df = spark.createDataFrame([(v, k) for k, v in enumerate(values)], "v int, k int")
+    got = order.numbered(df, ["v", "k"])
+    want = sorted(((v, k) for k, v in enumerate(values)), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert [(r["v"], r["k"]) for r in sorted(got.collect(), key=lambda r: r["no"])] == want
+    assert sorted(r["no"] for r in got.collect()) == list(range(1, 401))
+    assert "SinglePartition" not in got._jdf.queryExecution().executedPlan().toString()
+    sums = order.running(df.where("v is not null").groupBy("v").agg(F.count("*").alias("n")), ["v"], F.col("n"), "upto").collect()
+    assert all(r["upto"] == sum(1 for v in values if v is not None and v <= r["v"]) for r in sums)
+    assert order.numbered(df.where("false"), ["v", "k"]).count() == 0
+    assert sorted(r["j"] for r in order.repeated(spark.createDataFrame([(5,)], "n long"), "n", "j", 2).collect()) == [0, 1, 2, 3, 4]
+
+
+def test_ties_have_places_of_their_own(spark):
+    got = E.ecdf(spark.createDataFrame([(3,), (1,), (3,), (None,)], "t int"), "t").collect()
+    assert sorted((r["value"], round(r["cdf"], 6)) for r in got) == [(1, 0.333333), (3, 0.666667), (3, 1.0)]
+
+
+def test_varimax_rotates_back():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    simple = np.kron(np.eye(3), np.ones((5, 1))) + 0.01 * rng.normal(size=(15, 3))
+    turn, _ = np.linalg.qr(rng.normal(size=(3, 3)))
+    got = C.varimax(simple @ turn, rounds=200, tolerance=1e-12)
+    assert np.allclose(np.sort(np.abs(got).max(axis=0)), np.sort(simple.max(axis=0)), atol=0.03) and (np.abs(got) > 0.5).sum() == 15
+
+
+def test_silhouettes(spark):
+    import math
+    import random
+
+    rng = random.Random(2)
+    rows = [(c, [rng.gauss(3 * c, 1), rng.gauss(0, 1)]) for c in (0, 1, 2) for _ in range(20)] + [(7, [50.0, 0.0]), (0, [0.0, 0.0]), (0, [0.0, 0.0])]
+    widths = []
+    for i, (c, x) in enumerate(rows):
+        by = {}
+        for j, (o, y) in enumerate(rows):
+            if i != j:
+                by.setdefault(o, []).append(math.dist(x, y))
+        if c not in by:
+            widths.append(0.0)
+            continue
+        a, b = sum(by[c]) / len(by[c]), min(sum(d) / len(d) for o, d in by.items() if o != c)
+        widths.append((b - a) / max(a, b))
+    df = spark.createDataFrame(rows, "label int, x array<double>")
+    assert C.silhouette(df, at_once=10).first()[0] == pytest.approx(sum(widths) / len(widths))
+    assert C.silhouette(df.where("label = 0")).first()[0] is None
+    assert C.quality_of(df.where("label = 0"))["silhouette"] == -1.0
+    assert [r["k"] for r in C.select_k(spark.createDataFrame([(0, [1.0])] * 4, df.schema), 2, 3).collect()] == [1]
+
+
+def test_convex_hulls(spark):
+    import random
+
+    rng = random.Random(3)
+    points = [(c, rng.gauss(c, 1), rng.gauss(0, 1)) for c in (0, 1) for _ in range(300)] + [(2, 0.0, 0.0), (2, 1.0, 0.0), (2, 2.0, 0.0), (2, 2.0, 2.0), (2, 0.0, 2.0), (2, 1.0, 1.0), (3, 5.0, 5.0), (3, 5.0, 5.0), (4, None, 1.0)]
+    got = C.convex_hulls(spark.createDataFrame(points, "label int, px double, py double").repartition(5)).collect()
+    by = {}
+    for r in sorted(got, key=lambda r: (r["label"], r["corner"])):
+        by.setdefault(r["label"], []).append((r["px"], r["py"]))
+    assert by[2] == [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)] and by[3] == [(5.0, 5.0)] and 4 not in by
+    for c in (0, 1):
+        own = [(x, y) for k, x, y in points if k == c]
+        edges = list(zip(by[c], by[c][1:] + by[c][:1], strict=True))
+        assert set(by[c]) <= set(own) and all((b[0] - a[0]) * (y - a[1]) - (b[1] - a[1]) * (x - a[0]) >= -1e-12 for a, b in edges for x, y in own)
+
+
+def test_last_of_each_and_bad_packages(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1, "x"), ("a", 3, "y"), ("a", 2, "z"), ("b", 1, None)], "k string, n int, v string")
+    assert sorted(map(tuple, S.last_of_each(rows, ["k"], ["n"]).collect())) == [("a", 3, "y"), ("b", 1, None)]
+    (tmp_path / "e").mkdir()
+    (tmp_path / "e" / "0xa.json").write_text('{"address": ""}')
+    (tmp_path / "e" / "0xb.json").write_text('{"address": ')
+    assert [r["path"][-8:] for r in files.bad_packages(spark, str(tmp_path)).collect()] == ["0xb.json"]
+
+
+class Shouting:
+    """A provider that the test names."""
+
+    def __init__(self, root):
+        from spawnlens.sources.fetch import FolderProvider
+
+        self.inner = FolderProvider(root)
+
+    def get(self, path):
+        text = self.inner.get(path)
+        return text.upper() if text is not None and "/sources/" in path else text
+
+
+def test_other_providers():
+    assert fetch.provider_class("") is fetch.FolderProvider and fetch.provider_class(f"{__name__}:Shouting").__name__ == "Shouting"
