@@ -43,6 +43,25 @@ SENTENCES = {
     "spdx license identifier gpl 3.0 or later": "gpl3-ref",
     "all rights reserved": "rights-reserved",
 }
+# Further sentences of public licence notices.
+SENTENCES |= {
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "this is free and unencumbered software released into the public domain": "unlicense-ref",
+    "distributed under the boost software license version 1.0": "boost-ref",
+    "to the extent possible under law the author s have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide": "cc0-ref",
+    "this software is provided as is without any express or implied warranty": "zlib-warranty",
+    "in no event will the authors be held liable for any damages arising from the use of this software": "zlib-liable",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions": "zlib-grant",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "agpl3-later",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation": "gpl2-only",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2.0 which is available at https www.eclipse.org legal epl 2.0": "epl2-ref",
+    "this work is licensed under a creative commons attribution sharealike 4.0 international license": "ccbysa4-ref",
+    "this work is licensed under a creative commons attribution noncommercial 4.0 international license": "ccbync4-ref",
+    "licensed under the eupl": "eupl-ref",
+}
+# Identifiers of licences that a line SPDX-License-Identifier names.
+SPDX = "0BSD AFL-3.0 AGPL-3.0-only AGPL-3.0-or-later Artistic-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0 CDDL-1.0 ECL-2.0 EPL-1.0 EPL-2.0 EUPL-1.2 GPL-2.0-only GPL-2.0-or-later ISC LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later MIT-0 MPL-2.0 MS-PL NCSA OFL-1.1 OSL-3.0 PostgreSQL Unlicense UPL-1.0 WTFPL Zlib".split()
+SENTENCES |= {f"spdx license identifier {x.lower().replace('-', ' ')}": f"spdx-{x}" for x in SPDX}
 # Licences and the sentence identifiers that must follow one another for them.
 RULES = [
     ("Apache-2.0", ["apache2-ref"]),
@@ -59,15 +78,28 @@ RULES = [
     ("MIT", ["mit-grant", "mit-notice", "mit-warranty"]),
     ("MPL-2.0", ["mpl2-ref"]),
     ("Proprietary", ["rights-reserved"]),
+    ("AGPL-3.0-or-later", ["agpl3-later"]),
+    ("BSL-1.0", ["boost-ref"]),
+    ("CC0-1.0", ["cc0-ref"]),
+    ("EPL-2.0", ["epl2-ref"]),
+    ("EUPL", ["eupl-ref"]),
+    ("GPL-2.0-only", ["gpl2-only"]),
+    ("ISC", ["isc-grant"]),
+    ("Unlicense", ["unlicense-ref"]),
+    ("Zlib", ["zlib-warranty", "zlib-liable", "zlib-grant"]),
+    *((x, [f"spdx-{x}"]) for x in SPDX),
 ]
 # The sentences into which LINES and WRAPPED cut notices of these licences, and their rules. The SQL does not have them.
 CUT_SENTENCES = {
     "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation": "gpl-grant",
+    "you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation": "gpl2-only",
+    "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation": "lgpl-grant",
+    "either version 2.1 of the license or at your option any later version": "lgpl21-or-later",
     "either version 2 of the license or at your option any later version": "gpl2-or-later",
     "either version 3 of the license or at your option any later version": "gpl3-or-later",
     "this source code form is subject to the terms of the mozilla public license v.2.0": "mpl2-ref",
 }
-CUT_RULES = [("GPL-2.0-or-later", ["gpl-grant", "gpl2-or-later"]), ("GPL-3.0-or-later", ["gpl-grant", "gpl3-or-later"])]
+CUT_RULES = [("LGPL-2.1-or-later", ["lgpl-grant", "lgpl21-or-later"]), ("LGPL-3.0-or-later", ["lgpl-grant", "gpl3-or-later"]), ("GPL-2.0-or-later", ["gpl-grant", "gpl2-or-later"]), ("GPL-3.0-or-later", ["gpl-grant", "gpl3-or-later"])]
 #: Where sentences end if each line is taken for itself, and if a text is wrapped, so that only blank lines and marks end them.
 LINES, WRAPPED = r"\n+|[.!?;][ \t\r]+", r"\n[ \t\r]*\n\s*|[.!?;]\s+"
 #: A version's number belongs to its sentence.

@@ -62,6 +62,16 @@ NOTICES = [
     (TEXTS[7][1], ["GPL-3.0-or-later"]), (TEXTS[7][1].replace("version 3", "version 2"), ["GPL-2.0-or-later"]),
     (MPL, ["MPL-2.0"]), (MPL.replace("\n", " "), ["MPL-2.0"]), ("# " + MPL.replace("v. ", "v.\n").replace("\n", "\n# "), ["MPL-2.0"]), (MPL.replace("v. 2.0", "v. 1.9"), []),
     (BSD, ["BSD-2-Clause"]), (BSD + "\n\n3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.", ["BSD-2-Clause", "BSD-3-Clause"]),
+    (GPL.replace("GNU General", "GNU Lesser General").replace("version 2 ", "version 2.1 ").replace("program", "library"), ["LGPL-2.1-or-later"]), (GPL.replace("GNU General", "GNU Lesser General").replace("version 2 ", "version 3 "), ["LGPL-3.0-or-later"]),
+    ("This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License version 2 as\npublished by the Free Software Foundation.", ["GPL-2.0-only"]),
+    (TEXTS[7][1].replace("GNU General", "GNU Affero General"), ["AGPL-3.0-or-later"]),
+    ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.", ["ISC"]),
+    ("This is free and unencumbered software released into the public domain.", ["Unlicense"]), ("// Distributed under the Boost Software License, Version 1.0.", ["BSL-1.0"]), ("Licensed under the EUPL", ["EUPL"]),
+    ("To the extent possible under law, the author(s) have dedicated all copyright\nand related and neighboring rights to this software to the public domain worldwide.", ["CC0-1.0"]),
+    ("This software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors be held liable for any damages\narising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\nfreely, subject to the following restrictions:", ["Zlib"]),
+    ("This program and the accompanying materials are made available under the\nterms of the Eclipse Public License 2.0 which is available at\nhttps://www.eclipse.org/legal/epl-2.0/", ["EPL-2.0"]),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", ["CC-BY-SA-4.0"]),
+    *((f"# SPDX-License-Identifier: {x}\nimport os", [x]) for x in licences.SPDX),
     ("Licensed under CC BY 4.0.", ["CC-BY-4.0"]), ("Licensed under CC BY-SA 4.0.", ["CC-BY-SA-4.0"]), ("Licensed under CC BY-NC 4.0.", ["CC-BY-NC-4.0"]), (TEXTS[8][1], ["GPL-3.0"]), (MIT, ["MIT"]), (TEXTS[-1][1], ["Apache-2.0"]), ("All rights reserved.", ["Proprietary"]),
 ]
 
@@ -69,7 +79,7 @@ NOTICES = [
 def test_every_rule_with_its_notice(spark):
     rows = licences.scan(spark.createDataFrame([(t,) for t, _ in NOTICES], "text string")).collect()
     assert [r["licences"] for r in rows] == [w for _, w in NOTICES]
-    assert {w for _, ws in NOTICES for w in ws} == {name for name, _ in licences.RULES}
+    assert {w for _, ws in NOTICES for w in ws} == {name for name, _ in licences.RULES + licences.CUT_RULES}
 
 
 def test_tables_of_the_caller(spark):
