@@ -32,15 +32,29 @@ def shared_dir(spark: SparkSession) -> str:
     return told or _own_dir()
 
 
+#: Tables that this process wrote to the shared folder.
+_WRITTEN: list[str] = []
+
+
 def materialise(df: DataFrame, tag: str) -> DataFrame:
     """Cuts the lineage: writes df to the shared folder and reads it again, so that lost executors cost no recomputation of it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     schema = df.schema
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
+def remove_materialised(spark: SparkSession) -> int:
+    """Deletes all tables that materialise() has written so far, and returns their number: call it when the results that read them are stored."""
+    n = 0
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 #: Rows and bytes that go to a Python worker at once at most; long texts must not add up.
 BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
