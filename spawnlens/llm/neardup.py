@@ -44,7 +44,7 @@ BITS, FAR = [f"s{k}" for k in range(4)], 44
 #: Further members that those of a mixed bucket are compared with before all are.
 STARS = 1
 #: Of a cluster, members and others that are compared at once, and elements of their sets at most.
-MEMBERS, OTHERS, ELEMENTS = 256, 64, 1 << 19
+MEMBERS, OTHERS, ELEMENTS = 512, 512, 1 << 19
 #: Ids that are sent to all tasks as a broadcast at most.
 BROADCAST_IDS = 1 << 21
 #: A pair is verified unless its estimate is so far under the threshold (over five standard deviations).
