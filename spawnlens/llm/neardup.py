@@ -44,9 +44,9 @@ BITS, FAR = [f"s{k}" for k in range(4)], 44
 #: Further members that those of a mixed bucket are compared with before all are.
 STARS = 1
 #: Of a cluster, members and others that are compared at once, and elements of their sets at most.
-MEMBERS, OTHERS, ELEMENTS = 512, 512, 1 << 19
-#: Ids that are sent to all tasks as a broadcast at most.
-BROADCAST_IDS = 1 << 21
+MEMBERS, OTHERS, ELEMENTS = 256, 128, 1 << 19
+#: Ids, and rows of ids with register bits, that are sent to all tasks as a broadcast at most.
+BROADCAST_IDS, BROADCAST_ROWS = 1 << 21, 1 << 18
 #: A pair is verified unless its estimate is so far under the threshold (over five standard deviations).
 SLACK = 0.16
 #: Elements sketched at once; words whose hashes a task keeps; sets of documents that a task keeps while it verifies.
@@ -192,9 +192,9 @@ def may_link(threshold: float) -> Column:
     return (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (differ <= FAR)
 
 
-def small(ids: DataFrame) -> DataFrame:
-    """For a broadcast, if it holds few ids."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+def small(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """For a broadcast, if it holds few ids: what it is joined with then stays where it is, and a hot key is no task's alone."""
+    return F.broadcast(ids) if ids.count() <= most else ids
 
 
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, k: int, threshold: float) -> DataFrame:
@@ -334,9 +334,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         # Members of a bucket that are in different components. The bucket's first is known to link none of the others.
         placed = inner.join(comps, "id", "left").select("bucket", "id", "first", F.coalesce("comp", "id").alias("comp"))
         mixed = placed.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min_by("id", F.xxhash64("id", F.lit(turn))).alias("star")).where("x <> y").select("bucket", "star")
-        rest = materialise(placed.join(mixed, "bucket").where("first <> id").join(classes.select("id", "n", *BITS), "id"), "near-rest")
+        rest = materialise(placed.join(small(materialise(mixed, "near-mixed-buckets")), "bucket").where("first <> id").join(classes.select("id", "n", *BITS), "id"), "near-rest")
         inner = rest.select("bucket", "id", "first")
-        pairs = materialise(bucket_pairs(rest.where(F.col("id") == F.col("star")), rest, threshold).distinct(), "near-pairs")
+        pairs = materialise(bucket_pairs(small(rest.where(F.col("id") == F.col("star")), BROADCAST_ROWS), rest, threshold).distinct(), "near-pairs")
         tried = tried.unionByName(pairs)
         comps = merged(comps, confirmed(pairs, classes, docs, id_col, text_col, k, threshold))
     clusters = components(tried)
@@ -345,7 +345,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comps = merged(comps, materialise(within_clusters(clusters, comps, classes, docs, id_col, text_col, k, threshold), "near-found"))
     placed = inner.join(comps, "id", "left").join(clusters.select("id", F.col("comp").alias("cluster")), "id", "left").select("bucket", "id", F.coalesce("comp", "id").alias("comp"), F.coalesce("cluster", "id").alias("cluster"))
     mixed = placed.groupBy("bucket").agg(F.min("cluster").alias("x"), F.max("cluster").alias("y")).where("x <> y").select("bucket")
-    rest = materialise(placed.join(mixed, "bucket", "left_semi").join(classes.select("id", "n", *BITS), "id"), "near-rest")
+    rest = materialise(placed.join(small(materialise(mixed, "near-mixed-buckets")), "bucket", "left_semi").join(classes.select("id", "n", *BITS), "id"), "near-rest")
     pairs = materialise(bucket_pairs(rest, rest, threshold, (F.col("ida") < F.col("idb")) & (F.col("clustera") != F.col("clusterb"))).distinct(), "near-pairs")
     if not pairs.isEmpty():
         comps = merged(comps, confirmed(pairs, classes, docs, id_col, text_col, k, threshold))
