@@ -97,6 +97,13 @@ def block_info(spark, sf_dir):
     return B.block_info(B.block_rows(B.with_blocks(B.instruction_rows(_codes(spark, sf_dir)))))
 
 
+def block_info_depth(spark, sf_dir):
+    """Blocks with the depth at which the enhanced search reaches them, null where it does not."""
+    codes = _codes(spark, sf_dir)
+    info = B.block_info(B.block_rows(B.with_blocks(B.instruction_rows(codes)))).select("bytecode_hash", "start_pc", "end_pc", "n_instructions", "contains_create", "contains_create2")
+    return info.join(kernel.block_rows(codes, "bytecode_hash"), ["bytecode_hash", "start_pc"], "left")
+
+
 def table_function_blocks(spark, sf_dir):
     return spark.sql("SELECT c.bytecode_hash, b.* FROM {codes} c, LATERAL basic_blocks(c.code) b", codes=_codes(spark, sf_dir)).withColumn("n_instructions", F.col("n_instructions").cast("bigint"))
 
@@ -131,7 +138,7 @@ def detect_guarded(spark, sf_dir):
     return found.select("bytecode_hash", "is_factory", "factory_type", "error", F.when(F.col("error") == "timeout", 10000).otherwise(0).alias("execution_time_ms"))
 
 
-QUERIES = {f.__name__: f for f in (scan_dispatch, renamed_columns, fetch_normalised, fetch_problems, last_block, chain_titles, results_append, fetch_fixpoint, input_fallback, block_info, table_function_blocks, table_function_instructions, detect_function, detect_function_enhanced, detect_improved, detect_guarded)}
+QUERIES = {f.__name__: f for f in (scan_dispatch, renamed_columns, fetch_normalised, fetch_problems, last_block, chain_titles, results_append, fetch_fixpoint, input_fallback, block_info, block_info_depth, table_function_blocks, table_function_instructions, detect_function, detect_function_enhanced, detect_improved, detect_guarded)}
 
 _DIRECT = f"SELECT chain, lower(address) AS address, block_number, CAST(length(code) AS INTEGER) AS code_length FROM v_contracts WHERE block_timestamp >= TIMESTAMP '{START}' AND block_timestamp < TIMESTAMP '{END}' AND code IS NOT NULL AND length(code) > 0"
 _JOIN = f"SELECT 'arbitrum', lower(r.contract_address), t.block_number, CAST(length(t.input) AS INTEGER) FROM v_transactions t JOIN v_receipts r ON t.hash = r.transaction_hash WHERE t.to_address IS NULL AND r.contract_address IS NOT NULL AND r.status = 1 AND length(t.input) > 2 AND t.block_timestamp >= TIMESTAMP '{START}' AND t.block_timestamp < TIMESTAMP '{END}'"
@@ -151,6 +158,7 @@ ORACLE_SQL = {
     "fetch_fixpoint": sql("SELECT DISTINCT f.chain, lower(f.factory_address) AS address FROM v_factory_addresses f WHERE NOT EXISTS (SELECT 1 FROM v_sources s WHERE s.id % 4 <> 0 AND s.chain = f.chain AND s.address = lower(f.factory_address))", "factory_addresses", "sources"),
     "input_fallback": sql("SELECT chain, factory_address FROM v_factory_addresses", "factory_addresses"),
     "block_info": _b._sql(f", {_EDGES}, o AS (SELECT bytecode_hash, start_pc, count(*) AS n FROM e GROUP BY ALL), i AS (SELECT bytecode_hash, dst AS start_pc, count(*) AS n FROM e GROUP BY ALL) SELECT b.bytecode_hash, b.start_pc, b.end_pc, b.n_instructions, b.contains_create, b.contains_create2, b.reachable, coalesce(o.n, 0) AS n_successors, coalesce(i.n, 0) AS n_predecessors FROM reach b LEFT JOIN o USING (bytecode_hash, start_pc) LEFT JOIN i USING (bytecode_hash, start_pc)"),
+    "block_info_depth": _b._sql("SELECT b.bytecode_hash, b.start_pc, b.end_pc, b.n_instructions, b.contains_create, b.contains_create2, dep.depth FROM blocks b LEFT JOIN dep USING (bytecode_hash, start_pc)"),
     "table_function_blocks": _b._sql("SELECT bytecode_hash, start_pc, end_pc, n_instructions, contains_create, contains_create2, reachable FROM reach"),
     "table_function_instructions": _b._sql("SELECT bytecode_hash, i, pc, op, operand FROM ins"),
     "detect_function": _b._sql(f", {_b._BASE} SELECT {_POSITIONS}, len(c) + len(c2) > 0 AS is_factory FROM whole"),

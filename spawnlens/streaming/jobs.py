@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,14 +14,14 @@ from ..operators.bytecode import distinct_codes
 from ..operators.scans import only_new
 
 
-def daily_counts(stream: DataFrame, time: str = "block_timestamp", by: tuple[str, ...] = ("chain",), late: str = "1 day") -> DataFrame:
+def daily_counts(stream: DataFrame, at: str = "block_timestamp", by: tuple[str, ...] = ("chain",), late: str = "1 day") -> DataFrame:
     """Rows by day; what comes later than the watermark is left out, state is as large as the open days."""
-    return stream.withWatermark(time, late).groupBy(F.window(time, "1 day").alias("w"), *by).agg(F.count("*").alias("n")).select(F.to_date("w.start").alias("day"), *by, "n")
+    return stream.withWatermark(at, late).groupBy(F.window(at, "1 day").alias("w"), *by).agg(F.count("*").alias("n")).select(F.to_date("w.start").alias("day"), *by, "n")
 
 
-def first_of_each(stream: DataFrame, keys: list[str], time: str = "block_timestamp", late: str = "1 day") -> DataFrame:
+def first_of_each(stream: DataFrame, keys: list[str], at: str = "block_timestamp", late: str = "1 day") -> DataFrame:
     """One row of each key within the watermark."""
-    return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
+    return stream.withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
 
 
 def run_available(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
@@ -47,6 +49,45 @@ def detect_incrementally(contracts: DataFrame, results_path: str, checkpoint: st
     contracts.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(batch).start().awaitTermination()
 
 
+def process_periods(periods: DataFrame, log_path: str, work) -> int:
+    """Works through planned periods (chain, start_date, end_date) that the log at log_path does not call completed, and logs each as in_progress, then
+    completed or failed; the number completed. work(chain, start, end) gives (contracts, factories). A failed period is tried again by a later call.
+
+    Periods are few, months of chains; the rows of a period are the cluster's work, not the loop's.
+    """
+    spark, done = periods.sparkSession, 0
+    schema = "chain string, start_date date, end_date date, status string, contracts_processed bigint, factories_found bigint, processing_time_ms bigint, updated_at timestamp"
+
+    def log(p, status: str, contracts: int | None = None, factories: int | None = None, ms: int | None = None) -> None:
+        row = spark.createDataFrame([(p["chain"], p["start_date"], p["end_date"], status, contracts, factories, ms, None)], schema)
+        row.withColumn("updated_at", F.current_timestamp()).write.mode("append").parquet(log_path)
+
+    before = read_log(spark, log_path)
+    if before is not None:
+        periods = only_new(periods, before.where("status = 'completed'"), "chain", "start_date", "end_date")
+    for p in periods.orderBy("chain", "end_date").collect():
+        log(p, "in_progress")
+        began = time.monotonic()
+        try:
+            contracts, factories = work(p["chain"], p["start_date"], p["end_date"])
+        except Exception:
+            log(p, "failed")
+            raise
+        log(p, "completed", contracts, factories, round(1000 * (time.monotonic() - began)))
+        done += 1
+    return done
+
+
+def read_log(spark: SparkSession, log_path: str) -> DataFrame | None:
+    """The progress log, or None before its first row."""
+    try:
+        return spark.read.parquet(log_path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below the one that the cluster shares; the warehouse if none is named."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")

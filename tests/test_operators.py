@@ -323,3 +323,22 @@ class Shouting:
 
 def test_other_providers():
     assert fetch.provider_class("") is fetch.FolderProvider and fetch.provider_class(f"{__name__}:Shouting").__name__ == "Shouting"
+
+
+def test_periods_are_marked_and_resumed(spark, tmp_path):
+    path, seen = str(tmp_path / "log"), []
+    periods = spark.createDataFrame([("e", "2020-01-01", "2020-01-31"), ("e", "2020-01-31", "2020-03-01"), ("p", "2020-01-01", "2020-01-31")], "chain string, a string, b string").selectExpr("chain", "to_date(a) AS start_date", "to_date(b) AS end_date")
+
+    def work(chain, start, end):
+        if chain == "p" and not any(c == "p" for c, _ in seen):
+            seen.append((chain, str(start)))
+            raise RuntimeError("lost")
+        seen.append((chain, str(start)))
+        return 5, 2
+
+    with pytest.raises(RuntimeError, match="lost"):
+        jobs.process_periods(periods, path, work)
+    assert jobs.process_periods(periods, path, work) == 1 and jobs.process_periods(periods, path, work) == 0
+    assert seen == [("e", "2020-01-01"), ("e", "2020-01-31"), ("p", "2020-01-01"), ("p", "2020-01-01")]
+    latest = S.progress_log_latest(jobs.read_log(spark, path), ["chain", "start_date"]).collect()
+    assert len(latest) == 3 and all(r["status"] == "completed" and r["factories_found"] == 2 for r in latest)
