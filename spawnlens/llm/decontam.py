@@ -1,7 +1,8 @@
 """Benchmark decontamination: a BM25 inverted index of test items, queried with every training passage by block-max WAND.
 
 Documents are cut into overlapping passages, so long that every item lies whole in one of them. An item counts as leaked if its question's word
-shingles are in the passage, and its answer's too or nearly all of the question's. It stands in the index once for each of these two ways, as a
+shingles are in the passage, and its answer's too or nearly all of the question's, if this has `alone_words` words at least: a question shorter
+than a shingle stands in many clean texts. The item stands in the index once for each of these two ways, as a
 whole and as its question alone. Weights in the index are BM25 terms divided by a bound under the least score of a passage that has so many
 of the shingles, so one threshold, 1, holds for all entries and keeps every leak. Entries stand in blocks, and the index knows the largest
 weight of each term in each block. A passage for which the sums of these are under the threshold in every block retrieves nothing and is
@@ -84,14 +85,15 @@ def least_score(shingles: set[tuple[str, ...]], own: dict[str, float], share: fl
 
 
 class Index:
-    def __init__(self, items: list[tuple[int, str]], frequency: dict[str, int], total: int, mean_length: float):
+    def __init__(self, items: list[tuple[int, str]], frequency: dict[str, int], total: int, mean_length: float, alone_words: int = 1):
         parsed = [(i, words(t), t) for i, t in items]
         parsed = [x for x in parsed if x[1]]
         self.ids = [i for i, _, _ in parsed]
-        self.sets = []
+        self.sets, self.alone = [], []
         for _, _, t in parsed:
             q, a = map(words, question_answer(t))
             self.sets.append((shingle_set(q or a), shingle_set(a if q else [])))
+            self.alone.append(len(q) >= alone_words)
         self.longest = max((len(w) for _, w, _ in parsed), default=1)
         idf = lambda t: math.log(1 + (total - frequency[t] + 0.5) / (frequency[t] + 0.5))
         lists: dict[str, list[tuple[int, float]]] = {}
@@ -106,7 +108,7 @@ class Index:
             asked = {t: w for t, w in own.items() if any(t in s for s in question)}
             told = {t: w for t, w in own.items() if t not in asked}
             entries = [(own, least_score(question, asked, QUESTION) + least_score(answer, told, ANSWER))]
-            if answer:
+            if answer and self.alone[n]:
                 entries.append((asked, least_score(question, asked, ALONE)))
             for of, least in entries:
                 for t, w in of.items():
@@ -229,13 +231,13 @@ class Index:
                     if k not in by_size:
                         by_size[k] = {tuple(passage[i : i + k]) for i in range(len(passage) - k + 1)}
                     share.append(len(wanted & by_size[k]) / len(wanted))
-                if share[0] >= QUESTION and (share[1] >= ANSWER or share[0] >= ALONE):
+                if share[0] >= QUESTION and (share[1] >= ANSWER or (share[0] >= ALONE and self.alone[item])):
                     score = sum(w for t, w in self.own[item].items() if t in there)
                     found[item] = max(found.get(item, (0.0, 0.0, 0.0)), (score, *share))
         return [(self.ids[n], *x) for n, x in sorted(found.items())]
 
 
-def shards(items: DataFrame, id_col: str, text_col: str) -> Iterator[Index]:
+def shards(items: DataFrame, id_col: str, text_col: str, alone_words: int) -> Iterator[Index]:
     """Indexes over at most SHARD_CHARS characters of items; only one is on the driver at a time."""
     rows = items.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("t")).where(F.col("i").isNotNull() & F.col("t").isNotNull())
 
@@ -251,7 +253,7 @@ def shards(items: DataFrame, id_col: str, text_col: str) -> Iterator[Index]:
 
     def index(part: list[tuple[int, str]]) -> Index:
         wanted = F.broadcast(items.sparkSession.createDataFrame([(w,) for w in {w for _, t in part for w in words(t)}] or [("",)], "w string"))
-        return Index(part, {r["w"]: r["df"] for r in counts.join(wanted, "w").collect()}, total, mean)
+        return Index(part, {r["w"]: r["df"] for r in counts.join(wanted, "w").collect()}, total, mean, alone_words)
 
     part: list[tuple[int, str]] = []
     size = 0
@@ -265,12 +267,12 @@ def shards(items: DataFrame, id_col: str, text_col: str) -> Iterator[Index]:
         yield index(part)
 
 
-def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", alone_words: int = 1) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap for each item that leaked into a document."""
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     bounded_batches(docs.sparkSession)
     src, out = docs.select(F.col(id_col).cast("long"), text_col), None
-    for ix in shards(items, item_id, item_text):
+    for ix in shards(items, item_id, item_text, alone_words):
         sent = docs.sparkSession.sparkContext.broadcast(ix)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
@@ -283,10 +285,10 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", alone_words: int = 1) -> DataFrame:
     """The documents into which no item leaked, with all their columns."""
     bounded_batches(docs.sparkSession)
-    for ix in shards(items, item_id, item_text):
+    for ix in shards(items, item_id, item_text, alone_words):
         sent = docs.sparkSession.sparkContext.broadcast(ix)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:

@@ -69,7 +69,7 @@ def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return decontam.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), alone_words=decontam.SHINGLE)
 
 
 QUERIES = {f.__name__: f for f in (op1_topk, op2_quality, op3_bpe, op4_html, op5_language, op6_neardup, op7_chat, op8_licences, op9_suffix, op10_decontaminate)}

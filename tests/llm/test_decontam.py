@@ -65,6 +65,15 @@ def test_questions_shorter_than_their_answers(spark, prose):
     assert pairs(spark, docs, items) == sorted(((i, i) for i in range(20)), key=str)
 
 
+def test_short_questions_alone_are_no_leak(spark, prose):
+    items = [(1, "Zyx wvu. " + prose(20, 1) + "."), (2, prose(5, 2) + ". " + prose(30, 3) + "."), (3, "Qrst")]
+    docs = [(1, prose(90, 10) + " zyx wvu " + prose(40, 11)), (2, prose(60, 12) + " " + items[0][1] + " " + prose(60, 13)), (3, prose(60, 14) + " " + items[1][1].split(". ")[0] + " " + prose(9, 15)), (4, prose(30, 16) + " qrst")]
+    d, b = spark.createDataFrame([(*x, "c", 1) for x in docs], DOCS), spark.createDataFrame(items, ITEMS)
+    for least, want in ((1, {(1, 1), (2, 1), (3, 2), (4, 3)}), (D.SHINGLE, {(2, 1), (3, 2), (4, 3)}), (6, {(2, 1), (4, 3)})):
+        assert {(r["doc_id"], r["item_id"]) for r in D.leaks(d, b, alone_words=least).collect()} == want
+        assert {r["doc_id"] for r in D.clean(d, b, alone_words=least).collect()} == {1, 2, 3, 4} - {x for x, _ in want}
+
+
 def test_every_text_that_passes_the_rule_is_retrieved(prose):
     rng = random.Random(2)
     items = [(i, prose(rng.randint(1, 20), i) + ". " + prose(rng.randint(1, 30), 500 + i) + ".") for i in range(60)]
