@@ -38,7 +38,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents into which a benchmark item leaked."""
-    return decontam.clean(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
+    return decontam.clean(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"), alone_words=decontam.SHINGLE)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
