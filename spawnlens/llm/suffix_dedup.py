@@ -226,6 +226,24 @@ def _narrow(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def joined(*columns: np.ndarray) -> bytes:
+    """Arrays as bytes, with five more for each: there are many blobs in a large table, and few values in each."""
+    return b"".join(y for x in columns for y in (x.dtype.char.encode(), len(x).to_bytes(4, "little"), x.tobytes()))
+
+
+def arrays(blob: bytes) -> list[np.ndarray]:
+    """What joined() was given."""
+    at, out = 0, []
+    while at < len(blob):
+        out.append(np.frombuffer(blob, chr(blob[at]), int.from_bytes(blob[at + 1 : at + 5], "little"), at + 5))
+        at += 5 + out[-1].nbytes
+    return out
+
+
+#: The first byte of what is pickled; that of joined arrays is a letter or a question mark.
+PICKLED, NOTHING = 0x80, np.zeros(0, np.uint8)
+
+
 def _quick(run, *tables: pa.Table) -> pa.Table:
     """Runs what makes many small objects, and no cycles of them, without the collector of cycles."""
     gc.disable()
@@ -346,13 +364,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     stored = T.StructType([T.StructField(f.name, T.BinaryType() if f.name == text_col else f.dataType) for f in parted.schema.fields])
     grouped = parted.mapInArrow(tidy(_packed_texts(text_col)), stored).groupBy("_part")
 
-    def packed(name: str, rows: list[tuple[int, object]], **fixed: int) -> pa.Table:
+    def packed(name: str, rows: list[tuple[int, bytes]], **fixed: int) -> pa.Table:
         own = {k: pa.array([v] * len(rows), pa.int32()) for k, v in fixed.items()}
-        return pa.table({name: pa.array([r[0] for r in rows], pa.int32()), **own, "blob": pa.array([pickle.dumps(r[1], 5) for r in rows], pa.binary())})
+        return pa.table({name: pa.array([r[0] for r in rows], pa.int32()), **own, "blob": pa.array([r[1] for r in rows], pa.binary())})
 
     def split(number: np.ndarray, *columns: np.ndarray) -> list[tuple[int, tuple]]:
         return [(n, tuple(c[at] for c in columns)) for n, at in _by_bucket(number, parts)]
 
+    def sent(number: np.ndarray, *columns: np.ndarray) -> list[tuple[int, bytes]]:
+        return [(n, joined(*x)) for n, x in split(number, *columns)]
+
     def own_keys(table: pa.Table) -> pa.Table:
         """The part's minimisers and in how many of its texts each is."""
         if not table.num_rows:
@@ -366,11 +387,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             order = np.lexsort((key, row))  # each text counts a minimiser once
             keys.append(key[order][_changes(key[order]) | _changes(row[order])])
         key, count = np.unique(np.concatenate(keys), return_counts=True)
-        return packed("bucket", split(key >> np.uint64(32), _in_bucket(key), _narrow(count)), part=part)
+        return packed("bucket", sent(key >> np.uint64(32), _in_bucket(key), _narrow(count)), part=part)
 
     def shared_keys(table: pa.Table) -> pa.Table:
         """By part: its minimisers that are in several documents, and those in over `hot`."""
-        blobs = [pickle.loads(x) for x in table.column("blob").to_pylist()]
+        blobs = [arrays(x) for x in table.column("blob").to_pylist()]
         key, count = (np.concatenate([b[k] for b in blobs]) for k in range(2))
         part = np.repeat(np.asarray(table.column("part")), [len(b[0]) for b in blobs])
         order = np.argsort(key)
@@ -378,15 +399,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         first = np.flatnonzero(_changes(key))
         docs_in = np.repeat(np.add.reduceat(count.astype(np.int64), first), np.diff(np.append(first, len(key))))
         own = docs_in > 1
-        return packed("_part", [(p, (keys[~many], keys[many])) for p, (keys, many) in split(part[own].astype(np.uint64), key[own], docs_in[own] > hot)], bucket=table.column("bucket")[0].as_py())
+        return packed("_part", [(p, joined(keys[~many], keys[many])) for p, (keys, many) in split(part[own].astype(np.uint64), key[own], docs_in[own] > hot)], bucket=table.column("bucket")[0].as_py())
 
     def answered(found: pa.Table) -> list[tuple]:
-        """Blobs that buckets sent to a part, minimisers with their bucket."""
+        """Blobs that buckets sent to a part, minimisers with their bucket: two columns of shared_keys(), or six of verdicts() and rows of answers()."""
         out = []
         for bucket, blob in zip(found.column("bucket").to_pylist(), found.column("blob").to_pylist(), strict=True):
-            got = pickle.loads(blob)
+            if blob[0] == PICKLED:
+                out.append((*[NOTHING] * 6, pickle.loads(blob)))
+                continue
+            got = arrays(blob)
             widened = (0, 1) if len(got) == 2 else (0, 3)
-            out.append(tuple(x.astype(np.uint64) | np.uint64(bucket << 32) if k in widened and x is not None else x for k, x in enumerate(got)))
+            told = tuple(x.astype(np.uint64) | np.uint64(bucket << 32) if k in widened else x for k, x in enumerate(got))
+            out.append(told if len(got) == 2 else (*told, ()))
         return out
 
     def shared_runs(table: pa.Table, shared: np.ndarray):
@@ -432,11 +457,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         key, digest, left, right, owner = (x[order] for x in (key, digest, left, right, owner))
         first = np.flatnonzero(_changes(digest) | _changes(key))
         least, most = (f.reduceat(owner, first) if len(first) else owner for f in (np.minimum, np.maximum))
-        return packed("bucket", split(key[first] >> np.uint64(32), _in_bucket(key[first]), *(x[first] for x in (digest, left, right)), _narrow(least), most > least), part=part)
+        return packed("bucket", sent(key[first] >> np.uint64(32), _in_bucket(key[first]), *(x[first] for x in (digest, left, right)), _narrow(least), most > least), part=part)
 
     def verdicts(table: pa.Table) -> pa.Table:
         """By part: minimisers, digests and owners of strings that agree with no other; minimisers and digests of those that do."""
-        blobs = [pickle.loads(x) for x in table.column("blob").to_pylist()]
+        blobs = [arrays(x) for x in table.column("blob").to_pylist()]
         key, digest, left, right, owner, more = (np.concatenate([b[k] for b in blobs]) for k in range(6))
         part = np.repeat(np.asarray(table.column("part")), [len(b[0]) for b in blobs])
 
@@ -465,10 +490,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         agree = side > 0
         rows: dict[int, list] = {}
         for p, own in split(part[same].astype(np.uint64), key[same], digest[same], _narrow(least[same])):
-            rows.setdefault(p, [None] * 6)[:3] = own
+            rows.setdefault(p, [NOTHING] * 6)[:3] = own
         for p, own in split(part[agree].astype(np.uint64), key[agree], digest[agree], side[agree]):
-            rows.setdefault(p, [None] * 6)[3:6] = own
-        return packed("_part", [(p, (*x, None)) for p, x in rows.items()], bucket=table.column("bucket")[0].as_py())
+            rows.setdefault(p, [NOTHING] * 6)[3:6] = own
+        return packed("_part", [(p, joined(*x)) for p, x in rows.items()], bucket=table.column("bucket")[0].as_py())
 
     def own_strings(table: pa.Table, found: pa.Table) -> pa.Table:
         """The part's strings that agree with others, and windows of hot minimisers: minimiser, group, bytes, smallest and largest document."""
@@ -477,12 +502,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         part, strings = table.column("_part")[0].as_py(), {}
         blobs = answered(found)
         spread = {k for b in blobs if len(b) == 2 for k in b[1].tolist()}
-        told = [b for b in blobs if len(b) == 7 and b[4] is not None]
+        told = [b for b in blobs if len(b) == 7]
         wanted_keys, wanted, sides = (np.concatenate([np.zeros(0, t), *(b[k] for b in told)]) for k, t in ((3, np.uint64), (4, np.uint64), (5, np.uint8)))
         order = np.argsort(wanted)
         wanted_keys, wanted, sides = wanted_keys[order], wanted[order], sides[order]
         spread_keys = np.array(sorted(spread), np.uint64)
-        keys_of = [x for b in blobs for x in ((b[1],) if len(b) == 2 else (b[3],)) if x is not None]
+        keys_of = [b[1] if len(b) == 2 else b[3] for b in blobs]
         half = (length - ANCHOR + 1) // 2
 
         def keep(key: int, group: int, s: bytes, hole: int, digest: int, at: int, d: int) -> None:
@@ -518,7 +543,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         by: dict[int, list] = {}
         for (key, group, s, hole), held in strings.items():
             by.setdefault(group % parts, []).append((key, group, s, hole, [(k, *v) for k, v in held.items()]))
-        return packed("bucket", list(by.items()), part=part)
+        return packed("bucket", [(k, pickle.dumps(x, 5)) for k, x in by.items()], part=part)
 
     def answers(table: pa.Table) -> pa.Table:
         """By part: minimiser, whether it is hot, digest of the string, and spans of its windows with their smallest documents."""
@@ -566,20 +591,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 batch, size = ([], []), 0
         if batch[0]:
             sort_out(*batch, short)
-        return packed("_part", [(p, (*[None] * 6, own)) for p, own in out.items()], bucket=0)
+        return packed("_part", [(p, pickle.dumps(own, 5)) for p, own in out.items()], bucket=0)
 
     span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
     def removed(table: pa.Table, found: pa.Table) -> pa.Table:
         blobs = answered(found) if table.num_rows else []
-        told = [b for b in blobs if b[0] is not None]
-        whole_keys, whole_strings, least_of = (np.concatenate([np.zeros(0, t), *(b[k] for b in told)]) for k, t in ((0, np.uint64), (1, np.uint64), (2, np.int64)))
+        whole_keys, whole_strings, least_of = (np.concatenate([np.zeros(0, t), *(b[k] for b in blobs)]) for k, t in ((0, np.uint64), (1, np.uint64), (2, np.int64)))
         order = np.argsort(whole_strings)
         whole_keys, whole_strings, least_of = whole_keys[order], whole_strings[order], least_of[order]
         sorted_out: dict[tuple[int, int], list] = {}
         spread = set()
         for b in blobs:
-            for key, is_hot, digest, own in b[6] or ():
+            for key, is_hot, digest, own in b[6]:
                 sorted_out.setdefault((key, digest), []).extend(own)
                 if is_hot:
                     spread.add(key)

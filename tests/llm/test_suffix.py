@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from spawnlens.llm import suffix_dedup as S
@@ -120,3 +121,10 @@ def test_strings_are_found_by_digest_and_minimiser():
     known, keys = S.np.array([1, 5, 5, 5, 9], S.np.uint64), S.np.array([0, 1, 2, 3, 0], S.np.uint64)
     got = S.found_at(known, keys, S.np.array([5, 5, 5, 5, 9, 10, 0], S.np.uint64), S.np.array([3, 1, 2, 4, 0, 0, 0], S.np.uint64))
     assert got.tolist() == [3, 1, 2, -1, 4, -1, -1]
+
+
+def test_joined_arrays():
+    some = [np.arange(5, dtype=np.uint64) << np.uint64(60), np.zeros(0, np.uint8), np.array([-3, 7], np.int16), np.array([True, False]), np.arange(3, dtype=np.uint32)]
+    got = S.arrays(S.joined(*some))
+    assert [x.dtype for x in got] == [x.dtype for x in some] and all((a == b).all() for a, b in zip(got, some, strict=True))
+    assert {chr(S.joined(x)[0]) for x in some} <= set("LBh?I") and S.arrays(b"") == []
