@@ -67,12 +67,17 @@ def new_addresses(spark, sf_dir):
     return S.only_new(rows, rows.where(F.substring("address", 3, 1) < "9"), "chain", "address")
 
 
+def _hashes(spark, sf_dir):
+    """Contracts by their codes' digests, so that neither codes are shuffled nor verdicts reached only to count."""
+    return _c(spark, sf_dir).where("code IS NOT NULL").select("chain", evm.bytecode_hash(F.col("code")).alias("bytecode_hash"))
+
+
 def distinct_bytecodes(spark, sf_dir):
-    return distinct_codes(_c(spark, sf_dir)).select("bytecode_hash")
+    return _hashes(spark, sf_dir).select("bytecode_hash").distinct()
 
 
 def duplicate_bytecodes(spark, sf_dir):
-    return _results(spark, sf_dir).groupBy("bytecode_hash", "chain").agg(F.count("*").alias("n")).where("n > 1")
+    return _hashes(spark, sf_dir).groupBy("bytecode_hash", "chain").agg(F.count("*").alias("n")).where("n > 1")
 
 
 def count_contracts(spark, sf_dir):
@@ -82,7 +87,7 @@ def count_contracts(spark, sf_dir):
 def shard_union(spark, sf_dir):
     """The union of all hash shards is the whole; one shuffle takes their place."""
     shard = F.pmod(F.xxhash64("code"), F.lit(64))
-    return _c(spark, sf_dir).where("length(code) > 2").withColumn("shard", shard).groupBy("shard", "chain").agg(F.countDistinct("code").alias("codes"), F.count("*").alias("n")).groupBy("chain").agg(F.sum("codes").alias("codes"), F.sum("n").alias("contracts"))
+    return _c(spark, sf_dir).where("length(code) > 2").withColumn("shard", shard).groupBy("shard", "chain").agg(F.countDistinct(F.sha2("code", 256)).alias("codes"), F.count("*").alias("n")).groupBy("chain").agg(F.sum("codes").alias("codes"), F.sum("n").alias("contracts"))
 
 
 def result_summary(spark, sf_dir):
