@@ -90,4 +90,37 @@ SELECT d.doc_id, CAST(length(d.h) / 2 AS BIGINT) AS n_bytes, CAST(coalesce(s.n_r
 FROM d LEFT JOIN sums s USING (doc_id)
 """
 
-ORACLE_SQL = {"op1_topk": TOP_K, "op6_neardup": NEAR, "op7_chat": CHAT, "op8_licences": LICENCES, "op9_suffix": REPEATS}
+_STEPS = " UNION ALL ".join(f"SELECT filter_order, {k + 1} AS step, f{k + 1} AS f, [{', '.join(f'f{j + 1}' for j in range(k))}]::VARCHAR[] AS earlier FROM p" for k in range(5))
+
+AUDIT = rf"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+firsts AS (SELECT t, min(doc_id) AS least FROM d GROUP BY t),
+l AS (SELECT doc_id, max(coalesce(CAST(quality = 1 AS INTEGER), 0)) AS good, max(coalesce(CAST(toxic = 1 AS INTEGER), 0)) AS toxic FROM labels GROUP BY doc_id),
+m AS (
+  SELECT d.part, coalesce(l.good, 0) AS good, coalesce(l.toxic, 0) AS toxic, list_concat(
+    CASE WHEN len(ws) < 200 THEN ['A'] ELSE [] END,
+    CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN ['B'] ELSE [] END,
+    CASE WHEN 100 * (length(d.t) - length(regexp_replace(d.t, '[A-Z]', '', 'g'))) > 3 * length(d.t) THEN ['C'] ELSE [] END,
+    CASE WHEN regexp_matches(d.t, '[#$%&*|]') THEN ['D'] ELSE [] END,
+    CASE WHEN d.doc_id > f.least THEN ['E'] ELSE [] END) AS fails
+  FROM d JOIN firsts f ON d.t = f.t LEFT JOIN l ON d.doc_id = l.doc_id),
+c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, fails),
+x(f) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+p AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, a.f AS f1, b.f AS f2, c.f AS f3, d.f AS f4, e.f AS f5 FROM x a, x b, x c, x d, x e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+s AS ({_STEPS}),
+r AS (
+  SELECT part, filter_order, step, f, list_contains(fails, f) AS fails_it, list_has_any(fails, earlier) AS gone, fails = [f] AS alone, n, good, toxic FROM c CROSS JOIN s),
+g AS (
+  SELECT part, filter_order, step, f, coalesce(sum(n) FILTER (NOT fails_it AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (fails_it AND NOT gone), 0) AS removed,
+    coalesce(sum(n) FILTER (fails_it AND gone), 0) AS redundant, coalesce(sum(n) FILTER (alone), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (fails_it AND NOT gone), 0) AS good_lost, coalesce(sum(toxic) FILTER (fails_it AND NOT gone), 0) AS toxic_lost
+  FROM r GROUP BY part, filter_order, step, f)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM g
+"""
+
+ORACLE_SQL = {"op1_topk": TOP_K, "op6_neardup": NEAR, "op7_chat": CHAT, "op8_licences": LICENCES, "op9_suffix": REPEATS, "op12_filters": AUDIT}

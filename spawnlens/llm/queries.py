@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, html_text, langid, licences, neardup, quality, suffix_dedup, tokenizer, topk
+from . import chat, decontam, filter_audit, html_text, langid, licences, neardup, quality, suffix_dedup, tokenizer, topk, toxicity, whitening
 from .common import fold, materialise, table
 from .oracles import ORACLE_SQL  # noqa: F401
 
@@ -72,5 +72,20 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), alone_words=decontam.SHINGLE)
 
 
-QUERIES = {f.__name__: f for f in (op1_topk, op2_quality, op3_bpe, op4_html, op5_language, op6_neardup, op7_chat, op8_licences, op9_suffix, op10_decontaminate)}
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), fold("doc_id", 3) != 1)
+    return toxicity.score(docs, model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op12_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return filter_audit.audit(materialise(filter_audit.mask_counts(docs, labels), "filter-masks"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), materialise)
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
+
 
+QUERIES = {f.__name__: f for f in (op1_topk, op2_quality, op3_bpe, op4_html, op5_language, op6_neardup, op7_chat, op8_licences, op9_suffix, op10_decontaminate, op11_toxicity, op12_filters, op13_whitening)}
