@@ -37,11 +37,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, least_hashes, tidy
+from .common import bounded_batches, least_hashes, materialise, tidy
 from .quality import fit_curve
 
 #: Labelled documents of each class that training reads, about; entries of the lexicon at most; lengths of beginnings of words.
-SAMPLE, SIZE, SHORTEST, LONGEST = 30_000, 4000, 3, 8
+SAMPLE, SIZE, SHORTEST, LONGEST = 20_000, 4000, 3, 8
 #: Least toxic documents that hold an entry, and least clean ones that hold a phrase; standard errors of the interval; least weight of an entry; most phrases.
 SUPPORT, PHRASE_SUPPORT, ERRORS, LEAST, PHRASES = 2, 3, 1.96, 1.0, 2000
 PIECE = 1 << 16
@@ -245,7 +245,8 @@ def train(docs: DataFrame, labels: DataFrame, may_learn: Column, id_col: str = "
     marked, totals = _marked(labels, may_learn, id_col, label_col, sample)
     if len(totals) < 2:
         return flat(float(next(iter(totals), 0.5)))
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(marked, "_id").select("_y", "_t")
+    # Texts are read once: the sample's ids are few, so they go to the texts, and what is learnt from is a table of its own.
+    rows = materialise(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(F.broadcast(materialise(marked, "toxicity-ids")), "_id").select("_y", "_t"), "toxicity-sample")
     seen = {r["_y"]: r["n"] for r in rows.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     odds = Odds(seen.get(1, 0), seen.get(0, 0))
     if not odds.toxic or not odds.clean:
