@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import percentiles
+
 
 def moments(rows: DataFrame, x: str = "x") -> DataFrame:
     """k, mean and population standard deviation of each component."""
@@ -193,11 +196,11 @@ def rotate(rows: DataFrame, degrees: float, centre: str = "mean", x: str = "px",
     return got.withColumns({x: dx * c - dy * s + F.col("_cx"), y: dx * s + dy * c + F.col("_cy")}).drop("_cx", "_cy")
 
 
-def trim_outliers(rows: DataFrame, share: float, least: int = 10, x: str = "px", y: str = "py") -> DataFrame:
-    """Without the share of each cluster that is farthest from its mean point; small clusters stay whole. The bound is an exact percentile."""
+def trim_outliers(rows: DataFrame, share: float, keep: Callable[[DataFrame], DataFrame], least: int = 10, x: str = "px", y: str = "py") -> DataFrame:
+    """Without the share of each cluster that is farthest from its mean point; small clusters stay whole. The bound is an exact percentile, found by ranges."""
     mid = rows.groupBy("label").agg(F.avg(x).alias("_cx"), F.avg(y).alias("_cy"), F.count("*").alias("_n"))
     far = rows.join(F.broadcast(mid), "label").withColumn("_d", F.sqrt((F.col(x) - F.col("_cx")) ** 2 + (F.col(y) - F.col("_cy")) ** 2))
-    bound = far.groupBy("label").agg(F.percentile("_d", F.lit(1.0 - share)).alias("_b"))
+    bound = percentiles(far, ["label"], "_d", [1.0 - share], keep).select("label", F.col("percentiles")[0].alias("_b"))
     return far.join(F.broadcast(bound), "label").where((F.col("_n") < least) | (F.col("_d") <= F.col("_b"))).drop("_cx", "_cy", "_n", "_d", "_b")
 
 

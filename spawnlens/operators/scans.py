@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..config import CHAINS, CUTOFF, PERIOD_DAYS
 from ..functions import evm
+from . import skew
 
 
 def scan_window(contracts: DataFrame, start: str, end: str, least: int = 0, code_col: str = "code") -> DataFrame:
@@ -99,13 +100,25 @@ def first_available(*providers) -> DataFrame:
     raise FileNotFoundError("no provider has the rows: " + "; ".join(failures))
 
 
-def unique_codes(contracts: DataFrame, cutoff: str = CUTOFF) -> DataFrame:
-    """The first contract of each code and chain: by block, time, address. Codes stay where they are read: what is sorted and shuffled are their digests."""
+def first_contracts(contracts: DataFrame, cutoff: str = CUTOFF) -> DataFrame:
+    """The first contract of each code and chain: by block, time, address. What is sorted and shuffled is the codes' digests, not the codes."""
     kept = kept_codes(contracts, cutoff).select("chain", evm.bytecode_hash(F.col("code")).alias("bytecode_hash"), "block_number", "block_timestamp", "address")
     first = kept.groupBy("chain", "bytecode_hash").agg(F.min(F.struct("block_number", "block_timestamp", "address")).alias("f"))
     return first.select("chain", "bytecode_hash", F.col("f.address").alias("address"), F.col("f.block_timestamp").alias("deployment_timestamp"), F.col("f.block_number").alias("block_number"))
 
 
+def unique_codes(contracts: DataFrame, cutoff: str = CUTOFF) -> DataFrame:
+    """first_contracts() with their codes, so that they can be analysed. A code is looked up by its first contract's chain, address and block, keys that no other code
+    shares but by a repeated row, so one row of each code is shuffled; Spark filters the contracts by the keys first where these are few."""
+    first = first_contracts(contracts, cutoff)
+    own = {"chain": F.col("chain"), "address": F.col("address"), "block_number": F.col("block_number"), "deployment_timestamp": F.col("block_timestamp"), "bytecode_hash": evm.bytecode_hash(F.col("code"))}
+    codes = kept_codes(contracts, cutoff).select(*[c.alias(f"_{name}") for name, c in own.items()], "code")
+    # Addresses and times may be null; a row that stands twice in the table gives its code once.
+    same = [F.col(name).eqNullSafe(F.col(f"_{name}")) for name in own]
+    found = first.join(codes, same).select(*first.columns, "code")
+    return found.dropDuplicates(["chain", "bytecode_hash"])
+
+
 def expand(contracts: DataFrame, codes: DataFrame, cutoff: str = CUTOFF) -> DataFrame:
     """All contracts before the cutoff that have one of the codes."""
     digest = F.sha2("code", 256)
@@ -118,10 +131,11 @@ def page(df: DataFrame, order: list[str], offset: int, limit: int) -> DataFrame:
 
 
 def expand_verdicts(contracts: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Each contract with the verdict on its code, matched in lower case. The digest is the key, so that codes themselves need not be shuffled."""
+    """Each contract, without its code, with the verdict on it, matched in lower case. The digest is the key, so codes are not shuffled; a code that very many
+    contracts share stays where it is read."""
     digest = F.sha2(F.lower("code"), 256)
     found = verdicts.withColumn("k", digest).drop("code").dropDuplicates(["k"])
-    return contracts.withColumn("k", digest).join(found, "k").drop("k")
+    return skew.keyed_join(contracts.withColumn("k", digest).drop("code"), found, "k").drop("k")
 
 
 def reuse(codes: DataFrame, earlier: DataFrame, flags: list[str]) -> DataFrame:
@@ -135,8 +149,8 @@ def only_new(rows: DataFrame, known: DataFrame, *key: str) -> DataFrame:
 
 
 def merge(target: DataFrame, source: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Rows of target with the source's values where the key matches; later sources replace, none are added."""
-    new = source.select(key, *[F.col(c).alias(f"_{c}") for c in columns], F.lit(True).alias("_hit"))
+    """Rows of target with the source's values where the key matches; none are added. Of source rows of one key the largest in their columns' order counts."""
+    new = source.groupBy(key).agg(F.max(F.struct(*columns)).alias("_s")).select(key, *[F.col("_s")[c].alias(f"_{c}") for c in columns], F.lit(True).alias("_hit"))
     joined = target.join(new, key, "left")
     return joined.select(*[F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in target.columns])
 

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import evm, notes
 from ..operators import evaluation as E
 from ..operators import scans
+from ..operators.quantiles import percentiles
 from ..sources import views
 from ..sources.views import sql
+from ..streaming.jobs import keep
 from . import bytecode as _b
 
 PERCENTILES = [0.25, 0.5, 0.75, 0.9, 0.95, 0.99]
@@ -162,8 +164,10 @@ def error_export_fp(spark, sf_dir):
 
 
 def exec_time_percentiles(spark, sf_dir):
-    got = _gt(spark, sf_dir).agg(F.percentile("execution_time", PERCENTILES).alias("p"), F.avg("execution_time").alias("mean"), F.max("execution_time").alias("most"))
-    return got.select(*[F.round(F.col("p")[k], 6).alias(f"p{round(100 * q)}") for k, q in enumerate(PERCENTILES)], F.round("mean", 6).alias("mean"), "most")
+    times = _gt(spark, sf_dir).select(F.lit(0).alias("k"), "execution_time")
+    found = percentiles(times, ["k"], "execution_time", PERCENTILES, keep)
+    got = times.agg(F.avg("execution_time").alias("mean"), F.max("execution_time").alias("most")).withColumn("k", F.lit(0)).join(found, "k", "left")  # a row each
+    return got.select(*[F.round(F.col("percentiles")[k], 6).alias(f"p{round(100 * q)}") for k, q in enumerate(PERCENTILES)], F.round("mean", 6).alias("mean"), "most")
 
 
 def ecdf(spark, sf_dir):

@@ -9,6 +9,7 @@ from ..functions import source_features as SF
 from ..operators import clustering as C
 from ..sources import views
 from ..sources.views import sql
+from ..streaming.jobs import keep
 
 
 def _text(spark, sf_dir):
@@ -111,7 +112,7 @@ def rotate_points(spark, sf_dir):
 
 
 def outlier_trim(spark, sf_dir):
-    return C.trim_outliers(_points(spark, sf_dir), 0.1).select("id", "label")
+    return C.trim_outliers(_points(spark, sf_dir), 0.1, keep).select("id", "label")
 
 
 def cluster_hulls(spark, sf_dir):

@@ -8,9 +8,12 @@ from ..config import CHAINS, CUTOFF, KNOWN_FACTORIES, PERIOD_DAYS
 from ..functions import evm
 from ..operators import kernel
 from ..operators import scans as S
+from ..operators import paging, skew
 from ..operators.bytecode import distinct_codes
+from ..operators.order import numbered
 from ..sources import views
 from ..sources.views import sql
+from ..streaming.jobs import scratch
 
 START, END = "1996-01-01", "1998-01-01"
 CUT = "1999-01-01"
@@ -23,7 +26,8 @@ def _c(spark, sf_dir):
 def _results(spark, sf_dir):
     """Detection results of every contract: verdict on its code, with a run time that follows from the block."""
     found = kernel.verdicts(distinct_codes(_c(spark, sf_dir))).select("bytecode_hash", "is_factory", "factory_type")
-    rows = _c(spark, sf_dir).withColumn("bytecode_hash", evm.bytecode_hash(F.col("code"))).join(found, "bytecode_hash").withColumns(S.exclusive_flags(F.col("factory_type")))
+    contracts = _c(spark, sf_dir).withColumn("bytecode_hash", evm.bytecode_hash(F.col("code"))).drop("code")
+    rows = skew.keyed_join(contracts, found, "bytecode_hash").withColumns(S.exclusive_flags(F.col("factory_type")))
     return rows.withColumn("execution_time_ms", (F.col("block_number") % 97).cast("double")).withColumn("deployment_date", F.to_date("block_timestamp"))
 
 
@@ -41,11 +45,29 @@ def scan_contracts_join(spark, sf_dir):
 
 
 def unique_bytecodes(spark, sf_dir):
-    return S.unique_codes(_c(spark, sf_dir)).select("chain", "bytecode_hash", "address", "deployment_timestamp", "block_number")
+    out = S.unique_codes(_c(spark, sf_dir))
+    return out.select("chain", "bytecode_hash", F.sha2("code", 256).alias("code_sha256"), F.length("code").alias("code_length"), "address", "deployment_timestamp", "block_number")
 
 
 def paged_scan(spark, sf_dir):
-    return S.page(S.unique_codes(_c(spark, sf_dir)), ["block_number", "address"], 20, 50).select("chain", "address", "block_number")
+    """A page after the first 20 rows, each with its code."""
+    first = S.unique_codes(_c(spark, sf_dir))
+    return S.page(first, ["block_number", "address"], 20, 50).select("chain", "address", "block_number", F.sha2("code", 256).alias("code_sha256"))
+
+
+#: Rows of a page of the whole table.
+PAGE = 40
+
+
+def keyset_pages(spark, sf_dir):
+    """All pages of the unique codes: number, bounds, rows, and the least and largest digest of the codes on them."""
+    keys = ["block_number", "address"]
+    path = scratch(spark, "pages")
+    index = paging.store(S.unique_codes(_c(spark, sf_dir)), keys, path, PAGE)
+    rows = spark.read.parquet(f"{path}/rows")
+    number = numbered(rows, keys, "_no").select(F.floor((F.col("_no") - 1) / PAGE).cast("long").alias("page"), F.sha2("code", 256).alias("c"))
+    codes = number.groupBy("page").agg(F.min("c").alias("least_code"), F.max("c").alias("largest_code"))
+    return index.join(codes, "page").select("page", F.col("first.block_number").alias("first_block"), F.col("first.address").alias("first_address"), F.col("last.block_number").alias("last_block"), F.col("last.address").alias("last_address"), "n", "least_code", "largest_code")
 
 
 def expand_bytecodes(spark, sf_dir):
@@ -227,7 +249,7 @@ def mock_contracts(spark, sf_dir):
     return spark.range(64).select("id", F.concat(F.lit("0x"), F.lpad(F.lower(F.hex("id")), 40, "0")).alias("address"))
 
 
-QUERIES = {f.__name__: f for f in (scan_contracts_window, scan_contracts_join, unique_bytecodes, paged_scan, expand_bytecodes, verdict_expand, memo_reuse, new_addresses, distinct_bytecodes, duplicate_bytecodes, count_contracts, shard_union, result_summary, daily_type_counts, factory_rate, unique_factories, factory_flags, chain_statistics, active_chains, known_factories, time_periods, pending_periods, progress_upsert, progress_replace, progress_default, progress_stats, resume_plan, results_sink, factory_only, factory_addresses, topn_per_chain, topn_global, fetch_plan, cache_coverage, factories_with_sources, weights_lookup, address_normalise, mock_contracts)}
+QUERIES = {f.__name__: f for f in (scan_contracts_window, scan_contracts_join, unique_bytecodes, paged_scan, keyset_pages, expand_bytecodes, verdict_expand, memo_reuse, new_addresses, distinct_bytecodes, duplicate_bytecodes, count_contracts, shard_union, result_summary, daily_type_counts, factory_rate, unique_factories, factory_flags, chain_statistics, active_chains, known_factories, time_periods, pending_periods, progress_upsert, progress_replace, progress_default, progress_stats, resume_plan, results_sink, factory_only, factory_addresses, topn_per_chain, topn_global, fetch_plan, cache_coverage, factories_with_sources, weights_lookup, address_normalise, mock_contracts)}
 
 from . import bytecode as _b  # noqa: E402
 
@@ -249,8 +271,11 @@ _CACHED = "cached AS (SELECT chain, address FROM v_sources WHERE id % 3 = 0)"
 ORACLE_SQL = {
     "scan_contracts_window": sql(f"SELECT chain, lower(address) AS address, block_number, CAST(length(code) AS INTEGER) AS code_length FROM v_contracts WHERE block_timestamp >= TIMESTAMP '{START}' AND block_timestamp < TIMESTAMP '{END}' AND code IS NOT NULL AND length(code) > 0", "contracts"),
     "scan_contracts_join": sql(f"SELECT lower(r.contract_address) AS address, t.block_number, CAST(length(t.input) AS INTEGER) AS code_length FROM v_transactions t JOIN v_receipts r ON t.hash = r.transaction_hash WHERE t.to_address IS NULL AND r.contract_address IS NOT NULL AND r.status = 1 AND length(t.input) > 2 AND t.block_timestamp >= TIMESTAMP '{START}' AND t.block_timestamp < TIMESTAMP '{END}'", "transactions", "receipts"),
-    "unique_bytecodes": sql(f"WITH {_UNIQUE} SELECT chain, sha256(code) AS bytecode_hash, address, block_timestamp AS deployment_timestamp, block_number FROM uq", "contracts"),
-    "paged_scan": sql(f"WITH {_UNIQUE} SELECT chain, address, block_number FROM uq ORDER BY block_number, address LIMIT 50 OFFSET 20", "contracts"),
+    "unique_bytecodes": sql(f"WITH {_UNIQUE} SELECT chain, sha256(code) AS bytecode_hash, sha256(code) AS code_sha256, CAST(length(code) AS INTEGER) AS code_length, address, block_timestamp AS deployment_timestamp, block_number FROM uq", "contracts"),
+    "keyset_pages": sql(
+        f"WITH {_UNIQUE}, n AS (SELECT *, (row_number() OVER (ORDER BY block_number, address) - 1) // {PAGE} AS page FROM uq) SELECT page, min(block_number) AS first_block, arg_min(address, (block_number, address)) AS first_address, max(block_number) AS last_block, "
+        "arg_max(address, (block_number, address)) AS last_address, count(*) AS n, min(sha256(code)) AS least_code, max(sha256(code)) AS largest_code FROM n GROUP BY page", "contracts"),
+    "paged_scan": sql(f"WITH {_UNIQUE} SELECT chain, address, block_number, sha256(code) AS code_sha256 FROM uq ORDER BY block_number, address LIMIT 50 OFFSET 20", "contracts"),
     "expand_bytecodes": sql(f"SELECT chain, address, block_number FROM v_contracts WHERE block_timestamp < TIMESTAMP '{CUT}' AND code IN (SELECT code FROM v_contracts WHERE code IS NOT NULL AND sha256(code) < '3')", "contracts"),
     "verdict_expand": _r(", lowered AS (SELECT DISTINCT ON (lower(code)) lower(code) AS k, is_factory, factory_type FROM vd WHERE length(code) > 2) SELECT c.chain, c.address, l.is_factory, l.factory_type FROM v_contracts c JOIN lowered l ON lower(c.code) = l.k"),
     "memo_reuse": _r(", memo AS (SELECT bytecode_hash, any_value(is_factory) AS is_factory, any_value(is_create_only) AS is_create_only, any_value(is_create2_only) AS is_create2_only, any_value(is_both) AS is_both FROM res WHERE block_number % 2 = 0 AND bytecode_hash < '9' GROUP BY 1) SELECT k.bytecode_hash, m.is_factory, m.is_create_only, m.is_create2_only, m.is_both FROM codes k LEFT JOIN memo m USING (bytecode_hash)"),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,12 +83,81 @@ def read_results(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def append_results(rows: DataFrame, path: str) -> None:
-    """One row of each chain and address that the table has not yet, so that an append that is run again adds nothing; rows may have columns that it lacks."""
-    new, before = rows.dropDuplicates(["chain", "address"]), read_results(rows.sparkSession, path)
+def append_results(rows: DataFrame, path: str, batch: str | None = None) -> bool:
+    """Adds one row of each chain and address that the table has not yet, so that an append that is run again adds nothing; null keys equal each other. Rows may have
+    columns that the table lacks.
+
+    With the name of a batch (then all rows of the table must come in batches) the rows are staged in a folder of their own and then published by renaming it to `batch=<name>` in the table: a job that is
+    lost before that leaves nothing that readers see, and a batch is published once, by whoever renames first; False if it was there before. Writers of different
+    batches that run at once may both add an address; scans.last_of_each() then reads one of them.
+    """
+    spark = rows.sparkSession
+    if batch is not None and not re.fullmatch(r"[\w.-]+", batch):
+        raise ValueError(f"not a name of a batch: {batch}")
+    if batch is not None and _exists(spark, f"{path}/batch={batch}"):
+        return False
+    new, before = rows.dropDuplicates(["chain", "address"]), read_results(spark, path)
     if before is not None:
-        new = new.join(before.select("chain", "address"), ["chain", "address"], "left_anti")
-    new.write.mode("append").parquet(path)
+        known = before.select(F.col("chain").alias("_chain"), F.col("address").alias("_address"))
+        new = new.join(known, F.col("chain").eqNullSafe(F.col("_chain")) & F.col("address").eqNullSafe(F.col("_address")), "left_anti")
+    if batch is None:
+        new.write.mode("append").parquet(path)
+        return True
+    staged = f"{path.rstrip('/')}-staged/{batch}-{uuid.uuid4().hex}"
+    new.write.parquet(staged)
+    return publish(spark, staged, f"{path}/batch={batch}")
+
+
+def _hadoop(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p, fs = _hadoop(spark, path)
+    return fs.exists(p)
+
+
+def publish(spark: SparkSession, staged: str, target: str) -> bool:
+    """Renames a staged folder to its place, one step in a file system; False, and the staged folder is deleted, if another writer was first."""
+    src, fs = _hadoop(spark, staged)
+    dst, _ = _hadoop(spark, target)
+    fs.mkdirs(dst.getParent())
+    if not fs.exists(dst) and fs.rename(src, dst) and not fs.exists(_hadoop(spark, f"{target}/{src.getName()}")[0]):
+        return True
+    # A rename onto a folder that has come up since puts the staged one into it: take it out again.
+    fs.delete(_hadoop(spark, f"{target}/{src.getName()}")[0], True)
+    fs.delete(src, True)
+    return False
+
+
+def swap_partition(rows: DataFrame, path: str, by: str, value: str) -> None:
+    """Exchanges one partition of a stored table for rows, which lack the column `by`: the new one is staged whole, then takes the old one's place. A job that is lost
+    before leaves the old partition; one lost between the two renames leaves it as `<partition>.old`, and the next call puts it back first."""
+    spark, place = rows.sparkSession, f"{path}/{by}={value}"
+    old, staged = f"{path.rstrip('/')}-staged/{by}={value}.old", f"{path.rstrip('/')}-staged/{by}={value}-{uuid.uuid4().hex}"
+    recover_partition(spark, path, by, value)
+    rows.write.parquet(staged)
+    dst, fs = _hadoop(spark, place)
+    keep, src = _hadoop(spark, old)[0], _hadoop(spark, staged)[0]
+    if fs.exists(dst):
+        fs.rename(dst, keep)
+    else:
+        fs.mkdirs(dst.getParent())
+    fs.rename(src, dst)
+    fs.delete(keep, True)
+
+
+def recover_partition(spark: SparkSession, path: str, by: str, value: str) -> bool:
+    """Puts an old partition back whose exchange was lost between its renames; whether there was one. An old partition beside its new one is deleted."""
+    dst, fs = _hadoop(spark, f"{path}/{by}={value}")
+    keep = _hadoop(spark, f"{path.rstrip('/')}-staged/{by}={value}.old")[0]
+    if not fs.exists(keep):
+        return False
+    if fs.exists(dst):
+        fs.delete(keep, True)
+        return False
+    return bool(fs.rename(keep, dst))
 
 
 def create_table(spark: SparkSession, name: str, declared: StructType, by: list[str]) -> bool:

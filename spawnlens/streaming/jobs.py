@@ -49,13 +49,22 @@ def detect_incrementally(contracts: DataFrame, results_path: str, checkpoint: st
     contracts.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(batch).start().awaitTermination()
 
 
+class PeriodsFailed(RuntimeError):
+    """Some periods failed after all others were worked through: errors is {(chain, start, end): error}."""
+
+    def __init__(self, done: int, errors: dict):
+        super().__init__(f"{len(errors)} periods failed, {done} completed: " + "; ".join(f"{c} {s} to {e}: {x}" for (c, s, e), x in list(errors.items())[:5]))
+        self.done, self.errors = done, errors
+
+
 def process_periods(periods: DataFrame, log_path: str, work) -> int:
     """Works through planned periods (chain, start_date, end_date) that the log at log_path does not call completed, and logs each as in_progress, then
-    completed or failed; the number completed. work(chain, start, end) gives (contracts, factories). A failed period is tried again by a later call.
+    completed or failed; the number completed. work(chain, start, end) gives (contracts, factories).
 
-    Periods are few, months of chains; the rows of a period are the cluster's work, not the loop's.
+    A failed period does not stop the others; after the last, PeriodsFailed says which failed, and a later call tries these again. Periods are few, months of
+    chains; the rows of a period are the cluster's work, not the loop's.
     """
-    spark, done = periods.sparkSession, 0
+    spark, done, errors = periods.sparkSession, 0, {}
     schema = "chain string, start_date date, end_date date, status string, contracts_processed bigint, factories_found bigint, processing_time_ms bigint, updated_at timestamp"
 
     def log(p, status: str, contracts: int | None = None, factories: int | None = None, ms: int | None = None) -> None:
@@ -70,11 +79,14 @@ def process_periods(periods: DataFrame, log_path: str, work) -> int:
         began = time.monotonic()
         try:
             contracts, factories = work(p["chain"], p["start_date"], p["end_date"])
-        except Exception:
+        except Exception as e:  # any work may fail in its own way; it is logged, and told at the end
             log(p, "failed")
-            raise
+            errors[p["chain"], p["start_date"], p["end_date"]] = e
+            continue
         log(p, "completed", contracts, factories, round(1000 * (time.monotonic() - began)))
         done += 1
+    if errors:
+        raise PeriodsFailed(done, errors)
     return done
 
 
@@ -92,3 +104,10 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new folder below the one that the cluster shares; the warehouse if none is named."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Writes df to a new folder of the shared one and reads it again: cuts lineage, so that lost executors and later rounds recompute nothing before it."""
+    spark, schema, path = df.sparkSession, df.schema, scratch(df.sparkSession, "kept")
+    df.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
