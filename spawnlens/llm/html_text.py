@@ -5,7 +5,7 @@ those ancestors, the block's length, link share, final mark and place. The field
 ascent on the exact likelihood of labelled pages, and decoded by Viterbi. Scripts, styles, comments, templates and the head are markup and
 never blocks. The labelled pages are made by `labelled_pages`: page frames of many kinds around invented prose.
 
-Results for odd input: null or empty html gives an empty text; html without tags is one block; unclosed or stray tags are repaired as browsers do;
+Results for odd input: null or empty html gives an empty text; html without tags is one block; unclosed or stray tags are repaired as browsers do, and elements nested over 512 deep are put side by side;
 null urls and ids stay; repeated rows are extracted each; input columns named like the result's are replaced. An empty table gives an
 empty table.
 """
@@ -41,6 +41,8 @@ _ATTRIBUTE = rf"[^{_W}/>][^{_W}/>=]*+(?:[{_W}]*+=[{_W}]*+(?:\"[^\"]*\"|'[^']*'|[
 TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^{_W}/>]*+)((?>[{_W}/]++|{_ATTRIBUTE})*+)>|<(/?)([a-zA-Z][^{_W}/>]*+)([^>]*+)>|<(?:[!?]|/(?![a-zA-Z]))[^>]*(?:>|\Z)|</?[a-zA-Z][^>]*\Z", re.S)
 ATTRIBUTE = re.compile(rf"([^{_W}/>][^{_W}/>=]*+)(?:[{_W}]*+=[{_W}]*+(?:\"([^\"]*)\"|'([^']*)'|([^{_W}\"'>][^{_W}>]*+))?)?")
 WORD = re.compile(r"[a-z]+")
+#: Open elements at most: as in browsers, a deeper one takes the place of the last, so that the time of a page grows with its length only.
+DEPTH = 512
 
 
 class Block:
@@ -118,13 +120,18 @@ def blocks(page: str | None) -> list[Block]:
             in_link = sum(t == "a" for t, _ in stack[:k])
         del stack[k:]
 
+    next_end: dict[str, int] = {}
+
     def ends(tag: str, start: int) -> int:
-        """Where the element's end tag stands, or -1."""
-        while (k := lowered.find(f"</{tag}", start)) >= 0:
-            if (after := lowered[k + 2 + len(tag) : k + 3 + len(tag)]) and after in " \t\n\f\r/>":
-                return k
-            start = k + 2
-        return -1
+        """Where the element's end tag stands, or -1. Starts only grow, so what was found before holds until it is passed, and a page is searched once a tag."""
+        k = next_end.get(tag, 0)
+        if 0 <= k < start or tag not in next_end:
+            while (k := lowered.find(f"</{tag}", start)) >= 0:
+                if (after := lowered[k + 2 + len(tag) : k + 3 + len(tag)]) and after in " \t\n\f\r/>":
+                    break
+                start = k + 2
+            next_end[tag] = k
+        return k
 
     at = 0
     while m := TOKEN.search(page, at):
@@ -171,7 +178,7 @@ def blocks(page: str | None) -> list[Block]:
                 leave_head()
             if tag in RAW or tag in UNSEEN:
                 stop = ends(tag, at)
-                if closes_itself(attributes) and (tag in UNSEEN or stop < 0 or 0 <= lowered.find(f"<{tag}", at) < stop):
+                if closes_itself(attributes) and (tag in UNSEEN or stop < 0 or lowered.find(f"<{tag}", at, stop) >= 0):
                     continue
                 if tag in RAW:
                     at = stop if stop >= 0 else len(page) if tag in ("script", "style") else at
@@ -191,6 +198,8 @@ def blocks(page: str | None) -> list[Block]:
                         if open_tag in SCOPE.get(tag, ()) or tag not in CLOSES:
                             break
             if tag not in VOID and not attributes.endswith("/"):
+                if len(stack) >= DEPTH:
+                    pop(DEPTH - 1)
                 stack.append((tag, marks(tag, attributes)))
                 in_link += tag == "a"
     take(page[at:])
