@@ -155,9 +155,50 @@ def merge(target: DataFrame, source: DataFrame, key: str, columns: list[str]) ->
     return joined.select(*[F.when(F.col("_hit"), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in target.columns])
 
 
+def chain_list(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(CHAINS, "chain string, query_type string, genesis string, status string")
+
+
+def active_chains(contracts: DataFrame) -> DataFrame:
+    """Chains that are active by the list and have contracts: chain, query_type, first_seen and last_seen (dates), contracts."""
+    seen = contracts.groupBy("chain").agg(F.to_date(F.min("block_timestamp")).alias("first_seen"), F.to_date(F.max("block_timestamp")).alias("last_seen"), F.count("*").alias("contracts"))
+    return chain_list(contracts.sparkSession).where("status = 'active'").select("chain", "query_type").join(seen, "chain")
+
+
+def period_number(at: Column, cutoff: str = CUTOFF, days: int = PERIOD_DAYS) -> Column:
+    """Which period before the cutoff a time falls in, from 0; null from the cutoff on."""
+    before = F.datediff(F.lit(cutoff).cast("date"), F.to_date(at))
+    return F.when(before > 0, F.floor((before - 1) / days))
+
+
+def known_factories(known: DataFrame, contracts: DataFrame) -> DataFrame:
+    """The factories that are known beforehand, with whether the contracts have them, and how many contracts their chain has."""
+    chains = contracts.groupBy("chain").agg(F.count("*").alias("chain_contracts"))
+    wanted = F.broadcast(known.select("chain", F.lower("address").alias("_a")))  # a fixed list
+    own = contracts.select("chain", F.lower("address").alias("_a"))
+    hit = own.join(wanted, ["chain", "_a"]).distinct().withColumn("seen", F.lit(True))
+    out = known.withColumn("_a", F.lower("address")).join(hit, ["chain", "_a"], "left").join(chains, "chain", "left")
+    return out.select("chain", "address", "name", "project", "contract_type", F.coalesce("seen", F.lit(False)).alias("seen"), F.coalesce("chain_contracts", F.lit(0)).cast("long").alias("chain_contracts"))
+
+
+def mock_address(number: Column) -> Column:
+    """0x and a number, padded with zeros to 20 bytes."""
+    return F.concat(F.lit("0x"), F.lpad(F.lower(F.hex(number)), 40, "0"))
+
+
+def mock_code(number: Column, size: int = 32) -> Column:
+    """0x and a number, padded with zeros to `size` bytes."""
+    return F.concat(F.lit("0x"), F.lpad(F.lower(F.hex(number)), 2 * size, "0"))
+
+
 def periods(spark: SparkSession, cutoff: str = CUTOFF, days: int = PERIOD_DAYS) -> DataFrame:
     """Each active chain's periods, backward from the cutoff; the last is cut at the chain's beginning."""
-    chains = spark.createDataFrame(CHAINS, "chain string, query_type string, genesis string, status string").where("status = 'active'")
+    return periods_of(chain_list(spark).where("status = 'active'"), cutoff, days)
+
+
+def periods_of(chains: DataFrame, cutoff: str = CUTOFF, days: int = PERIOD_DAYS) -> DataFrame:
+    """Periods of chains (chain, genesis), backward from the cutoff; none of a chain that begins at the cutoff or later."""
+    chains = chains.where(F.to_date("genesis") < F.lit(cutoff).cast("date"))
     ends = chains.select("chain", F.to_date("genesis").alias("g"), F.explode(F.expr(f"sequence(DATE '{cutoff}', date_add(to_date(genesis), 1), INTERVAL -{days} DAY)")).alias("end_date"))
     return ends.select("chain", F.greatest(F.date_sub("end_date", days), F.col("g")).alias("start_date"), "end_date")
 

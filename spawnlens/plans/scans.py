@@ -143,23 +143,30 @@ def chain_statistics(spark, sf_dir):
 
 
 def active_chains(spark, sf_dir):
-    return spark.createDataFrame(CHAINS, "chain string, query_type string, genesis string, status string").where("status = 'active'").drop("status")
+    return S.active_chains(_c(spark, sf_dir))
 
 
 def known_factories(spark, sf_dir):
-    return spark.createDataFrame(KNOWN_FACTORIES, "chain string, address string, name string, project string, contract_type string")
+    known = spark.createDataFrame(KNOWN_FACTORIES, "chain string, address string, name string, project string, contract_type string")
+    return S.known_factories(known, _c(spark, sf_dir))
 
 
-def time_periods(spark, sf_dir):
-    return S.periods(spark)
+def _planned(spark, sf_dir):
+    """Periods from each chain's first contract to the cut, by number."""
+    plan = S.periods_of(S.active_chains(_c(spark, sf_dir)).select("chain", F.col("first_seen").alias("genesis")), CUT)
+    return plan.withColumn("number", S.period_number(F.date_sub("end_date", 1), CUT))
 
 
-def _done(spark):
-    return S.periods(spark).where(F.month("end_date") % 3 == 0)
+def time_periods(spark, sf_dir):
+    """Planned periods with the contracts that fall in them."""
+    made = _c(spark, sf_dir).select("chain", S.period_number(F.col("block_timestamp"), CUT).alias("number")).groupBy("chain", "number").agg(F.count("*").alias("contracts"))
+    return _planned(spark, sf_dir).join(made, ["chain", "number"], "left").select("chain", "start_date", "end_date", F.coalesce("contracts", F.lit(0)).cast("long").alias("contracts"))
 
 
 def pending_periods(spark, sf_dir):
-    return S.only_new(S.periods(spark), _done(spark), "chain", "start_date", "end_date")
+    """Planned periods that are not completed; completed are those in which a contract stands whose block is a multiple of 499."""
+    done = _c(spark, sf_dir).where("block_number % 499 = 0").select("chain", S.period_number(F.col("block_timestamp"), CUT).alias("number"))
+    return S.only_new(_planned(spark, sf_dir), done, "chain", "number").select("chain", "start_date", "end_date")
 
 
 def _log(spark, sf_dir):
@@ -245,8 +252,9 @@ def address_normalise(spark, sf_dir):
 
 
 def mock_contracts(spark, sf_dir):
-    """Made-up addresses: 0x and a zero-padded number."""
-    return spark.range(64).select("id", F.concat(F.lit("0x"), F.lpad(F.lower(F.hex("id")), 40, "0")).alias("address"))
+    """Addresses and codes made up from blocks' and customers' numbers."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return orders.select(F.col("o_orderkey").alias("id"), S.mock_address(F.col("o_orderkey")).alias("address"), S.mock_code(F.col("o_custkey")).alias("bytecode"))
 
 
 QUERIES = {f.__name__: f for f in (scan_contracts_window, scan_contracts_join, unique_bytecodes, paged_scan, keyset_pages, expand_bytecodes, verdict_expand, memo_reuse, new_addresses, distinct_bytecodes, duplicate_bytecodes, count_contracts, shard_union, result_summary, daily_type_counts, factory_rate, unique_factories, factory_flags, chain_statistics, active_chains, known_factories, time_periods, pending_periods, progress_upsert, progress_replace, progress_default, progress_stats, resume_plan, results_sink, factory_only, factory_addresses, topn_per_chain, topn_global, fetch_plan, cache_coverage, factories_with_sources, weights_lookup, address_normalise, mock_contracts)}
@@ -262,7 +270,9 @@ def _r(text: str) -> str:
 
 _UNIQUE = f"uq AS (SELECT * FROM v_contracts WHERE block_timestamp < TIMESTAMP '{CUTOFF}' AND code IS NOT NULL AND length(code) > 2 QUALIFY row_number() OVER (PARTITION BY chain, code ORDER BY block_number, block_timestamp, address) = 1)"
 _CH = "ch AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}', '{c}', '{d}')" for a, b, c, d in CHAINS) + ") t(chain, query_type, genesis, status))"
-_PER = f"""{_CH}, per AS (SELECT chain, greatest(CAST(e - INTERVAL {PERIOD_DAYS} DAY AS DATE), CAST(genesis AS DATE)) AS start_date, CAST(e AS DATE) AS end_date FROM (SELECT chain, genesis, unnest(generate_series(TIMESTAMP '{CUTOFF}', CAST(genesis AS TIMESTAMP) + INTERVAL 1 DAY, INTERVAL (-{PERIOD_DAYS}) DAY)) AS e FROM ch WHERE status = 'active'))"""
+_SEEN = f"{_CH}, seen AS (SELECT chain, query_type, CAST(min(block_timestamp) AS DATE) AS first_seen, CAST(max(block_timestamp) AS DATE) AS last_seen, count(*) AS contracts FROM v_contracts JOIN ch USING (chain) WHERE status = 'active' GROUP BY chain, query_type)"
+_PER = f"""{_SEEN}, per AS (SELECT chain, greatest(CAST(e - INTERVAL {PERIOD_DAYS} DAY AS DATE), first_seen) AS start_date, CAST(e AS DATE) AS end_date FROM (
+  SELECT chain, first_seen, unnest(generate_series(TIMESTAMP '{CUT}', CAST(first_seen AS TIMESTAMP) + INTERVAL 1 DAY, INTERVAL (-{PERIOD_DAYS}) DAY)) AS e FROM seen WHERE first_seen < DATE '{CUT}'))"""
 _LOG = "lg AS (SELECT CASE WHEN user_id % 2 = 0 THEN 'ethereum' ELSE 'polygon' END AS chain, event_id % 20 AS period, CASE WHEN event_id % 4 = 3 THEN 'completed' ELSE 'in_progress' END AS status, event_id * 3 AS contracts_processed, event_id AS updated_at FROM events)"
 _NUM = "TRY_CAST({} AS DOUBLE)"
 _U, _T = _NUM.format("unique_creations"), _NUM.format("total_creations")
@@ -290,10 +300,12 @@ ORACLE_SQL = {
     "unique_factories": _r("SELECT count(*) FILTER (is_factory) AS unique_factories, count(*) AS codes FROM vd"),
     "factory_flags": _r("SELECT bytecode_hash, CASE WHEN is_factory THEN factory_type IN ('CREATE_ONLY', 'BOTH_CREATE_CREATE2') END AS is_create, CASE WHEN is_factory THEN factory_type IN ('CREATE2_ONLY', 'BOTH_CREATE_CREATE2') END AS is_create2, CASE WHEN is_factory THEN factory_type = 'BOTH_CREATE_CREATE2' END AS is_both, factory_type = 'CREATE_ONLY' AS only_is_create_only, factory_type = 'CREATE2_ONLY' AS only_is_create2_only, factory_type = 'BOTH_CREATE_CREATE2' AS only_is_both FROM vd"),
     "chain_statistics": sql("WITH s AS (SELECT chain, count(*) AS total_contracts, count(DISTINCT code) AS unique_bytecodes FROM v_contracts GROUP BY chain) SELECT * FROM s UNION ALL SELECT 'all', CAST(sum(total_contracts) AS BIGINT), CAST(sum(unique_bytecodes) AS BIGINT) FROM s", "contracts"),
-    "active_chains": f"WITH {_CH} SELECT chain, query_type, genesis FROM ch WHERE status = 'active'",
-    "known_factories": "SELECT * FROM (VALUES " + ", ".join(str(r) for r in KNOWN_FACTORIES) + ") t(chain, address, name, project, contract_type)",
-    "time_periods": f"WITH {_PER} SELECT * FROM per",
-    "pending_periods": f"WITH {_PER} SELECT * FROM per WHERE month(end_date) % 3 <> 0",
+    "active_chains": sql(f"WITH {_SEEN} SELECT * FROM seen", "contracts"),
+    "known_factories": sql(
+        "WITH k AS (SELECT * FROM (VALUES " + ", ".join(str(r) for r in KNOWN_FACTORIES) + ") t(chain, address, name, project, contract_type)) "
+        "SELECT *, EXISTS (SELECT 1 FROM v_contracts c WHERE c.chain = k.chain AND lower(c.address) = lower(k.address)) AS seen, (SELECT count(*) FROM v_contracts c WHERE c.chain = k.chain) AS chain_contracts FROM k", "contracts"),
+    "time_periods": sql(f"WITH {_PER} SELECT per.*, (SELECT count(*) FROM v_contracts c WHERE c.chain = per.chain AND c.block_timestamp >= per.start_date AND c.block_timestamp < per.end_date) AS contracts FROM per", "contracts"),
+    "pending_periods": sql(f"WITH {_PER} SELECT * FROM per WHERE NOT EXISTS (SELECT 1 FROM v_contracts c WHERE c.chain = per.chain AND c.block_number % 499 = 0 AND c.block_timestamp >= per.start_date AND c.block_timestamp < per.end_date)", "contracts"),
     "progress_upsert": f"WITH {_LOG} SELECT * FROM lg QUALIFY row_number() OVER (PARTITION BY chain, period ORDER BY updated_at DESC) = 1",
     "progress_replace": f"WITH {_LOG} SELECT * FROM lg WHERE chain <> 'polygon' UNION ALL (SELECT * FROM lg WHERE chain = 'polygon' ORDER BY updated_at DESC LIMIT 1)",
     "progress_default": f"WITH {_CH}, {_LOG}, last AS (SELECT * FROM lg QUALIFY row_number() OVER (PARTITION BY chain ORDER BY updated_at DESC) = 1) SELECT ch.chain, coalesce(contracts_processed, 0) AS processed_contracts, coalesce(last.status, 'not_started') AS status FROM ch LEFT JOIN last USING (chain)",
@@ -309,5 +321,5 @@ ORACLE_SQL = {
     "factories_with_sources": sql(f"SELECT f.chain, lower(f.factory_address) AS address, {_U} AS unique_creations, s.path FROM v_factory_addresses f JOIN v_sources s ON s.chain = f.chain AND s.address = lower(f.factory_address) WHERE s.id % 4 <> 0 AND (coalesce({_U} >= 1, false) OR {_T} >= 1)", "factory_addresses", "sources"),
     "weights_lookup": sql(f"SELECT s.chain, s.address, coalesce({_U}, 1.0)::DOUBLE AS weight FROM v_sources s LEFT JOIN (SELECT * FROM v_factory_addresses WHERE id % 5 <> 0) f ON f.chain = s.chain AND lower(f.factory_address) = s.address", "factory_addresses", "sources"),
     "address_normalise": "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN NULL WHEN 2 THEN NULL ELSE '0x' || substr(sha256(CAST(p_partkey AS VARCHAR)), 1, 40) END AS address FROM part",
-    "mock_contracts": "SELECT CAST(i AS BIGINT) AS id, '0x' || lpad(lower(hex(i)), 40, '0') AS address FROM range(64) t(i)",
+    "mock_contracts": "SELECT o_orderkey AS id, '0x' || lpad(lower(hex(o_orderkey)), 40, '0') AS address, '0x' || lpad(lower(hex(o_custkey)), 64, '0') AS bytecode FROM orders",
 }

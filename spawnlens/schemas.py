@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-
-
 # Column names and types of the tables.
 CONTRACTS = "chain string, address string, bytecode string, block_timestamp timestamp, block_number bigint, transaction_hash string"
 TRACES = "chain string, trace_type string, status bigint, from_address string, to_address string, transaction_hash string, block_number bigint, block_timestamp timestamp, trace_address string, value string, input string, output string, gas bigint, gas_used bigint"
@@ -27,6 +27,20 @@ def signature(schema: StructType) -> list[tuple[str, str, str]]:
     return [(f.name, f.dataType.simpleString(), "NULLABLE" if f.nullable else "REQUIRED") for f in schema.fields]
 
 
+def stored_signature(declared: StructType, stored: DataFrame) -> DataFrame:
+    """column_name, type, mode, n_rows, n_nulls and differs for each declared column: how a stored table holds it. A column differs if it is absent, of another type, or
+    has nulls where it must not; files do not keep whether a column may be null, so rows are counted."""
+    found = {f.name: f.dataType.simpleString() for f in stored.schema.fields}
+    nulls = [F.count_if(F.col(f.name).isNull() if f.name in found else F.lit(True)).alias(f.name) for f in declared.fields]
+    one = stored.agg(F.count("*").alias("n_rows"), F.struct(*nulls).alias("nulls"))
+    rows = [
+        F.struct(F.lit(name).alias("column_name"), F.lit(found.get(name)).alias("type"), F.lit(mode).alias("mode"), F.col("n_rows"), F.col("nulls")[name].alias("n_nulls"),
+                 (F.lit(found.get(name) != kind) | (F.lit(mode == "REQUIRED") & (F.col("nulls")[name] > 0))).alias("differs"))
+        for name, kind, mode in signature(declared)
+    ]
+    return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
 def must_recreate(declared: StructType, found: StructType) -> bool:
     return signature(declared) != signature(found)
 

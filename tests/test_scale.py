@@ -168,3 +168,28 @@ def test_a_failed_period_does_not_stop_the_others(spark, tmp_path):
         jobs.process_periods(periods, str(tmp_path / "log"), work)
     assert seen == ["a", "b", "c"] and [k[0] for k in e.value.errors] == ["a"]
     assert jobs.process_periods(periods, str(tmp_path / "log"), work) == 1 and seen[-1] == "a"
+
+
+def test_stored_tables_are_held_against_their_schemas(spark):
+    from spawnlens.schemas import StructType, stored_signature
+
+    declared = StructType.fromDDL("a int NOT NULL, b string, c bigint, d date NOT NULL")
+    stored = spark.createDataFrame([(1, "x", 1.5), (None, None, 2.0)], "a int, b string, c double")
+    got = [tuple(r) for r in stored_signature(declared, stored).collect()]
+    assert got == [("a", "int", "REQUIRED", 2, 1, True), ("b", "string", "NULLABLE", 2, 1, False), ("c", "double", "NULLABLE", 2, 0, True), ("d", None, "REQUIRED", 2, 2, True)]
+    empty = [tuple(r)[3:] for r in stored_signature(declared, stored.where("a = 9")).collect()]
+    assert empty == [(0, 0, False), (0, 0, False), (0, 0, True), (0, 0, True)]
+
+
+def test_periods_hold_their_contracts(spark):
+    chains = spark.createDataFrame([("e", "2024-01-15"), ("late", "2024-06-01")], "chain string, genesis string")
+    plan = S.periods_of(chains, "2024-04-01").withColumn("n", S.period_number(F.date_sub("end_date", 1), "2024-04-01")).collect()
+    assert [(str(r["start_date"]), str(r["end_date"]), r["n"]) for r in plan] == [("2024-03-02", "2024-04-01", 0), ("2024-02-01", "2024-03-02", 1), ("2024-01-15", "2024-02-01", 2)]
+    days = spark.sql("SELECT explode(sequence(DATE'2024-01-15', DATE'2024-04-02')) AS d").withColumn("n", S.period_number(F.col("d"), "2024-04-01")).collect()
+    assert all(r["n"] is None if str(r["d"]) >= "2024-04-01" else any(p["n"] == r["n"] and p["start_date"] <= r["d"] < p["end_date"] for p in plan) for r in days)
+
+
+def test_known_factories_are_seen_in_any_case(spark):
+    known = spark.createDataFrame([("e", "0xAB", "n", "p", "t"), ("p", "0xcd", "n", "p", "t")], "chain string, address string, name string, project string, contract_type string")
+    contracts = spark.createDataFrame([("e", "0xaB"), ("e", "0xab"), ("e", None), ("x", "0xcd")], "chain string, address string")
+    assert [(r["chain"], r["seen"], r["chain_contracts"]) for r in S.known_factories(known, contracts).orderBy("chain").collect()] == [("e", True, 3), ("p", False, 0)]
