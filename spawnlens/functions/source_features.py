@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 NAME = "[A-Za-z_][A-Za-z0-9_]*"
@@ -11,6 +11,7 @@ COUNTS = {
     "n_functions": r"\bfunction\s+[a-zA-Z0-9_]+\s*\(", "n_events": r"\bevent\s+[a-zA-Z0-9_]+\s*\(", "n_mappings": r"\bmapping\s*\(", "n_arrays": r"\[[^\]]*\]", "n_imports": r"\bimport\b",
     "n_modifiers": rf"\bmodifier\s+{NAME}\s*\(", "n_constructors": r"\bconstructor\s*\(", "n_contracts": rf"\bcontract\s+({NAME})\b", "n_interfaces": rf"\binterface\s+({NAME})\b", "n_abstract": r"\babstract\s+contract\b",
 }
+# Patterns of the flags, of library use, and of the ends of lines.
 FLAGS = {
     "has_create": r"(?i)\bcreate\s*\(", "has_create2": r"(?i)\bcreate2\s*\(", "has_clone": r"(?i)\bclone\s*\(", "has_predict": r"(?i)\bpredict\w*\s*\(", "has_salt": r"(?i)\bbytes32\s+salt\b|(?i)CREATE2", "has_delegatecall": r"(?i)\bdelegatecall\b",
     "has_openzeppelin": r"(?i)openzeppelin", "has_ownable": r"\bOwnable\b", "has_access_control": r"\bAccessControl\b", "has_only_owner": r"\bonlyOwner\b",
@@ -35,6 +36,37 @@ def counts(text: Column) -> dict[str, Column]:
     return {k: count(text, p) for k, p in COUNTS.items()}
 
 
+#: Whole words that features ask for: as they are written, and in lower case.
+WRITTEN = {"import", "public", "external", "Ownable", "AccessControl", "onlyOwner", *LIBRARIES}
+WRITTEN_FLAGS = {"has_ownable": "Ownable", "has_access_control": "AccessControl", "has_only_owner": "onlyOwner"}
+
+
+def _of(found: Column, word: str) -> Column:
+    return F.coalesce(F.try_element_at(found, F.lit(word)), F.lit(0.0))
+
+
+def with_features(rows: DataFrame, text: str = "text") -> DataFrame:
+    """Adds the 92 features. Words are counted in two passes over each text, kept as maps, and declared names are read once; only patterns of several words have a pass
+    of their own."""
+    t = F.col(text)
+    hits = lambda c, words: F.regexp_extract_all(c, F.lit(rf"\b(?:{'|'.join(sorted(words))})\b"), F.lit(0))
+    once = rows.withColumns({"_written": hits(t, WRITTEN), "_terms": hits(F.lower(t), TERMS), "_names": declared_names(t)})
+    tally = lambda c: F.map_from_entries(F.transform(F.array_distinct(c), lambda w: F.struct(w, F.size(F.filter(c, lambda x: x == w)).cast("double"))))
+    once = once.withColumns({"_written": tally(F.col("_written")), "_terms": tally(F.col("_terms"))})
+    w, terms = F.col("_written"), F.col("_terms")
+    both = F.greatest(_of(w, "public") + _of(w, "external"), F.lit(1.0))
+    found = {k: count(t, p) for k, p in COUNTS.items() if k not in ("n_imports", "n_contracts")} | {"n_imports": _of(w, "import"), "n_contracts": F.size("_names").cast("double")}
+    found |= sizes(t) | {k: F.rlike(t, F.lit(p)).cast("double") for k, p in FLAGS.items() if k not in WRITTEN_FLAGS} | {k: (_of(w, x) > 0).cast("double") for k, x in WRITTEN_FLAGS.items()}
+    found |= {"public_ratio": _of(w, "public") / both, "external_ratio": _of(w, "external") / both}
+    found |= {k: c for k, c in libraries(t).items() if not k.startswith("lib_")} | {f"lib_{x}": (_of(w, x) > 0).cast("double") for x in LIBRARIES}
+    found |= {f"bow_{x}": _of(terms, x) for x in TERMS} | tokens_in(F.col("_names"))
+    return once.withColumns(dict(sorted(found.items()))).drop("_written", "_terms", "_names")
+
+
+def feature_names() -> list[str]:
+    return list(all_features(F.lit("")))
+
+
 def sizes(text: Column) -> dict[str, Column]:
     """Lines, a trailing empty one not counted, and code points."""
     lines = F.regexp_count(text, F.lit(LINE_END)) + F.when(F.rlike(text, F.lit(rf"(?:{LINE_END})\z")), 0).otherwise(1)
@@ -65,7 +97,14 @@ def bag_of_words(text: Column) -> dict[str, Column]:
 
 def name_tokens(text: Column) -> dict[str, Column]:
     """In how many declared contract names, in lower case, each token is."""
-    names = F.transform(F.regexp_extract_all(text, F.lit(COUNTS["n_contracts"]), F.lit(1)), lambda n: F.lower(n))
+    return tokens_in(declared_names(text))
+
+
+def declared_names(text: Column) -> Column:
+    return F.transform(F.regexp_extract_all(text, F.lit(COUNTS["n_contracts"]), F.lit(1)), lambda n: F.lower(n))
+
+
+def tokens_in(names: Column) -> dict[str, Column]:
     holds = lambda t: lambda n: F.contains(n, F.lit(t))
     return {f"name_{t}": F.size(F.filter(names, holds(t))).cast("double") for t in NAME_TOKENS}
 

@@ -26,8 +26,8 @@ def _features(group):
 
 def src_feature_vector(spark, sf_dir):
     """The 92 features in sorted order, as text of the vector."""
-    found = SF.all_features(F.col("text"))
-    return _text(spark, sf_dir).select("address", F.array_join(F.array(*[F.round(c * 1000).cast("bigint") for c in found.values()]).cast("array<string>"), ",").alias("features"))
+    found = SF.with_features(_text(spark, sf_dir))
+    return found.select("address", F.array_join(F.array(*[F.round(F.col(c) * 1000).cast("bigint") for c in SF.feature_names()]).cast("array<string>"), ",").alias("features"))
 
 
 def non_factory_source(spark, sf_dir):

@@ -342,3 +342,16 @@ def test_periods_are_marked_and_resumed(spark, tmp_path):
     assert seen == [("e", "2020-01-01"), ("e", "2020-01-31"), ("p", "2020-01-01"), ("p", "2020-01-01")]
     latest = S.progress_log_latest(jobs.read_log(spark, path), ["chain", "start_date"]).collect()
     assert len(latest) == 3 and all(r["status"] == "completed" and r["factories_found"] == 2 for r in latest)
+
+
+def test_features_of_one_pass_are_those_of_single_patterns(spark):
+    from spawnlens.functions import source_features as SF
+
+    texts = ["", "contract A is Ownable { using SafeMath for uint; function f() public { } }\r\nlibrary L {}\n", "import import_x IMPORT public,public external_ external Factory factory FACTORY erc20 x_erc20 clones Clones beacon-proxy",
+             "abstract contract TokenVault{} contract PoolFactoryRouter is X { bytes32 salt; create2 ( a ); delegateCall; mapping (a=>b) m; onlyOwner; uint[] a; }", "aa dao\ndao AA nft_ nft"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id int, text string")
+    names = SF.feature_names()
+    assert len(names) == 92 and names == sorted(names)
+    one = SF.with_features(df).select("id", *names).orderBy("id").collect()
+    each = df.select("id", *[c.alias(k) for k, c in SF.all_features(F.col("text")).items()]).orderBy("id").collect()
+    assert one == each and any(r["bow_factory"] == 2 for r in one) and any(r["name_vault"] == 1 for r in one)
