@@ -138,7 +138,17 @@ def detect_guarded(spark, sf_dir):
     return found.select("bytecode_hash", "is_factory", "factory_type", "error", F.when(F.col("error") == "timeout", 10000).otherwise(0).alias("execution_time_ms"))
 
 
-QUERIES = {f.__name__: f for f in (scan_dispatch, renamed_columns, fetch_normalised, fetch_problems, last_block, chain_titles, results_append, fetch_fixpoint, input_fallback, block_info, block_info_depth, table_function_blocks, table_function_instructions, detect_function, detect_function_enhanced, detect_improved, detect_guarded)}
+#: Steps that the analysis of a code may take in detect_budgeted.
+STEPS = 250
+
+
+def detect_budgeted(spark, sf_dir):
+    """Codes whose baseline analysis takes more steps than a bound count as timed out, whatever their length."""
+    found = kernel.verdicts(_codes(spark, sf_dir), may=STEPS)
+    return found.select("bytecode_hash", "is_factory", "factory_type", "error", F.when(F.col("error") == "timeout", 10000).otherwise(0).alias("execution_time_ms"))
+
+
+QUERIES = {f.__name__: f for f in (scan_dispatch, renamed_columns, fetch_normalised, fetch_problems, last_block, chain_titles, results_append, fetch_fixpoint, input_fallback, block_info, block_info_depth, table_function_blocks, table_function_instructions, detect_function, detect_function_enhanced, detect_improved, detect_guarded, detect_budgeted)}
 
 _DIRECT = f"SELECT chain, lower(address) AS address, block_number, CAST(length(code) AS INTEGER) AS code_length FROM v_contracts WHERE block_timestamp >= TIMESTAMP '{START}' AND block_timestamp < TIMESTAMP '{END}' AND code IS NOT NULL AND length(code) > 0"
 _JOIN = f"SELECT 'arbitrum', lower(r.contract_address), t.block_number, CAST(length(t.input) AS INTEGER) FROM v_transactions t JOIN v_receipts r ON t.hash = r.transaction_hash WHERE t.to_address IS NULL AND r.contract_address IS NOT NULL AND r.status = 1 AND length(t.input) > 2 AND t.block_timestamp >= TIMESTAMP '{START}' AND t.block_timestamp < TIMESTAMP '{END}'"

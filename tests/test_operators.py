@@ -354,4 +354,4 @@ def test_features_of_one_pass_are_those_of_single_patterns(spark):
     assert len(names) == 92 and names == sorted(names)
     one = SF.with_features(df).select("id", *names).orderBy("id").collect()
     each = df.select("id", *[c.alias(k) for k, c in SF.all_features(F.col("text")).items()]).orderBy("id").collect()
-    assert one == each and any(r["bow_factory"] == 2 for r in one) and any(r["name_vault"] == 1 for r in one)
+    assert one == each and any(r["bow_factory"] == 3 for r in one) and any(r["name_vault"] == 1 for r in one)
