@@ -11,9 +11,9 @@ from ..operators import scans as S
 from ..operators import paging, skew
 from ..operators.bytecode import distinct_codes
 from ..operators.order import numbered
-from ..sources import views
+from ..sources import files, views
 from ..sources.views import sql
-from ..streaming.jobs import scratch
+from ..streaming.jobs import detect_in_batches, scratch
 
 START, END = "1996-01-01", "1998-01-01"
 CUT = "1999-01-01"
@@ -180,9 +180,12 @@ def progress_upsert(spark, sf_dir):
 
 
 def progress_replace(spark, sf_dir):
-    """Rows of one chain are replaced by its newest row; the other chain's stay."""
-    log = _log(spark, sf_dir)
-    return log.where("chain <> 'polygon'").unionByName(S.progress_log_latest(log.where("chain = 'polygon'"), ["chain"]))
+    """A stored log by chain, of which one chain's partition is exchanged for its newest row; the other chain's stays."""
+    path = scratch(spark, "progress")
+    _log(spark, sf_dir).write.partitionBy("chain").parquet(path)
+    newest = S.progress_log_latest(spark.read.parquet(path).where("chain = 'polygon'"), ["chain"]).drop("chain")
+    files.swap_partition(newest, path, "chain", "polygon")
+    return spark.read.parquet(path).select("chain", "period", "status", "contracts_processed", "updated_at")
 
 
 def progress_default(spark, sf_dir):
@@ -203,6 +206,14 @@ def resume_plan(spark, sf_dir):
     return S.only_new(distinct_codes(_c(spark, sf_dir)).select("bytecode_hash"), done, "bytecode_hash")
 
 
+def detect_batches(spark, sf_dir):
+    """What stands in a results table that was filled batch by batch, in two runs."""
+    path, rows = scratch(spark, "batches"), _c(spark, sf_dir)
+    detect_in_batches(rows, path, 3)
+    detect_in_batches(rows, path, 3)
+    return spark.read.parquet(path).select("chain", "address", "bytecode_hash", "is_factory", "factory_type")
+
+
 def results_sink(spark, sf_dir):
     """What an append keeps: one row of each chain and address."""
     rows = _results(spark, sf_dir).select("chain", "address", "is_factory")
@@ -257,7 +268,7 @@ def mock_contracts(spark, sf_dir):
     return orders.select(F.col("o_orderkey").alias("id"), S.mock_address(F.col("o_orderkey")).alias("address"), S.mock_code(F.col("o_custkey")).alias("bytecode"))
 
 
-QUERIES = {f.__name__: f for f in (scan_contracts_window, scan_contracts_join, unique_bytecodes, paged_scan, keyset_pages, expand_bytecodes, verdict_expand, memo_reuse, new_addresses, distinct_bytecodes, duplicate_bytecodes, count_contracts, shard_union, result_summary, daily_type_counts, factory_rate, unique_factories, factory_flags, chain_statistics, active_chains, known_factories, time_periods, pending_periods, progress_upsert, progress_replace, progress_default, progress_stats, resume_plan, results_sink, factory_only, factory_addresses, topn_per_chain, topn_global, fetch_plan, cache_coverage, factories_with_sources, weights_lookup, address_normalise, mock_contracts)}
+QUERIES = {f.__name__: f for f in (scan_contracts_window, scan_contracts_join, unique_bytecodes, paged_scan, keyset_pages, expand_bytecodes, verdict_expand, memo_reuse, new_addresses, distinct_bytecodes, duplicate_bytecodes, count_contracts, shard_union, result_summary, daily_type_counts, factory_rate, unique_factories, factory_flags, chain_statistics, active_chains, known_factories, time_periods, pending_periods, progress_upsert, progress_replace, progress_default, progress_stats, resume_plan, detect_batches, results_sink, factory_only, factory_addresses, topn_per_chain, topn_global, fetch_plan, cache_coverage, factories_with_sources, weights_lookup, address_normalise, mock_contracts)}
 
 from . import bytecode as _b  # noqa: E402
 
@@ -311,6 +322,7 @@ ORACLE_SQL = {
     "progress_default": f"WITH {_CH}, {_LOG}, last AS (SELECT * FROM lg QUALIFY row_number() OVER (PARTITION BY chain ORDER BY updated_at DESC) = 1) SELECT ch.chain, coalesce(contracts_processed, 0) AS processed_contracts, coalesce(last.status, 'not_started') AS status FROM ch LEFT JOIN last USING (chain)",
     "progress_stats": "WITH r AS (SELECT event_id, event_id % 1000 AS processed, event_id % 50 AS s FROM events), q AS (SELECT *, CASE WHEN s > 0 THEN processed / s ELSE 0.0 END::DOUBLE AS rate FROM r) SELECT event_id, round(processed * 100.0::DOUBLE / 1000, 6) AS progress_pct, round(rate * 3600, 6) AS rate_per_hour, round(CASE WHEN rate > 0 THEN (1000 - processed) / rate ELSE 0.0 END::DOUBLE / 3600, 6) AS eta_hours FROM q",
     "resume_plan": sql("SELECT DISTINCT sha256(code) AS bytecode_hash FROM v_contracts WHERE code IS NOT NULL AND code NOT IN (SELECT code FROM v_contracts WHERE block_number % 60 = 0 AND code IS NOT NULL)", "contracts"),
+    "detect_batches": _r("SELECT DISTINCT chain, address, bytecode_hash, is_factory, factory_type FROM res"),
     "results_sink": _r("SELECT DISTINCT chain, address, is_factory FROM res"),
     "factory_only": sql(f"SELECT chain, factory_address FROM v_factory_addresses WHERE coalesce({_U} >= 1, false) OR {_T} >= 1", "factory_addresses"),
     "factory_addresses": sql(f"SELECT chain, lower(factory_address) AS factory_address, {_T} AS total_creations, {_U} AS unique_creations FROM v_factory_addresses WHERE chain = 'ethereum'", "factory_addresses"),

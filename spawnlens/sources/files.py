@@ -94,7 +94,7 @@ def append_results(rows: DataFrame, path: str, batch: str | None = None) -> bool
     spark = rows.sparkSession
     if batch is not None and not re.fullmatch(r"[\w.-]+", batch):
         raise ValueError(f"not a name of a batch: {batch}")
-    if batch is not None and _exists(spark, f"{path}/batch={batch}"):
+    if batch is not None and exists(spark, f"{path}/batch={batch}"):
         return False
     new, before = rows.dropDuplicates(["chain", "address"]), read_results(spark, path)
     if before is not None:
@@ -113,7 +113,7 @@ def _hadoop(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     p, fs = _hadoop(spark, path)
     return fs.exists(p)
 

@@ -9,9 +9,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import evm
 from ..operators import kernel
 from ..operators.bytecode import distinct_codes
 from ..operators.scans import only_new
+from ..operators.skew import keyed_join
+from ..sources.files import append_results, exists
 
 
 def daily_counts(stream: DataFrame, at: str = "block_timestamp", by: tuple[str, ...] = ("chain",), late: str = "1 day") -> DataFrame:
@@ -49,6 +52,26 @@ def detect_incrementally(contracts: DataFrame, results_path: str, checkpoint: st
     contracts.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(batch).start().awaitTermination()
 
 
+def detect_in_batches(contracts: DataFrame, path: str, batches: int = 8, enhanced: bool = False) -> int:
+    """Detects contracts (chain, address, code) batch by batch into the results table at path, one row of each chain and address: chain, address, bytecode_hash, is_factory,
+    factory_type, error. Batches are cut by a hash of the address and published whole under their names, so that a run that is lost goes on with the batches that are not
+    there, and a run over a finished table does nothing; the number of batches worked through.
+
+    `batches` must stay the same for a table. Addresses that came later are in batches that were published: give these contracts a path of their own, or use
+    detect_incrementally().
+    """
+    spark, done = contracts.sparkSession, 0
+    for k in range(batches):
+        name = f"{k}of{batches}"
+        if exists(spark, f"{path}/batch={name}"):
+            continue
+        rows = contracts.where(F.pmod(F.xxhash64("address"), F.lit(batches)) == k)
+        found = kernel.verdicts(distinct_codes(rows), enhanced=enhanced).select("bytecode_hash", "is_factory", "factory_type", "error")
+        hashed = rows.where("code IS NOT NULL").select("chain", "address", evm.bytecode_hash(F.col("code")).alias("bytecode_hash"))
+        done += append_results(keyed_join(hashed, found, "bytecode_hash").select("chain", "address", "bytecode_hash", "is_factory", "factory_type", "error"), path, name)
+    return done
+
+
 class PeriodsFailed(RuntimeError):
     """Some periods failed after all others were worked through: errors is {(chain, start, end): error}."""
 

@@ -193,3 +193,24 @@ def test_known_factories_are_seen_in_any_case(spark):
     known = spark.createDataFrame([("e", "0xAB", "n", "p", "t"), ("p", "0xcd", "n", "p", "t")], "chain string, address string, name string, project string, contract_type string")
     contracts = spark.createDataFrame([("e", "0xaB"), ("e", "0xab"), ("e", None), ("x", "0xcd")], "chain string, address string")
     assert [(r["chain"], r["seen"], r["chain_contracts"]) for r in S.known_factories(known, contracts).orderBy("chain").collect()] == [("e", True, 3), ("p", False, 0)]
+
+
+def test_detection_goes_on_with_the_batches_that_are_not_there(spark, tmp_path, monkeypatch):
+    from spawnlens.streaming import jobs
+
+    contracts = spark.createDataFrame([("e", f"a{k}", "f0fd" if k % 3 else "00") for k in range(60)] + [("e", "a1", "f0fd"), ("e", "none", None), ("p", "a1", "00")], "chain string, address string, code string")
+    path, publish, calls = str(tmp_path / "r"), files.publish, []
+
+    def lost_at_third(*a):
+        calls.append(a)
+        if len(calls) == 3:
+            raise RuntimeError("lost")
+        return publish(*a)
+
+    monkeypatch.setattr(files, "publish", lost_at_third)
+    with pytest.raises(RuntimeError, match="lost"):
+        jobs.detect_in_batches(contracts, path, 4)
+    assert files.read_results(spark, path).select("batch").distinct().count() <= 2
+    assert jobs.detect_in_batches(contracts, path, 4) == 2 and jobs.detect_in_batches(contracts, path, 4) == 0
+    rows = [(r["chain"], r["address"], r["is_factory"]) for r in files.read_results(spark, path).collect()]
+    assert sorted(rows) == sorted([("e", f"a{k}", bool(k % 3)) for k in range(60)] + [("p", "a1", False)])
