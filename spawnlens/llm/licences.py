@@ -89,7 +89,7 @@ RULES = [
     ("Zlib", ["zlib-warranty", "zlib-liable", "zlib-grant"]),
     *((x, [f"spdx-{x}"]) for x in SPDX),
 ]
-# The sentences into which LINES and WRAPPED cut notices of these licences, and their rules. The SQL does not have them.
+# The sentences into which LINES and WRAPPED cut notices of these licences, and their rules.
 CUT_SENTENCES = {
     "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation": "gpl-grant",
     "you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation": "gpl2-only",

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .chat import AFTER_ROLE, CLOSE, OPEN
-from .licences import LINES, RULES, SENTENCES, WRAPPED
+from .licences import CUT_RULES, CUT_SENTENCES, LINES, RULES, SENTENCES, VERSION, WRAPPED
 
 TOP_K = """
 WITH v AS (
@@ -56,18 +56,18 @@ def _quoted(s: str) -> str:
 
 
 def _ids(cut: str) -> str:
-    known = "MAP {" + ", ".join(f"{_quoted(k)}: {_quoted(v)}" for k, v in SENTENCES.items()) + "}"
+    known = "MAP {" + ", ".join(f"{_quoted(k)}: {_quoted(v)}" for k, v in (SENTENCES | CUT_SENTENCES).items()) + "}"
     clean = "regexp_replace(regexp_replace(s, '[^a-z0-9.]+', ' ', 'g'), '^[ .]+|[ .]+$', '', 'g')"
     return f"list_filter(list_transform(regexp_split_to_array(t, {_quoted(cut)}), lambda s: ({known})[{clean}]), lambda x: x IS NOT NULL)"
 
 
 def _licences(col: str) -> str:
-    rules = "[" + ", ".join(f"{{'licence': {_quoted(n)}, 'seq': {_quoted('% ' + ' % '.join(s) + ' %')}}}" for n, s in RULES) + "]"
+    rules = "[" + ", ".join(f"{{'licence': {_quoted(n)}, 'seq': {_quoted('% ' + ' % '.join(s) + ' %')}}}" for n, s in RULES + CUT_RULES) + "]"
     return f"list_transform(list_filter({rules}, lambda r: (' ' || array_to_string({col}, '  ') || ' ') LIKE r.seq), lambda r: r.licence)"
 
 
 LICENCES = f"""
-WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents),
+WITH d AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), {_quoted(VERSION)}, 'v.\\1', 'g') AS t FROM documents),
 i AS (SELECT doc_id, {_ids(LINES)} AS by_line, {_ids(WRAPPED)} AS wrapped FROM d),
 l AS (SELECT doc_id, CASE WHEN len(wrapped) > len(by_line) THEN wrapped ELSE by_line END AS ids,
   list_sort(list_distinct(list_concat(CASE WHEN len(by_line) > 0 THEN {_licences("by_line")} ELSE []::VARCHAR[] END, CASE WHEN len(wrapped) > 0 THEN {_licences("wrapped")} ELSE []::VARCHAR[] END))) AS found FROM i)

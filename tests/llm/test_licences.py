@@ -88,3 +88,27 @@ def test_tables_of_the_caller(spark):
     assert [(r["sentence_ids"], r["licences"]) for r in rows] == [(["A", "B"], ["AB"]), (["B", "A"], []), ([], []), ([], [])]
     every = {s: "x" for s in licences.SENTENCES | licences.CUT_SENTENCES}
     assert all(any(w.replace("[.]", ".") in s for w in licences.cues(every).split("|")) for s in every)
+
+
+def test_sql_reads_the_same_notices(spark):
+    """The query's SQL on a table that has the notices which the given documents lack, cut and wrapped ones included."""
+    import sys
+    from pathlib import Path
+
+    import duckdb
+
+    sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+    from compare import same
+    from pyspark.sql import functions as F
+
+    from spawnlens.llm.oracles import LICENCES
+
+    texts = [MIT, GPL, MPL, BSD, *(n[0] if isinstance(n[0], str) else n[1] for n in NOTICES), *(t for _, t, _ in TEXTS if t), GPL + "\n\n" + MPL, GPL.replace("\n", " "), MPL.replace("v. ", "v."), ""]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(999, None)]
+    c = duckdb.connect()
+    c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    c.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    found = licences.scan(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = found.select("doc_id", F.array_join("sentence_ids", ",").alias("sentence_ids"), F.array_join("licences", ",").alias("licences"), F.col("n_licences").cast("long").alias("n_licences"))
+    same(got, c, LICENCES)
+    assert {"GPL-2.0-or-later", "MPL-2.0"} <= {x for r in got.collect() for x in r["licences"].split(",")}
