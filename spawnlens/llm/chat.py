@@ -178,6 +178,24 @@ def tokens(packed: DataFrame, rank_file: str, pattern: str, materialise) -> Data
     return whole.select("node", "parent", "depth", "token_ids", "loss_mask", "start", "end", positions.alias("position_ids"), F.coalesce("attends", F.array().cast("array<struct<start: bigint, end: bigint>>")).alias("attends"))
 
 
+def decoded(coded: DataFrame, rank_file: str, pattern: str) -> DataFrame:
+    """What a tree in tokens says: node, at (position id of its first token), formatted, loss_start, loss_end (from the loss mask)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoding(rank_file, pattern)
+        for b in batches:
+            out = []
+            for node, at, ids, mask in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                lo = next((k for k, m in enumerate(mask) if m), 0)
+                hi = lo + sum(mask)
+                head, learnt, rest = (enc.decode_bytes(x).decode() for x in (ids[:lo], ids[lo:hi], ids[hi:]))
+                out.append([node, at, head + learnt + rest, len(head), len(head) + len(learnt)])
+            yield _batch(out, ["node", "at", "formatted", "loss_start", "loss_end"], [pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.int64()])
+
+    rows = coded.select("node", F.element_at("position_ids", 1).cast("long").alias("at"), "token_ids", "loss_mask")
+    return rows.mapInArrow(tidy(run), "node binary, at long, formatted string, loss_start long, loss_end long")
+
+
 def pack(turn_rows: DataFrame, materialise) -> DataFrame:
     """The packed output, a row for each node: node, parent, depth, start, end (offsets in the output), pos (position of its first character in a
     conversation), formatted, loss_start, loss_end, attends array<struct<start, end>>. Sorted by start it is the depth-first text.
@@ -227,6 +245,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_back(turn_rows: DataFrame, packed: DataFrame) -> DataFrame:
-    """Digests of every conversation, read from the packed output along its path."""
-    walk = turn_rows.select("conv_id", "idx", "node").join(packed.select("node", "formatted", "loss_start", "loss_end"), "node").select("conv_id", "idx", "formatted", "loss_start", "loss_end")
-    return walk.repartition("conv_id").sortWithinPartitions("conv_id", "idx").mapInArrow(tidy(_read), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    """Digests of every conversation, read from the packed output along its path: `packed` is pack()'s or decoded()'s, and the nodes of a conversation are in the order of their
+    positions in it."""
+    at = "at" if "at" in packed.columns else "pos"
+    walk = turn_rows.select("conv_id", "node").join(packed.select("node", F.col(at).alias("at"), "formatted", "loss_start", "loss_end"), "node").select("conv_id", "at", "formatted", "loss_start", "loss_end")
+    return walk.repartition("conv_id").sortWithinPartitions("conv_id", "at").mapInArrow(tidy(_read), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

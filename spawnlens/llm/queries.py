@@ -53,8 +53,12 @@ HARD_CONV, HARD_TEXT = -7, "\\### Assistant: </turn> ok"
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hard = spark.createDataFrame([(HARD_CONV, 0, "user", HARD_TEXT), (HARD_CONV, 1, "assistant", HARD_TEXT)], "conv_id long, turn long, role string, text string")
+    import public_tokenizers
+
+    coder = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     rows = materialise(chat.turns(stored.unionByName(hard)), "chat-turns")
-    return chat.read_back(rows, chat.pack(rows, materialise))
+    packed = materialise(chat.pack(rows, materialise), "chat-packed")  # tokens() reads it three times
+    return chat.read_back(rows, chat.decoded(chat.tokens(packed, *coder, materialise), *coder))
 
 
 def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -97,3 +97,18 @@ def test_tokens(spark):
         assert r["position_ids"] == list(range(n, n + len(r["token_ids"])))
         assert [x for a in r["attends"] for x in range(a["start"], a["end"])] == sorted(x for b in before for x in range(b["start"], b["end"]))
     assert chat.tokens(packed.where("false"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN, materialise).count() == 0
+
+
+def test_conversations_are_read_back_from_tokens(spark):
+    """Repeated turns, empty texts, odd characters and shared beginnings, through token ids, position ids and loss mask."""
+    import public_tokenizers as P
+
+    coder = P.path("byte_bpe_50k.tiktoken"), P.PATTERN
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", ""), (1, 2, "user", "hi"), (1, 3, "assistant", "é|<\\ 日本 \n\n"), (2, 0, "user", "hi"), (2, 1, "assistant", ""), (2, 2, "user", "no"), (3, 0, None, None),
+            (None, 0, "assistant", "x" * 300), (4, 0, "user", "hi"), (4, 0, "user", "hi")]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    turned = materialise(chat.turns(df), "test-turns")
+    packed = materialise(chat.pack(turned, materialise), "test-packed")
+    by_text = sorted(map(tuple, chat.read_back(turned, packed).collect()), key=str)
+    by_token = sorted(map(tuple, chat.read_back(turned, chat.decoded(chat.tokens(packed, *coder, materialise), *coder)).collect()), key=str)
+    assert by_text == by_token and len(by_token) == 5
