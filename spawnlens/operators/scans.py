@@ -100,23 +100,12 @@ def first_available(*providers) -> DataFrame:
     raise FileNotFoundError("no provider has the rows: " + "; ".join(failures))
 
 
-def first_contracts(contracts: DataFrame, cutoff: str = CUTOFF) -> DataFrame:
-    """The first contract of each code and chain: by block, time, address. What is sorted and shuffled is the codes' digests, not the codes."""
-    kept = kept_codes(contracts, cutoff).select("chain", evm.bytecode_hash(F.col("code")).alias("bytecode_hash"), "block_number", "block_timestamp", "address")
-    first = kept.groupBy("chain", "bytecode_hash").agg(F.min(F.struct("block_number", "block_timestamp", "address")).alias("f"))
-    return first.select("chain", "bytecode_hash", F.col("f.address").alias("address"), F.col("f.block_timestamp").alias("deployment_timestamp"), F.col("f.block_number").alias("block_number"))
-
-
 def unique_codes(contracts: DataFrame, cutoff: str = CUTOFF) -> DataFrame:
-    """first_contracts() with their codes, so that they can be analysed. A code is looked up by its first contract's chain, address and block, keys that no other code
-    shares but by a repeated row, so one row of each code is shuffled; Spark filters the contracts by the keys first where these are few."""
-    first = first_contracts(contracts, cutoff)
-    own = {"chain": F.col("chain"), "address": F.col("address"), "block_number": F.col("block_number"), "deployment_timestamp": F.col("block_timestamp"), "bytecode_hash": evm.bytecode_hash(F.col("code"))}
-    codes = kept_codes(contracts, cutoff).select(*[c.alias(f"_{name}") for name, c in own.items()], "code")
-    # Addresses and times may be null; a row that stands twice in the table gives its code once.
-    same = [F.col(name).eqNullSafe(F.col(f"_{name}")) for name in own]
-    found = first.join(codes, same).select(*first.columns, "code")
-    return found.dropDuplicates(["chain", "bytecode_hash"])
+    """The first contract of each code and chain, by block, time, address, with its code. Codes are told apart by digest, and each task sends one row of a code on, so
+    that what is shuffled is as large as the different codes of each task."""
+    kept = kept_codes(contracts, cutoff).withColumn("bytecode_hash", evm.bytecode_hash(F.col("code")))
+    first = kept.groupBy("chain", "bytecode_hash").agg(F.min(F.struct("block_number", "block_timestamp", "address", "code")).alias("f"))
+    return first.select("chain", "bytecode_hash", F.col("f.address").alias("address"), F.col("f.block_timestamp").alias("deployment_timestamp"), F.col("f.block_number").alias("block_number"), F.col("f.code").alias("code"))
 
 
 def expand(contracts: DataFrame, codes: DataFrame, cutoff: str = CUTOFF) -> DataFrame:
