@@ -18,6 +18,7 @@ sections of `SECTION` bytes; what grows with a text is about 60 bytes for each o
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import permutations
@@ -204,7 +205,8 @@ def orders() -> list[tuple[str, int, int, int]]:
 
 def audit(counts: DataFrame) -> DataFrame:
     """From mask_counts(): a row for each part, order and step, with kept, removed, redundant, unique_fails, good_lost, toxic_lost and shapley."""
-    step = F.explode(F.array(*(F.struct(F.lit(o).alias("filter_order"), F.lit(s).alias("step"), F.lit(b).alias("bit"), F.lit(p).alias("before")) for o, s, b, p in orders())))
+    listed = json.dumps([dict(zip(("filter_order", "step", "bit", "before"), o, strict=True)) for o in orders()])
+    step = F.explode(F.from_json(F.lit(listed), "array<struct<filter_order: string, step: int, bit: int, before: int>>"))  # one constant
     rows = counts.select("*", step.alias("o")).select("part", "mask", "n", "good", "toxic", "o.*")
     fails, earlier = F.col("mask").bitwiseAND(F.col("bit")) != 0, F.col("mask").bitwiseAND(F.col("before")) != 0
     number = lambda cond, c="n": F.sum(F.when(cond, F.col(c)).otherwise(0)).cast("long")
