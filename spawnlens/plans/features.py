@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import notes
 from ..functions import source_features as SF
 from ..operators import clustering as C
+from ..operators import density
 from ..sources import views
 from ..sources.views import sql
 from ..streaming.jobs import keep
@@ -72,6 +73,15 @@ def kmeans_select(spark, sf_dir):
     return C.select_k(views.vectors(spark, sf_dir), 2, 4)
 
 
+def density_clusters(spark, sf_dir):
+    """Each vector's cluster, named by its smallest id; -1 is noise."""
+    return density.density_clusters(views.vectors(spark, sf_dir), keep)
+
+
+def density_quality(spark, sf_dir):
+    return density.density_quality(density_clusters(spark, sf_dir))
+
+
 def centroid_silhouette(spark, sf_dir):
     return C.centroid_silhouette(views.vectors(spark, sf_dir)).select(F.round("silhouette", 6).alias("silhouette"))
 
@@ -125,7 +135,7 @@ def sample_per_cluster(spark, sf_dir):
 
 QUERIES = {
     "src_counts": _features(SF.counts), "src_size": _features(SF.sizes), "src_flags": _features(SF.flags), "src_ratios": _features(SF.ratios), "src_libs": _features(SF.libraries), "src_bow": _features(SF.bag_of_words), "src_name_tokens": _features(SF.name_tokens),
-} | {f.__name__: f for f in (src_feature_vector, non_factory_source, standardise, pca_scores, varimax_scores, embed_pca2, kmeans_fixed, kmeans_select, silhouette, centroid_silhouette, davies_bouldin, cluster_feature_means, cluster_top_features, cluster_summary, cluster_centroids, vector_dedup, rotate_points, outlier_trim, cluster_hulls, sample_per_cluster)}
+} | {f.__name__: f for f in (src_feature_vector, non_factory_source, standardise, pca_scores, varimax_scores, embed_pca2, kmeans_fixed, kmeans_select, density_clusters, density_quality, silhouette, centroid_silhouette, davies_bouldin, cluster_feature_means, cluster_top_features, cluster_summary, cluster_centroids, vector_dedup, rotate_points, outlier_trim, cluster_hulls, sample_per_cluster)}
 
 
 def _q(p: str) -> str:
