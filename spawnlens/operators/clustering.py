@@ -104,42 +104,51 @@ def centroid_silhouette(rows: DataFrame, x: str = "x") -> DataFrame:
 
 
 def silhouette(rows: DataFrame, x: str = "x", at_once: int = 1024) -> DataFrame:
-    """The mean of (b - a) / max(a, b) over all rows, a and b being mean Euclidean distances to the others of the own and of the nearest other cluster; 0 for a
-    row alone in its cluster, null with fewer than two clusters.
+    """silhouette, the mean of (b - a) / max(a, b) over all rows, a and b being mean Euclidean distances to the others of the own and of the nearest other
+    cluster; 0 for a row alone in its cluster, null with fewer than two clusters. measured is the share of all pairs whose distance was taken.
 
-    Every row is measured against every row, as the measure asks: blocks of at_once rows or so against blocks, of which sums by row and cluster
-    remain. Use centroid_silhouette where that is too much.
+    Exact. A row's mean distance to a cluster is at least its distance d to the centroid, and at most the root of d^2 and the cluster's mean squared distance
+    to it. So a row is measured against its own cluster and those others only whose least is not above the smallest most. Blocks of at_once rows or so are
+    compared with blocks, of which sums by row and cluster remain. Use centroid_silhouette where that is too much.
     """
-    sizes = rows.groupBy("label").agg(F.count("*").alias("size"))
-    n = sizes.agg(F.sum("size")).first()[0] or 0
-    blocks = max(1, -(-n // at_once))
-    placed = rows.select(F.monotonically_increasing_id().alias("_i"), "label", F.col(x).alias("v")).withColumn("_b", F.pmod(F.xxhash64("v", "_i"), F.lit(blocks)).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left, right = placed.withColumn("a", F.col("_b")).withColumn("b", every), placed.withColumn("b", F.col("_b")).withColumn("a", every)
+    mid = centroids(rows, x)
+    spread = rows.join(F.broadcast(mid), "label").groupBy("label").agg(F.avg(distance(F.col(x), F.col("c")) ** 2).alias("spread"))
+    known = mid.join(spread, "label").agg(F.collect_list(F.struct("label", "c", "spread")).alias("all"))  # one row of few clusters
+    sizes = {r["label"]: r["size"] for r in rows.groupBy("label").agg(F.count("*").alias("size")).where("label IS NOT NULL").collect()}
+    n = sum(sizes.values())
+    if not n:
+        return rows.sparkSession.createDataFrame([(None, None)], "silhouette double, measured double")
+    placed = rows.where("label IS NOT NULL").select(F.monotonically_increasing_id().alias("_i"), "label", F.col(x).alias("v"))
+    away = F.transform("all", lambda s: F.struct(s["label"].alias("label"), distance(F.col("v"), s["c"]).alias("d"), s["spread"].alias("spread")))
+    most = F.array_min(F.transform(F.filter("away", lambda s: s["label"] != F.col("label")), lambda s: F.sqrt(s["d"] * s["d"] + s["spread"])))
+    near = F.filter("away", lambda s: (s["label"] == F.col("label")) | (s["d"] <= F.col("most") * (1 + 1e-9)))
+    asking = placed.crossJoin(F.broadcast(known)).withColumn("away", away).withColumn("most", most).select("_i", "label", "v", F.explode(F.transform(near, lambda s: s["label"])).alias("other"))
+    asked = {r["other"]: r["count"] for r in asking.groupBy("other").count().collect()}
+    of = lambda counts: F.create_map(*[F.lit(v) for label, k in counts.items() for v in (label, max(1, -(-k // at_once)))])
+    parts = lambda counts, label: F.element_at(of(counts), F.col(label))
+    every = lambda k: F.explode(F.sequence(F.lit(0), k - 1))
+    left = asking.withColumn("a", F.pmod(F.xxhash64("v", "_i"), parts(asked, "other")).cast("int")).withColumn("b", every(parts(sizes, "other")))
+    held = placed.select(F.col("label").alias("other"), F.col("v").alias("u"), F.col("_i").alias("_r"))
+    right = held.withColumn("b", F.pmod(F.xxhash64("u", "_r"), parts(sizes, "other")).cast("int")).withColumn("a", every(parts(asked, "other")))
 
     def sums(one: pa.Table, other: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], [], []]
-        if one.num_rows and other.num_rows:
-            p, q = (np.stack([np.asarray(v, float) for v in t.column("v").to_pylist()]) for t in (one, other))
-            own, labels = one.column("_i").to_pylist(), np.asarray(other.column("label"))
-            # Differences, not inner products: equal rows have no distance. Few rows at once, for the memory of their differences.
-            step = max(1, (1 << 22) // max(1, q.size))
-            d = np.concatenate([np.sqrt(((p[k : k + step, None, :] - q[None]) ** 2).sum(axis=2)) for k in range(0, len(p), step)])
-            for c in np.unique(labels):
-                out[0] += own
-                out[1] += one.column("label").to_pylist()
-                out[2] += [int(c)] * len(own)
-                out[3] += d[:, labels == c].sum(axis=1).tolist()
-        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.float64())], names=["_i", "label", "other", "d"])
-
-    found = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInArrow(sums, "_i long, label long, other long, d double")
-    by = found.groupBy("_i", "label", "other").agg(F.sum("d").alias("d")).join(F.broadcast(sizes.select(F.col("label").alias("other"), "size")), "other")
+        if not one.num_rows or not other.num_rows:
+            return pa.table([pa.array([], pa.int64())] * 3 + [pa.array([], pa.float64())], names=["_i", "label", "other", "d"])
+        p, q = (np.stack([np.asarray(v, float) for v in t.to_pylist()]) for t in (one.column("v"), other.column("u")))
+        # Differences, not inner products: equal rows have no distance. Few rows at once, for the memory of their differences.
+        step = max(1, (1 << 22) // max(1, q.size))
+        d = np.concatenate([np.sqrt(((p[k : k + step, None, :] - q[None]) ** 2).sum(axis=2)).sum(axis=1) for k in range(0, len(p), step)])
+        return pa.table([one.column("_i"), one.column("label").cast(pa.int64()), one.column("other").cast(pa.int64()), pa.array(d)], names=["_i", "label", "other", "d"])
+
+    found = left.groupBy("other", "a", "b").cogroup(right.groupBy("other", "a", "b")).applyInArrow(sums, "_i long, label long, other long, d double")
+    size = F.element_at(F.create_map(*[F.lit(v) for label, k in sizes.items() for v in (int(label), k)]), F.col("other"))
+    by = found.groupBy("_i", "label", "other").agg(F.sum("d").alias("d")).withColumn("size", size)
     alone = F.max(F.when(F.col("other") == F.col("label"), F.col("size")))
     a = F.max(F.when(F.col("other") == F.col("label"), F.try_divide("d", F.col("size") - 1)))
     b = F.min(F.when(F.col("other") != F.col("label"), F.col("d") / F.col("size")))
     each = by.groupBy("_i").agg(a.alias("a"), b.alias("b"), alone.alias("own"))
     width = F.when(F.col("b").isNull(), None).when(F.col("own") == 1, 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
-    return each.agg(F.avg(width).alias("silhouette"))
+    return each.agg(F.avg(width).alias("silhouette")).withColumn("measured", F.lit(sum(k * sizes[c] for c, k in asked.items()) / n**2))
 
 
 def quality_of(rows: DataFrame, x: str = "x") -> dict[str, float]:

@@ -52,6 +52,12 @@ def distinct_points(rows: DataFrame, x: str = "x") -> DataFrame:
     return rows.where(F.coalesce(usable, F.lit(False))).groupBy(F.col(x).cast("array<double>").alias("x")).agg(F.min("id").cast("long").alias("point"), F.count("*").alias("copies"))
 
 
+def to_rows(rows: DataFrame, points: DataFrame, values: DataFrame, keep: Keep) -> DataFrame:
+    """Rows (id, x) with what values say of their vector's point, null where nothing is said. Copies of one vector may be many: their key is frequent."""
+    by_vector = keep(points.select("point", _vector_key("x").alias("_key")).join(values, "point").drop("point"))
+    return keyed_join(rows.select("id", _vector_key("x").alias("_key")), by_vector, "_key", "left").drop("_key")
+
+
 class Cells:
     """Points by nearest pivot. Pivots are drawn by hash, 256 at most; what the driver holds is a row for each cell."""
 
@@ -322,9 +328,7 @@ def density_clusters(rows: DataFrame, keep: Keep, least: int = 8, samples: int =
     placed = keep(keyed_join(own, tops, "cluster"))
     labels = keep(placed.groupBy("top").agg(F.min("point").alias("label")))
     labelled = keep(keyed_join(placed, labels, "top").select("point", "label"))
-    by_vector = keep(points.select("point", _vector_key("x").alias("key")).join(labelled, "point").select("key", "label"))
-    keyed = named.select("id", _vector_key("x").alias("key"))  # copies of one vector may be many: their key is frequent
-    return keyed_join(keyed, by_vector, "key", "left").select("id", F.coalesce("label", F.lit(-1)).alias("label"))
+    return to_rows(named, points, labelled, keep).select("id", F.coalesce("label", F.lit(-1)).alias("label"))
 
 
 def density_quality(labelled: DataFrame) -> DataFrame:

@@ -178,3 +178,22 @@ def test_query(spark, sf_dir):
     assert {r["id"]: r["label"] for r in rows.collect()} == want
     q = D.density_quality(rows).first()
     assert q["n_clusters"] == len(set(want.values()) - {-1}) and q["noise_fraction"] == pytest.approx(sum(v == -1 for v in want.values()) / len(want))
+
+
+def test_silhouette_measures_few_pairs(spark):
+    """Twelve clusters apart: the exact mean width, from far fewer distances than there are pairs."""
+    from spawnlens.operators import clustering as C
+
+    r = np.random.default_rng(2)
+    label = r.integers(0, 12, 480)
+    x = np.stack([label % 4 * 10.0, label // 4 * 10.0], axis=1) + r.normal(size=(480, 2))
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    by = np.stack([d[:, label == c].sum(axis=1) for c in range(12)], axis=1)
+    size = np.bincount(label)
+    a = by[np.arange(480), label] / (size[label] - 1)
+    b = np.where(np.arange(12)[None] == label[:, None], np.inf, by / size[None]).min(axis=1)
+    rows = spark.createDataFrame([(int(c), v.tolist()) for c, v in zip(label, x, strict=True)], "label int, x array<double>")
+    got = C.silhouette(rows, at_once=16).first()
+    assert got["silhouette"] == pytest.approx(((b - a) / np.maximum(a, b)).mean(), abs=1e-12)
+    assert got["measured"] < 0.25
+    assert C.silhouette(rows.where("false")).first()["silhouette"] is None
