@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import notes
 from ..functions import source_features as SF
 from ..operators import clustering as C
-from ..operators import density
+from ..operators import density, layout
 from ..sources import views
 from ..sources.views import sql
 from ..streaming.jobs import keep
@@ -63,6 +63,19 @@ def embed_pca2(spark, sf_dir):
     return C.principal_scores(views.vectors(spark, sf_dir), 2).select("id", F.element_at("scores", 1).alias("px"), F.element_at("scores", 2).alias("py"))
 
 
+def embed_neighbours(spark, sf_dir):
+    """Plane positions by the graph of nearest neighbours."""
+    return layout.neighbour_layout(views.vectors(spark, sf_dir), keep)
+
+
+def embed_preservation(spark, sf_dir):
+    """The share of each vector's 15 nearest that stay its 15 nearest in the plane, by principal components and by the graph."""
+    v = views.vectors(spark, sf_dir)
+    by = {"neighbours": keep(embed_neighbours(spark, sf_dir)), "principal": keep(embed_pca2(spark, sf_dir))}
+    one, two = (layout.preservation(v, at, keep).select(F.lit(name).alias("method"), "preserved") for name, at in by.items())
+    return one.union(two)
+
+
 def kmeans_fixed(spark, sf_dir):
     """Clusters and their sizes, with the quality of the whole."""
     found = C.kmeans(views.vectors(spark, sf_dir), 4)
@@ -135,7 +148,7 @@ def sample_per_cluster(spark, sf_dir):
 
 QUERIES = {
     "src_counts": _features(SF.counts), "src_size": _features(SF.sizes), "src_flags": _features(SF.flags), "src_ratios": _features(SF.ratios), "src_libs": _features(SF.libraries), "src_bow": _features(SF.bag_of_words), "src_name_tokens": _features(SF.name_tokens),
-} | {f.__name__: f for f in (src_feature_vector, non_factory_source, standardise, pca_scores, varimax_scores, embed_pca2, kmeans_fixed, kmeans_select, density_clusters, density_quality, silhouette, centroid_silhouette, davies_bouldin, cluster_feature_means, cluster_top_features, cluster_summary, cluster_centroids, vector_dedup, rotate_points, outlier_trim, cluster_hulls, sample_per_cluster)}
+} | {f.__name__: f for f in (src_feature_vector, non_factory_source, standardise, pca_scores, varimax_scores, embed_pca2, embed_neighbours, embed_preservation, kmeans_fixed, kmeans_select, density_clusters, density_quality, silhouette, centroid_silhouette, davies_bouldin, cluster_feature_means, cluster_top_features, cluster_summary, cluster_centroids, vector_dedup, rotate_points, outlier_trim, cluster_hulls, sample_per_cluster)}
 
 
 def _q(p: str) -> str:
