@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from .order import numbered
 from .skew import keyed_join
 
-#: Pivots that cells lie around; rows of a block of points, and of queries; edges of a range; the shortest distance that a density is taken of.
-PIVOTS, BLOCK, QUERIES, EDGES, SHORTEST = 256, 1024, 4096, 1 << 18, 1e-9
+#: Pivots that cells lie around at most; rows of a block of points, of queries, and of a matrix of distances; edges of a range; the shortest distance that a
+#: density is taken of.
+PIVOTS, BLOCK, QUERIES, CHUNK, EDGES, SHORTEST = 256, 2048, 4096, 512, 1 << 18, 1e-9
 Keep = Callable[[DataFrame], DataFrame]
 
 
@@ -59,9 +60,11 @@ def to_rows(rows: DataFrame, points: DataFrame, values: DataFrame, keep: Keep) -
 
 
 class Cells:
-    """Points by nearest pivot. Pivots are drawn by hash, 256 at most; what the driver holds is a row for each cell."""
+    """Points by nearest pivot. Pivots are drawn by hash: one for each block's worth of points, 256 at most, as a query is sent to each cell that it needs and
+    smaller cells would only send it more often. What the driver holds is a row for each cell."""
 
-    def __init__(self, points: DataFrame, keep: Keep, pivots: int = PIVOTS):
+    def __init__(self, points: DataFrame, keep: Keep, pivots: int | None = None):
+        pivots = pivots or min(PIVOTS, -(-points.count() // BLOCK))
         self.pivots = np.array([r["x"] for r in points.select("x", "point").orderBy(F.xxhash64("point"), "point").limit(pivots).collect()], dtype=float)
         at = self.pivots
 
@@ -77,7 +80,7 @@ class Cells:
         for r in held:
             self.rows[r["cell"]], self.copies[r["cell"]], self.reach[r["cell"]] = r["rows"], r["copies"], r["reach"] * (1 + 1e-9)
 
-    def search(self, queries: DataFrame, points: DataFrame, bounds, step, schema: str, keep: Keep) -> DataFrame:
+    def search(self, queries: DataFrame, points: DataFrame, bounds, step, schema: str) -> DataFrame:
         """What step(queries, points) finds in blocks of the cells that bounds(batch, distances to pivots) calls needed. Cells that many queries need, or that
         hold many points, are dealt in blocks of both."""
         at = self.pivots
@@ -87,7 +90,7 @@ class Cells:
                 query, cell = np.nonzero(bounds(b, distances(_matrix(b.column("x")), at)))
                 yield pa.RecordBatch.from_arrays([*b.take(pa.array(query)).columns, pa.array(cell, pa.int32())], names=[*b.schema.names, "cell"])
 
-        routed = keep(queries.drop("cell").mapInArrow(route, f"{_ddl(queries.drop('cell'))}, cell int"))
+        routed = queries.drop("cell").mapInArrow(route, f"{_ddl(queries.drop('cell'))}, cell int")  # made twice, not written: it may be many times the points
         asked = {r["cell"]: r["count"] for r in routed.groupBy("cell").count().collect()}
         blocks = F.array(*[F.lit(int(max(1, -(-n // BLOCK)))) for n in self.rows])
         shares = F.array(*[F.lit(int(-(-asked.get(k, 0) // QUERIES))) for k in range(len(at))])
@@ -103,7 +106,7 @@ def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
-def neighbours(cells: Cells, k: int, keep: Keep) -> DataFrame:
+def neighbours(cells: Cells, k: int) -> DataFrame:
     """point, other, d, place (from 1): each point's k nearest other points (all, if fewer), ties to the smaller id. Exact."""
     rows, reach = cells.rows, cells.reach
 
@@ -121,18 +124,18 @@ def neighbours(cells: Cells, k: int, keep: Keep) -> DataFrame:
         order = there.argsort()
         there, q = there[order], q[order]
         out: list[list[np.ndarray]] = [[], [], []]
-        for s in range(0, len(p), BLOCK):
-            d = distances(p[s : s + BLOCK], q)
-            d[here[s : s + BLOCK, None] == there[None]] = math.inf
+        for s in range(0, len(p), CHUNK):
+            d = distances(p[s : s + CHUNK], q)
+            d[here[s : s + CHUNK, None] == there[None]] = math.inf
             best = d.argsort(axis=1, kind="stable")[:, :k]
             near = np.take_along_axis(d, best, axis=1)
             row, col = np.nonzero(near < math.inf)
-            out[0].append(here[s : s + BLOCK][row])
+            out[0].append(here[s : s + CHUNK][row])
             out[1].append(there[best[row, col]])
             out[2].append(near[row, col])
         return pa.table({c: np.concatenate(v) for c, v in zip(("point", "other", "d"), out, strict=True)})
 
-    every = cells.search(cells.points.select("point", "x"), cells.points.select("point", "x", "cell"), bounds, step, "point long, other long, d double", keep)
+    every = cells.search(cells.points.select("point", "x"), cells.points.select("point", "x", "cell"), bounds, step, "point long, other long, d double")
     return every.withColumn("place", F.row_number().over(Window.partitionBy("point").orderBy("d", "other"))).where(F.col("place") <= k)
 
 
@@ -197,8 +200,8 @@ def spanning_tree(cells: Cells, points: DataFrame, near: DataFrame, keep: Keep)
             order = there.argsort()
             there, q, theirs, core_b = there[order], q[order], theirs[order], np.asarray(b.column("core"))[order]
             out: list[list[np.ndarray]] = [[], [], []]
-            for s in range(0, len(p), BLOCK):
-                cut = slice(s, s + BLOCK)
+            for s in range(0, len(p), CHUNK):
+                cut = slice(s, s + CHUNK)
                 w = np.maximum(np.maximum(distances(p[cut], q), core_b[None]), np.asarray(a.column("core"))[cut, None])
                 w[mine[cut, None] == theirs[None]] = math.inf
                 best = w.argmin(axis=1)  # the first, which is the smallest id, of equal ones
@@ -209,7 +212,7 @@ def spanning_tree(cells: Cells, points: DataFrame, near: DataFrame, keep: Keep)
             return pa.table({c: np.concatenate(v) for c, v in zip(("point", "other", "w"), out, strict=True)})
 
         asking = grown.where(F.col("far") <= F.col("bound")).select("point", "x", "core", "comp", "bound")
-        found = cells.search(asking, grown.select("point", "x", "core", "comp", "cell"), bounds, step, "point long, other long, w double", keep)
+        found = cells.search(asking, grown.select("point", "x", "core", "comp", "cell"), bounds, step, "point long, other long, w double")
         more = keep(placed(found.select("w", F.least("point", "other").alias("a"), F.greatest("point", "other").alias("b")).distinct()))
         live = joined.drop("ca", "cb")
         chosen = keep(both(joined.select("ca", "cb", "w", "a", "b").union(more.select("ca", "cb", "w", "a", "b"))).groupBy("comp").agg(F.min(F.struct("w", "a", "b", "other")).alias("e")))
@@ -314,14 +317,14 @@ def highest_chosen(clusters: DataFrame, keep: Keep) -> DataFrame:
     return now.drop("up")
 
 
-def density_clusters(rows: DataFrame, keep: Keep, least: int = 8, samples: int = 5, x: str = "x", pivots: int = PIVOTS, at_once: int = EDGES) -> DataFrame:
+def density_clusters(rows: DataFrame, keep: Keep, least: int = 8, samples: int = 5, x: str = "x", pivots: int | None = None, at_once: int = EDGES) -> DataFrame:
     """id, label of rows (id, x): the smallest id of the row's cluster, or -1 for noise. least rows make a cluster; densities are of the samples-th other row."""
     named = rows.select("id", F.col(x).cast("array<double>").alias("x"))
     cells = Cells(keep(distinct_points(named)), keep, pivots)
     if not len(cells.pivots):
         return named.select("id", F.lit(-1).cast("long").alias("label"))
     k = 2 * samples + 1
-    near = keep(neighbours(cells, k, keep))
+    near = keep(neighbours(cells, k))
     points = keep(core_distances(cells, near, samples, k))
     own, clusters = condense(spanning_tree(cells, points, near, keep), points, least, keep, at_once)
     tops = keep(highest_chosen(clusters, keep).where("top IS NOT NULL"))

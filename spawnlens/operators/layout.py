@@ -48,7 +48,7 @@ def neighbour_layout(rows: DataFrame, keep: Keep, k: int = 15, rounds: int = 30,
     points = keep(distinct_points(named))
     if points.isEmpty():
         return named.select("id", F.lit(None).cast("double").alias("px"), F.lit(None).cast("double").alias("py"))
-    edges = keep(neighbour_graph(neighbours(Cells(points, keep), k, keep)))
+    edges = keep(neighbour_graph(neighbours(Cells(points, keep), k)))
     at = keep(start(points))
     clip = lambda c: F.greatest(F.lit(-CLIP), F.least(F.lit(CLIP), c))
     for r in range(rounds):
@@ -78,7 +78,7 @@ def preservation(space: DataFrame, plane: DataFrame, keep: Keep, k: int = 15) ->
     """preserved: the share of each point's k nearest in space (id, x) that are among its k nearest in the plane (id, px, py), both over different vectors."""
     points = keep(distinct_points(space.select("id", F.col("x").cast("array<double>").alias("x"))))
     at = points.select("point", "copies").join(plane.select(F.col("id").alias("point"), F.array("px", "py").alias("x")), "point")
-    one, two = (neighbours(Cells(p.select("x", "point", "copies"), keep), k, keep).select("point", "other") for p in (points, at))
+    one, two = (neighbours(Cells(p.select("x", "point", "copies"), keep), k).select("point", "other") for p in (points, at))
     one = keep(one)
     kept = one.join(keep(two), ["point", "other"], "left_semi")
     return one.agg(F.count("*").alias("n")).crossJoin(kept.agg(F.count("*").alias("m"))).select(F.try_divide("m", "n").alias("preserved"))

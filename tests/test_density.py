@@ -145,7 +145,7 @@ def test_odd_rows(spark):
 def test_neighbours(spark):
     x = clouds(11, 300)
     cells = D.Cells(keep(D.distinct_points(frame(spark, x.tolist()))), keep, 12)
-    near = {(r["point"], r["place"]): r["other"] for r in D.neighbours(cells, 4, keep).collect()}
+    near = {(r["point"], r["place"]): r["other"] for r in D.neighbours(cells, 4).collect()}
     d = D.distances(x, x)
     np.fill_diagonal(d, np.inf)
     want = {(i, k + 1): int(j) for i in range(len(x)) for k, j in enumerate(d[i].argsort(kind="stable")[:4])}
@@ -161,7 +161,7 @@ def test_plan_splits_a_full_cell(spark):
     """One cell of all points, more than a block: its points and its queries are dealt in several groups."""
     rows = spark.range(3000).select("id", F.array(F.col("id").cast("double"), F.lit(0.0)).alias("x"))
     cells = D.Cells(keep(D.distinct_points(rows)), keep, 1)
-    near = D.neighbours(cells, 2, keep)
+    near = D.neighbours(cells, 2)
     assert near.count() == 6000 and near.where("d > 2").count() == 0
 
 

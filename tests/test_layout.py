@@ -29,7 +29,7 @@ def test_graph(spark):
             own[i, j] = math.exp(-(d - least) / (mean - least))
     want = {(i, j): own.get((i, j), 0) + own.get((j, i), 0) - own.get((i, j), 0) * own.get((j, i), 0) for i in range(60) for j in range(60) if (i, j) in own or (j, i) in own}
     cells = D.Cells(keep(D.distinct_points(frame(spark, x.tolist()))), keep, 6)
-    got = {(r["point"], r["other"]): r["w"] for r in L.neighbour_graph(D.neighbours(cells, 5, keep)).collect()}
+    got = {(r["point"], r["other"]): r["w"] for r in L.neighbour_graph(D.neighbours(cells, 5)).collect()}
     assert got.keys() == want.keys() and all(got[e] == pytest.approx(w) for e, w in want.items())
 
 
