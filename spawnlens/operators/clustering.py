@@ -13,6 +13,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import blocks as B
 from .quantiles import percentiles
 
 
@@ -103,69 +104,103 @@ def centroid_silhouette(rows: DataFrame, x: str = "x") -> DataFrame:
     return each.select(own.alias("a"), other.alias("b")).agg(F.avg(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0))).alias("silhouette"))
 
 
-def silhouette(rows: DataFrame, x: str = "x", at_once: int = 1024) -> DataFrame:
+def silhouette(rows: DataFrame, x: str = "x", at_once: int | None = None) -> DataFrame:
     """silhouette, the mean of (b - a) / max(a, b) over all rows, a and b being mean Euclidean distances to the others of the own and of the nearest other
-    cluster; 0 for a row alone in its cluster, null with fewer than two clusters. measured is the share of all pairs whose distance was taken.
+    cluster; 0 for a row alone in its cluster, null with fewer than two clusters. measured is the share of all pairs of different rows whose distance was taken.
 
-    Exact. A row's mean distance to a cluster is at least its distance d to the centroid, and at most the root of d^2 and the cluster's mean squared distance
-    to it. So a row is measured against its own cluster and those others only whose least is not above the smallest most. Blocks of at_once rows or so are
-    compared with blocks, of which sums by row and cluster remain. Use centroid_silhouette where that is too much.
+    Exact. Use centroid_silhouette where it is too much.
     """
-    mid = centroids(rows, x)
-    spread = rows.join(F.broadcast(mid), "label").groupBy("label").agg(F.avg(distance(F.col(x), F.col("c")) ** 2).alias("spread"))
-    known = mid.join(spread, "label").agg(F.collect_list(F.struct("label", "c", "spread")).alias("all"))  # one row of few clusters
-    sizes = {r["label"]: r["size"] for r in rows.groupBy("label").agg(F.count("*").alias("size")).where("label IS NOT NULL").collect()}
-    n = sum(sizes.values())
-    if not n:
-        return rows.sparkSession.createDataFrame([(None, None)], "silhouette double, measured double")
-    placed = rows.where("label IS NOT NULL").select(F.monotonically_increasing_id().alias("_i"), "label", F.col(x).alias("v"))
-    away = F.transform("all", lambda s: F.struct(s["label"].alias("label"), distance(F.col("v"), s["c"]).alias("d"), s["spread"].alias("spread")))
-    most = F.array_min(F.transform(F.filter("away", lambda s: s["label"] != F.col("label")), lambda s: F.sqrt(s["d"] * s["d"] + s["spread"])))
-    near = F.filter("away", lambda s: (s["label"] == F.col("label")) | (s["d"] <= F.col("most") * (1 + 1e-9)))
-    asking = placed.crossJoin(F.broadcast(known)).withColumn("away", away).withColumn("most", most).select("_i", "label", "v", F.explode(F.transform(near, lambda s: s["label"])).alias("other"))
-    asked = {r["other"]: r["count"] for r in asking.groupBy("other").count().collect()}
-    of = lambda counts: F.create_map(*[F.lit(v) for label, k in counts.items() for v in (label, max(1, -(-k // at_once)))])
-    parts = lambda counts, label: F.element_at(of(counts), F.col(label))
-    every = lambda k: F.explode(F.sequence(F.lit(0), k - 1))
-    left = asking.withColumn("a", F.pmod(F.xxhash64("v", "_i"), parts(asked, "other")).cast("int")).withColumn("b", every(parts(sizes, "other")))
-    held = placed.select(F.col("label").alias("other"), F.col("v").alias("u"), F.col("_i").alias("_r"))
-    right = held.withColumn("b", F.pmod(F.xxhash64("u", "_r"), parts(sizes, "other")).cast("int")).withColumn("a", every(parts(asked, "other")))
-
-    def sums(one: pa.Table, other: pa.Table) -> pa.Table:
-        if not one.num_rows or not other.num_rows:
-            return pa.table([pa.array([], pa.int64())] * 3 + [pa.array([], pa.float64())], names=["_i", "label", "other", "d"])
-        p, q = (np.stack([np.asarray(v, float) for v in t.to_pylist()]) for t in (one.column("v"), other.column("u")))
-        # Differences, not inner products: equal rows have no distance. Few rows at once, for the memory of their differences.
-        step = max(1, (1 << 22) // max(1, q.size))
-        d = np.concatenate([np.sqrt(((p[k : k + step, None, :] - q[None]) ** 2).sum(axis=2)).sum(axis=1) for k in range(0, len(p), step)])
-        return pa.table([one.column("_i"), one.column("label").cast(pa.int64()), one.column("other").cast(pa.int64()), pa.array(d)], names=["_i", "label", "other", "d"])
-
-    found = left.groupBy("other", "a", "b").cogroup(right.groupBy("other", "a", "b")).applyInArrow(sums, "_i long, label long, other long, d double")
-    size = F.element_at(F.create_map(*[F.lit(v) for label, k in sizes.items() for v in (int(label), k)]), F.col("other"))
-    by = found.groupBy("_i", "label", "other").agg(F.sum("d").alias("d")).withColumn("size", size)
-    alone = F.max(F.when(F.col("other") == F.col("label"), F.col("size")))
-    a = F.max(F.when(F.col("other") == F.col("label"), F.try_divide("d", F.col("size") - 1)))
-    b = F.min(F.when(F.col("other") != F.col("label"), F.col("d") / F.col("size")))
-    each = by.groupBy("_i").agg(a.alias("a"), b.alias("b"), alone.alias("own"))
-    width = F.when(F.col("b").isNull(), None).when(F.col("own") == 1, 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
-    return each.agg(F.avg(width).alias("silhouette")).withColumn("measured", F.lit(sum(k * sizes[c] for c, k in asked.items()) / n**2))
+    return silhouettes(rows, ["label"], x, at_once).select("silhouette", "measured")
 
 
-def quality_of(rows: DataFrame, x: str = "x") -> dict[str, float]:
-    """silhouette (-1 where there is none), davies_bouldin (infinite where there is none) and score, silhouette - 0.1 davies_bouldin, of labelled rows."""
-    s, d = silhouette(rows, x).first()[0], davies_bouldin(rows, x).first()[0]
+def silhouettes(rows: DataFrame, labels: list[str], x: str = "x", at_once: int | None = None) -> DataFrame:
+    """name, silhouette and measured of each of some ways to label the same rows; rows without one of the labels are left out.
+
+    A row's mean distance to a cluster is at least its distance d to the centroid, and at most the root of d^2 and the cluster's mean squared distance to it.
+    So a row is measured against its own cluster and those others only whose least is not above the smallest most. Equal rows of one cluster are measured once
+    and count as often as they stand. Distances are taken once for all ways: to the cells in which these agree, of which a cluster's sum is the sum. Blocks of
+    rows are compared with blocks (see `blocks`), of which sums by row and cell remain.
+    """
+    names = [f"_l{k}" for k in range(len(labels))]
+    named = rows.select(*[F.col(c).cast("string").alias(n) for c, n in zip(labels, names, strict=True)], F.col(x).alias("v")).where(" AND ".join(f"{n} IS NOT NULL" for n in names))
+    placed = named.groupBy(*names, "v").agg(F.count("*").alias("copies"))
+    held = placed.groupBy(*names).agg(F.count("*").alias("rows"), F.sum("copies").alias("size")).orderBy(*names).collect()  # a row for each cell
+    if not held:
+        return rows.sparkSession.createDataFrame([(c, None, None) for c in labels], "name string, silhouette double, measured double")
+    constant = lambda pairs: F.create_map(*[F.lit(v) for pair in pairs for v in pair])
+    cells: list[dict] = [{} for _ in names]  # of each way: label -> its cells
+    for c, r in enumerate(held):
+        for k, n in enumerate(names):
+            cells[k].setdefault(r[n], []).append(c)
+    joint = lambda values: F.concat_ws("/", *values)
+    own = F.element_at(constant([("/".join(r[n] for n in names), c) for c, r in enumerate(held)]), joint([F.col(n) for n in names]))
+    asking, needed = placed.withColumn("cell", own).withColumn("_i", F.unhex(F.sha2(F.to_json("v"), 256))), []
+    for k, n in enumerate(names):
+        one = named.select(F.col(n).alias("label"), "v")
+        mid = centroids(one, "v")
+        spread = one.join(F.broadcast(mid), "label").groupBy("label").agg(F.avg(distance(F.col("v"), F.col("c")) ** 2).alias("spread"))
+        known = mid.join(spread, "label").agg(F.collect_list(F.struct("label", "c", "spread")).alias("all"))  # one row of few clusters
+        away = F.transform("all", lambda s: F.struct(s["label"].alias("label"), distance(F.col("v"), s["c"]).alias("d"), s["spread"].alias("spread")))
+        most = F.array_min(F.transform(F.filter("away", lambda s: s["label"] != F.col(n)), lambda s: F.sqrt(s["d"] * s["d"] + s["spread"])))  # noqa: B023
+        near = F.filter("away", lambda s: (s["label"] == F.col(n)) | (s["d"] <= F.col("most") * (1 + 1e-9)))  # noqa: B023
+        of = F.create_map(*[v for label, all_of in cells[k].items() for v in (F.lit(label), F.array(*[F.lit(c) for c in all_of]))])
+        asking = asking.crossJoin(F.broadcast(known)).withColumn("away", away).withColumn("most", most).withColumn(f"_near{k}", F.flatten(F.transform(near, lambda s: F.element_at(of, s["label"])))).drop("all", "away", "most")  # noqa: B023
+        needed.append(f"_near{k}")
+    left = asking.select("_i", "cell", "copies", "v", F.array_distinct(F.concat(*needed)).alias("cells")).withColumnRenamed("cell", "own")
+    right = placed.select(own.alias("cell"), "v", "copies")
+    schema, kinds = "_i binary, own int, copies long, other int, d double", [("_i", pa.binary()), ("own", pa.int32()), ("copies", pa.int64()), ("other", pa.int32()), ("d", pa.float64())]
+
+    def sums(a: pa.Table, b: pa.Table) -> pa.Table:
+        p, q, weight, out = B.matrix(a.column("v")), B.matrix(b.column("v")), np.asarray(b.column("copies"), float), []
+        for c, asks, points in B.by_cell(a, b):
+            d = B.distance_sums(p[asks], q[points], weight[points])
+            out.append(a.select(["_i", "own", "copies"]).take(pa.array(asks)).append_column("other", pa.array(np.full(len(d), c, np.int32))).append_column("d", pa.array(d)))
+        return pa.concat_tables(out).cast(pa.schema(kinds)) if out else pa.schema(kinds).empty_table()
+
+    found = B.compare(left, right, F.col("v"), [r["rows"] for r in held], sums, schema, pa.schema(kinds).empty_table(), at_once)
+    by = found.groupBy("_i", "own", "other").agg(F.first("copies").alias("copies"), F.sum("d").alias("d"))
+    at = lambda values, col: F.element_at(F.array(*[F.lit(v) for v in values]), F.col(col) + 1)
+    cluster = lambda n, col: at([r[n] for r in held], col)
+    ways = F.explode(F.array(*[F.struct(F.lit(k).alias("way"), cluster(n, "own").alias("mine"), cluster(n, "other").alias("label")) for k, n in enumerate(names)])).alias("w")
+    each = by.select("_i", "own", "copies", "other", "d", ways).select("_i", "own", "copies", "d", "w.*", at([r["rows"] for r in held], "other").alias("pairs"))
+    sizes = constant([(f"{k}/{label}", sum(held[c]["size"] for c in all_of)) for k, by_label in enumerate(cells) for label, all_of in by_label.items()])
+    parts = constant([(f"{k}/{label}", len(all_of)) for k, by_label in enumerate(cells) for label, all_of in by_label.items()])
+    key = F.concat_ws("/", F.col("way").cast("string"), "label")
+    whole = each.groupBy("way", "_i", "own", "mine", "label").agg(F.first("copies").alias("copies"), F.sum("d").alias("d"), F.sum("pairs").alias("pairs"), F.count("*").alias("n"))
+    whole = whole.withColumn("size", F.element_at(sizes, key)).withColumn("d", F.when(F.col("n") == F.element_at(parts, key), F.col("d")))  # a cluster measured in part says nothing
+    alone = F.max(F.when(F.col("label") == F.col("mine"), F.col("size")))
+    a = F.max(F.when(F.col("label") == F.col("mine"), F.try_divide("d", F.col("size") - 1)))
+    b = F.min(F.when(F.col("label") != F.col("mine"), F.col("d") / F.col("size")))
+    widths = whole.groupBy("way", "_i", "own").agg(a.alias("a"), b.alias("b"), alone.alias("alone"), F.first("copies").alias("copies"), F.sum("pairs").alias("pairs"))
+    width = F.when(F.col("b").isNull(), None).when(F.col("alone") == 1, 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
+    mean = F.try_divide(F.sum(F.col("w") * F.col("copies")), F.sum(F.when(F.col("w").isNotNull(), F.col("copies"))))
+    total = float(sum(r["rows"] for r in held)) ** 2
+    return widths.withColumn("w", width).groupBy("way").agg(mean.alias("silhouette"), (F.sum("pairs") / F.lit(total)).alias("measured")).select(at(labels, "way").alias("name"), "silhouette", "measured")
+
+
+def _quality(s: float | None, d: float | None) -> dict[str, float]:
     s, d = -1.0 if s is None else s, math.inf if d is None else d
     return {"silhouette": s, "davies_bouldin": d, "score": s - 0.1 * d}
 
 
+def quality_of(rows: DataFrame, x: str = "x") -> dict[str, float]:
+    """silhouette (-1 where there is none), davies_bouldin (infinite where there is none) and score, silhouette - 0.1 davies_bouldin, of labelled rows."""
+    return _quality(silhouette(rows, x).first()[0], davies_bouldin(rows, x).first()[0])
+
+
 def select_k(rows: DataFrame, least: int, most: int, x: str = "x") -> DataFrame:
-    """k, silhouette, davies_bouldin and score of each k that gives two clusters at least, best first; one cluster if none does."""
+    """k, silhouette, davies_bouldin and score of each k that gives two clusters at least, best first; one cluster if none does. Distances between rows are taken
+    once for all k."""
+    found, ks = rows.select(x), range(max(2, least), max(3, most) + 1)
+    for k in ks:
+        found = kmeans(found, k, x).withColumnRenamed("label", f"k{k}")
+    counts = found.agg(*[F.countDistinct(f"k{k}").alias(f"k{k}") for k in ks]).first()
+    ks = [k for k in ks if counts[f"k{k}"] >= 2]
+    widths = {r["name"]: r["silhouette"] for r in silhouettes(found, [f"k{k}" for k in ks], x).collect()} if ks else {}
     out = []
-    for k in range(max(2, least), max(3, most) + 1):
-        found = kmeans(rows, k, x)
-        if found.select("label").distinct().count() >= 2:
-            q = quality_of(found, x)
-            out.append((k, q["silhouette"], q["davies_bouldin"], q["score"]))
+    for k in ks:
+        q = _quality(widths[f"k{k}"], davies_bouldin(found.select(x, F.col(f"k{k}").alias("label")), x).first()[0])
+        out.append((k, q["silhouette"], q["davies_bouldin"], q["score"]))
     out = sorted(out, key=lambda q: (-q[3], q[0])) or [(1, -1.0, math.nan, -math.inf)]
     return rows.sparkSession.createDataFrame(out, "k int, silhouette double, davies_bouldin double, score double")
 

@@ -355,3 +355,31 @@ def test_features_of_one_pass_are_those_of_single_patterns(spark):
     one = SF.with_features(df).select("id", *names).orderBy("id").collect()
     each = df.select("id", *[c.alias(k) for k, c in SF.all_features(F.col("text")).items()]).orderBy("id").collect()
     assert one == each and any(r["bow_factory"] == 3 for r in one) and any(r["name_vault"] == 1 for r in one)
+
+
+def test_silhouettes_of_several_labels(spark):
+    """Widths of three ways to label the same rows, in blocks smaller than a cluster: those of each way alone, copies counted as often as they stand; rows are sent once a block."""
+    import math
+    import random
+
+    from spawnlens.operators import blocks
+
+    rng = random.Random(5)
+    rows = [(k % 2, k % 3, k % 5 if k % 7 else 5, [rng.gauss(4 * (k % 3), 1), 1e4 + rng.gauss(0, 1)]) for k in range(90)]
+    rows += rows[:9] * 3
+    want = []
+    for way in range(3):
+        widths = []
+        for i, r in enumerate(rows):
+            by = {}
+            for j, s in enumerate(rows):
+                if i != j:
+                    by.setdefault(s[way], []).append(math.dist(r[3], s[3]))
+            a, b = sum(by[r[way]]) / len(by[r[way]]), min(sum(d) / len(d) for c, d in by.items() if c != r[way])
+            widths.append((b - a) / max(a, b))
+        want.append(sum(widths) / len(widths))
+    df = spark.createDataFrame(rows, "one int, two int, three int, x array<double>")
+    got = {r["name"]: r["silhouette"] for r in C.silhouettes(df, ["one", "two", "three"], at_once=8).collect()}
+    assert [got[c] for c in ("one", "two", "three")] == pytest.approx(want, abs=1e-9)
+    assert [C.silhouette(df.withColumnRenamed(c, "label"), at_once=50).first()[0] for c in ("one", "two", "three")] == pytest.approx(want, abs=1e-9)
+    assert blocks.deal([10, 3, 25, 4, 5], 10) == ([0, 1, 2, 1, 5], [1, 1, 3, 1, 1])
