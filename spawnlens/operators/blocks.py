@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 #: Rows of a block at least and at most, blocks that points are dealt in between these; rows and columns of a matrix of distances; squares below this share of
 #: both norms are taken from differences; pairs whose differences are held at once.
-LEAST, MOST, PARTS, ROWS, COLUMNS, CLOSE, PAIRS = 1024, 1 << 15, 16, 256, 4096, 1e-3, 1 << 14
+LEAST, MOST, PARTS, ROWS, COLUMNS, CLOSE, PAIRS = 1024, 1 << 15, 16, 256, 1024, 1e-3, 1 << 14
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -70,13 +70,30 @@ def by_cell(a: pa.Table, b: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndar
             yield c, rows, np.flatnonzero(held == c)
 
 
-def squares(p: np.ndarray, q: np.ndarray, kind: type = float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def squares(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Two matrices whose product is the squared distances of p and q, about the middle of q, and the sum of norms that its rounding goes by for each row of p."""
     mid = q.mean(axis=0)
     p, q = p - mid, q - mid
     m, n = (p * p).sum(axis=1), (q * q).sum(axis=1)
     left, right = np.concatenate([-2 * p, m[:, None], np.ones((len(p), 1))], axis=1), np.concatenate([q, np.ones((len(q), 1)), n[:, None]], axis=1)
-    return left.astype(kind), np.ascontiguousarray(right.T.astype(kind)), m + n.max(initial=0.0)
+    return left, np.ascontiguousarray(right.T), m + n.max(initial=0.0)
+
+
+def rough_squares(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """As squares, in single precision and in a unit that is given last, with the most that each row's are wrong by: to tell which pairs to take the distance of."""
+    mid = q.mean(axis=0)
+    unit = float(max(((p - mid) ** 2).sum(axis=1).max(initial=0.0), ((q - mid) ** 2).sum(axis=1).max(initial=0.0))) or 1.0
+    left, right, norms = squares((p - mid) / np.sqrt(unit), (q - mid) / np.sqrt(unit))
+    return left.astype(np.float32), right.astype(np.float32), 8 * (p.shape[1] + 8) * float(np.finfo(np.float32).eps) * norms + 1e-36, unit
+
+
+def pair_distances(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Euclidean distances of row to row, component after component."""
+    d = np.zeros(len(p))
+    for s in range(0, len(p), PAIRS):
+        for c in np.ascontiguousarray((p[s : s + PAIRS] - q[s : s + PAIRS]).T):
+            d[s : s + PAIRS] += c**2
+    return np.sqrt(d)
 
 
 def distance_sums(p: np.ndarray, q: np.ndarray, weight: np.ndarray) -> np.ndarray:

@@ -19,21 +19,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import blocks as B
+from .blocks import matrix as _matrix
 from .order import numbered
 from .skew import keyed_join
 
-#: Pivots that cells lie around at most; rows of a block of points, of queries, and of a matrix of distances; edges of a range; the shortest distance that a
-#: density is taken of.
-PIVOTS, BLOCK, QUERIES, CHUNK, EDGES, SHORTEST = 256, 2048, 4096, 512, 1 << 18, 1e-9
+#: Pivots that cells lie around at most; points for each of them; edges of a range; the shortest distance that a density is taken of.
+PIVOTS, BLOCK, EDGES, SHORTEST = 256, 2048, 1 << 18, 1e-9
 Keep = Callable[[DataFrame], DataFrame]
 
 
-def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
-
-
 def distances(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Euclidean distances, component after component: the same bits for (p, q) as for (q, p), whatever block they stand in."""
     d = np.zeros((len(p), len(q)))
@@ -81,25 +76,19 @@ class Cells:
             self.rows[r["cell"]], self.copies[r["cell"]], self.reach[r["cell"]] = r["rows"], r["copies"], r["reach"] * (1 + 1e-9)
 
     def search(self, queries: DataFrame, points: DataFrame, bounds, step, schema: str) -> DataFrame:
-        """What step(queries, points) finds in blocks of the cells that bounds(batch, distances to pivots) calls needed. Cells that many queries need, or that
-        hold many points, are dealt in blocks of both."""
+        """What step(queries, points) finds in blocks of the cells that bounds(batch, distances to pivots) calls needed."""
         at = self.pivots
 
         def route(batches):
             for b in batches:
                 query, cell = np.nonzero(bounds(b, distances(_matrix(b.column("x")), at)))
-                yield pa.RecordBatch.from_arrays([*b.take(pa.array(query)).columns, pa.array(cell, pa.int32())], names=[*b.schema.names, "cell"])
-
-        routed = queries.drop("cell").mapInArrow(route, f"{_ddl(queries.drop('cell'))}, cell int")  # made twice, not written: it may be many times the points
-        asked = {r["cell"]: r["count"] for r in routed.groupBy("cell").count().collect()}
-        blocks = F.array(*[F.lit(int(max(1, -(-n // BLOCK)))) for n in self.rows])
-        shares = F.array(*[F.lit(int(-(-asked.get(k, 0) // QUERIES))) for k in range(len(at))])
-        n, m, own = F.element_at(blocks, F.col("cell") + 1), F.element_at(shares, F.col("cell") + 1), F.xxhash64("point")
-        left = routed.withColumn("_m", F.pmod(own, m).cast("int")).withColumn("_n", F.explode(F.sequence(F.lit(0), n - 1)))
-        right = points.where(m > 0).withColumn("_n", F.pmod(own, n).cast("int")).withColumn("_m", F.explode(F.sequence(F.lit(0), m - 1)))
+                ends = np.searchsorted(query, np.arange(b.num_rows + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(cell, pa.int32()))], names=[*b.schema.names, "cells"])
+
+        plain = queries.drop("cell")
+        routed = plain.mapInArrow(route, f"{_ddl(plain)}, cells array<int>")
         nothing = pa.table({c: pa.array([], pa.float64() if kind == "double" else pa.int64()) for c, kind in (f.split() for f in schema.split(", "))})
-        found = lambda a, b: step(a, b) if a.num_rows and b.num_rows else nothing
-        return left.groupBy("cell", "_n", "_m").cogroup(right.groupBy("cell", "_n", "_m")).applyInArrow(found, schema)
+        return B.compare(routed, points, F.col("point"), self.rows.tolist(), step, schema, nothing)
 
 
 def _ddl(df: DataFrame) -> str:
@@ -121,19 +110,38 @@ def neighbours(cells: Cells, k: int) -> DataFrame:
     def step(a: pa.Table, b: pa.Table) -> pa.Table:
         here, there = np.asarray(a.column("point")), np.asarray(b.column("point"))
         p, q = _matrix(a.column("x")), _matrix(b.column("x"))
-        order = there.argsort()
-        there, q = there[order], q[order]
-        out: list[list[np.ndarray]] = [[], [], []]
-        for s in range(0, len(p), CHUNK):
-            d = distances(p[s : s + CHUNK], q)
-            d[here[s : s + CHUNK, None] == there[None]] = math.inf
-            best = d.argsort(axis=1, kind="stable")[:, :k]
-            near = np.take_along_axis(d, best, axis=1)
-            row, col = np.nonzero(near < math.inf)
-            out[0].append(here[s : s + CHUNK][row])
-            out[1].append(there[best[row, col]])
-            out[2].append(near[row, col])
-        return pa.table({c: np.concatenate(v) for c, v in zip(("point", "other", "d"), out, strict=True)})
+        bound = np.full(len(p), math.inf)  # no other point above it is among the k nearest
+        row, other, near = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+
+        def reduce() -> None:
+            r, o, d = (np.concatenate(v) for v in (row, other, near))
+            order = np.lexsort((o, d, r))
+            r, o, d = r[order], o[order], d[order]
+            place = np.arange(len(r)) - np.searchsorted(r, r)
+            last = place == k - 1
+            bound[r[last]] = np.minimum(bound[r[last]], d[last] ** 2 * (1 + 1e-12))
+            row[:], other[:], near[:] = [r[place < k]], [o[place < k]], [d[place < k]]
+
+        for _, asks, held in B.by_cell(a, b):
+            left, right, wrong, unit = B.rough_squares(p[asks], q[held])
+            for s in range(0, len(asks), B.ROWS):
+                at, e = asks[s : s + B.ROWS], wrong[s : s + B.ROWS]
+                for t in range(0, len(held), B.COLUMNS):
+                    d = left[s : s + B.ROWS] @ right[:, t : t + B.COLUMNS]
+                    free = np.flatnonzero(bound[at] == math.inf)
+                    if len(free) and d.shape[1] > k:
+                        bound[at[free]] = (np.partition(d[free], k, axis=1)[:, k] + e[free]) * unit * (1 + 1e-12)  # one more than k, as the point itself may be there
+                    i, j = np.divmod(np.flatnonzero(d <= ((bound[at] / unit + e) * (1 + 1e-6)).astype(np.float32)[:, None]), d.shape[1])
+                    i, j = at[i], held[t + j]
+                    ok = here[i] != there[j]
+                    i, j = i[ok], j[ok]
+                    row.append(i)
+                    other.append(there[j])
+                    near.append(B.pair_distances(p[i], q[j]))
+                    if sum(map(len, row)) > max(1 << 20, 4 * k * len(p)):
+                        reduce()
+        reduce()
+        return pa.table({"point": here[row[0]], "other": other[0], "d": near[0]})
 
     every = cells.search(cells.points.select("point", "x"), cells.points.select("point", "x", "cell"), bounds, step, "point long, other long, d double")
     return every.withColumn("place", F.row_number().over(Window.partitionBy("point").orderBy("d", "other"))).where(F.col("place") <= k)
@@ -197,19 +205,29 @@ def spanning_tree(cells: Cells, points: DataFrame, near: DataFrame, keep: Keep)
         def step(a: pa.Table, b: pa.Table) -> pa.Table:
             here, there = np.asarray(a.column("point")), np.asarray(b.column("point"))
             p, q, mine, theirs = _matrix(a.column("x")), _matrix(b.column("x")), np.asarray(a.column("comp")), np.asarray(b.column("comp"))
-            order = there.argsort()
-            there, q, theirs, core_b = there[order], q[order], theirs[order], np.asarray(b.column("core"))[order]
-            out: list[list[np.ndarray]] = [[], [], []]
-            for s in range(0, len(p), CHUNK):
-                cut = slice(s, s + CHUNK)
-                w = np.maximum(np.maximum(distances(p[cut], q), core_b[None]), np.asarray(a.column("core"))[cut, None])
-                w[mine[cut, None] == theirs[None]] = math.inf
-                best = w.argmin(axis=1)  # the first, which is the smallest id, of equal ones
-                least = w[np.arange(len(w)), best]
-                ok = least < math.inf
-                for o, v in zip(out, (here[cut][ok], there[best[ok]], least[ok]), strict=True):
-                    o.append(v)
-            return pa.table({c: np.concatenate(v) for c, v in zip(("point", "other", "w"), out, strict=True)})
+            core_a, core_b = np.asarray(a.column("core")), np.asarray(b.column("core"))
+            best, least = np.full(len(p), -1), np.asarray(a.column("bound")) * (1 + 1e-9)
+            for _, asks, held in B.by_cell(a, b):
+                left, right, wrong, unit = B.rough_squares(p[asks], q[held])
+                own_b = np.minimum(core_b[held] ** 2 / unit, 1e37).astype(np.float32)
+                for s in range(0, len(asks), B.ROWS):
+                    at, e = asks[s : s + B.ROWS], wrong[s : s + B.ROWS]
+                    for t in range(0, len(held), B.COLUMNS):
+                        w = np.maximum(left[s : s + B.ROWS] @ right[:, t : t + B.COLUMNS], own_b[None, t : t + B.COLUMNS])
+                        w[mine[at, None] == theirs[None, held[t : t + B.COLUMNS]]] = math.inf
+                        most = np.minimum(np.maximum(w.min(axis=1) + 2 * e, core_a[at] ** 2 / unit + e), least[at] ** 2 / unit + e) * (1 + 1e-6)
+                        i, j = np.divmod(np.flatnonzero(w <= np.minimum(most, 3e38).astype(np.float32)[:, None]), w.shape[1])  # below infinity, which is the own part
+                        i, j = at[i], held[t + j]
+                        exact = np.maximum(np.maximum(B.pair_distances(p[i], q[j]), core_b[j]), core_a[i])
+                        order = np.lexsort((there[j], exact, i))
+                        i, j, exact = i[order], j[order], exact[order]
+                        first = np.ones(len(i), bool)
+                        first[1:] = i[1:] != i[:-1]
+                        i, j, exact = i[first], j[first], exact[first]  # the smallest id of equal ones
+                        ok = (exact < least[i]) | ((exact == least[i]) & ((best[i] < 0) | (there[j] < there[best[i]])))
+                        best[i[ok]], least[i[ok]] = j[ok], exact[ok]
+            got = best >= 0
+            return pa.table({"point": here[got], "other": there[best[got]], "w": least[got]})
 
         asking = grown.where(F.col("far") <= F.col("bound")).select("point", "x", "core", "comp", "bound")
         found = cells.search(asking, grown.select("point", "x", "core", "comp", "cell"), bounds, step, "point long, other long, w double")

@@ -197,3 +197,21 @@ def test_silhouette_measures_few_pairs(spark):
     assert got["silhouette"] == pytest.approx(((b - a) / np.maximum(a, b)).mean(), abs=1e-12)
     assert got["measured"] < 0.25
     assert C.silhouette(rows.where("false")).first()["silhouette"] is None
+
+
+def test_neighbours_of_odd_points(spark):
+    """Equal distances, points far from the origin, very large, very small and close ones: the same as all pairs, from rough squares; 256 cells are sent to as 16 blocks."""
+    from spawnlens.operators import blocks
+
+    r = np.random.default_rng(9)
+    base = r.normal(size=(70, 5))
+    cases = [np.eye(40), base + 1e7, base * 1e25, base * 1e-30, np.concatenate([base, base[:20] + 1e-9, base[:3] * 1e6])]
+    for x in cases:
+        x = np.unique(x, axis=0)
+        d = D.distances(x, x)
+        np.fill_diagonal(d, np.inf)
+        want = {(i, int(j), place + 1, d[i, j]) for i in range(len(x)) for place, j in enumerate(d[i].argsort(kind="stable")[:4])}
+        cells = D.Cells(keep(D.distinct_points(frame(spark, x.tolist()))), keep, 5)
+        assert {(q["point"], q["other"], q["place"], q["d"]) for q in D.neighbours(cells, 4).collect()} == want
+    first, count = blocks.deal([2000] * 256, 32768)
+    assert max(first) + 1 == 16 and set(count) == {1}
