@@ -42,13 +42,19 @@ def start(points: DataFrame) -> DataFrame:
     return scaled.select("point", (F.col("px") * SPREAD / F.col("most")).alias("px"), (F.col("py") * SPREAD / F.col("most")).alias("py"))
 
 
-def neighbour_layout(rows: DataFrame, keep: Keep, k: int = 15, rounds: int = 30, seed: int = 42, x: str = "x") -> DataFrame:
-    """id, px, py of rows (id, x)."""
+def nearest(rows: DataFrame, keep: Keep, k: int = 15, x: str = "x") -> tuple[DataFrame, DataFrame]:
+    """The different vectors of rows (id, x), and each one's k nearest (point, other, d, place), both written once for what asks for them."""
+    points = keep(distinct_points(rows.select("id", F.col(x).cast("array<double>").alias("x"))))
+    return points, keep(neighbours(Cells(points, keep), k)) if not points.isEmpty() else points.selectExpr("point", "point AS other", "0.0D AS d", "0 AS place")
+
+
+def neighbour_layout(rows: DataFrame, keep: Keep, k: int = 15, rounds: int = 30, seed: int = 42, x: str = "x", known: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """id, px, py of rows (id, x). known is what nearest() gives for the rows, where it is at hand."""
     named = rows.select("id", F.col(x).cast("array<double>").alias("x"))
-    points = keep(distinct_points(named))
+    points, near = known or nearest(named, keep, k)
     if points.isEmpty():
         return named.select("id", F.lit(None).cast("double").alias("px"), F.lit(None).cast("double").alias("py"))
-    edges = keep(neighbour_graph(neighbours(Cells(points, keep), k)))
+    edges = keep(neighbour_graph(near))
     at = keep(start(points))
     clip = lambda c: F.greatest(F.lit(-CLIP), F.least(F.lit(CLIP), c))
     for r in range(rounds):
@@ -74,11 +80,11 @@ def neighbour_layout(rows: DataFrame, keep: Keep, k: int = 15, rounds: int = 30,
     return to_rows(named, points, at, keep)
 
 
-def preservation(space: DataFrame, plane: DataFrame, keep: Keep, k: int = 15) -> DataFrame:
-    """preserved: the share of each point's k nearest in space (id, x) that are among its k nearest in the plane (id, px, py), both over different vectors."""
-    points = keep(distinct_points(space.select("id", F.col("x").cast("array<double>").alias("x"))))
-    at = points.select("point", "copies").join(plane.select(F.col("id").alias("point"), F.array("px", "py").alias("x")), "point")
-    one, two = (neighbours(Cells(p.select("x", "point", "copies"), keep), k).select("point", "other") for p in (points, at))
-    one = keep(one)
-    kept = one.join(keep(two), ["point", "other"], "left_semi")
+def preservation(space: DataFrame, plane: DataFrame, keep: Keep, k: int = 15, known: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """preserved: the share of each point's k nearest in space (id, x) that are among its k nearest in the plane (id, px, py), both over different vectors. known is
+    what nearest() gives for space, where it is at hand."""
+    points, near = known or nearest(space, keep, k)
+    at = keep(points.select("point", "copies").join(plane.select(F.col("id").alias("point"), F.array("px", "py").alias("x")), "point").select("x", "point", "copies"))
+    one, two = near.select("point", "other"), keep(neighbours(Cells(at, keep), k).select("point", "other"))
+    kept = one.join(two, ["point", "other"], "left_semi")
     return one.agg(F.count("*").alias("n")).crossJoin(kept.agg(F.count("*").alias("m"))).select(F.try_divide("m", "n").alias("preserved"))

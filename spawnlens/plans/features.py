@@ -71,8 +71,9 @@ def embed_neighbours(spark, sf_dir):
 def embed_preservation(spark, sf_dir):
     """The share of each vector's 15 nearest that stay its 15 nearest in the plane, by principal components and by the graph."""
     v = views.vectors(spark, sf_dir)
-    by = {"neighbours": keep(embed_neighbours(spark, sf_dir)), "principal": keep(embed_pca2(spark, sf_dir))}
-    one, two = (layout.preservation(v, at, keep).select(F.lit(name).alias("method"), "preserved") for name, at in by.items())
+    known = layout.nearest(v, keep)
+    by = {"neighbours": keep(layout.neighbour_layout(v, keep, known=known)), "principal": keep(embed_pca2(spark, sf_dir))}
+    one, two = (layout.preservation(v, at, keep, known=known).select(F.lit(name).alias("method"), "preserved") for name, at in by.items())
     return one.union(two)
 
 
