@@ -210,6 +210,17 @@ def result_summary(results: DataFrame) -> DataFrame:
     return results.groupBy("chain").agg(F.count("*").alias("total_contracts"), F.count_if("is_factory").alias("total_factories"), F.count_if("is_create_only").alias("create_only"), F.count_if("is_create2_only").alias("create2_only"), F.count_if("is_both").alias("both"), F.avg("execution_time_ms").alias("avg_execution_time"))
 
 
+def summary_by_code(contracts: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """result_summary of contracts (chain, bytecode_hash, execution_time_ms) by the verdicts on their codes (bytecode_hash once, is_factory, factory_type). Contracts
+    are counted by code before they meet the verdicts, so that a frequent code is one row of the join and is not looked for."""
+    each = contracts.groupBy("chain", "bytecode_hash").agg(F.count("*").alias("n"), F.count("execution_time_ms").alias("timed"), F.sum("execution_time_ms").alias("ms"))
+    having = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0).cast("bigint"))
+    flags = exclusive_flags(F.col("factory_type"))
+    kinds = [having(flags[f"is_{k}"]).alias(k) for k in ("create_only", "create2_only", "both")]
+    rows = each.join(verdicts.select("bytecode_hash", "is_factory", "factory_type"), "bytecode_hash")
+    return rows.groupBy("chain").agg(F.sum("n").alias("total_contracts"), having(F.col("is_factory")).alias("total_factories"), *kinds, F.try_divide(F.sum("ms"), F.sum("timed")).alias("avg_execution_time"))
+
+
 def exclusive_flags(kind: Column) -> dict[str, Column]:
     """Each factory has one of the flags."""
     return {"is_create_only": kind == "CREATE_ONLY", "is_create2_only": kind == "CREATE2_ONLY", "is_both": kind == "BOTH_CREATE_CREATE2"}

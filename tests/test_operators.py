@@ -383,3 +383,14 @@ def test_silhouettes_of_several_labels(spark):
     assert [got[c] for c in ("one", "two", "three")] == pytest.approx(want, abs=1e-9)
     assert [C.silhouette(df.withColumnRenamed(c, "label"), at_once=50).first()[0] for c in ("one", "two", "three")] == pytest.approx(want, abs=1e-9)
     assert blocks.deal([10, 3, 25, 4, 5], 10) == ([0, 1, 2, 1, 5], [1, 1, 3, 1, 1])
+
+
+def test_summary_by_code(spark):
+    """The same as the summary of joined rows, with codes without a verdict, without a hash and without times; no frequent keys are looked for."""
+    rows = [("a" if k % 3 else "b", None if k % 11 == 0 else f"h{k % 7}", None if k % 5 == 0 or k % 3 == 0 else float(k % 97)) for k in range(300)]
+    contracts = spark.createDataFrame(rows, "chain string, bytecode_hash string, execution_time_ms double")
+    found = spark.createDataFrame([("h0", True, "CREATE_ONLY"), ("h1", True, "CREATE2_ONLY"), ("h2", True, "BOTH_CREATE_CREATE2"), ("h3", False, "NONE"), ("h4", None, None)], "bytecode_hash string, is_factory boolean, factory_type string")
+    want = S.result_summary(contracts.join(found, "bytecode_hash").withColumns(S.exclusive_flags(F.col("factory_type"))))
+    got = S.summary_by_code(contracts, found)
+    assert got.dtypes == want.dtypes and sorted(got.collect()) == sorted(want.collect())
+    assert S.summary_by_code(contracts.where("false"), found).count() == 0
