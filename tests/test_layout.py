@@ -56,3 +56,15 @@ def test_layout(spark):
     start = L.start(D.distinct_points(frame(spark, x))).withColumnRenamed("point", "id")
     assert L.preservation(frame(spark, x), first, keep, 8).first()[0] > L.preservation(frame(spark, x), start, keep, 8).first()[0]
     assert L.neighbour_layout(frame(spark, []), keep).count() == 0
+
+
+def test_neighbours_in_space_are_found_once(spark, monkeypatch):
+    """Layout and preservation take the neighbours that are at hand: the same results, with one search in space and one in the plane."""
+    x = np.random.default_rng(3).normal(size=(60, 4)).tolist()
+    rows, searches, found = frame(spark, x), [], D.neighbours
+    monkeypatch.setattr(L, "neighbours", lambda cells, k: searches.append(k) or found(cells, k))
+    known = L.nearest(rows, keep, 6)
+    plane = keep(L.neighbour_layout(rows, keep, k=6, rounds=2, known=known))
+    share = L.preservation(rows, plane, keep, 6, known=known).first()[0]
+    assert len(searches) == 2
+    assert L.preservation(rows, plane, keep, 6).first()[0] == pytest.approx(share) and len(searches) == 4
