@@ -100,12 +100,18 @@ def first_available(*providers) -> DataFrame:
     raise FileNotFoundError("no provider has the rows: " + "; ".join(failures))
 
 
-def unique_codes(contracts: DataFrame, cutoff: str = CUTOFF) -> DataFrame:
+def unique_codes(contracts: DataFrame, cutoff: str = CUTOFF, carry: dict[str, Column] | None = None) -> DataFrame:
     """The first contract of each code and chain, by block, time, address, with its code. Codes are told apart by digest, and each task sends one row of a code on, so
-    that what is shuffled is as large as the different codes of each task."""
-    kept = kept_codes(contracts, cutoff).withColumn("bytecode_hash", evm.bytecode_hash(F.col("code")))
-    first = kept.groupBy("chain", "bytecode_hash").agg(F.min(F.struct("block_number", "block_timestamp", "address", "code")).alias("f"))
-    return first.select("chain", "bytecode_hash", F.col("f.address").alias("address"), F.col("f.block_timestamp").alias("deployment_timestamp"), F.col("f.block_number").alias("block_number"), F.col("f.code").alias("code"))
+    that what is shuffled is as large as the different codes of each task.
+
+    carry: by name, what is wanted of the code instead of the code itself, such as its length; then no code is sorted or shuffled. It must follow from the code alone.
+    """
+    carry = {"code": F.col("code")} if carry is None else carry
+    # Whether a code counts is asked after codes are made distinct: asked before, each would be read once more. A null code has no digest and does not count.
+    about = F.struct((F.length("code") > 2).alias("kept"), *[c.alias(k) for k, c in carry.items()])
+    rows = contracts.where(F.col("block_timestamp") < F.to_timestamp(F.lit(cutoff))).select("chain", F.sha2("code", 256).alias("bytecode_hash"), "block_number", "block_timestamp", "address", about.alias("about"))
+    first = rows.groupBy("chain", "bytecode_hash").agg(F.min(F.struct("block_number", "block_timestamp", "address", "about")).alias("f")).where("f.about.kept")
+    return first.select("chain", "bytecode_hash", F.col("f.address").alias("address"), F.col("f.block_timestamp").alias("deployment_timestamp"), F.col("f.block_number").alias("block_number"), *[F.col("f.about")[k].alias(k) for k in carry])
 
 
 def expand(contracts: DataFrame, codes: DataFrame, cutoff: str = CUTOFF) -> DataFrame:

@@ -45,14 +45,14 @@ def scan_contracts_join(spark, sf_dir):
 
 
 def unique_bytecodes(spark, sf_dir):
-    out = S.unique_codes(_c(spark, sf_dir))
-    return out.select("chain", "bytecode_hash", F.sha2("code", 256).alias("code_sha256"), F.length("code").alias("code_length"), "address", "deployment_timestamp", "block_number")
+    out = S.unique_codes(_c(spark, sf_dir), carry={"code_sha256": F.sha2("code", 256), "code_length": F.length("code")})
+    return out.select("chain", "bytecode_hash", "code_sha256", "code_length", "address", "deployment_timestamp", "block_number")
 
 
 def paged_scan(spark, sf_dir):
-    """A page after the first 20 rows, each with its code."""
-    first = S.unique_codes(_c(spark, sf_dir))
-    return S.page(first, ["block_number", "address"], 20, 50).select("chain", "address", "block_number", F.sha2("code", 256).alias("code_sha256"))
+    """A page after the first 20 rows, each with its code's digest."""
+    first = S.unique_codes(_c(spark, sf_dir), carry={"code_sha256": F.sha2("code", 256)})
+    return S.page(first, ["block_number", "address"], 20, 50).select("chain", "address", "block_number", "code_sha256")
 
 
 #: Rows of a page of the whole table.
@@ -63,9 +63,9 @@ def keyset_pages(spark, sf_dir):
     """All pages of the unique codes: number, bounds, rows, and the least and largest digest of the codes on them."""
     keys = ["block_number", "address"]
     path = scratch(spark, "pages")
-    index = paging.store(S.unique_codes(_c(spark, sf_dir)), keys, path, PAGE)
+    index = paging.store(S.unique_codes(_c(spark, sf_dir), carry={"c": F.sha2("code", 256)}), keys, path, PAGE)
     rows = spark.read.parquet(f"{path}/rows")
-    number = numbered(rows, keys, "_no").select(F.floor((F.col("_no") - 1) / PAGE).cast("long").alias("page"), F.sha2("code", 256).alias("c"))
+    number = numbered(rows, keys, "_no").select(F.floor((F.col("_no") - 1) / PAGE).cast("long").alias("page"), "c")
     codes = number.groupBy("page").agg(F.min("c").alias("least_code"), F.max("c").alias("largest_code"))
     return index.join(codes, "page").select("page", F.col("first.block_number").alias("first_block"), F.col("first.address").alias("first_address"), F.col("last.block_number").alias("last_block"), F.col("last.address").alias("last_address"), "n", "least_code", "largest_code")
 

@@ -20,11 +20,14 @@ def _sha(*parts) -> F.Column:
 
 
 def _code(k) -> F.Column:
+    """The code of key k. Its text stands once in the expression and is never null unless k is, so that a look for null codes makes no code."""
     heads = F.array(*[F.lit(h) for h in HEADS])
+    head = F.element_at(heads, (k % 8 + 1).cast("int"))
     body = F.array_join(F.transform(F.sequence(F.lit(0).cast("bigint"), k % 24), lambda i: F.sha2(F.concat(F.lit("code-"), k.cast("string"), F.lit("-"), i.cast("string")), 256)), "")
-    whole = F.concat(F.element_at(heads, (k % 8 + 1).cast("int")), body)
-    cut = F.when(k % 5 == 3, F.substring(whole, 1, F.length(whole) - 1)).otherwise(whole)
-    return F.when(k % 11 == 4, F.concat(F.lit("0x"), F.upper(F.replace(cut, F.lit("0x"), F.lit(""))))).otherwise(cut)
+    size = F.length(head) + 64 * (k % 24 + 1).cast("int") - (k % 5 == 3).cast("int")
+    cut = F.substring(F.concat(head, body), F.lit(1), size)
+    code = F.when(k % 11 == 4, F.concat(F.lit("0x"), F.upper(F.replace(cut, F.lit("0x"), F.lit(""))))).otherwise(cut)
+    return F.when(k.isNotNull(), F.coalesce(code, F.lit("")))
 
 
 def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -214,3 +214,16 @@ def test_detection_goes_on_with_the_batches_that_are_not_there(spark, tmp_path,
     assert jobs.detect_in_batches(contracts, path, 4) == 2 and jobs.detect_in_batches(contracts, path, 4) == 0
     rows = [(r["chain"], r["address"], r["is_factory"]) for r in files.read_results(spark, path).collect()]
     assert sorted(rows) == sorted([("e", f"a{k}", bool(k % 3)) for k in range(60)] + [("p", "a1", False)])
+
+
+def test_unique_codes_send_no_code_on(spark):
+    rows = [("a", "0x3", "f0" * 40, "2020-01-02", 2), ("a", "0x2", "f0" * 40, "2020-01-01", 1), ("a", "0x1", "f0" * 40, "2020-01-01", 1), ("b", "0x4", "f0" * 40, "2020-01-01", 9)]
+    rows += [("a", "0x5", None, "2020-01-01", 3), ("a", "0x6", "None", "2020-01-01", 4), ("a", "0x7", "0x", "2020-01-01", 5), ("a", "0x8", "", "2020-01-01", 6), ("a", "0x9", "ff" * 4, "2999-01-01", 7)]
+    contracts = spark.createDataFrame(rows, "chain string, address string, code string, t string, block_number long").withColumn("block_timestamp", F.to_timestamp("t")).drop("t")
+    got = S.unique_codes(contracts, carry={"digest": F.sha2("code", 256), "size": F.length("code")})
+    whole = S.unique_codes(contracts)
+    want = whole.select("chain", "bytecode_hash", "address", "deployment_timestamp", "block_number", F.sha2("code", 256).alias("digest"), F.length("code").alias("size"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert {(r["chain"], r["address"], r["size"]) for r in got.collect()} == {("a", "0x1", 80), ("b", "0x4", 80), ("a", "0x6", 4)}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "code#" not in next(x for x in plan.splitlines() if "Aggregate" in x)
