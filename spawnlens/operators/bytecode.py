@@ -5,12 +5,16 @@ Rows per code are many, so these are for reports over distinct codes; verdicts a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import evm
 
 KEY = "bytecode_hash"
+#: Characters of codes that are dealt to a task, some 40 MB of instruction rows; row numbers that are broadcast at most (8 bytes each).
+AT_ONCE, MOST = 1 << 19, 1 << 22
 
 
 def _by(*more: str):
@@ -30,6 +34,26 @@ def distinct_codes(contracts: DataFrame, code_col: str = "code") -> DataFrame:
     return contracts.where(F.col(code_col).isNotNull()).select(F.col(code_col).alias("code")).distinct().withColumn(KEY, evm.bytecode_hash(F.col("code")))
 
 
+def codes_once(contracts: DataFrame, by: list[str], keep: Callable[[DataFrame], DataFrame], code_col: str = "code", most: int = MOST) -> DataFrame:
+    """distinct_codes, stored. Of the contracts of one code that with the least hash of the columns `by` stands for all: these are found by digests, and only their codes are
+    shuffled, instead of those of each task. Contracts that share such a hash only send some codes more. With over `most` codes all are shuffled.
+
+    keep: writes rows and reads them again.
+    """
+    row, own = F.xxhash64(*by), contracts.where(F.col(code_col).isNotNull())
+    first = keep(own.select(F.unhex(F.sha2(code_col, 256)).alias("_k"), row.alias("_row")).groupBy("_k").agg(F.min("_row").alias("_row")).select("_row"))
+    if first.count() <= most:
+        own = own.join(F.broadcast(first), row == F.col("_row"), "left_semi")
+    return keep(distinct_codes(own, code_col))
+
+
+def dealt(codes: DataFrame, at_once: int = AT_ONCE) -> DataFrame:
+    """Codes by key in as many tasks as their characters ask for, so that what a task sorts does not grow with their number; one code is in one task. Instructions of these
+    stay where they are, no window over a key shuffles them. codes are read twice, so they should be stored."""
+    size = codes.agg(F.sum(F.length("code"))).first()[0] or 0
+    return codes.repartition(max(1, -(-size // at_once)), KEY)
+
+
 def instruction_rows(codes: DataFrame) -> DataFrame:
     """key, i, op, operand (hex), pc, n (instructions of the code)."""
     rows = codes.select(KEY, F.posexplode(evm.instructions(F.col("code"))).alias("i", "t"))
@@ -69,12 +93,19 @@ def jumps(last_op: Column) -> Column:
     return last_op.isin(evm.JUMP, evm.JUMPI)
 
 
+def _falls_to() -> Column:
+    return F.when(falls(F.col("last_op")), F.col("next_pc"))
+
+
+def _n_successors() -> Column:
+    to, next_is_dest = _falls_to(), F.lead("first_op").over(_blocks()) == evm.JUMPDEST
+    n = F.when(jumps(F.col("last_op")), F.col("n_jumpdests") + F.when(to.isNotNull() & ~next_is_dest, 1).otherwise(0)).when(to.isNotNull(), 1).otherwise(0)
+    return n.cast("bigint")
+
+
 def edge_summary(blocks: DataFrame) -> DataFrame:
     """Each block's outgoing edges without the cross product of jumps and destinations: where it falls to, whether it jumps, and its successors' number."""
-    to = F.when(falls(F.col("last_op")), F.col("next_pc"))
-    next_is_dest = F.lead("first_op").over(_blocks()) == evm.JUMPDEST
-    n = F.when(jumps(F.col("last_op")), F.col("n_jumpdests") + F.when(to.isNotNull() & ~next_is_dest, 1).otherwise(0)).when(to.isNotNull(), 1).otherwise(0)
-    return blocks.select(KEY, "start_pc", to.alias("falls_to"), jumps(F.col("last_op")).alias("jumps"), n.cast("bigint").alias("n_successors"))
+    return blocks.select(KEY, "start_pc", _falls_to().alias("falls_to"), jumps(F.col("last_op")).alias("jumps"), _n_successors().alias("n_successors"))
 
 
 def reachability(blocks: DataFrame) -> DataFrame:
@@ -97,9 +128,8 @@ def block_info(blocks: DataFrame) -> DataFrame:
     is_dest = F.col("first_op") == evm.JUMPDEST
     from_jumps = F.when(is_dest, F.sum(jumps(last).cast("int")).over(whole)).otherwise(0)
     from_fall = F.coalesce((before_falls & ~(is_dest & before_jumps)).cast("int"), F.lit(0))
-    counted = reachability(blocks).withColumn("n_predecessors", (from_jumps + from_fall).cast("bigint"))
-    info = counted.select(KEY, "start_pc", "end_pc", "n_instructions", "contains_create", "contains_create2", "reachable", "n_predecessors")
-    return info.join(edge_summary(blocks).select(KEY, "start_pc", "n_successors"), [KEY, "start_pc"])
+    counted = reachability(blocks).withColumns({"n_predecessors": (from_jumps + from_fall).cast("bigint"), "n_successors": _n_successors()})
+    return counted.select(KEY, "start_pc", "end_pc", "n_instructions", "contains_create", "contains_create2", "reachable", "n_predecessors", "n_successors")
 
 
 def verified(rows: DataFrame, blocks: DataFrame) -> DataFrame:

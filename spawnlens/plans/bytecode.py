@@ -10,16 +10,17 @@ from ..operators import bytecode as B
 from ..operators import kernel
 from ..sources import views
 from ..sources.views import sql
+from ..streaming.jobs import keep
 
 KEY = B.KEY
 
 
 def _codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.distinct_codes(views.contracts(spark, sf_dir))
+    return B.codes_once(views.contracts(spark, sf_dir), ["block_number"], keep)
 
 
 def _rows(spark, sf_dir):
-    return B.with_blocks(B.instruction_rows(_codes(spark, sf_dir)))
+    return B.with_blocks(B.instruction_rows(B.dealt(_codes(spark, sf_dir))))
 
 
 def _blocks(spark, sf_dir):
@@ -36,7 +37,7 @@ def opcode_histogram(spark, sf_dir):
 
 
 def disassemble(spark, sf_dir):
-    return B.instruction_rows(_codes(spark, sf_dir)).select(KEY, "i", F.col("pc"), "op", "operand")
+    return B.instruction_rows(B.dealt(_codes(spark, sf_dir))).select(KEY, "i", F.col("pc"), "op", "operand")
 
 
 def basic_blocks(spark, sf_dir):

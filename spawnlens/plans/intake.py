@@ -90,17 +90,17 @@ def input_fallback(spark, sf_dir):
 
 def _codes(spark, sf_dir):
     kernel.register(spark)
-    return B.distinct_codes(views.contracts(spark, sf_dir))
+    return B.codes_once(views.contracts(spark, sf_dir), ["block_number"], jobs.keep)
 
 
 def block_info(spark, sf_dir):
-    return B.block_info(B.block_rows(B.with_blocks(B.instruction_rows(_codes(spark, sf_dir)))))
+    return B.block_info(B.block_rows(B.with_blocks(B.instruction_rows(B.dealt(_codes(spark, sf_dir))))))
 
 
 def block_info_depth(spark, sf_dir):
     """Blocks with the depth at which the enhanced search reaches them, null where it does not."""
-    codes = _codes(spark, sf_dir)
-    info = B.block_info(B.block_rows(B.with_blocks(B.instruction_rows(codes)))).select("bytecode_hash", "start_pc", "end_pc", "n_instructions", "contains_create", "contains_create2")
+    codes = B.dealt(_codes(spark, sf_dir))
+    info = B.block_rows(B.with_blocks(B.instruction_rows(codes))).select("bytecode_hash", "start_pc", "end_pc", "n_instructions", "contains_create", "contains_create2")
     return info.join(kernel.block_rows(codes, "bytecode_hash"), ["bytecode_hash", "start_pc"], "left")
 
 
@@ -127,8 +127,9 @@ def detect_function_enhanced(spark, sf_dir):
 
 def detect_improved(spark, sf_dir):
     """The older interface: its function, and the verdicts under its names."""
-    by_name = _verdict(spark.sql("SELECT bytecode_hash, v.* FROM (SELECT bytecode_hash, detect_factory_improved(code) AS v FROM {codes})", codes=_codes(spark, sf_dir)), "false_positives")
-    same = kernel.legacy(kernel.verdicts(_codes(spark, sf_dir))).select("bytecode_hash", F.size("false_positives").cast("bigint").alias("n"), "cfg_analysis")
+    codes = _codes(spark, sf_dir)
+    by_name = _verdict(spark.sql("SELECT bytecode_hash, v.* FROM (SELECT bytecode_hash, detect_factory_improved(code) AS v FROM {codes})", codes=codes), "false_positives")
+    same = kernel.legacy(kernel.verdicts(codes)).select("bytecode_hash", F.size("false_positives").cast("bigint").alias("n"), "cfg_analysis")
     return by_name.join(same, "bytecode_hash").withColumn("cfg_analysis", F.col("cfg_analysis") & (F.col("n") == F.col("false_positives"))).drop("n")
 
 

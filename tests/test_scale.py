@@ -227,3 +227,28 @@ def test_unique_codes_send_no_code_on(spark):
     assert {(r["chain"], r["address"], r["size"]) for r in got.collect()} == {("a", "0x1", 80), ("b", "0x4", 80), ("a", "0x6", 4)}
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "code#" not in next(x for x in plan.splitlines() if "Aggregate" in x)
+
+
+def test_codes_once_are_the_distinct_codes(spark):
+    from spawnlens.operators import bytecode as B
+
+    rows = [(k % 5, f"0x{k % 7}f0" if k % 11 else None) for k in range(200)] + [(None, "aa"), (3, "None"), (3, "")]
+    contracts = spark.createDataFrame(rows, "at int, code string")
+    want = sorted(map(tuple, B.distinct_codes(contracts).collect()))
+    for most in (1 << 22, 2, 0):
+        kept = []
+        got = B.codes_once(contracts, ["at"], lambda df: kept.append(keep(df)) or kept[-1], most=most)
+        assert sorted(map(tuple, got.select("code", "bytecode_hash").collect())) == want and len(kept) == 2
+    assert B.codes_once(contracts.limit(0), ["at"], keep).count() == 0
+
+
+def test_tasks_of_instructions_are_bounded_by_characters(spark):
+    from spawnlens.operators import bytecode as B
+
+    codes = keep(spark.range(3000).select(F.concat(F.lit("5b6001565b"), F.lpad(F.col("id").cast("string"), 60, "0")).alias("code")).withColumn("bytecode_hash", F.sha2("code", 256)))
+    assert [B.dealt(codes, n).rdd.getNumPartitions() for n in (1 << 30, 21_000, 2100)] == [1, 10, 100]
+    assert B.dealt(codes.limit(0)).rdd.getNumPartitions() == 1
+    blocks = B.reachability(B.block_rows(B.with_blocks(B.instruction_rows(B.dealt(codes, 21_000)))))
+    plan = blocks._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan  # codes are shuffled, their instructions are not
+    assert blocks.count() == B.block_rows(B.with_blocks(B.instruction_rows(codes))).count()
