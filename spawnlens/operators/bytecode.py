@@ -138,14 +138,14 @@ def verified(rows: DataFrame, blocks: DataFrame) -> DataFrame:
     return alive.join(blocks.where("reachable").select(KEY, "blk"), [KEY, "blk"]).select(KEY, "pc", "op")
 
 
-def static_targets(rows: DataFrame) -> DataFrame:
-    """key, blk, jump_pc, target_pc: JUMPDESTs pushed by one of the five instructions before a jump."""
+def static_targets(rows: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
+    """key, blk, jump_pc, target_pc: JUMPDESTs pushed by one of the five instructions before a jump. blocks: the rows' blocks, if they are there; each JUMPDEST starts one."""
     recent = F.collect_list(F.when(F.col("op").between("60", "7f") & (F.col("operand") != ""), F.col("operand"))).over(_by().rowsBetween(-5, -1))
     at = rows.withColumn("pushed", recent).where(jumps(F.col("op"))).select(KEY, "blk", F.col("pc").alias("jump_pc"), F.explode("pushed").alias("operand"))
     # Operands of more digits than an address can have are no targets; leading zeros are.
     short = F.regexp_replace("operand", "^0+", "")
     value = F.when(F.length(short) <= 7, F.coalesce(F.conv(F.when(short == "", "0").otherwise(short), 16, 10).cast("int"), F.lit(-1)))
-    dests = rows.where(F.col("op") == evm.JUMPDEST).select(KEY, F.col("pc").alias("target_pc"))
+    dests = rows.where(F.col("op") == evm.JUMPDEST).select(KEY, F.col("pc").alias("target_pc")) if blocks is None else blocks.where(F.col("first_op") == evm.JUMPDEST).select(KEY, F.col("start_pc").alias("target_pc"))
     return at.select(KEY, "blk", "jump_pc", value.alias("target_pc")).distinct().join(dests, [KEY, "target_pc"]).select(KEY, "blk", "jump_pc", "target_pc")
 
 

@@ -95,7 +95,8 @@ def static_jump_targets(spark, sf_dir):
 
 def enhanced_edges(spark, sf_dir):
     rows = _rows(spark, sf_dir)
-    return B.enhanced_edges(B.block_rows(rows), B.static_targets(rows))
+    blocks = keep(B.block_rows(rows))  # read three times, made once
+    return B.enhanced_edges(blocks, B.static_targets(rows, blocks))
 
 
 def block_depth(spark, sf_dir):

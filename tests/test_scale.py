@@ -252,3 +252,12 @@ def test_tasks_of_instructions_are_bounded_by_characters(spark):
     plan = blocks._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "REPARTITION_BY_NUM" in plan  # codes are shuffled, their instructions are not
     assert blocks.count() == B.block_rows(B.with_blocks(B.instruction_rows(codes))).count()
+
+
+def test_targets_by_blocks_are_those_by_rows(spark):
+    from spawnlens.operators import bytecode as B
+
+    codes = spark.createDataFrame([("6004565b00",), ("5b600056",), ("60056006575b5bf0",), ("6099565b",), ("",)], "code string").withColumn("bytecode_hash", F.sha2("code", 256))
+    rows = B.with_blocks(B.instruction_rows(codes))
+    got, want = (sorted(map(tuple, t.collect())) for t in (B.static_targets(rows, B.block_rows(rows)), B.static_targets(rows)))
+    assert got == want and len(got) >= 2
