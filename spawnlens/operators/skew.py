@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Frequent keys at most, so also rows that are broadcast at most; items that the sketch keeps; share of all rows from which a key is frequent.
 HEAVY, TRACKED, SHARE = 128, 10_000, 0.002
+#: Rows of a task whose rows take long.
+SLOW = 1 << 13
 
 
 def heavy_keys(rows: DataFrame, key: str, share: float = SHARE, most: int = HEAVY) -> list:
@@ -41,6 +43,12 @@ def keyed_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner",
     return often.join(F.broadcast(few), key, how).unionByName(rest.join(others, key, how))
 
 
+def spread(rows: DataFrame, at_once: int = SLOW) -> DataFrame:
+    """Rows that take long each, dealt to tasks of `at_once`, or to all cores if there are fewer: a small file of many rows is else read and worked through by few tasks.
+    Rows are counted for it, which reads no column of a stored table."""
+    return rows.repartition(max(1, -(-rows.count() // at_once), rows.sparkSession.sparkContext.defaultParallelism))
+
+
 def rows_by_task(rows: DataFrame) -> list[int]:
     """Rows in each task that has any, for a look at how even a plan is; one number a task reaches the driver."""
     return [r["n"] for r in rows.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]

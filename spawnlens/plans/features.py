@@ -8,6 +8,7 @@ from ..functions import notes
 from ..functions import source_features as SF
 from ..operators import clustering as C
 from ..operators import density, layout
+from ..operators.skew import spread
 from ..sources import views
 from ..sources.views import sql
 from ..streaming.jobs import keep
@@ -27,7 +28,7 @@ def _features(group):
 
 def src_feature_vector(spark, sf_dir):
     """The 92 features in sorted order, as text of the vector."""
-    found = SF.with_features(_text(spark, sf_dir))
+    found = SF.with_features(spread(views.sources(spark, sf_dir)).select("address", SF.joined_text(F.col("files")).alias("text")).where("text <> ''"))
     return found.select("address", F.array_join(F.array(*[F.round(F.col(c) * 1000).cast("bigint") for c in SF.feature_names()]).cast("array<string>"), ",").alias("features"))
 
 
