@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import evm
 from ..operators import kernel
-from ..operators.bytecode import distinct_codes
+from ..operators.bytecode import codes_once, distinct_codes
 from ..operators.scans import only_new
 from ..operators.skew import keyed_join
 from ..sources.files import append_results, exists
@@ -57,18 +57,23 @@ def detect_in_batches(contracts: DataFrame, path: str, batches: int = 8, enhance
     factory_type, error. Batches are cut by a hash of the address and published whole under their names, so that a run that is lost goes on with the batches that are not
     there, and a run over a finished table does nothing; the number of batches worked through.
 
+    Each contract's digest and each code's verdict is made once, for all batches that are not there; digests and verdicts, without codes, are written to the shared folder.
+
     `batches` must stay the same for a table. Addresses that came later are in batches that were published: give these contracts a path of their own, or use
     detect_incrementally().
     """
     spark, done = contracts.sparkSession, 0
-    for k in range(batches):
-        name = f"{k}of{batches}"
-        if exists(spark, f"{path}/batch={name}"):
-            continue
-        rows = contracts.where(F.pmod(F.xxhash64("address"), F.lit(batches)) == k)
-        found = kernel.verdicts(distinct_codes(rows), enhanced=enhanced).select("bytecode_hash", "is_factory", "factory_type", "error")
-        hashed = rows.where("code IS NOT NULL").select("chain", "address", evm.bytecode_hash(F.col("code")).alias("bytecode_hash"))
-        done += append_results(keyed_join(hashed, found, "bytecode_hash").select("chain", "address", "bytecode_hash", "is_factory", "factory_type", "error"), path, name)
+    names = {k: f"{k}of{batches}" for k in range(batches)}
+    left = [k for k in names if not exists(spark, f"{path}/batch={names[k]}")]
+    if not left:
+        return 0
+    batch = F.pmod(F.xxhash64("address"), F.lit(batches))
+    rows = contracts.where(batch.isin(left) & F.col("code").isNotNull())
+    hashed = keep(rows.select("chain", "address", evm.bytecode_hash(F.col("code")).alias("bytecode_hash"), batch.alias("_batch")))
+    found = keep(kernel.verdicts(codes_once(rows, ["chain", "address"], keep), enhanced=enhanced).select("bytecode_hash", "is_factory", "factory_type", "error"))
+    for k in left:
+        own = hashed.where(F.col("_batch") == k).drop("_batch")
+        done += append_results(keyed_join(own, found, "bytecode_hash").select("chain", "address", "bytecode_hash", "is_factory", "factory_type", "error"), path, names[k])
     return done
 
 
