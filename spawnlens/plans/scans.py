@@ -9,11 +9,11 @@ from ..functions import evm
 from ..operators import kernel
 from ..operators import scans as S
 from ..operators import paging, skew
-from ..operators.bytecode import distinct_codes
+from ..operators.bytecode import codes_once, distinct_codes
 from ..operators.order import numbered
 from ..sources import files, views
 from ..sources.views import sql
-from ..streaming.jobs import detect_in_batches, scratch
+from ..streaming.jobs import detect_in_batches, keep, scratch
 
 START, END = "1996-01-01", "1998-01-01"
 CUT = "1999-01-01"
@@ -75,7 +75,8 @@ def expand_bytecodes(spark, sf_dir):
 
 
 def verdict_expand(spark, sf_dir):
-    found = kernel.verdicts(S.kept_codes(_c(spark, sf_dir)).select("code").distinct()).select("code", "is_factory", "factory_type")
+    codes = codes_once(_c(spark, sf_dir).where(F.col("block_timestamp") < F.to_timestamp(F.lit(CUTOFF))), ["block_number"], keep)
+    found = kernel.verdicts(codes.where("length(code) > 2")).select("code", "is_factory", "factory_type")
     return S.expand_verdicts(_c(spark, sf_dir), found).select("chain", "address", "is_factory", "factory_type")
 
 
