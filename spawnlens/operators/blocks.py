@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rows of a block at least and at most, blocks that points are dealt in between these; rows and columns of a matrix of distances; squares below this share of
-#: both norms are taken from differences; pairs whose differences are held at once.
-LEAST, MOST, PARTS, ROWS, COLUMNS, CLOSE, PAIRS = 1024, 1 << 15, 16, 256, 1024, 1e-3, 1 << 14
+#: both norms are taken from differences; pairs whose differences are held at once, and those of a list; queries that are held against all drawn points at once.
+LEAST, MOST, PARTS, ROWS, COLUMNS, CLOSE, PAIRS, LISTED, PROBED = 1024, 1 << 15, 16, 256, 1024, 1e-3, 1 << 14, 1 << 10, 64
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -96,6 +96,76 @@ def pair_distances(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(d)
 
 
+def listed_distances(p: np.ndarray, i: np.ndarray, q: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """pair_distances of p[i] and q[j], which are taken out few at a time."""
+    return np.concatenate([pair_distances(p[i[s : s + LISTED]], q[j[s : s + LISTED]]) for s in range(0, len(i), LISTED)] or [np.zeros(0)])
+
+
+def set_places(found: np.ndarray) -> np.ndarray:
+    """np.flatnonzero of a contiguous array of truth values of which few are set: eight are looked at at once."""
+    flat = found.reshape(-1)
+    whole = len(flat) // 8 * 8
+    words = np.flatnonzero(flat[:whole].view(np.uint64))
+    at = (words[:, None] * 8 + np.arange(8)).reshape(-1)
+    return np.concatenate([at[flat[at]], whole + np.flatnonzero(flat[whole:])])
+
+
+def nearest_within(p: np.ndarray, q: np.ndarray, k: int) -> np.ndarray:
+    """For each row of p the square of a distance that k + 1 rows of q lie within; infinite if q has fewer. Of the rows of q, those of a place in eight parts
+    count as the nearest of them, where these are enough."""
+    out = np.full(len(p), np.inf)
+    parts = 8 if len(q) >= 64 * (k + 1) else 1
+    q = q[: len(q) // parts * parts]
+    if len(q) <= k:
+        return out
+    left, right, wrong, unit = rough_squares(p, q)
+    for s in range(0, len(p), PROBED):
+        d = (left[s : s + PROBED] @ right).reshape(-1, parts, len(q) // parts).min(axis=1)
+        d.partition(k, axis=1)
+        out[s : s + PROBED] = (d[:, k] + wrong[s : s + PROBED]) * unit * (1 + 1e-6)
+    out[np.isnan(out)] = np.inf
+    return out
+
+
+class Nearest:
+    """The k nearest points of each of `rows` queries among the pairs that are told. Pairs are told with bounds on their squares and measured when many are held,
+    those only that the bounds leave open; `bound` falls with what is known."""
+
+    def __init__(self, bound: np.ndarray, k: int, ids: np.ndarray, measure: Callable[[np.ndarray, np.ndarray], np.ndarray]):
+        self.bound, self.k, self.ids, self.measure = bound, k, ids, measure
+        self.most, self.held, self.told = max(1 << 20, 4 * k * len(bound)), 0, []
+        self.row, self.place, self.near = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def tell(self, row: np.ndarray, place: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+        self.told.append((row, place, low, high))
+        self.held += len(row)
+        if self.held > self.most:
+            self.settle()
+
+    def settle(self) -> None:
+        if not self.held:
+            return
+        row, place, low, high = (np.concatenate(v) for v in zip(*self.told, strict=True))
+        self.told, self.held = [], 0
+        if len(row) > 2 * self.k * len(self.bound):
+            order = np.argsort(row << 32 | high.astype(np.float32).view(np.uint32))  # bits of floats that are not negative rise with them
+            r = row[order]
+            at = np.arange(len(r)) - np.searchsorted(r, r)
+            first = np.flatnonzero(at == self.k - 1) - (self.k - 1)
+            most = high[order[first[:, None] + np.arange(self.k)]].max(axis=1, initial=0.0)
+            self.bound[r[first]] = np.minimum(self.bound[r[first]], most)
+        open_ = low <= self.bound[row]
+        row, place = row[open_], place[open_]
+        r, p = np.concatenate([self.row, row]), np.concatenate([self.place, place])
+        d = np.concatenate([self.near, self.measure(row, place)])
+        order = np.lexsort((self.ids[p], d, r))
+        r, p, d = r[order], p[order], d[order]
+        at = np.arange(len(r)) - np.searchsorted(r, r)
+        last = at == self.k - 1
+        self.bound[r[last]] = np.minimum(self.bound[r[last]], d[last] ** 2 * (1 + 1e-12))
+        self.row, self.place, self.near = r[at < self.k], p[at < self.k], d[at < self.k]
+
+
 def distance_sums(p: np.ndarray, q: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """The sum of each p's weighted distances to q. Distances come from a product of matrices; those so short that it loses digits come from differences, so that
     equal rows have none."""

@@ -24,16 +24,19 @@ from .blocks import matrix as _matrix
 from .order import numbered
 from .skew import keyed_join
 
-#: Pivots that cells lie around at most; points for each of them; edges of a range; the shortest distance that a density is taken of.
-PIVOTS, BLOCK, EDGES, SHORTEST = 256, 2048, 1 << 18, 1e-9
+#: Pivots that cells lie around at most; points for each of them; edges of a range; the shortest distance that a density is taken of; points drawn to bound
+#: distances to the nearest at most, and their components.
+PIVOTS, BLOCK, EDGES, SHORTEST, PROBES, COMPONENTS = 256, 2048, 1 << 18, 1e-9, 1 << 14, 1 << 20
 Keep = Callable[[DataFrame], DataFrame]
 
 
 def distances(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Euclidean distances, component after component: the same bits for (p, q) as for (q, p), whatever block they stand in."""
     d = np.zeros((len(p), len(q)))
-    for k in range(p.shape[1]):
-        d += (p[:, k, None] - q[None, :, k]) ** 2
+    rows, across = max(1, (1 << 15) // max(1, len(q))), np.ascontiguousarray(q.T)
+    for s in range(0, len(p), rows):
+        for k in range(p.shape[1]):
+            d[s : s + rows] += (p[s : s + rows, k, None] - across[None, k]) ** 2
     return np.sqrt(d)
 
 
@@ -59,6 +62,7 @@ class Cells:
     smaller cells would only send it more often. What the driver holds is a row for each cell."""
 
     def __init__(self, points: DataFrame, keep: Keep, pivots: int | None = None):
+        self.keep = keep
         pivots = pivots or min(PIVOTS, -(-points.count() // BLOCK))
         self.pivots = np.array([r["x"] for r in points.select("x", "point").orderBy(F.xxhash64("point"), "point").limit(pivots).collect()], dtype=float)
         at = self.pivots
@@ -87,7 +91,8 @@ class Cells:
 
         plain = queries.drop("cell")
         routed = plain.mapInArrow(route, f"{_ddl(plain)}, cells array<int>")
-        nothing = pa.table({c: pa.array([], pa.float64() if kind == "double" else pa.int64()) for c, kind in (f.split() for f in schema.split(", "))})
+        kinds = {"double": pa.float64(), "long": pa.int64(), "array<struct<d:double,other:long>>": pa.list_(pa.struct([("d", pa.float64()), ("other", pa.int64())]))}
+        nothing = pa.table({c: pa.array([], kinds[kind]) for c, kind in (f.split() for f in schema.split(", "))})
         return B.compare(routed, points, F.col("point"), self.rows.tolist(), step, schema, nothing)
 
 
@@ -96,55 +101,53 @@ def _ddl(df: DataFrame) -> str:
 
 
 def neighbours(cells: Cells, k: int) -> DataFrame:
-    """point, other, d, place (from 1): each point's k nearest other points (all, if fewer), ties to the smaller id. Exact."""
+    """point, other, d, place (from 1): each point's k nearest other points (all, if fewer), ties to the smaller id. Exact.
+
+    A point first meets points drawn by hash, an eighth of all and PROBES at most: its k nearest lie no farther than k of those, so that cells and pairs beyond
+    are left out. A block gives one row for each point that it has neighbours for."""
     rows, reach = cells.rows, cells.reach
+    total = int(rows.sum())
+    if not total:
+        return cells.points.selectExpr("point", "point AS other", "0.0D AS d", "0 AS place")
+    drawn = max(4 * k, min(PROBES, COMPONENTS // max(1, cells.pivots.shape[1]), max(B.LEAST, total // 8)))
+    probes = _matrix(cells.points.where(F.pmod(F.xxhash64("point", F.lit(1)), F.lit(total)) < drawn).select("x").toArrow().column(0))
+
+    def probed(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(B.nearest_within(_matrix(b.column("x")), probes, k))], names=[*b.schema.names, "bound"])
 
-    def bounds(_batch, d: np.ndarray) -> np.ndarray:
+    def bounds(batch, d: np.ndarray) -> np.ndarray:
         farthest = d + reach
         farthest[:, rows == 0] = math.inf
         order = farthest.argsort(axis=1)
         enough = (rows[order].cumsum(axis=1) > k).argmax(axis=1) if rows.sum() > k else np.full(len(d), len(rows) - 1)
-        bound = farthest[np.arange(len(d)), order[np.arange(len(d)), enough]]
+        bound = np.minimum(farthest[np.arange(len(d)), order[np.arange(len(d)), enough]], np.sqrt(np.asarray(batch.column("bound"))))
         return (d - reach <= bound[:, None] * (1 + 1e-9)) & (rows > 0)
 
     def step(a: pa.Table, b: pa.Table) -> pa.Table:
         here, there = np.asarray(a.column("point")), np.asarray(b.column("point"))
         p, q = _matrix(a.column("x")), _matrix(b.column("x"))
-        bound = np.full(len(p), math.inf)  # no other point above it is among the k nearest
-        row, other, near = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-
-        def reduce() -> None:
-            r, o, d = (np.concatenate(v) for v in (row, other, near))
-            order = np.lexsort((o, d, r))
-            r, o, d = r[order], o[order], d[order]
-            place = np.arange(len(r)) - np.searchsorted(r, r)
-            last = place == k - 1
-            bound[r[last]] = np.minimum(bound[r[last]], d[last] ** 2 * (1 + 1e-12))
-            row[:], other[:], near[:] = [r[place < k]], [o[place < k]], [d[place < k]]
-
+        found = B.Nearest(a.column("bound").to_numpy().copy(), k, there, lambda i, j: B.listed_distances(p, i, q, j))
         for _, asks, held in B.by_cell(a, b):
             left, right, wrong, unit = B.rough_squares(p[asks], q[held])
             for s in range(0, len(asks), B.ROWS):
                 at, e = asks[s : s + B.ROWS], wrong[s : s + B.ROWS]
                 for t in range(0, len(held), B.COLUMNS):
                     d = left[s : s + B.ROWS] @ right[:, t : t + B.COLUMNS]
-                    free = np.flatnonzero(bound[at] == math.inf)
-                    if len(free) and d.shape[1] > k:
-                        bound[at[free]] = (np.partition(d[free], k, axis=1)[:, k] + e[free]) * unit * (1 + 1e-12)  # one more than k, as the point itself may be there
-                    i, j = np.divmod(np.flatnonzero(d <= ((bound[at] / unit + e) * (1 + 1e-6)).astype(np.float32)[:, None]), d.shape[1])
-                    i, j = at[i], held[t + j]
-                    ok = here[i] != there[j]
-                    i, j = i[ok], j[ok]
-                    row.append(i)
-                    other.append(there[j])
-                    near.append(B.pair_distances(p[i], q[j]))
-                    if sum(map(len, row)) > max(1 << 20, 4 * k * len(p)):
-                        reduce()
-        reduce()
-        return pa.table({"point": here[row[0]], "other": other[0], "d": near[0]})
-
-    every = cells.search(cells.points.select("point", "x"), cells.points.select("point", "x", "cell"), bounds, step, "point long, other long, d double")
-    return every.withColumn("place", F.row_number().over(Window.partitionBy("point").orderBy("d", "other"))).where(F.col("place") <= k)
+                    i, j = np.divmod(B.set_places(d <= np.nan_to_num((found.bound[at] / unit + e) * (1 + 1e-6), nan=math.inf).astype(np.float32)[:, None]), d.shape[1])
+                    rough, j = d[i, j].astype(float), held[t + j]
+                    ok = here[at[i]] != there[j]
+                    i, j, rough = i[ok], j[ok], rough[ok]
+                    found.tell(at[i], j, (rough - e[i]) * unit, np.maximum((rough + e[i]) * unit, 0.0))
+        found.settle()
+        has, first = np.unique(found.row, return_index=True)
+        near = pa.StructArray.from_arrays([pa.array(found.near), pa.array(there[found.place])], names=["d", "other"])
+        return pa.table({"point": here[has], "near": pa.ListArray.from_arrays(pa.array([*first, len(near)], pa.int32()), near)})
+
+    asking = cells.keep(cells.points.select("point", "x").mapInArrow(probed, "point long, x array<double>, bound double"))
+    every = cells.search(asking, cells.points.select("point", "x", "cell"), bounds, step, "point long, near array<struct<d:double,other:long>>")
+    best = every.groupBy("point").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k).alias("near"))  # k entries of each block
+    return best.select("point", F.posexplode("near").alias("place", "e")).select("point", "e.other", "e.d", (F.col("place") + 1).alias("place"))
 
 
 def core_distances(cells: Cells, near: DataFrame, samples: int, k: int) -> DataFrame:

@@ -1,8 +1,9 @@
 """Plane positions that keep neighbourhoods: a graph of nearest neighbours, locally scaled, laid out by attraction along its edges and repulsion from all.
 
 Equal vectors are one point. A round moves every point at once: towards its neighbours, along edges joined with the positions, and away from the others, whose
-repulsion is estimated from 256 points that a hash draws anew for each round, so that a round costs the edges and never all pairs. Start (principal components),
-draws and moves are given by the rows and the seed. Rows whose vector is null or holds null or non-finite components have null positions.
+repulsion is estimated from 256 points that a hash draws anew for each round, so that a round costs the edges and never all pairs. Edges are dealt by point once;
+up to 1,048,576 positions (three numbers each) are sent to them, beyond that edges and positions are shuffled in each round. Start (principal components), draws
+and moves are given by the rows and the seed. Rows whose vector is null or holds null or non-finite components have null positions.
 """
 
 from __future__ import annotations
@@ -15,8 +16,9 @@ from pyspark.sql import functions as F
 from .clustering import principal_scores
 from .density import Cells, Keep, distinct_points, neighbours, to_rows
 
-#: Points that a round's repulsion is estimated from; spread of the start; a move's greatest length in each direction; weight of repulsion.
-DRAWN, SPREAD, CLIP, PUSH = 256, 10.0, 2.0, 5.0
+#: Points that a round's repulsion is estimated from; spread of the start; a move's greatest length in each direction; weight of repulsion;
+#: positions that are broadcast at most.
+DRAWN, SPREAD, CLIP, PUSH, SENT = 256, 10.0, 2.0, 5.0, 1 << 20
 
 
 def neighbour_graph(near: DataFrame) -> DataFrame:
@@ -54,13 +56,14 @@ def neighbour_layout(rows: DataFrame, keep: Keep, k: int = 15, rounds: int = 30,
     points, near = known or nearest(named, keep, k)
     if points.isEmpty():
         return named.select("id", F.lit(None).cast("double").alias("px"), F.lit(None).cast("double").alias("py"))
-    edges = keep(neighbour_graph(near))
+    edges = keep(neighbour_graph(near).repartition("point"))
     at = keep(start(points))
+    sent = F.broadcast if at.count() <= SENT else lambda positions: positions
     clip = lambda c: F.greatest(F.lit(-CLIP), F.least(F.lit(CLIP), c))
     for r in range(rounds):
         drawn = np.array([[p["px"], p["py"]] for p in at.orderBy(F.xxhash64("point", F.lit(seed + r)), "point").limit(DRAWN).collect()])
         rate = 1.0 - r / rounds
-        pull = edges.join(at.select(F.col("point").alias("other"), F.col("px").alias("ox"), F.col("py").alias("oy")), "other").join(at, "point")
+        pull = edges.join(sent(at.select(F.col("point").alias("other"), F.col("px").alias("ox"), F.col("py").alias("oy"))), "other").join(sent(at), "point")
         dx, dy = F.col("ox") - F.col("px"), F.col("oy") - F.col("py")
         force = F.col("w") / (1 + dx * dx + dy * dy)
         pulled = pull.groupBy("point").agg(F.sum("w").alias("w"), F.sum(force * dx).alias("fx"), F.sum(force * dy).alias("fy"))

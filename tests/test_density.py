@@ -215,3 +215,39 @@ def test_neighbours_of_odd_points(spark):
         assert {(q["point"], q["other"], q["place"], q["d"]) for q in D.neighbours(cells, 4).collect()} == want
     first, count = blocks.deal([2000] * 256, 32768)
     assert max(first) + 1 == 16 and set(count) == {1}
+
+
+def test_nearest_of_pairs_that_are_told_with_bounds():
+    """Whatever is held at once: the nearest by distance, ties to the smaller id, from bounds that say little, and bounds that fall with what is known."""
+    r = np.random.default_rng(12)
+    p, q, ids = r.integers(0, 4, (50, 3)).astype(float), r.integers(0, 4, (300, 3)).astype(float), r.permutation(300)
+    d = D.distances(p, q)
+    want = [[(int(ids[j]), d[i, j]) for j in np.lexsort((ids, d[i]))[:4]] for i in range(50)]
+    for wrong, most in ((0.0, 1), (0.5, 700), (30.0, 1 << 20)):
+        measured = []
+        found = D.B.Nearest(np.full(50, np.inf), 4, ids, lambda i, j, m=measured: m.append(len(i)) or D.B.listed_distances(p, i, q, j))
+        found.most = most
+        for t in range(0, 300, 20):
+            i, j = np.divmod(np.arange(50 * 20), 20)
+            j += t
+            open_ = d[i, j] ** 2 - wrong <= found.bound[i]
+            i, j = i[open_], j[open_]
+            found.tell(i, j, d[i, j] ** 2 - wrong, d[i, j] ** 2 + wrong)
+        found.settle()
+        assert [[(int(ids[j]), e) for j, e in zip(found.place[found.row == i], found.near[found.row == i], strict=True)] for i in range(50)] == want
+        assert wrong > 1 or sum(measured) < 50 * 300
+
+
+def test_distances_within_which_drawn_points_lie():
+    r = np.random.default_rng(13)
+    for p, q in ((r.normal(size=(70, 5)), r.normal(size=(1000, 5))), (r.normal(size=(3, 2)), r.normal(size=(9, 2)) + 1e6), (np.zeros((2, 3)), np.zeros((8, 3)))):
+        exact = np.sort(D.distances(p, q), axis=1)[:, 6] ** 2
+        assert (D.B.nearest_within(p, q, 6) >= exact).all()
+    assert np.isinf(D.B.nearest_within(p, q[:6], 6)).all() and (D.B.nearest_within(np.zeros((1, 2)), r.normal(size=(9000, 2)), 6) < 0.1).all()
+
+
+@pytest.mark.parametrize("n", [0, 3, 8, 64, 77])
+def test_places_that_are_set(n):
+    for rate in (0.0, 0.1, 1.0):
+        found = np.random.default_rng(n).uniform(size=n) < rate
+        assert D.B.set_places(found).tolist() == np.flatnonzero(found).tolist()

@@ -68,3 +68,37 @@ def test_neighbours_in_space_are_found_once(spark, monkeypatch):
     share = L.preservation(rows, plane, keep, 6, known=known).first()[0]
     assert len(searches) == 2
     assert L.preservation(rows, plane, keep, 6).first()[0] == pytest.approx(share) and len(searches) == 4
+
+
+def test_few_cells_are_asked_in_the_plane(spark, monkeypatch):
+    """Points drawn by hash bound the distance to the nearest, so that a point in the plane is held against few cells, and a block gives one row for each point."""
+    at = np.random.default_rng(11).uniform(size=(4000, 2))
+    cells, compare, seen = D.Cells(keep(D.distinct_points(frame(spark, at.tolist()))), keep, 40), D.B.compare, []
+
+    def spied(queries, points, *rest):
+        found = compare(queries, points, *rest)
+        seen.append((queries.selectExpr("avg(size(cells))").first()[0], found.count(), found.selectExpr("point").distinct().count()))
+        return found
+
+    monkeypatch.setattr(D.B, "compare", spied)
+    got = {(r["point"], r["place"]): (r["other"], r["d"]) for r in D.neighbours(cells, 6).collect()}
+    want = {(i, n + 1): e for i, l in enumerate(near_of(at, 6)) for n, e in enumerate(l)}  # noqa: E741
+    assert got == want
+    asked, rows, points = seen[0]
+    assert asked < 5 and points == 4000 and rows < 3 * 4000
+
+
+def test_positions_sent_or_shuffled(spark, monkeypatch):
+    """Positions of more points than are broadcast meet the edges by shuffles: the same layout."""
+    rows = frame(spark, np.random.default_rng(5).normal(size=(50, 4)).tolist())
+    of = lambda: {r["id"]: (r["px"], r["py"]) for r in L.neighbour_layout(rows, keep, k=5, rounds=3).collect()}
+    sent = of()
+    monkeypatch.setattr(L, "SENT", 10)
+    shuffled = of()
+    assert len(sent) == 50 and all(shuffled[p] == pytest.approx(at, abs=1e-6) for p, at in sent.items())
+
+
+def test_no_rows_no_share(spark):
+    empty = frame(spark, [])
+    plane = spark.createDataFrame([], "id long, px double, py double")
+    assert L.preservation(empty, plane, keep, 3).first()["preserved"] is None
