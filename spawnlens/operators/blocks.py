@@ -41,14 +41,32 @@ def deal(rows: list[int], side: int) -> tuple[list[int], list[int]]:
     return first, count
 
 
+def side_of(rows: list[int]) -> int:
+    return int(min(MOST, max(LEAST, sum(rows) // PARTS)))
+
+
+def asks(need: np.ndarray, rows: list[int]) -> tuple[pa.Array, pa.Array]:
+    """`blocks` (those that hold a cell which is needed) and `mask` (the cells, a bit for each) of queries that need the cells that are true."""
+    first, count = deal(rows, side_of(rows))
+    held = np.zeros((len(rows), max((f + n for f, n in zip(first, count, strict=True)), default=1)), np.float32)
+    for c, (f, n) in enumerate(zip(first, count, strict=True)):
+        held[c, f : f + n] = 1
+    query, block = np.nonzero(need.astype(np.float32) @ held)
+    ends = np.searchsorted(query, np.arange(len(need) + 1)).astype(np.int32)
+    bits = np.packbits(need, axis=1)
+    at = np.arange(len(need) + 1, dtype=np.int32) * bits.shape[1]
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(block, pa.int32())), pa.BinaryArray.from_buffers(pa.binary(), len(need), [None, pa.py_buffer(at), pa.py_buffer(bits)])
+
+
 def compare(queries: DataFrame, points: DataFrame, key: Column, rows: list[int], step: Callable[[pa.Table, pa.Table], pa.Table], schema: str, empty: pa.Table, side: int | None = None) -> DataFrame:
-    """What step(queries, points) finds in each pair of blocks. queries have `cells` (array<int>, those they need), points `cell`, of which `rows` has the number of
-    points; key tells the rows of a side apart. empty is a table of the schema without rows. The step keeps to each query's cells (see `by_cell`)."""
-    side = side or int(min(MOST, max(LEAST, sum(rows) // PARTS)))
+    """What step(queries, points) finds in each pair of blocks. queries have `cells` (array<int>, those they need) or what asks() gives, points `cell`, of which `rows`
+    has the number of points; key tells the rows of a side apart. empty is a table of the schema without rows. The step keeps to each query's cells (see `by_cell`, `by_need`)."""
+    side = side or side_of(rows)
     first, count = deal(rows, side)
     of = lambda values, at: F.element_at(F.array(*[F.lit(int(v)) for v in values]), at + 1)
-    needed = F.array_distinct(F.flatten(F.transform("cells", lambda c: F.sequence(of(first, c), of(first, c) + of(count, c) - 1))))
-    asking = queries.withColumn("_n", F.explode(needed))
+    told = "blocks" in queries.columns
+    needed = F.col("blocks") if told else F.array_distinct(F.flatten(F.transform("cells", lambda c: F.sequence(of(first, c), of(first, c) + of(count, c) - 1))))
+    asking = queries.withColumn("_n", F.explode(needed)).drop("blocks")
     asked = {r["_n"]: r["count"] for r in asking.groupBy("_n").count().collect()}  # a row for each block
     shares = [-(-asked.get(k, 0) // side) for k in range(max((f + n for f, n in zip(first, count, strict=True)), default=1))]
     left = asking.withColumn("_m", F.pmod(F.xxhash64(key), of(shares, F.col("_n"))).cast("int"))
@@ -70,6 +88,20 @@ def by_cell(a: pa.Table, b: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndar
             yield c, rows, np.flatnonzero(held == c)
 
 
+def by_need(a: pa.Table, b: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of the queries and of the points to hold against them, by their `mask`: those that need all cells of the block against all of it, others cell by cell."""
+    bits = np.unpackbits(np.frombuffer(b"".join(a.column("mask").to_pylist()), np.uint8).reshape(a.num_rows, -1), axis=1)
+    held = np.asarray(b.column("cell"))
+    cells = np.unique(held)
+    need = bits[:, cells].astype(bool)
+    whole = need.all(axis=1)
+    if whole.any():
+        yield np.flatnonzero(whole), np.arange(len(held))
+    for c, rows in zip(cells.tolist(), (need & ~whole[:, None]).T, strict=True):
+        if rows.any():
+            yield np.flatnonzero(rows), np.flatnonzero(held == c)
+
+
 def squares(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Two matrices whose product is the squared distances of p and q, about the middle of q, and the sum of norms that its rounding goes by for each row of p."""
     mid = q.mean(axis=0)

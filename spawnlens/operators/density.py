@@ -81,19 +81,18 @@ class Cells:
 
     def search(self, queries: DataFrame, points: DataFrame, bounds, step, schema: str) -> DataFrame:
         """What step(queries, points) finds in blocks of the cells that bounds(batch, distances to pivots) calls needed."""
-        at = self.pivots
+        at, rows = self.pivots, self.rows.tolist()
 
         def route(batches):
             for b in batches:
-                query, cell = np.nonzero(bounds(b, distances(_matrix(b.column("x")), at)))
-                ends = np.searchsorted(query, np.arange(b.num_rows + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(cell, pa.int32()))], names=[*b.schema.names, "cells"])
+                blocks, mask = B.asks(bounds(b, distances(_matrix(b.column("x")), at)), rows)
+                yield pa.RecordBatch.from_arrays([*b.columns, blocks, mask], names=[*b.schema.names, "blocks", "mask"])
 
         plain = queries.drop("cell")
-        routed = plain.mapInArrow(route, f"{_ddl(plain)}, cells array<int>")
+        routed = plain.mapInArrow(route, f"{_ddl(plain)}, blocks array<int>, mask binary")
         kinds = {"double": pa.float64(), "long": pa.int64(), "array<struct<d:double,other:long>>": pa.list_(pa.struct([("d", pa.float64()), ("other", pa.int64())]))}
         nothing = pa.table({c: pa.array([], kinds[kind]) for c, kind in (f.split() for f in schema.split(", "))})
-        return B.compare(routed, points, F.col("point"), self.rows.tolist(), step, schema, nothing)
+        return B.compare(routed, points, F.col("point"), rows, step, schema, nothing)
 
 
 def _ddl(df: DataFrame) -> str:
@@ -128,7 +127,7 @@ def neighbours(cells: Cells, k: int) -> DataFrame:
         here, there = np.asarray(a.column("point")), np.asarray(b.column("point"))
         p, q = _matrix(a.column("x")), _matrix(b.column("x"))
         found = B.Nearest(a.column("bound").to_numpy().copy(), k, there, lambda i, j: B.listed_distances(p, i, q, j))
-        for _, asks, held in B.by_cell(a, b):
+        for asks, held in B.by_need(a, b):
             left, right, wrong, unit = B.rough_squares(p[asks], q[held])
             for s in range(0, len(asks), B.ROWS):
                 at, e = asks[s : s + B.ROWS], wrong[s : s + B.ROWS]
@@ -210,7 +209,7 @@ def spanning_tree(cells: Cells, points: DataFrame, near: DataFrame, keep: Keep)
             p, q, mine, theirs = _matrix(a.column("x")), _matrix(b.column("x")), np.asarray(a.column("comp")), np.asarray(b.column("comp"))
             core_a, core_b = np.asarray(a.column("core")), np.asarray(b.column("core"))
             best, least = np.full(len(p), -1), np.asarray(a.column("bound")) * (1 + 1e-9)
-            for _, asks, held in B.by_cell(a, b):
+            for asks, held in B.by_need(a, b):
                 left, right, wrong, unit = B.rough_squares(p[asks], q[held])
                 own_b = np.minimum(core_b[held] ** 2 / unit, 1e37).astype(np.float32)
                 for s in range(0, len(asks), B.ROWS):

@@ -17,8 +17,8 @@ from .clustering import principal_scores
 from .density import Cells, Keep, distinct_points, neighbours, to_rows
 
 #: Points that a round's repulsion is estimated from; spread of the start; a move's greatest length in each direction; weight of repulsion;
-#: positions that are broadcast at most.
-DRAWN, SPREAD, CLIP, PUSH, SENT = 256, 10.0, 2.0, 5.0, 1 << 20
+#: positions that are broadcast at most; points that are pushed at once.
+DRAWN, SPREAD, CLIP, PUSH, SENT, HELD = 256, 10.0, 2.0, 5.0, 1 << 20, 512
 
 
 def neighbour_graph(near: DataFrame) -> DataFrame:
@@ -70,11 +70,13 @@ def neighbour_layout(rows: DataFrame, keep: Keep, k: int = 15, rounds: int = 30,
 
         def pushed(batches, drawn=drawn):
             for b in batches:
-                p = np.stack([np.asarray(b.column(c)) for c in ("px", "py")], axis=1)
-                d = p[:, None] - drawn[None]
-                near = (d**2).sum(axis=2)
-                f = (d / ((0.001 + near) * (1 + near))[:, :, None]).clip(-4, 4).mean(axis=1)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(f[:, 0]), pa.array(f[:, 1])], names=[*b.schema.names, "gx", "gy"])
+                p = [np.asarray(b.column(c)) for c in ("px", "py")]
+                f = np.zeros((2, b.num_rows))
+                for s in range(0, b.num_rows, HELD):
+                    d = [c[None, s : s + HELD] - drawn[:, n, None] for n, c in enumerate(p)]
+                    near = d[0] ** 2 + d[1] ** 2
+                    f[:, s : s + HELD] = [(c / ((0.001 + near) * (1 + near))).clip(-4, 4).mean(axis=0) for c in d]
+                yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, f)], names=[*b.schema.names, "gx", "gy"])
 
         away = at.select("point", "px", "py").mapInArrow(pushed, "point long, px double, py double, gx double, gy double")
         both = away.join(pulled, "point", "left")

@@ -1,6 +1,7 @@
 """Density clusters against a plain computation over all pairs."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -251,3 +252,20 @@ def test_places_that_are_set(n):
     for rate in (0.0, 0.1, 1.0):
         found = np.random.default_rng(n).uniform(size=n) < rate
         assert D.B.set_places(found).tolist() == np.flatnonzero(found).tolist()
+
+
+def test_blocks_and_pairs_that_are_needed():
+    """Each query meets the blocks of its cells and, in these, all points of its cells; where it needs all of a block, in one piece."""
+    r, rows = np.random.default_rng(14), [700, 0, 500, 3000, 20, 9]
+    need = r.uniform(size=(40, 6)) < 0.5
+    need[0], need[1] = True, False
+    blocks, mask = D.B.asks(need, rows)
+    first, count = D.B.deal(rows, D.B.side_of(rows))
+    assert blocks.to_pylist() == [sorted({b for c in range(6) if n[c] for b in range(first[c], first[c] + count[c])}) for n in need]
+    cell = r.choice([0, 2, 4], 90).astype(np.int32)
+    met = np.zeros((40, 90), int)
+    pieces = 0
+    for asks, held in D.B.by_need(pa.table({"mask": mask}), pa.table({"cell": cell})):
+        met[np.ix_(asks, held)] += 1
+        pieces += 0 in asks
+    assert (met == need[:, cell]).all() and pieces == 1
